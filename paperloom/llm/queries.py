@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontam, fair_queue
+from . import decontam, fair_queue, secret_scan, url_tree, winnow
 
 QUERIES = {
+    "op1_secret_ownership": secret_scan.query,
     "op3_fair_queue": fair_queue.query,
+    "op4_winnowing": winnow.query,
+    "op5_url_template_tree": url_tree.query,
     "op8_positional_index": decontam.query,
 }
 
 ORACLES = {
+    "op1_secret_ownership": secret_scan.ORACLE,
     "op3_fair_queue": fair_queue.ORACLE,
     "op8_positional_index": decontam.ORACLE,
 }
