@@ -57,3 +57,58 @@ def binary_values(column) -> Iterator[bytes | None]:
     valid = column.is_valid().to_numpy(zero_copy_only=False)
     for k in range(n):
         yield bytes(view[at[k] : at[k + 1]]) if valid[k] else None
+
+
+def bit_of(column: Column, bits: int) -> Column:
+    """The place of a value in ``bitmap``."""
+    return F.pmod(F.xxhash64(column), F.lit(1 << bits))
+
+
+def bitmap(places: DataFrame, bits: int) -> bytes:
+    """2**bits bits, those set that ``places`` (one column, of ``bit_of``) holds; its size doesn't depend on the data.
+
+    A filter by it lets through every value that is in the table, and few others while the table is small.
+    """
+    import numpy as np
+
+    place = F.col(places.columns[0])
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 32).cast("int"))
+    words = places.groupBy(F.shiftright(place, 5).alias("w")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    out = np.zeros(1 << (bits - 5), dtype=np.uint32)
+    out[words["w"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
+    return out.tobytes()
+
+
+class WordHashes(dict):
+    """Words to 64-bit hashes; forgets all when it has grown large."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) > 1_000_000:
+            self.clear()
+        out = self[word] = xxhash.xxh64_intdigest(word)
+        return out
+
+
+def mixed(x):
+    """A bijection of uint64 arrays that spreads all bits."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_hashes(found: list[bytes], hashes: WordHashes, k: int):
+    """A hash of each run of k words, or of all words if there are fewer, as uint64."""
+    import numpy as np
+
+    if not found:
+        return np.empty(0, dtype=np.uint64)
+    words = np.fromiter(map(hashes.__getitem__, found), dtype=np.uint64, count=len(found))
+    size = min(k, len(words))
+    out = np.full(len(words) - size + 1, size, dtype=np.uint64)
+    for j in range(size):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + words[j : len(words) - size + 1 + j])
+    return out

@@ -30,10 +30,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, checkpoint, table
+from .common import WordHashes, binary_values, bit_of, bitmap, checkpoint, shingle_hashes, table
 from .components import components
 
 SHINGLE = 4
@@ -43,39 +43,11 @@ CHUNK = 512
 MAP_BITS = 23
 
 
-class _Hashes(dict):
-    """Words to 64-bit hashes; forgets all when it has grown large."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 1_000_000:
-            self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word)
-        return out
-
-
-def shingles(text: bytes | None, hashes: _Hashes, k: int = SHINGLE):
+def shingles(text: bytes | None, hashes: WordHashes, k: int = SHINGLE):
     """The set of hashed word shingles, in ascending order, as uint64."""
     import numpy as np
 
-    found = (text or b"").lower().split()  # bytes: only A-Z are lowered, only ASCII white space splits
-    if not found:
-        return np.empty(0, dtype=np.uint64)
-    words = np.fromiter(map(hashes.__getitem__, found), dtype=np.uint64, count=len(found))
-    size = min(k, len(words))
-    out = np.full(len(words) - size + 1, size, dtype=np.uint64)
-    for j in range(size):
-        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + words[j : len(words) - size + 1 + j])
-    return np.unique(out)
-
-
-def _mixed(x):
-    import numpy as np
-
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    return np.unique(shingle_hashes((text or b"").lower().split(), hashes, k))  # bytes: only A-Z are lowered, only ASCII white space splits
 
 
 def _least(n: int, like: tuple[int, int]) -> int:
@@ -96,7 +68,7 @@ def _listed(docs: DataFrame, k: int, like: tuple[int, int]) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        hashes, seen = _Hashes(), set()
+        hashes, seen = WordHashes(), set()
         for batch in batches:
             nodes, sizes, needs, firsts = [], [], [], []
             for text in binary_values(batch.column(1)):
@@ -118,30 +90,15 @@ def _listed(docs: DataFrame, k: int, like: tuple[int, int]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, node long, n long, need int, first array<long>")
 
 
-def _bit(column: Column) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(1 << MAP_BITS))
-
-
-def _bitmap(ids: DataFrame) -> bytes:
-    """One bit for each hash of doc_id, 2**MAP_BITS in all, whatever the number of documents."""
-    import numpy as np
-
-    words = ids.select(_bit(F.col("doc_id")).alias("b")).groupBy(F.shiftright("b", 5).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 32).cast("int"))).alias("bits")).collect()
-    out = np.zeros(1 << (MAP_BITS - 5), dtype=np.uint32)
-    for w, bits in words:
-        out[w] = bits
-    return out.tobytes()
-
-
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """node, own (its set, as bytes) of the rows whose doc_id may be among ``ids``."""
-    held = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))  # 1 MB
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(bit_of(F.col("doc_id"), MAP_BITS)), MAP_BITS))  # 1 MB
 
     def rows(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        hashes, bits = _Hashes(), np.frombuffer(held.value, dtype=np.uint32)
+        hashes, bits = WordHashes(), np.frombuffer(held.value, dtype=np.uint32)
         for batch in batches:
             at = batch.column(0).to_numpy()
             batch = batch.filter(pa.array((bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
@@ -150,7 +107,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 some = found[lo : lo + 256]
                 yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x in some], pa.int64()), pa.array([x.tobytes() for x in some], pa.binary())], names=["node", "own"])
 
-    return docs.select(_bit(F.col("doc_id").cast("long")).alias("bit"), "text").mapInArrow(rows, "node long, own binary")
+    return docs.select(bit_of(F.col("doc_id").cast("long"), MAP_BITS).alias("bit"), "text").mapInArrow(rows, "node long, own binary")
 
 
 def search(nodes: list[int], sets: list, like: tuple[int, int] = LIKE) -> list[tuple[int, int]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fair_queue, jaccard_join, secret_scan, url_tree, winnow
+from . import decontam, fair_queue, jaccard_join, secret_scan, template_lines, url_tree, winnow
 
 QUERIES = {
     "op1_secret_ownership": secret_scan.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_url_template_tree": url_tree.query,
     "op8_positional_index": decontam.query,
     "op9_divide_skip": jaccard_join.query,
+    "op10_log_templates": template_lines.query,
 }
 
 ORACLES = {
