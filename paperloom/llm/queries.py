@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontam, fair_queue, jaccard_join, secret_scan, template_lines, url_tree, winnow
+from . import decontam, fair_queue, jaccard_join, lang_mixture, lm_diff, secret_scan, template_lines, token_rollup, url_tree, winnow
 
 QUERIES = {
     "op1_secret_ownership": secret_scan.query,
+    "op2_mixture_em": lang_mixture.query,
     "op3_fair_queue": fair_queue.query,
     "op4_winnowing": winnow.query,
     "op5_url_template_tree": url_tree.query,
+    "op6_delta_rollups": token_rollup.query,
+    "op7_cross_entropy_difference": lm_diff.query,
     "op8_positional_index": decontam.query,
     "op9_divide_skip": jaccard_join.query,
     "op10_log_templates": template_lines.query,
