@@ -6,7 +6,8 @@ first by (hash, owner, repository), then by hash, so that a value that a third o
 moves. A value in many owners' files is an example that people copy; one that a single owner holds, with the entropy
 of a random string, looks live. Candidates that look live are spans of the kind ``owned``; base spans always stay.
 
-All of it is DataFrame expressions. Positions come from the lengths of the matches and of the text between them.
+The texts are read once; the spans are kept in a checkpoint, for the counts and for the result. All of it is
+DataFrame expressions. Positions come from the lengths of the matches and of the text between them.
 
 Cases: null text is empty and has no spans; null owners and repositories count as one owner or repository named
 by the empty string; rows with equal ids are reported one by one; an empty table gives no rows.
@@ -17,9 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import checkpoint, table
 
 _KEY = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?"""
+_KEY_STEMS = "(?i)(?:passw|secre|token|api)"  # of all keys; a faster test
 #: Kinds in the order in which they are listed: pattern, the same for values that are long enough, group of the value,
 #: its least length.
 BASE = {
@@ -47,7 +49,10 @@ def _spans(text: Column, kind: str, pattern: str, long_enough: str, group: int,
     found = F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast(kind_type).alias("out")), step, lambda acc: acc["out"])
     found = F.filter(found, lambda x: F.char_length(x["value"]) >= least)
     # A text without a hit, as most are, is scanned once.
-    return F.when(text.rlike(long_enough), found).otherwise(F.array().cast(kind_type))
+    worth = text.rlike(long_enough)
+    if kind == "assign":
+        worth = text.rlike(_KEY_STEMS) & worth
+    return F.when(worth, found).otherwise(F.array().cast(kind_type))
 
 
 def entropy(value: Column) -> Column:
@@ -86,7 +91,7 @@ def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None
     status: ``example`` from ``example_owners`` owners on; ``live`` for one owner and ``least_entropy`` bits a
     character; else ``shared``. Candidates are kept, as ``owned``, if they look live.
     """
-    found = found_spans(docs, F.col("source") if owner is None else owner, F.col("source") if repository is None else repository)
+    found = checkpoint(found_spans(docs, F.col("source") if owner is None else owner, F.col("source") if repository is None else repository))
     counts = ownership(found)
     each = found.select("uid", "doc_id", F.explode_outer("spans").alias("x")).withColumn("key", F.coalesce(F.sha2(F.col("x.value"), 256), F.concat(F.lit("none "), F.col("uid").cast("string"))))
     bits = F.when(F.col("n_owners") == 1, entropy(F.col("x.value")))
