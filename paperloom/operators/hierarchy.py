@@ -91,7 +91,7 @@ def page_range_join(elements: DataFrame, sections: DataFrame, document: str = "d
 
 def pages_of(document_pages: DataFrame, sections: DataFrame, document: str = "document_id") -> DataFrame:
     """JON-08: for each page 1..n_pages of a document the section that is open on it."""
-    pages = document_pages.select(document, F.explode(F.sequence(F.lit(1), F.col("n_pages").cast("int"))).cast("long").alias("page"))
+    pages = document_pages.select(document, F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_pages").cast("long"))).alias("page"))
     return asof(pages, sections.select(document, F.col("page").cast("long").alias("page"), "idx"), [document], "page", "idx")
 
 

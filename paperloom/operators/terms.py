@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EXPANDED = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s*\(([A-Z]{2,6})\)"
-STANDALONE = r"\b[A-Z]{2,6}\b"
-PHRASE = r"\b(?:[A-Z][a-z]+\s+){1,3}[A-Z][a-z]+\b"
+# Java's versions disagree about letters outside ASCII at \\b, so the edges of words are spelled out.
+BEGIN, END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+EXPANDED = BEGIN + r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s*\(([A-Z]{2,6})\)"
+STANDALONE = BEGIN + r"[A-Z]{2,6}" + END
+CAPITALISED = BEGIN + r"[A-Z][a-z]+" + END
+PHRASE = BEGIN + r"(?:[A-Z][a-z]+\s+){1,3}[A-Z][a-z]+" + END
 
 # Words in capitals that are no acronyms.
 NO_ACRONYMS = (
