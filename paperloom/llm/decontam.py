@@ -175,7 +175,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
     joined = F.aggregate(
         "spans",
         F.array().cast(SPANS),
-        lambda done, x: F.when((F.size(done) > 0) & (x["start"] <= F.element_at(done, -1)["end"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(done, F.array(x))),
+        lambda done, x: F.when((F.size(done) > 0) & (x["start"] <= F.element_at(done, -1)["end"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"))).cast(SPANS))).otherwise(F.concat(done, F.array(x).cast(SPANS))),
     )
     return gathered.select("doc_id", "text_key", "n_words", F.when(F.size("spans") == 0, F.array().cast(SPANS)).otherwise(joined).alias("spans"), "items", F.array_except("near", "items").alias("near_items"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
 
