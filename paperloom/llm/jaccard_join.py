@@ -40,6 +40,7 @@ SHINGLE = 4
 LIKE = (85, 100)
 SPARE = 10  # one in so many shingles is listed beside those that may be missing
 CHUNK = 512
+SALTS = 16
 MAP_BITS = 23
 
 
@@ -202,8 +203,9 @@ def groups(listed: DataFrame) -> DataFrame:
 
 def jobs_of(members: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(job, node): one search for each group, or for each pair of chunks of a large one."""
-    sizes = members.groupBy("pivot").agg(F.count("*").alias("m")).filter("m > 1")
-    dealt = members.join(sizes, "pivot").withColumn("chunks", F.ceil(F.col("m") / chunk)).withColumn("own", F.pmod(F.xxhash64("node", "pivot"), F.col("chunks")))
+    sizes = members.groupBy("pivot").agg(F.count("*").alias("m")).filter("m > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))  # a large group is spread over tasks
+    dealt = salted.join(sizes, ["pivot", "salt"]).withColumn("chunks", F.ceil(F.col("m") / chunk)).withColumn("own", F.pmod(F.xxhash64("node", "pivot"), F.col("chunks")))
     others = F.when(F.col("chunks") == 1, F.array(F.col("own"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda i: i != F.col("own")))
     paired = dealt.select("pivot", "node", "own", F.explode(others).alias("other"))
     return paired.select(F.xxhash64("pivot", F.least("own", "other"), F.greatest("own", "other")).alias("job"), "node")
