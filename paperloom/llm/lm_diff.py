@@ -157,7 +157,8 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFra
     those whose ``label`` in ``labels`` (doc_id, ``label``) is over 0."""
     good = labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg((F.max(label) > 0).alias("target")).filter("target")
     rows = docs.select("doc_id", "text", fold_of(F.col("doc_id")).alias("fold"))
-    marked = rows.filter("text is not null").join(good, rows["doc_id"] == good["__id"], "left").select("text", "fold", F.coalesce("target", F.lit(False)).alias("target"))
+    # Labels grow with the documents, so they are never broadcast, whatever their size.
+    marked = rows.filter("text is not null").join(good.hint("merge"), rows["doc_id"] == good["__id"], "left").select("text", "fold", F.coalesce("target", F.lit(False)).alias("target"))
     return apply(rows, fit(marked))
 
 
