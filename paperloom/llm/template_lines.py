@@ -5,11 +5,12 @@ fields. Below that, a line stands under one template with all its other tokens a
 one for each third of them that is left open, so lines that differ in one field of up to a third of their length meet.
 
 A template recurs if it stands in documents that have nothing else to do with each other. Copies of a document share
-all of its lines, and are for near-duplicate detection, not for this: each document has three signatures (least hashes
-of its word shingles, by three orders), which copies have in common as a rule, and a template must show, in each order,
-more than one signature, in the first order ``least_documents`` of them (for lines of ``long_words`` words two), and
-at least half as many as documents. Lines of a recurring template are dropped from all documents. Lines with under
-``least_words`` words are left alone, as they recur by chance.
+all of its lines, and are for near-duplicate detection, not for this: so each line comes with three signatures of the
+rest of its document (least hashes of the word shingles of all other lines, by three orders), which copies have in
+common as a rule. A template must show, in each order, more than one signature, in the first order
+``least_documents`` of them (for lines of ``long_words`` words two), and at least half as many as documents. Lines of
+a recurring template are dropped from all documents. Lines with under ``least_words`` words are left alone, as they
+recur by chance.
 
 Templates are counted by (template, signature), then by template, so that a line in a third of all documents is summed
 up before it moves. A bitmap of fixed size keeps lines away from the join with the recurring templates that can't be
@@ -23,26 +24,25 @@ lines recur is left with an empty text; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, binary_values, bitmap, checkpoint, mixed, shingle_hashes, table, text_key
+from .common import WordHashes, binary_values, bitmap, checkpoint, mixed, table, text_key
 
 LEAD = 2
 GENERAL = 9
 PARTS = 3
 MAP_BITS = 25
+ORDERS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _DIGITS = bytes(0x30 if 0x30 <= b <= 0x39 else b for b in range(256))
 
 
-def templates(line: bytes) -> tuple[list[int], int]:
-    """64-bit hashes of the templates a line stands under, and its number of tokens."""
+def templates(tokens: list[bytes]) -> list[int]:
+    """64-bit hashes of the templates that a line of these tokens, digits made 0, stands under; the exact one first."""
     import xxhash
 
-    tokens = line.split()
-    if b"0" in line:
-        tokens = [b"*" if b"0" in t else t for t in tokens]
     n = len(tokens)
     signed = lambda x: x - (1 << 63)
     out = [signed(xxhash.xxh64_intdigest(b" ".join(tokens)))]
@@ -51,41 +51,82 @@ def templates(line: bytes) -> tuple[list[int], int]:
         for part in range(PARTS):
             lo, hi = len(rest) * part // PARTS, len(rest) * (part + 1) // PARTS
             out.append(signed(xxhash.xxh64_intdigest(b"%s %d %s * %s" % (path, part, b" ".join(rest[:lo]), b" ".join(rest[hi:])))))
-    return out, n
-
-
-def _lines(text: bytes | None, least_words: int) -> Iterator[tuple[int, list[int], int]]:
-    for k, line in enumerate((text or b"").translate(_DIGITS).split(b"\n")):
-        if line.count(b" ") + 1 >= least_words or len(line.split()) >= least_words:
-            found, n = templates(line)
-            if n >= least_words:
-                yield k, found, n
+    return out
+
+
+def parsed(text: bytes | None) -> list[list[bytes]]:
+    """The tokens of each line; tokens with digits are one variable field."""
+    return [[b"*" if b"0" in t else t for t in line.split()] if b"0" in line else line.split() for line in (text or b"").translate(_DIGITS).split(b"\n")]
+
+
+def line_signatures(lines: list[list[bytes]], hashes: WordHashes):
+    """For each line the least hash of its shingles of four words (of all its words, if there are fewer) by each of
+    three orders; the greatest number for an empty line."""
+    import numpy as np
+
+    sizes = np.array([len(x) for x in lines], dtype=np.int64)
+    total = int(sizes.sum())
+    out = np.full((len(ORDERS), len(lines)), np.iinfo(np.uint64).max, dtype=np.uint64)
+    if not total:
+        return out
+    words = np.zeros(total + 3, dtype=np.uint64)
+    words[:total] = np.fromiter(map(hashes.__getitem__, chain.from_iterable(lines)), dtype=np.uint64, count=total)
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    at = np.arange(total)
+    grams = np.zeros(total, dtype=np.uint64)
+    for j in range(4):
+        grams = grams * np.uint64(0x9E3779B97F4A7C15) + np.where(at + j < ends, words[j : total + j], np.uint64(0))
+        grams = mixed(grams)
+    filled = np.flatnonzero(sizes)
+    begin = (np.cumsum(sizes) - sizes)[filled]
+    whole = at + 3 < ends
+    whole[begin] = True
+    for k, order in enumerate(ORDERS):
+        out[k, filled] = np.minimum.reduceat(np.where(whole, mixed(grams ^ np.uint64(order)), np.iinfo(np.uint64).max), begin)
+    return out
+
+
+def rest_signatures(names: list[int], signs):
+    """For each line the least signature of the lines of other names, by each order."""
+    import numpy as np
+
+    distinct = {}
+    for k, name in enumerate(names):
+        distinct.setdefault(name, k)
+    own = signs[:, list(distinct.values())]
+    out = {}
+    least = np.sort(own, axis=1)[:, :2] if own.shape[1] > 1 else np.concatenate([own, np.full((len(ORDERS), 1), np.iinfo(np.uint64).max, dtype=np.uint64)], axis=1)
+    first = own.argmin(axis=1)
+    for k, name in enumerate(distinct):
+        out[name] = np.where(first == k, least[:, 1], least[:, 0])
+    return out
 
 
 def _signed_templates(docs: DataFrame, least_words: int) -> DataFrame:
-    """(template, long enough, s1, s2, s3) for each template of each document."""
+    """(template, words, s1, s2, s3) for each template of each document."""
 
     def rows(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         hashes = WordHashes()
-        orders = [np.uint64(x) for x in (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
         for batch in batches:
-            found, words, counts, signs = [], [], [], []
+            found, words, signs = [], [], []
             for text in binary_values(batch.column(0)):
+                lines = parsed(text)
+                under = [templates(x) for x in lines]
+                names = [x[0] for x in under]
+                rest = rest_signatures(names, line_signatures(lines, hashes))
                 own: dict[int, int] = {}
-                for _, some, n in _lines(text, least_words):
-                    for t in some:
-                        own[t] = n
-                if own:
-                    grams = shingle_hashes(text.lower().split(), hashes, 4)
-                    signs.append([int(mixed(grams ^ o).min()) - (1 << 63) for o in orders])
-                    counts.append(len(own))
-                    found += own.keys()
-                    words += own.values()
-            repeated = np.repeat(np.array(signs, dtype=np.int64).reshape(-1, 3), np.array(counts, dtype=np.int64), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(words, pa.int64()), *[pa.array(repeated[:, k]) for k in range(3)]], names=["template", "words", "s1", "s2", "s3"])
+                for k, some in enumerate(under):
+                    if len(lines[k]) >= least_words:
+                        for t in some:
+                            own.setdefault(t, k)
+                found += own
+                words += [len(lines[k]) for k in own.values()]
+                signs += [rest[names[k]] for k in own.values()]
+            s = np.array(signs, dtype=np.uint64).reshape(-1, len(ORDERS)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(words, pa.int64()), *[pa.array(s[:, k]) for k in range(len(ORDERS))]], names=["template", "words", "s1", "s2", "s3"])
 
     return docs.select("text").mapInArrow(rows, "template long, words long, s1 long, s2 long, s3 long")
 
@@ -111,10 +152,12 @@ def dropped_lines(docs: DataFrame, known: DataFrame, least_words: int = 5) -> Da
         for batch in batches:
             at, lines, found = [], [], []
             for k, text in enumerate(binary_values(batch.column(2))):
-                for number, some, _ in _lines(text, least_words):
-                    at += [k] * len(some)
-                    lines += [number] * len(some)
-                    found += some
+                for number, tokens in enumerate(parsed(text)):
+                    if len(tokens) >= least_words:
+                        some = templates(tokens)
+                        at += [k] * len(some)
+                        lines += [number] * len(some)
+                        found += some
             template = np.array(found, dtype=np.int64)
             place = template & ((1 << MAP_BITS) - 1)
             some = np.flatnonzero((bits[place >> 5] >> (place & 31).astype(np.uint32)) & 1)
