@@ -29,6 +29,7 @@ DELTAS = "source string, lang string, tokenizer string, n_documents long, n_toke
 VOCABULARY = "/opt/tokenizers"
 #: How texts are split before byte pairs are merged: the pattern that belongs to the vocabulary file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+SALTS = 16
 _encoders: dict = {}
 
 
@@ -130,14 +131,14 @@ def query(spark, sf_dir: str) -> DataFrame:
     words with a letter or digit."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", text_key(F.col("text")).alias("key"), F.char_length("text").alias("n_chars"), words(F.col("text")).alias("words"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]*[\p{L}\p{N}][^\x20\x09-\x0D]*")), F.lit(0)).cast("long").alias("real_words"))
     counted = checkpoint(with_counts(docs, column="pieces"))
-    tall = counted.select("*", F.explode(F.array(F.struct(F.lit("byte_bpe_50k@1").alias("tokenizer"), F.col("pieces").alias("n_tokens")), F.struct(F.lit("words@1").alias("tokenizer"), F.col("words").alias("n_tokens")))).alias("c")).select("doc_id", "key", "n_chars", "source", "lang", "c.tokenizer", "c.n_tokens")
-    first = counted.groupBy("key", "n_chars").agg(F.min("doc_id").alias("first_id"))
-    repeats = tall.join(first, ["key", "n_chars"]).filter("doc_id > first_id")
-    kept = counted.join(first, ["key", "n_chars"]).filter("doc_id = first_id")
+    # Groups of equal texts, spread by salt: one may hold a third of all documents.
+    groups = counted.groupBy("key", "n_chars").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("key", "n_chars", "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    marked = counted.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(groups, ["key", "n_chars", "salt"], "left").withColumn("repeats", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)))
+    tall = marked.select("repeats", "source", "lang", F.explode(F.array(F.struct(F.lit("byte_bpe_50k@1").alias("tokenizer"), F.col("pieces").alias("n_tokens")), F.struct(F.lit("words@1").alias("tokenizer"), F.col("words").alias("n_tokens")))).alias("c")).select("repeats", "source", "lang", "c.tokenizer", "c.n_tokens")
     store = Rollup(spark, f"{shared_folder(spark)}/token-rollup-{uuid.uuid4().hex}")
     load = tall.withColumn("kind", F.lit("insert"))
     store.commit("load", load)
     store.commit("load", load)
-    store.commit("delete repeats", repeats.withColumn("kind", F.lit("delete")))
-    store.commit("revise words", kept.select("source", "lang", F.lit("words@1").alias("tokenizer"), F.col("real_words").alias("n_tokens"), F.col("words").alias("before"), F.lit("revise").alias("kind")))
+    store.commit("delete repeats", tall.filter("repeats").withColumn("kind", F.lit("delete")))
+    store.commit("revise words", marked.filter("not repeats").select("source", "lang", F.lit("words@1").alias("tokenizer"), F.col("real_words").alias("n_tokens"), F.col("words").alias("before"), F.lit("revise").alias("kind")))
     return store.totals()
