@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import token_estimate
+from paperloom.functions.text import NAMESPACE_URL, token_estimate, uuid5
 
 LEAST_CHARS = 80  # FIL-13
 
@@ -112,3 +112,26 @@ def fallback_chunks(unresolved: DataFrame, document: str = "document_id", least_
     kept = unresolved.filter(F.size(F.split(F.trim("text"), r"\s+")) >= least_words)
     order = Window.partitionBy(document).orderBy("idx")
     return kept.withColumn("chunk_index", (F.row_number().over(order) - 1).cast("long")).withColumn("chunk_level", F.lit("coarse")).withColumn("section_title", F.lit("Unlabeled Section"))
+
+
+def table_chunks(tables: DataFrame) -> DataFrame:
+    """CHK-05: a coarse chunk for each table (document_id, id, page, text, markdown, caption) with any content: its
+    markdown, or else its text, after the caption."""
+    body = F.coalesce(F.nullif(F.trim("markdown"), F.lit("")), F.nullif(F.trim("text"), F.lit("")))
+    content = F.concat_ws("\n", F.nullif(F.trim("caption"), F.lit("")), body)
+    return tables.select("document_id", "id", "page", content.alias("content"), F.lit("table").alias("content_type"), F.lit("coarse").alias("chunk_level")).filter("content <> ''")
+
+
+def figure_chunks(figures: DataFrame) -> DataFrame:
+    """CHK-06, SNK-19: a coarse chunk for each figure (document_id, id, page, caption, image_path) with a caption once
+    image markup is gone."""
+    caption = F.trim(F.regexp_replace(F.coalesce("caption", F.lit("")), r"!\[[^\]]*\]\([^)]*\)", " "))
+    return figures.select("document_id", "id", "page", caption.alias("content"), "image_path", F.lit("figure").alias("content_type"), F.lit("coarse").alias("chunk_level")).filter("content <> ''")
+
+
+def paper_chunks(sections: DataFrame, document: str = "document_id", size: int = 512, overlap: int = 64) -> DataFrame:
+    """CHK-08: coarse chunks of sections (document, numbering, section_text) with ids made from what they are."""
+    keyed = sections.withColumn("__key", F.struct(F.col(document).cast("string").alias("d"), F.coalesce("numbering", F.lit("")).alias("n"))).withColumn("__name", F.concat_ws("#", "__key.d", "__key.n"))
+    parts = split_windows(keyed.select("__name", F.col("section_text").alias("text")), "__name", levels=(("coarse", size, overlap),))
+    met = parts.join(keyed.select("__name", document, "numbering").dropDuplicates(["__name"]), "__name")
+    return met.withColumn("chunk_id", uuid5(NAMESPACE_URL, F.concat_ws(":", "__name", F.col("chunk_index").cast("string")))).drop("__name")

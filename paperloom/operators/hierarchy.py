@@ -131,3 +131,35 @@ def resolve_labels(labels: DataFrame, sections: DataFrame, document: str = "docu
     for t in tries[1:]:
         every = every.unionAll(t)
     return every.groupBy(document, "label").agg(F.min(F.struct("how", "idx")).alias("x")).select(document, "label", "x.idx", "x.how")
+
+
+def section_keys(sections: DataFrame, document: str = "document_id", idx: str = "idx") -> DataFrame:
+    """SNK-04: (document, idx, section_key): s.1.2 for the second child of the first section, and so on."""
+    tree = with_ancestors(sections, document, idx)
+    siblings = Window.partitionBy(document, F.coalesce("parent_idx", F.lit(-1))).orderBy(idx)
+    tree = tree.withColumn("n", F.row_number().over(siblings))
+    steps = tree.select(document, idx, F.posexplode(F.concat("ancestors", F.array(idx))).alias("at", "step"))
+    numbers = tree.select(F.col(document), F.col(idx).alias("step"), "n")
+    key = F.array_join(F.concat(F.array(F.lit("s")), F.transform(F.array_sort(F.collect_list(F.struct("at", "n"))), lambda x: x["n"].cast("string"))), ".")
+    return steps.join(numbers, [document, "step"]).groupBy(document, idx).agg(key.alias("section_key"))
+
+
+def anchored_texts(documents: DataFrame, sections: DataFrame, document: str = "document_id", most: int | None = None) -> DataFrame:
+    """WIN-17, WIN-18: (document, idx, start, section_text): the text from each title's first place, or with ``most``
+    from behind it, to the next title's, at most so long. Titles are taken literally; those not found are left out."""
+    found = sections.select(document, "idx", "title").join(documents.select(document, "text"), document).withColumn("start", F.expr("instr(text, title)").cast("long")).filter("start > 0")
+    order = Window.partitionBy(document).orderBy("start", "idx")
+    found = found.withColumn("next", F.lead("start").over(order))
+    begin = F.col("start") + (F.length("title") if most else F.lit(0))
+    body = F.substring(F.col("text"), begin, F.greatest(F.coalesce("next", F.length("text") + 1) - begin, F.lit(0)))
+    return found.select(document, "idx", "start", (F.substring(F.trim(body), F.lit(1), F.lit(most)) if most else body).alias("section_text"))
+
+
+def header_candidates(pages: DataFrame, document: str = "document_id", large: Column | None = None) -> DataFrame:
+    """STR-15: (document, page, line, text): lines of three characters or more that are numbered, hold a section
+    keyword, or for which ``large`` holds."""
+    from paperloom.functions.text import has_section_keyword, numbering
+
+    lines = pages.select(document, "page", F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("text", F.trim("text")).filter(F.length("text") >= 3)
+    test = numbering(F.col("text")).isNotNull() | has_section_keyword(F.col("text"))
+    return lines.filter(test | large if large is not None else test)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.operators import store
+from paperloom.operators import answering, store
 
 from .catalog import query
 from .tables import table
@@ -185,3 +185,49 @@ def class_aliases(spark, sf_dir):
     """STR-34, STR-36, STR-37, STR-42."""
     kind = F.when(F.upper(F.trim("event_type")) == "VIEW", "REVIEW")
     return table(spark, sf_dir, "events").select("event_id", kind.alias("class"), T.confidence(F.col("value") / 100).alias("confidence"), T.unit_score(F.col("value") / 100).alias("score"))
+
+
+@query("extractive_answers", r"""WITH t AS (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'assistant' AND trim(text, ' ') <> ''),
+s AS (SELECT *, CASE WHEN length(t) <= 320 THEN t ELSE coalesce(nullif(regexp_extract(substring(t, 1, 320), '(?s)^(.*)\s', 1), ''), substring(t, 1, 320)) END AS s FROM t WHERE n <= 2)
+SELECT conv_id, string_agg(s, chr(10) || chr(10) ORDER BY n) AS answer FROM s GROUP BY conv_id""")
+def extractive_answers(spark, sf_dir):
+    """PRJ-12."""
+    return answering.extractive_answer(table(spark, sf_dir, "conversations").filter("role = 'assistant'"), "conv_id", "turn", "text")
+
+
+@query("context_precision", "SELECT user_id, (count(*) FILTER (value > 50))::DOUBLE / nullif(count(CASE WHEN event_type <> 'error' THEN 1 END), 0) AS context_precision FROM (SELECT user_id, event_type, CASE WHEN event_type <> 'error' THEN value END AS value FROM events) GROUP BY user_id")
+def context_precision(spark, sf_dir):
+    """RET-19, AGG-16: events over 50 as relevant chunks, errors as unknown ones."""
+    judged = table(spark, sf_dir, "events").select("user_id", F.when(F.col("event_type") != "error", F.col("value") > 50).alias("relevant"))
+    return answering.context_precision(judged, "user_id", "relevant")
+
+
+@query("definitions", "WITH b AS (SELECT lower(p_brand) AS t, min(p_name) AS d FROM part WHERE p_size > 45 GROUP BY 1), c AS (SELECT lower(p_brand) AS t, min(p_type) AS d FROM part GROUP BY 1) SELECT p_partkey, coalesce(b.d, c.d) AS definition, CASE WHEN b.d IS NOT NULL THEN 'first' WHEN c.d IS NOT NULL THEN 'second' END AS source FROM part LEFT JOIN b ON b.t = lower(p_brand) LEFT JOIN c ON c.t = lower(p_brand)")
+def definitions(spark, sf_dir):
+    """RET-20: a cascade of two tables."""
+    part = table(spark, sf_dir, "part")
+    tables = [("first", part.filter("p_size > 45").select(F.col("p_brand").alias("term"), F.col("p_name").alias("definition"))), ("second", part.select(F.col("p_brand").alias("term"), F.col("p_type").alias("definition")))]
+    return answering.definitions(part.select("p_partkey", "p_brand"), "p_brand", tables).select("p_partkey", "definition", "source")
+
+
+@query("enriched_hits", "SELECT event_id, e.user_id, coalesce(c.c_name, e.event_type) AS name, c_nationkey FROM events e LEFT JOIN customer c ON c_custkey = user_id")
+def enriched_hits(spark, sf_dir):
+    """JON-13, PRJ-02: the payload's name wins over the hit's."""
+    hits = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_type").alias("name"))
+    return answering.enriched(hits, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"), "c_nationkey"), "user_id")
+
+
+@query("pinned_hits", "WITH p AS (SELECT DISTINCT c_custkey AS user_id, 'click' AS event_type FROM customer), h AS (SELECT user_id, event_id, event_type FROM events WHERE event_type = 'click') SELECT p.user_id, h.event_id, h.event_id IS NOT NULL AS found FROM p LEFT JOIN h USING (user_id)")
+def pinned_hits(spark, sf_dir):
+    """FIL-14: customers pin the clicks; those without any keep a row."""
+    pins = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.lit("click").alias("event_type"))
+    return answering.pinned(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), pins, "user_id", "event_type").select("user_id", "event_id", "found")
+
+
+@query("guide_states", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'missing' WHEN event_id % 4 = 1 THEN event_type WHEN event_id % 4 = 2 THEN 'ready' ELSE 'pending' END AS state FROM events")
+def guide_states(spark, sf_dir):
+    """PRJ-15."""
+    n = F.col("event_id") % 4
+    status = F.when(n == 1, F.col("event_type"))
+    payload = F.when(n == 2, F.col("props")).when(n == 3, "{}").when(n == 1, "{}")
+    return table(spark, sf_dir, "events").select("event_id", answering.guide_status(status, payload).alias("state"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.operators import bm25, fusion, metrics, vectors
+from paperloom.operators import answering, bm25, fusion, metrics, vectors
 
 from .catalog import query
 from .tables import table, tokens_sql
@@ -229,3 +229,10 @@ def question_lengths(spark, sf_dir):
     """WIN-20, STR-38."""
     asked = table(spark, sf_dir, "conversations").filter("role = 'user'").select(metrics.length_bin(F.size(T.tokens(F.col("text")))).alias("bin"), T.chunk_level(F.col("text")).alias("level"))
     return asked.groupBy("bin").agg(F.count("*").alias("n"), F.count_if(F.col("level") == "fine").alias("n_fine"))
+
+
+@query("selected_contexts")
+def selected_contexts(spark, sf_dir):
+    """RET-10, RET-12: each item's best six documents as an answer's context; near-identical ones are folded, so no SQL."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.lit("Section "), F.col("source")).alias("title"))
+    return answering.select_context(_search(spark, sf_dir, 15).join(docs, "doc_id"), "item_id", "doc_id", "text", "title", 6).select("item_id", "doc_id", "score", "rank")

@@ -210,3 +210,52 @@ def audit(spark, sf_dir):
     rows = sections(spark, sf_dir)
     points = rows.withColumn("title", F.when(F.col("idx") % 7 == 0, None).when(F.col("idx") % 5 == 0, "none such").otherwise(F.col("title")))
     return store.audit(points, rows, "document_id", "title")
+
+
+@query("section_keys", f"""{R}{PARENTS_SQL}, n AS (SELECT document_id, idx, row_number() OVER (PARTITION BY document_id, coalesce(parent_idx, -1) ORDER BY idx) AS n FROM parents),
+steps AS (SELECT document_id, idx, ancestor AS step, distance FROM up UNION ALL SELECT document_id, idx, idx, 0 FROM parents)
+SELECT t.document_id, t.idx, 's.' || string_agg(n.n::VARCHAR, '.' ORDER BY distance DESC) AS section_key FROM steps t JOIN n ON n.document_id = t.document_id AND n.idx = t.step GROUP BY ALL""")
+def section_keys(spark, sf_dir):
+    """SNK-04."""
+    return hierarchy.section_keys(sections(spark, sf_dir))
+
+
+@query("anchored_texts", f"""WITH {SECTIONS_SQL}, f AS (SELECT s.document_id, s.idx, s.title, d.text, instr(d.text, s.title)::BIGINT AS start FROM sections s JOIN documents d ON d.doc_id = s.document_id),
+n AS (SELECT *, lead(start) OVER (PARTITION BY document_id ORDER BY start, idx) AS next FROM f WHERE start > 0)
+SELECT document_id, idx, start, md5(substring(text, start, greatest(coalesce(next, length(text) + 1) - start, 0))) AS digest FROM n""")
+def anchored_texts(spark, sf_dir):
+    """WIN-17."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    return hierarchy.anchored_texts(docs, sections(spark, sf_dir)).select("document_id", "idx", "start", F.md5("section_text").alias("digest"))
+
+
+@query("section_snippets", f"""WITH {SECTIONS_SQL}, f AS (SELECT s.document_id, s.idx, s.title, d.text, instr(d.text, s.title)::BIGINT AS start FROM sections s JOIN documents d ON d.doc_id = s.document_id),
+n AS (SELECT *, lead(start) OVER (PARTITION BY document_id ORDER BY start, idx) AS next FROM f WHERE start > 0)
+SELECT document_id, idx, start, md5(substring(trim(substring(text, start + length(title), greatest(coalesce(next, length(text) + 1) - start - length(title), 0)), ' '), 1, 1800)) AS digest FROM n""")
+def section_snippets(spark, sf_dir):
+    """WIN-18."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    return hierarchy.anchored_texts(docs, sections(spark, sf_dir), most=1800).select("document_id", "idx", "start", F.md5("section_text").alias("digest"))
+
+
+@query("header_candidates", f"""WITH {LINES_SQL} SELECT document_id, idx AS line FROM lines WHERE length(trim(text, ' ')) >= 3 AND (regexp_matches(trim(text, ' '), '^([IVX]+)[\\.\\-]([A-Z]|\\d+)?\\s*') OR regexp_matches(trim(text, ' '), '^(\\d+(?:\\.\\d+)*)\\s+')
+ OR regexp_matches(trim(text, ' '), '^([A-Z])[\\.\\)](\\d+)?\\s*') OR regexp_matches(trim(text, ' '), '^(\\d+)[\\.)\\]]\\s+') OR regexp_matches(lower(trim(text, ' ')), '{"|".join(T.SECTION_KEYWORDS)}'))""")
+def header_candidates(spark, sf_dir):
+    """STR-10, STR-13, STR-15."""
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page"), "text")
+    return hierarchy.header_candidates(pages).select("document_id", F.col("line").cast("long").alias("line"))
+
+
+@query("table_chunks", f"""WITH {LINES_SQL} SELECT document_id, idx::VARCHAR AS id, (idx // 4)::BIGINT AS page, 'Table' || chr(10) || trim(text, ' ') AS content, 'table' AS content_type FROM lines WHERE contains(text, ' | ')""")
+def table_chunks(spark, sf_dir):
+    """CHK-05, CHK-06: lines with bars as tables."""
+    rows = lines(spark, sf_dir).filter(F.contains("text", F.lit(" | ")))
+    tables = rows.select("document_id", F.col("idx").cast("string").alias("id"), F.floor(F.col("idx") / 4).cast("long").alias("page"), "text", F.lit(None).cast("string").alias("markdown"), F.lit("Table").alias("caption"))
+    return chunking.table_chunks(tables).drop("chunk_level")
+
+
+@query("paper_chunks")
+def paper_chunks(spark, sf_dir):
+    """CHK-08: each document as one section; packing has no SQL."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit("1").alias("numbering"), F.col("text").alias("section_text"))
+    return chunking.paper_chunks(docs)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,3 +85,63 @@ def guide_steps(guides: DataFrame, key: str, payload: str) -> DataFrame:
     passes = F.array(*[F.struct(F.lit(n).alias("pass"), at(p).alias("steps")) for n, p in (("", "$"), ("steps", "$.steps"), ("guide", "$.guide"), ("pass1", "$.pass1.steps"), ("pass2", "$.pass2.steps"), ("pass3", "$.pass3.steps"))])
     rows = v.select(key, F.explode(F.filter(passes, lambda p: p["steps"].isNotNull())).alias("p"))
     return rows.select(key, F.col("p.pass"), F.posexplode("p.steps").alias("n", "s")).select(key, "pass", (F.col("n") + 1).alias("step"), "s.objective", F.col("s.section_to_read").alias("sections"), F.col("s.questions_to_answer").alias("questions"))
+
+
+PAGES = "document_id string, page int, text string"
+ELEMENTS = "document_id string, kind string, page int, reading_order int, text string, x0 double, y0 double, x1 double, y1 double"
+
+
+def scanned_pages(found: DataFrame, extract: Callable[[bytes], list[str]]) -> DataFrame:
+    """SRC-04, SRC-07: (document_id, page, text, char_count, word_count) of the files of ``files`` with their content.
+
+    ``extract`` turns a file into the texts of its pages; it runs where the file's task runs. A file that it can't
+    read has no pages.
+    """
+
+    def rows(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    out += [(path, k + 1, text) for k, text in enumerate(extract(bytes(content)))]
+                except ValueError:
+                    continue
+            yield pd.DataFrame(out, columns=["document_id", "page", "text"])
+
+    pages = found.select("path", "content").mapInPandas(rows, PAGES)
+    return pages.withColumn("char_count", F.length("text")).withColumn("word_count", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")))
+
+
+def scanned_elements(found: DataFrame, extract: Callable[[bytes], list[dict]]) -> DataFrame:
+    """SRC-05: elements of files: kind (section, text, table, figure, formula), page, reading order, text and box."""
+
+    def rows(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        names = [f.split()[0] for f in ELEMENTS.split(", ")]
+        for batch in batches:
+            out = [{"document_id": p} | e for p, c in zip(batch["path"], batch["content"], strict=True) for e in extract(bytes(c))]
+            yield pd.DataFrame(out, columns=names)
+
+    return found.select("path", "content").mapInPandas(rows, ELEMENTS)
+
+
+def classifier(path: str):
+    """SRC-16: a stored model."""
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
+def bundle(papers: DataFrame, children: dict[str, DataFrame], name: str, key: str = "paper_id") -> dict[str, DataFrame]:
+    """SRC-21: the paper of a name, whatever its case, and the rows of each child table that are its."""
+    paper = papers.filter(F.lower("paper_name") == name.lower())
+    return {"paper": paper} | {n: df.join(paper.select(key), key, "left_semi") for n, df in children.items()}
+
+
+def cached(found: DataFrame, cache: DataFrame) -> DataFrame:
+    """SRC-17: files with what the cache has for their hash, null where it has nothing or nothing that parses."""
+    held = cache.select("sha256", F.try_parse_json("payload").alias("payload")).filter("payload is not null").dropDuplicates(["sha256"])
+    return found.join(held, "sha256", "left")

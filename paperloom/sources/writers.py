@@ -28,3 +28,26 @@ def hierarchy_json(sections: DataFrame, path: str, document: str = "document_id"
 def bm25_model(indexed: DataFrame, path: str) -> None:
     """SNK-14: the term statistics."""
     indexed.select("term", "idf").distinct().write.mode("overwrite").parquet(path)
+
+
+def artifacts(df: DataFrame, path: str, document: str = "document_id") -> None:
+    """SNK-16, SNK-17: a folder of JSON for each document or hash; what a document had is replaced."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(document).json(path)
+
+
+def index_documents(docs: DataFrame, path: str, document: str = "document_id", text: str = "text") -> None:
+    """SNK-12, RET-06: documents that the index doesn't have yet, chunked, with point ids, are written to it, a
+    partition for each; their statistics beside."""
+    from paperloom.operators import bm25, chunking
+
+    chunks = with_point_ids(chunking.split_windows(docs, document, text), document, "chunk_index")
+    replace_parts(chunks, f"{path}/chunks", [document])
+    weights = bm25.index(chunks.select(F.concat_ws(":", F.col(document).cast("string"), F.col("chunk_index").cast("string")).alias("chunk"), F.col("content").alias("text")), "chunk")
+    weights.write.mode("overwrite").parquet(f"{path}/weights")
+
+
+def dataset(steps: DataFrame, hits: DataFrame, question: str, path: str) -> None:
+    """SNK-20: a JSON line for each question with its step, contexts in order and their ids."""
+    listed = hits.groupBy(question).agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "content"))).alias("h"))
+    rows = steps.join(listed, question, "left").withColumn("contexts", F.transform("h", lambda x: x["content"])).withColumn("chunk_ids", F.transform("h", lambda x: x["chunk_id"])).drop("h")
+    rows.write.mode("overwrite").json(path)

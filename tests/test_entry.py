@@ -1,6 +1,7 @@
 """Every registered query of the library runs on the smallest tables, and agrees with its SQL."""
 
 import duckdb
+import pandas
 import pytest
 
 from paperloom.plans import catalog
@@ -19,7 +20,7 @@ def sql(sf):
 
 def plain(frame):
     def one(v):
-        if v is None or v != v:
+        if v is None or v is pandas.NA or v != v:
             return ""
         return str(round(float(v), 5) + 0.0) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
