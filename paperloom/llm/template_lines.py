@@ -6,7 +6,7 @@ one for each third of them that is left open, so lines that differ in one field
 
 A template recurs if it stands in documents that have nothing else to do with each other. Copies of a document share
 all of its lines, and are for near-duplicate detection, not for this: so each line comes with three signatures of the
-rest of its document (least hashes of the word shingles of all other lines, by three orders), which copies have in
+rest of its document (least hashes of the byte shingles of all other lines, by three orders), which copies have in
 common as a rule. A template must show, in each order, more than one signature, in the first order
 ``least_documents`` of them (for lines of ``long_words`` words two), and at least half as many as documents. Lines of
 a recurring template are dropped from all documents. Lines with under ``least_words`` words are left alone, as they
@@ -24,81 +24,91 @@ lines recur is left with an empty text; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from itertools import pairwise
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest as _hash
 
-from .common import WordHashes, binary_values, bitmap, checkpoint, mixed, table, text_key
+from .common import binary_values, bitmap, checkpoint, mixed, table, text_key
 
 LEAD = 2
 GENERAL = 9
 PARTS = 3
 MAP_BITS = 25
+BLOCK_BYTES = 1 << 20
+SHINGLE = 24
+LAST = (1 << 64) - 1
 ORDERS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _DIGITS = bytes(0x30 if 0x30 <= b <= 0x39 else b for b in range(256))
 
 
 def templates(tokens: list[bytes]) -> list[int]:
     """64-bit hashes of the templates that a line of these tokens, digits made 0, stands under; the exact one first."""
-    import xxhash
-
     n = len(tokens)
-    signed = lambda x: x - (1 << 63)
-    out = [signed(xxhash.xxh64_intdigest(b" ".join(tokens)))]
+    out = [_hash(b" ".join(tokens)) - (1 << 63)]
     if n >= GENERAL:
-        path, rest = b"%d %s" % (n, b" ".join(tokens[:LEAD])), tokens[LEAD:]
-        for part in range(PARTS):
-            lo, hi = len(rest) * part // PARTS, len(rest) * (part + 1) // PARTS
-            out.append(signed(xxhash.xxh64_intdigest(b"%s %d %s * %s" % (path, part, b" ".join(rest[:lo]), b" ".join(rest[hi:])))))
+        path = b"%d %b" % (n, b" ".join(tokens[:LEAD]))
+        cuts = [LEAD + (n - LEAD) * part // PARTS for part in range(PARTS + 1)]
+        for part, (lo, hi) in enumerate(pairwise(cuts)):
+            out.append(_hash(b"%b %d %b * %b" % (path, part, b" ".join(tokens[LEAD:lo]), b" ".join(tokens[hi:]))) - (1 << 63))
     return out
 
 
-def parsed(text: bytes | None) -> list[list[bytes]]:
-    """The tokens of each line; tokens with digits are one variable field."""
-    return [[b"*" if b"0" in t else t for t in line.split()] if b"0" in line else line.split() for line in (text or b"").translate(_DIGITS).split(b"\n")]
+def masked(text: bytes | None) -> bytes:
+    """The text with all digits made 0."""
+    return (text or b"").translate(_DIGITS)
+
 
+def parsed(text: bytes) -> list[list[bytes]]:
+    """The tokens of each line of a masked text; tokens with digits are one variable field."""
+    return [[b"*" if b"0" in t else t for t in line.split()] if b"0" in line else line.split() for line in text.split(b"\n")]
 
-def line_signatures(lines: list[list[bytes]], hashes: WordHashes):
-    """For each line the least hash of its shingles of four words (of all its words, if there are fewer) by each of
-    three orders; the greatest number for an empty line."""
+
+def line_signatures(texts: list[bytes]):
+    """For each line of all texts the least hash of its shingles by each of three orders; the greatest number for an
+    empty line. A shingle is the ``SHINGLE`` bytes from the start of a word, within the line; for the first word of a
+    shorter line, what there is."""
     import numpy as np
 
-    sizes = np.array([len(x) for x in lines], dtype=np.int64)
-    total = int(sizes.sum())
-    out = np.full((len(ORDERS), len(lines)), np.iinfo(np.uint64).max, dtype=np.uint64)
-    if not total:
+    raw = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n" + bytes(SHINGLE), dtype=np.uint8)
+    breaks = np.flatnonzero(raw == 10)
+    space = np.isin(raw[: breaks[-1] + 1], np.frombuffer(b" \t\n\r\x0b\x0c", dtype=np.uint8))
+    start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    out = np.full((len(ORDERS), len(breaks) - 1), LAST, dtype=np.uint64)
+    if not len(start):
         return out
-    words = np.zeros(total + 3, dtype=np.uint64)
-    words[:total] = np.fromiter(map(hashes.__getitem__, chain.from_iterable(lines)), dtype=np.uint64, count=total)
-    ends = np.repeat(np.cumsum(sizes), sizes)
-    at = np.arange(total)
-    grams = np.zeros(total, dtype=np.uint64)
-    for j in range(4):
-        grams = grams * np.uint64(0x9E3779B97F4A7C15) + np.where(at + j < ends, words[j : total + j], np.uint64(0))
-        grams = mixed(grams)
-    filled = np.flatnonzero(sizes)
-    begin = (np.cumsum(sizes) - sizes)[filled]
-    whole = at + 3 < ends
-    whole[begin] = True
+    line = np.searchsorted(breaks, start) - 1
+    room = breaks[line + 1] - start
+    first = np.concatenate([[True], line[1:] != line[:-1]])
+    whole = first | (room >= SHINGLE)
+    start, line, room = start[whole], line[whole], room[whole]
+    words = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
+    grams = np.zeros(len(start), dtype=np.uint64)
+    for j in range(0, SHINGLE, 8):
+        bits = (8 * np.clip(room - j, 0, 8)).astype(np.uint64)
+        keep = np.where(bits == 64, np.uint64(LAST), (np.uint64(1) << (bits % np.uint64(64))) - np.uint64(1))
+        grams = mixed(grams * np.uint64(0x9E3779B97F4A7C15) + (words[np.minimum(start + j, len(words) - 1)] & keep))
+    begin = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
     for k, order in enumerate(ORDERS):
-        out[k, filled] = np.minimum.reduceat(np.where(whole, mixed(grams ^ np.uint64(order)), np.iinfo(np.uint64).max), begin)
+        out[k, line[begin]] = np.minimum.reduceat(mixed(grams ^ np.uint64(order)), begin)
     return out
 
 
-def rest_signatures(names: list[int], signs):
-    """For each line the least signature of the lines of other names, by each order."""
+def rest_signatures(signs, names, begin):
+    """For each line the least signature of the lines of its document that have another name; documents are runs of
+    lines from ``begin`` on."""
     import numpy as np
 
-    distinct = {}
-    for k, name in enumerate(names):
-        distinct.setdefault(name, k)
-    own = signs[:, list(distinct.values())]
-    out = {}
-    least = np.sort(own, axis=1)[:, :2] if own.shape[1] > 1 else np.concatenate([own, np.full((len(ORDERS), 1), np.iinfo(np.uint64).max, dtype=np.uint64)], axis=1)
-    first = own.argmin(axis=1)
-    for k, name in enumerate(distinct):
-        out[name] = np.where(first == k, least[:, 1], least[:, 0])
+    out = np.empty_like(signs)
+    of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(names))))
+    for k, own in enumerate(signs):
+        least = np.minimum.reduceat(own, begin)[of]
+        at = np.flatnonzero(own == least)[::-1]
+        first = np.empty(len(begin), dtype=np.int64)
+        first[of[at]] = at  # the first line that has it
+        same = names == names[first][of]
+        out[k] = np.where(same, np.minimum.reduceat(np.where(same, LAST, own), begin)[of], least)
     return out
 
 
@@ -109,24 +119,39 @@ def _signed_templates(docs: DataFrame, least_words: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        hashes = WordHashes()
-        for batch in batches:
-            found, words, signs = [], [], []
-            for text in binary_values(batch.column(0)):
-                lines = parsed(text)
-                under = [templates(x) for x in lines]
-                names = [x[0] for x in under]
-                rest = rest_signatures(names, line_signatures(lines, hashes))
+        def signed(texts):
+            texts = [masked(t) for t in texts]
+            lines, begin = [], []
+            for text in texts:
+                begin.append(len(lines))
+                lines += parsed(text)
+            under = [templates(x) for x in lines]
+            names = np.array([x[0] for x in under], dtype=np.int64)
+            found, at = [], []
+            for lo, hi in pairwise([*begin, len(lines)]):
                 own: dict[int, int] = {}
-                for k, some in enumerate(under):
+                for k in range(lo, hi):
                     if len(lines[k]) >= least_words:
-                        for t in some:
+                        for t in under[k]:
                             own.setdefault(t, k)
                 found += own
-                words += [len(lines[k]) for k in own.values()]
-                signs += [rest[names[k]] for k in own.values()]
-            s = np.array(signs, dtype=np.uint64).reshape(-1, len(ORDERS)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(words, pa.int64()), *[pa.array(s[:, k]) for k in range(len(ORDERS))]], names=["template", "words", "s1", "s2", "s3"])
+                at += own.values()
+            at = np.array(at, dtype=np.int64)
+            sizes = np.array([len(x) for x in lines], dtype=np.int64)
+            rest = rest_signatures(line_signatures(texts), names, np.array(begin)).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(sizes[at]), *[pa.array(r[at]) for r in rest]], names=["template", "words", "s1", "s2", "s3"])
+
+        for batch in batches:
+            held, size = [], 0
+            for text in binary_values(batch.column(0)):
+                if text:
+                    held.append(text)
+                    size += len(text)
+                    if size >= BLOCK_BYTES:
+                        yield signed(held)
+                        held, size = [], 0
+            if held:
+                yield signed(held)
 
     return docs.select("text").mapInArrow(rows, "template long, words long, s1 long, s2 long, s3 long")
 
@@ -152,7 +177,7 @@ def dropped_lines(docs: DataFrame, known: DataFrame, least_words: int = 5) -> Da
         for batch in batches:
             at, lines, found = [], [], []
             for k, text in enumerate(binary_values(batch.column(2))):
-                for number, tokens in enumerate(parsed(text)):
+                for number, tokens in enumerate(parsed(masked(text))):
                     if len(tokens) >= least_words:
                         some = templates(tokens)
                         at += [k] * len(some)

@@ -4,37 +4,41 @@ import numpy as np
 import xxhash
 
 from paperloom.llm import template_lines
-from paperloom.llm.common import WordHashes, mixed
+from paperloom.llm.common import mixed
 
 from .fixtures import clashing, frame, odd_documents, words
 
 
-def least_hash(lines, order, hashes):
+def least_hash(lines, order):
     """Of all lines, one shingle after another."""
     out = []
-    for tokens in lines:
-        for k in range(max(len(tokens) - 3, 1) if tokens else 0):
+    for line in lines:
+        starts = [k for k in range(len(line)) if not line[k : k + 1].isspace() and (k == 0 or line[k - 1 : k].isspace())]
+        for n, k in enumerate(starts):
+            gram = line[k : k + template_lines.SHINGLE]
+            if n and len(gram) < template_lines.SHINGLE:
+                continue
             h = np.zeros(1, dtype=np.uint64)
-            for j in range(4):
-                h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(hashes[tokens[k + j]] if k + j < len(tokens) else 0))
+            for part in np.frombuffer(gram.ljust(template_lines.SHINGLE, b"\0"), dtype="<u8"):
+                h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + part)
             out.append(int(mixed(h ^ np.uint64(order))[0]))
     return min(out, default=2**64 - 1)
 
 
 def brute(rows):
     """Dropped line numbers of each row, from counts made in one place."""
-    hashes = WordHashes()
     seen = defaultdict(list)
     each = []
     for _, text, *_ in rows:
-        lines = template_lines.parsed((text or "").encode())
+        body = template_lines.masked((text or "").encode())
+        lines, raw = template_lines.parsed(body), body.split(b"\n")
         own = {}
         for tokens in lines:
             if len(tokens) >= 5:
-                rest = [x for x in lines if x != tokens]
+                rest = [r for r, x in zip(raw, lines, strict=True) if x != tokens]
                 for t in template_lines.templates(tokens):
                     if t not in own:
-                        own[t] = (*[least_hash(rest, o, hashes) for o in template_lines.ORDERS], len(tokens))
+                        own[t] = (*[least_hash(rest, o) for o in template_lines.ORDERS], len(tokens))
         for t, x in own.items():
             seen[t].append(x)
         each.append(lines)
@@ -92,7 +96,7 @@ def test_templates():
     one = template_lines.templates(b"a b c d e f g h i".split())
     assert len(one) == 4
     assert len(set(one) & set(template_lines.templates(b"a b c d e f g h X".split()))) == 1
-    assert template_lines.parsed(b"a b 1 d\n") == template_lines.parsed(b"a b x27 d\n") == [[b"a", b"b", b"*", b"d"], []]
+    assert template_lines.parsed(template_lines.masked(b"a b 1 d\n")) == template_lines.parsed(template_lines.masked(b"a b x27 d\n")) == [[b"a", b"b", b"*", b"d"], []]
     assert template_lines.templates([]) == [xxhash.xxh64_intdigest(b"") - (1 << 63)]
 
 
