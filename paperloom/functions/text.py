@@ -267,3 +267,8 @@ def valid_year(value: Column) -> Column:
 def dsn(url: Column) -> Column:
     """STR-39: one driver name for all spellings of the database scheme."""
     return F.regexp_replace(url, r"^postgres(?:ql)?(?:\+[a-z0-9]+)?://", "postgresql://")
+
+
+def relevance_map(answer: Column) -> Column:
+    """STR-35: a judge's map of chunk number to whether it is relevant; null if the answer holds none."""
+    return F.from_json(json_object(answer), "map<string,boolean>")

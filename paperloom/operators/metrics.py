@@ -66,3 +66,15 @@ def slices(measured: DataFrame, by: str, state: str = "state") -> DataFrame:
     counts = measured.filter(F.col(state) != "ok").groupBy(by, state).agg(F.count("*").alias("c"))
     common = counts.groupBy(by).agg(F.min(F.struct((-F.col("c")).alias("c"), F.col(state).alias("s")))["s"].alias("top_failure"))
     return whole.join(common, by, "left")
+
+
+def stages(runs: DataFrame, relevant: DataFrame, question: str, item: str, stage: str, cuts=(1, 3, 5, 10)) -> DataFrame:
+    """AGG-09: for each stage and cut the mean recall and nDCG over the questions with relevant items, and the MRR."""
+    asked = relevant.select(question).distinct().crossJoin(F.broadcast(runs.select(stage).distinct()))  # a handful of stages
+    wanted = relevant.select(question, item).distinct()
+    totals = wanted.groupBy(question).agg(F.count("*").alias("n_relevant"))
+    hits = runs.join(wanted.withColumn("hit", F.lit(True)), [question, item], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    every = asked.join(totals, question).join(hits, [question, stage], "left")
+    measured = every.groupBy(question, stage).agg(*[recall_at(k, item).alias(f"r{k}") for k in cuts], *[ndcg_at(k).alias(f"n{k}") for k in cuts], reciprocal_rank(max(cuts)).alias("rr"))
+    tall = measured.select(stage, "rr", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"r{k}").alias("r"), F.col(f"n{k}").alias("n")) for k in cuts])).alias("x"))
+    return tall.groupBy(stage, F.col("x.k").alias("k")).agg(F.round(F.avg("x.r"), 6).alias("recall"), F.round(F.avg("x.n"), 6).alias("ndcg"), F.round(F.avg("rr"), 6).alias("mrr"))

@@ -46,7 +46,7 @@ NAMES = ("orders", "lineitem", "customer", "part", "supplier", "nation")
 
 @query("row_counts", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*)::BIGINT AS n FROM {n}" for n in NAMES))
 def row_counts(spark, sf_dir):
-    """AGG-01..03, SRC-19."""
+    """AGG-01..03."""
     return store.row_counts({n: table(spark, sf_dir, n) for n in NAMES})
 
 
@@ -107,7 +107,7 @@ def keep_last(spark, sf_dir):
 @query("refcount_delete", """WITH links AS (SELECT DISTINCT l_partkey AS part, l_suppkey AS supp FROM lineitem), gone AS (SELECT * FROM links WHERE supp % 10 <> 0), kept AS (SELECT * FROM links WHERE supp % 10 = 0)
 SELECT DISTINCT part FROM gone WHERE part NOT IN (SELECT part FROM kept)""")
 def refcount_delete(spark, sf_dir):
-    """SNK-10, SNK-18: parts that no supplier of a key divisible by ten has, when those are unlinked."""
+    """SNK-10: parts that no supplier of a key divisible by ten has, when those are unlinked."""
     links = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp")).distinct()
     return store.unlink(links, links.filter("supp % 10 <> 0"), "part", "supp")[1]
 
@@ -166,7 +166,7 @@ def question_answers(spark, sf_dir):
 
 @query("json_fields", "SELECT event_id, json_extract_string(props, '$.k')::INT AS k, json_extract_string(props, '$.none') AS none FROM events")
 def json_fields(spark, sf_dir):
-    """STR-33..35, SRC-20."""
+    """STR-33, STR-34."""
     v = F.try_parse_json(T.json_object(F.col("props")))
     return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(v, "$.k", "int").alias("k"), F.try_variant_get(v, "$.none", "string").alias("none"))
 

@@ -236,3 +236,24 @@ def selected_contexts(spark, sf_dir):
     """RET-10, RET-12: each item's best six documents as an answer's context; near-identical ones are folded, so no SQL."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.lit("Section "), F.col("source")).alias("title"))
     return answering.select_context(_search(spark, sf_dir, 15).join(docs, "doc_id"), "item_id", "doc_id", "text", "title", 6).select("item_id", "doc_id", "score", "rank")
+
+
+@query(
+    "stage_metrics",
+    f"""WITH c AS {COSINE_SQL.format(k=10)}, s AS (SELECT 'retrieved' AS stage, * FROM c UNION ALL SELECT 'filtered', * FROM c WHERE score >= 0.2),
+rel AS (SELECT q.vec_id AS query_id, v.vec_id FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
+tot AS (SELECT query_id, count(*) AS n_relevant FROM rel GROUP BY query_id), a AS (SELECT query_id, stage, n_relevant, k FROM tot, (SELECT DISTINCT stage FROM s), (SELECT unnest([1, 3, 5, 10]) AS k)),
+m AS (SELECT a.stage, a.k, a.query_id, count(DISTINCT s.vec_id) FILTER (rel.vec_id IS NOT NULL AND rank <= k)::DOUBLE / max(n_relevant) AS recall,
+  coalesce(sum(1 / log2(rank + 1)) FILTER (rel.vec_id IS NOT NULL AND rank <= k), 0) / max(list_sum(list_transform(range(1, least(n_relevant, k)::BIGINT + 1), lambda i: 1 / log2(i + 1)))) AS ndcg,
+  coalesce(1.0::DOUBLE / min(rank) FILTER (rel.vec_id IS NOT NULL AND rank <= 10), 0) AS rr
+  FROM a LEFT JOIN s USING (query_id, stage) LEFT JOIN rel ON rel.query_id = a.query_id AND rel.vec_id = s.vec_id GROUP BY ALL)
+SELECT stage, k, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg, round(avg(rr), 6) AS mrr FROM m GROUP BY stage, k""",
+)
+def stage_metrics(spark, sf_dir):
+    """AGG-09: retrieved hits, and those over a score."""
+    rows = table(spark, sf_dir, "embeddings")
+    hits = _cosine(spark, sf_dir, 10)
+    runs = hits.withColumn("stage", F.lit("retrieved")).unionByName(hits.filter("score >= 0.2").withColumn("stage", F.lit("filtered")))
+    asked = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    relevant = asked.join(rows.select("vec_id", "label"), "label").filter("vec_id <> query_id")
+    return metrics.stages(runs, relevant, "query_id", "vec_id", "stage")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.operators import chunking, hierarchy, metadata, store
+from paperloom.operators import chunking, elements, hierarchy, metadata, store
 
 from .catalog import query
 from .tables import LINES_SQL, SECTIONS_SQL, lines, sections, table
@@ -54,7 +54,7 @@ def numbering_paths(spark, sf_dir):
 
 @query("section_descendants", f"{R}{PARENTS_SQL} SELECT document_id, ancestor, idx, distance::INT AS distance FROM up")
 def section_descendants(spark, sf_dir):
-    """ARR-04, ARR-09, ARR-10."""
+    """ARR-04, ARR-09."""
     return hierarchy.descendants(sections(spark, sf_dir))
 
 
@@ -66,7 +66,7 @@ def section_children(spark, sf_dir):
 
 @query("leaf_sections", f"WITH {PARENTS_SQL.split(',' + chr(10) + 'up AS')[0]} SELECT document_id, idx, title FROM sections s WHERE NOT EXISTS (SELECT 1 FROM parents p WHERE p.document_id = s.document_id AND p.parent_idx = s.idx)")
 def leaf_sections(spark, sf_dir):
-    """SET-07, SET-08."""
+    """SET-08."""
     return hierarchy.leaves(sections(spark, sf_dir)).select("document_id", "idx", "title")
 
 
@@ -98,13 +98,13 @@ def _carried(spark, sf_dir):
 
 @query("carried_headings", f"WITH {CARRIED_SQL} SELECT document_id, idx, heading, part::BIGINT AS heading_part FROM c")
 def carried_headings(spark, sf_dir):
-    """WIN-12, WIN-13, SRC-06, JON-09."""
+    """WIN-12, WIN-13, SRC-06."""
     return _carried(spark, sf_dir).select("document_id", "idx", "heading", "heading_part")
 
 
 @query("section_texts", f"WITH {CARRIED_SQL} SELECT document_id, heading AS section_idx, md5(string_agg(trim(text, ' '), chr(10) || chr(10) ORDER BY idx)) AS digest, count(*)::BIGINT AS n_blocks FROM c WHERE heading IS NOT NULL GROUP BY ALL")
 def section_texts(spark, sf_dir):
-    """AGG-20, SRC-10, SRC-11, SET-09, CHK-09, CHK-10."""
+    """AGG-20, SRC-10, SRC-11."""
     rows = _carried(spark, sf_dir).filter("heading is not null").withColumnRenamed("heading", "section_idx")
     return chunking.section_texts(rows).select("document_id", "section_idx", F.md5("section_text").alias("digest"), "n_blocks")
 
@@ -124,7 +124,7 @@ def first_occurrence(spark, sf_dir):
 
 @query("pruned_repeats", f"WITH {SECTIONS_SQL} SELECT document_id, idx, title FROM sections QUALIFY row_number() OVER (PARTITION BY document_id, lower(trim(title)) ORDER BY page, idx) = 1 OR regexp_matches(lower(title), 'revisit|re-read|read again|return to|after reading|cross-check|compare|deepen|synthesize')")
 def pruned_repeats(spark, sf_dir):
-    """SET-11, SET-12, FIL-23."""
+    """SET-11, FIL-23."""
     return store.prune_repeats(sections(spark, sf_dir), "document_id", ["page", "idx"], "title", F.col("title")).select("document_id", "idx", "title")
 
 
@@ -147,7 +147,7 @@ t AS (SELECT l.*, k.*, trim(regexp_replace(regexp_replace(l.l, '^\\s*\\d+(?:\\.\
 m AS (SELECT document_id, label, idx, CASE WHEN l = whole THEN 0 WHEN l = title THEN 1 WHEN l = numbering THEN 2 WHEN nullif(regexp_extract(l, '^(\\d+(?:\\.\\d+)*)', 1), '') = numbering THEN 3 WHEN key <> '' AND (contains(title, key) OR contains(l, title)) THEN 4 END AS how FROM t)
 SELECT document_id, label, idx, how::INT AS how FROM m WHERE how IS NOT NULL QUALIFY row_number() OVER (PARTITION BY document_id, label ORDER BY how, idx) = 1""")
 def resolved_labels(spark, sf_dir):
-    """JON-09..12, ARR-20."""
+    """JON-10..12."""
     rows = sections(spark, sf_dir)
     return hierarchy.resolve_labels(rows.filter("level = 1").select("document_id", F.col("title").alias("label")).distinct(), rows)
 
@@ -199,14 +199,14 @@ def payload_filter(spark, sf_dir):
 
 @query("title_lookup", f"WITH {SECTIONS_SQL} SELECT trim(regexp_replace(lower(title), '\\s+', ' ', 'g'), ' ') AS norm, array_to_string(list_sort(list(DISTINCT title)), '|') AS titles FROM sections WHERE trim(title) <> '' GROUP BY norm")
 def title_lookup(spark, sf_dir):
-    """SNK-13, SRC-12, ARR-13, JON-19."""
+    """SNK-13, SRC-12."""
     return store.title_lookup(sections(spark, sf_dir), F.array("title")).select("norm", F.array_join("titles", "|").alias("titles"))
 
 
 @query("audit", f"""WITH {SECTIONS_SQL}, p AS (SELECT document_id, CASE WHEN idx % 7 = 0 THEN NULL WHEN idx % 5 = 0 THEN 'none such' ELSE title END AS title FROM sections), k AS (SELECT DISTINCT document_id, title FROM sections)
 SELECT p.document_id, count(*)::BIGINT AS n_points, (count(*) FILTER (p.title IS NULL))::BIGINT AS n_untitled, (count(*) FILTER (p.title IS NOT NULL AND k.title IS NULL))::BIGINT AS n_unknown FROM p LEFT JOIN k USING (document_id, title) GROUP BY p.document_id""")
 def audit(spark, sf_dir):
-    """JON-16, JON-20, AGG-12, ARR-19."""
+    """JON-16, JON-20, AGG-12."""
     rows = sections(spark, sf_dir)
     points = rows.withColumn("title", F.when(F.col("idx") % 7 == 0, None).when(F.col("idx") % 5 == 0, "none such").otherwise(F.col("title")))
     return store.audit(points, rows, "document_id", "title")
@@ -259,3 +259,72 @@ def paper_chunks(spark, sf_dir):
     """CHK-08: each document as one section; packing has no SQL."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit("1").alias("numbering"), F.col("text").alias("section_text"))
     return chunking.paper_chunks(docs)
+
+
+@query("section_numbers", f"WITH {SECTIONS_SQL} SELECT document_id, title AS key, max(idx) AS idx FROM sections GROUP BY ALL")
+def section_numbers(spark, sf_dir):
+    """JON-19: the last section of each title."""
+    return elements.section_maps(sections(spark, sf_dir), F.col("title"))
+
+
+@query("resolved_blocks", f"""WITH {SECTIONS_SQL}, s AS (SELECT document_id, document_id || '_' || idx AS section_id, lower(title) AS key, page AS page_start, page + 1 AS page_end, idx AS reading_order FROM sections),
+b AS (SELECT document_id, idx AS id, CASE WHEN idx % 2 = 0 THEN document_id || '_' || idx END AS section_id, lower(title) AS want, page + idx % 3 AS page FROM sections),
+k AS (SELECT document_id, section_id, trim(regexp_replace(regexp_replace(key, '^\\s*\\d+(?:\\.\\d+)*\\s*[:.)-]?\\s*', ''), '\\s+', ' ', 'g'), ' ') AS key, page_start, page_end, reading_order FROM s),
+w AS (SELECT document_id, id, section_id, trim(regexp_replace(regexp_replace(want, '^\\s*\\d+(?:\\.\\d+)*\\s*[:.)-]?\\s*', ''), '\\s+', ' ', 'g'), ' ') AS want, page FROM b),
+n AS (SELECT w.document_id, w.id, k.section_id AS by_title FROM w JOIN k ON k.document_id = w.document_id AND k.key = w.want AND w.want <> '' QUALIFY row_number() OVER (PARTITION BY w.document_id, w.id ORDER BY NOT (w.page BETWEEN page_start AND page_end), reading_order, k.section_id) = 1)
+SELECT b.document_id, b.id, coalesce(s.section_id, n.by_title) AS resolved_id FROM b LEFT JOIN s ON s.document_id = b.document_id AND s.section_id = b.section_id LEFT JOIN n ON n.document_id = b.document_id AND n.id = b.id""")
+def resolved_blocks(spark, sf_dir):
+    """JON-09: every second heading has an id, the others a title alone."""
+    rows = sections(spark, sf_dir)
+    name = F.concat_ws("_", F.col("document_id").cast("string"), F.col("idx").cast("string"))
+    known = rows.select("document_id", name.alias("section_id"), "title", F.col("page").alias("page_start"), (F.col("page") + 1).alias("page_end"), F.col("idx").alias("reading_order"))
+    blocks = rows.select("document_id", F.col("idx").alias("id"), F.when(F.col("idx") % 2 == 0, name).alias("section_id"), F.col("title").alias("section_title"), (F.col("page") + F.col("idx") % 3).alias("page"))
+    return elements.resolve_blocks(blocks, known).select("document_id", "id", "resolved_id")
+
+
+@query("visual_ids", f"""WITH {SECTIONS_SQL}, e AS (SELECT document_id, level::VARCHAR AS section_id, idx::VARCHAR AS id, CASE WHEN idx % 2 = 0 THEN 'figure' ELSE 'table' END AS kind FROM sections),
+g AS (SELECT document_id, kind, section_id, array_to_string(list_sort(list(id)), '+') AS ids FROM e GROUP BY ALL)
+SELECT document_id, coalesce(string_agg(section_id || '=' || ids, ';' ORDER BY section_id) FILTER (kind = 'figure'), '') AS figures, coalesce(string_agg(section_id || '=' || ids, ';' ORDER BY section_id) FILTER (kind = 'table'), '') AS tables FROM g GROUP BY document_id""")
+def visual_ids(spark, sf_dir):
+    """ARR-13: headings of even places as figures, the others as tables, levels as sections."""
+    rows = sections(spark, sf_dir).select("document_id", F.col("level").cast("string").alias("section_id"), F.col("idx").cast("string").alias("id"), F.when(F.col("idx") % 2 == 0, "figure").otherwise("table").alias("kind"))
+    shown = lambda c: F.array_join(F.transform(F.map_entries(c), lambda x: F.concat(x["key"], F.lit("="), F.array_join(x["value"], "+"))), ";")
+    return elements.visual_ids(rows).select("document_id", shown(F.col("figures")).alias("figures"), shown(F.col("tables")).alias("tables"))
+
+
+@query("title_mismatches", f"""WITH {CARRIED_SQL}, k AS (SELECT document_id, idx AS chunk_id, heading, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS t FROM c),
+a AS (SELECT document_id, chunk_id, chunk_id::VARCHAR AS section_title, substring(t, 1, 96) AS p FROM k),
+m AS (SELECT a.document_id, a.chunk_id, section_title, arg_min(coalesce(heading::VARCHAR, ''), k.chunk_id) AS heading FROM a JOIN k ON k.document_id = a.document_id AND contains(k.t, a.p) GROUP BY ALL)
+SELECT document_id, chunk_id, section_title, nullif(heading, '') AS heading FROM m WHERE section_title IS DISTINCT FROM nullif(heading, '')""")
+def title_mismatches(spark, sf_dir):
+    """ARR-19: lines as chunks that name their own place as their section."""
+    rows = _carried(spark, sf_dir).select("document_id", "idx", "text", F.coalesce(F.col("heading").cast("string"), F.lit("")).alias("heading"))
+    chunks = rows.select("document_id", F.col("idx").alias("chunk_id"), F.col("idx").cast("string").alias("section_title"), F.col("text").alias("content"))
+    found = elements.title_mismatches(chunks, rows).withColumn("heading", F.nullif("heading", F.lit("")))
+    return found.filter(~F.col("section_title").eqNullSafe(F.col("heading"))).select("document_id", "chunk_id", "section_title", "heading")
+
+
+@query("range_texts", f"""WITH {SECTIONS_SQL}, p AS (SELECT document_id, idx // 4 AS page, string_agg(text, chr(10) ORDER BY idx) AS text FROM lines GROUP BY ALL)
+SELECT s.document_id, s.idx AS section_idx, md5(string_agg(p.text, chr(10) || chr(10) ORDER BY p.page)) AS digest FROM sections s JOIN p ON p.document_id = s.document_id AND p.page BETWEEN s.page AND s.page + 1 GROUP BY ALL""")
+def range_texts(spark, sf_dir):
+    """CHK-09, CHK-10: two pages from each heading on."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n")
+    pages = lines(spark, sf_dir).groupBy("document_id", F.floor(F.col("idx") / 4).cast("long").alias("page")).agg(text.alias("text"))
+    ranges = sections(spark, sf_dir).select("document_id", F.col("idx").alias("section_idx"), F.col("page").alias("page_start"), (F.col("page") + 1).alias("page_end"))
+    return elements.range_texts(pages, ranges).select("document_id", "section_idx", F.md5("text").alias("digest"))
+
+
+@query("element_ids_by_title", f"""WITH {SECTIONS_SQL}, f AS (SELECT document_id, title AS label, arg_min([idx::VARCHAR, level::VARCHAR], idx) AS ids FROM sections GROUP BY ALL)
+SELECT document_id, label, array_to_string(ids, '|') AS element_ids FROM f""")
+def element_ids_by_title(spark, sf_dir):
+    """ARR-20."""
+    rows = sections(spark, sf_dir).withColumn("a", F.array(F.col("idx").cast("string"))).withColumn("b", F.array(F.col("level").cast("string")))
+    labels = rows.select("document_id", F.col("title").alias("label")).distinct()
+    return elements.element_ids_by_title(labels, rows, ids=("a", "b")).select("document_id", "label", F.array_join("element_ids", "|").alias("element_ids"))
+
+
+@query("documents_removed", "SELECT vec_id FROM embeddings WHERE label NOT IN (SELECT quality FROM labels)")
+def documents_removed(spark, sf_dir):
+    """SNK-18: the points left when those of some labels go."""
+    gone = table(spark, sf_dir, "labels").select(F.col("quality").alias("label"))
+    return elements.without_documents(table(spark, sf_dir, "embeddings").select("vec_id", "label"), gone, "label").select("vec_id")
