@@ -16,8 +16,11 @@ Two sets that link share so many of the shingles that come first in any common o
    probed in the long lists by binary search. Candidates already in the node's component are skipped.
 5. The links found, at most one for each node but one of a group, are joined to components.
 
-Large groups are dealt out: nodes fall into chunks, and each pair of chunks is a search of its own, so no task holds
-more than two chunks. Nothing is capped: every list takes part in step 2, and every group in step 4.
+A large group is dealt out in chunks, twice. First each chunk is searched together with a few leaders of the group,
+which joins nearly all of a group of near copies at a cost in proportion to its size. Then only nodes outside the
+group's main component can have links that are still missing: these stragglers are searched against every chunk. So no
+task holds more than two chunks, and nothing is capped: every list takes part in step 2, every group in step 4, and a
+pair that isn't searched is connected already.
 
 Nodes and shingles are known by 64-bit hashes.
 
@@ -30,7 +33,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, binary_values, bit_of, bitmap, checkpoint, shingle_hashes, table
@@ -40,6 +43,7 @@ SHINGLE = 4
 LIKE = (85, 100)
 SPARE = 10  # one in so many shingles is listed beside those that may be missing
 CHUNK = 512
+LEADERS = 16
 SALTS = 16
 MAP_BITS = 23
 
@@ -111,11 +115,15 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return docs.select(bit_of(F.col("doc_id").cast("long"), MAP_BITS).alias("bit"), "text").mapInArrow(rows, "node long, own binary")
 
 
-def search(nodes: list[int], sets: list, like: tuple[int, int] = LIKE) -> list[tuple[int, int]]:
-    """Links between ``nodes`` with the given ascending ``sets`` that join all that are connected in this group."""
+def search(nodes: list[int], sets: list, like: tuple[int, int] = LIKE, roots: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links between ``nodes`` with the given ascending ``sets`` that join all that are connected in this group.
+
+    ``roots``: the component that each node is known to be in; without it each is its own.
+    """
     import numpy as np
 
     order = sorted(range(len(nodes)), key=lambda i: (len(sets[i]), nodes[i]))
+    known = [(roots or nodes)[i] for i in order]
     nodes, sets = [nodes[i] for i in order], [sets[i] for i in order]
     m = len(nodes)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -124,8 +132,7 @@ def search(nodes: list[int], sets: list, like: tuple[int, int] = LIKE) -> list[t
     posting = np.sort(place * m + np.repeat(np.arange(m), sizes))  # list after list, documents ascending
     docs = posting % m
     start = np.concatenate([[0], np.cumsum(df)])
-    parent = list(range(m))
-    label = np.arange(m)
+    label = np.unique(np.array(known, dtype=np.int64), return_inverse=True)[1]
     links = []
     for x in range(1, m):
         own = place[begin[x] : begin[x + 1]]
@@ -166,7 +173,7 @@ def search(nodes: list[int], sets: list, like: tuple[int, int] = LIKE) -> list[t
 
 
 def _linked(jobs: DataFrame, like: tuple[int, int]) -> DataFrame:
-    """Links (u, v) of the searches in ``jobs`` (job, node, own), of which each lies in one partition, in a row."""
+    """Links (u, v) of the searches in ``jobs`` (job, node, root, own), of which each lies in one partition, in a row."""
 
     def rows(batches: Iterator) -> Iterator:
         import numpy as np
@@ -175,15 +182,15 @@ def _linked(jobs: DataFrame, like: tuple[int, int]) -> DataFrame:
         def out(group):
             if len(group) < 2:
                 return []
-            return search(list(group), [np.frombuffer(x, dtype=np.uint64) for x in group.values()], like)
+            return search(list(group), [np.frombuffer(x, dtype=np.uint64) for _, x in group.values()], like, [r for r, _ in group.values()])
 
         job, group, found = None, {}, []
         for batch in batches:
-            for j, node, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for j, node, root, own in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
                 if j != job:
                     found += out(group)
                     job, group = j, {}
-                group.setdefault(node, own.as_py())
+                group.setdefault(node, (root, own.as_py()))
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"])
             found = []
         found = out(group)
@@ -201,14 +208,38 @@ def groups(listed: DataFrame) -> DataFrame:
     return left.filter(F.size("lists") >= F.col("need")).select(F.explode(short).alias("pivot"), "node")
 
 
-def jobs_of(members: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(job, node): one search for each group, or for each pair of chunks of a large one."""
-    sizes = members.groupBy("pivot").agg(F.count("*").alias("m")).filter("m > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))  # a large group is spread over tasks
-    dealt = salted.join(sizes, ["pivot", "salt"]).withColumn("chunks", F.ceil(F.col("m") / chunk)).withColumn("own", F.pmod(F.xxhash64("node", "pivot"), F.col("chunks")))
-    others = F.when(F.col("chunks") == 1, F.array(F.col("own"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda i: i != F.col("own")))
-    paired = dealt.select("pivot", "node", "own", F.explode(others).alias("other"))
-    return paired.select(F.xxhash64("pivot", F.least("own", "other"), F.greatest("own", "other")).alias("job"), "node")
+def _salted(members: DataFrame, of_pivot: DataFrame) -> DataFrame:
+    """Members with what is known of their group; a large group is spread over tasks by salt."""
+    known = of_pivot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(known, ["pivot", "salt"]).drop("salt")
+
+
+def _chunk(n: str, chunk: int, seed: int) -> Column:
+    return F.pmod(F.xxhash64("node", "pivot", F.lit(seed)), F.greatest(F.ceil(F.col(n) / chunk), F.lit(1)))
+
+
+def _upto(n: str, chunk: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col(n) / chunk), F.lit(1)) - 1)
+
+
+def first_jobs(members: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(job, node, root): each group, or each chunk of a large one with the group's leaders."""
+    sizes = members.groupBy("pivot").agg(F.count("*").alias("m")).filter("m > 1")
+    leader = (F.col("m") > chunk) & (_chunk("m", LEADERS, 1) == 0)
+    where = F.when(leader, _upto("m", chunk)).otherwise(F.array(_chunk("m", chunk, 0)))
+    return _salted(members, sizes).select("pivot", "node", F.explode(where).alias("at")).select(F.xxhash64("pivot", "at").alias("job"), "node", F.col("node").alias("root"))
+
+
+def second_jobs(members: DataFrame, found: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(job, node, root): in large groups, chunks of the nodes outside the main component with every chunk."""
+    sizes = members.groupBy("pivot").agg(F.count("*").alias("m")).filter(F.col("m") > chunk)
+    large = _salted(members, sizes).join(found, "node", "left").select("pivot", "node", "m", F.coalesce("root", "node").alias("root"))
+    main = large.groupBy("pivot", "m", "root").agg(F.count("*").alias("n")).groupBy("pivot", "m").agg(F.max(F.struct("n", "root")).alias("main")).select("pivot", F.col("main.root").alias("main"), (F.col("m") - F.col("main.n")).alias("apart")).filter("apart > 0")
+    rows = _salted(large, main)
+    cells = F.transform(_upto("apart", chunk), lambda j: F.struct(_chunk("m", chunk, 2).alias("i"), j.alias("j")))
+    own = F.transform(_upto("m", chunk), lambda i: F.struct(i.alias("i"), _chunk("apart", chunk, 3).alias("j")))
+    cells = F.when(F.col("root") == F.col("main"), cells).otherwise(F.concat(cells, own))
+    return rows.select("pivot", "node", "root", F.explode(F.array_distinct(cells)).alias("at")).select(F.xxhash64("pivot", "at.i", "at.j").alias("job"), "node", "root")
 
 
 def join(docs: DataFrame, k: int = SHINGLE, like: tuple[int, int] = LIKE, chunk: int = CHUNK) -> DataFrame:
@@ -216,10 +247,16 @@ def join(docs: DataFrame, k: int = SHINGLE, like: tuple[int, int] = LIKE, chunk:
     listed = checkpoint(_listed(docs, k, like))
     members = checkpoint(groups(listed))
     heads = listed.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("head"))
-    jobs = jobs_of(members, chunk)
-    chosen = heads.join(jobs.select("node").distinct(), "node", "left_semi").select(F.col("head").alias("doc_id"))
-    sets = _sets(docs, chosen, k)
-    found = components(_linked(jobs.join(sets, "node").select("job", "node", "own"), like))
+
+    def links(jobs: DataFrame) -> DataFrame:
+        chosen = heads.join(jobs.select("node").distinct(), "node", "left_semi").select(F.col("head").alias("doc_id"))
+        return _linked(jobs.join(_sets(docs, chosen, k), "node").select("job", "node", "root", "own"), like)
+
+    first = checkpoint(links(first_jobs(members, chunk)))
+    found = components(first)
+    second = checkpoint(second_jobs(members, found, chunk))
+    if second.limit(1).collect():
+        found = components(first.unionAll(links(second)))
     rooted = heads.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "head")
     least = rooted.groupBy("root").agg(F.min("head").alias("component_id"))
     named = rooted.join(least, "root").select("node", "component_id")
