@@ -67,16 +67,25 @@ def carried(rows: DataFrame, document: str, idx: str, value: Column, name: str =
     return rows.withColumn("__v", value).withColumn(name, F.last("__v", ignorenulls=True).over(upto)).withColumn(f"{name}_part", F.count("__v").over(upto)).drop("__v")
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str) -> DataFrame:
-    """JON-07, JON-08: each left row (by, at, ...) with the ``value`` of the latest right row at or before it.
+def asof(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str, part: Column | None = None) -> DataFrame:
+    """JON-07, JON-08: each left row (by, at, ...) with the ``value`` of the latest right row at or before it; of right
+    rows of one time the largest.
 
-    One union and one window: no pairs are made, however many rows a key has on either side.
+    One union and one window: no pairs are made, however many rows a key has on either side. ``part``, an expression
+    of ``at`` that grows with it, such as its day, cuts the rows of a key into tasks of their own: what is open at the
+    end of a part is carried to the next ones over one row for each key and part.
     """
     mine = left.withColumn("__side", F.lit(1)).withColumn("__value", F.lit(None).cast(right.schema[value].dataType))
     theirs = right.select(*by, at, F.lit(0).alias("__side"), F.col(value).alias("__value"))
-    upto = Window.partitionBy(*by).orderBy(at, "__side", F.col("__value").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    both = mine.unionByName(theirs, allowMissingColumns=True).withColumn(value, F.last("__value", ignorenulls=True).over(upto))
-    return both.filter("__side = 1").drop("__side", "__value")
+    both = mine.unionByName(theirs, allowMissingColumns=True).withColumn("__part", part if part is not None else F.lit(0))
+    upto = Window.partitionBy(*by, "__part").orderBy(at, "__side", F.col("__value").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn(value, F.last("__value", ignorenulls=True).over(upto))
+    if part is not None:
+        ends = both.groupBy(*by, "__part").agg(F.max(F.when(F.col("__side") == 0, F.struct(at, "__value")))["__value"].alias("__end"))
+        before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        carried_in = ends.withColumn("__carried", F.last("__end", ignorenulls=True).over(before)).drop("__end")
+        found = found.join(carried_in, [*by, "__part"]).withColumn(value, F.coalesce(value, "__carried")).drop("__carried")
+    return found.filter("__side = 1").drop("__side", "__value", "__part")
 
 
 def page_range_join(elements: DataFrame, sections: DataFrame, document: str = "document_id", page: str = "page", start: str = "page_start", end: str = "page_end") -> DataFrame:

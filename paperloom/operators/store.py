@@ -30,9 +30,10 @@ def first_of(by_key: DataFrame, fallback: DataFrame, key: str, value: str) -> Da
 
 
 def keep_last(rows: DataFrame, key: list[str], position: str) -> DataFrame:
-    """SNK-05, SNK-07: upserts: the last row of each key."""
-    order = Window.partitionBy(*key).orderBy(F.col(position).desc())
-    return rows.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
+    """SNK-05, SNK-07: upserts: the last row of each key; an aggregate, so a key's rows are thinned before they move."""
+    rest = [c for c in rows.columns if c not in key]
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), position).alias("__row"))
+    return last.select(*[F.col(c) if c in key else F.col(f"__row.{c}") for c in rows.columns])
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:

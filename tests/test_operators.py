@@ -156,6 +156,16 @@ def test_pages(spark):
     assert rows(pages.select("page", "idx"), "page") == [(1, 1), (2, 1), (3, 1), (4, 3), (5, 3)]
 
 
+def test_asof_in_parts(spark):
+    rng = random.Random(8)
+    left = [(rng.randrange(4), rng.randrange(100), k) for k in range(200)]
+    right = [(rng.randrange(3), rng.randrange(100), k) for k in range(40)]
+    a, b = spark.createDataFrame(left, "k int, at int, id int"), spark.createDataFrame(right, "k int, at int, v int")
+    want = sorted((i, max(((t, v) for q, t, v in right if q == k and t <= at), default=(0, None))[1]) for k, at, i in left)
+    for part in (None, F.floor(F.col("at") / 7)):
+        assert rows(hierarchy.asof(a, b, ["k"], "at", "v", part).select("id", "v"), "id") == want
+
+
 def test_carried_and_references(spark):
     df = spark.createDataFrame([(1, 0, None), (1, 1, "a"), (1, 2, None), (1, 3, "b"), (2, 0, None)], "document_id long, idx long, h string")
     assert rows(hierarchy.carried(df, "document_id", "idx", F.col("h")).select("document_id", "idx", "carried"), "document_id", "idx") == [(1, 0, None), (1, 1, "a"), (1, 2, "a"), (1, 3, "b"), (2, 0, None)]
