@@ -29,8 +29,8 @@ def first_of(by_key: DataFrame, fallback: DataFrame, key: str, value: str) -> Da
     return by_key.select(key, F.col(value).alias("__a")).join(fallback.select(key, F.col(value).alias("__b")), key, "full").select(key, F.coalesce("__a", "__b").alias(value))
 
 
-def keep_last(rows: DataFrame, key: list[str], position: str) -> DataFrame:
-    """SNK-05, SNK-07: upserts: the last row of each key; an aggregate, so a key's rows are thinned before they move."""
+def keep_last(rows: DataFrame, key: list[str], position: str | Column) -> DataFrame:
+    """SNK-05, SNK-07: upserts: the last row of each key by a position that tells its rows apart; an aggregate, so a key's rows are thinned before they move."""
     rest = [c for c in rows.columns if c not in key]
     last = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), position).alias("__row"))
     return last.select(*[F.col(c) if c in key else F.col(f"__row.{c}") for c in rows.columns])

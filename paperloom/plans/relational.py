@@ -98,10 +98,10 @@ def upsert(spark, sf_dir):
     return store.upsert(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), changes, ["o_orderkey"])
 
 
-@query("keep_last", "SELECT l_orderkey, l_partkey, l_linenumber::BIGINT AS l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) = 1")
+@query("keep_last", "SELECT l_orderkey, l_partkey, l_linenumber::BIGINT AS l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC) = 1")
 def keep_last(spark, sf_dir):
     """SNK-05, SNK-07."""
-    return store.keep_last(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.col("l_linenumber").cast("long").alias("l_linenumber")), ["l_orderkey"], "l_linenumber")
+    return store.keep_last(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.col("l_linenumber").cast("long").alias("l_linenumber")), ["l_orderkey"], F.struct("l_linenumber", "l_partkey"))
 
 
 @query("refcount_delete", """WITH links AS (SELECT DISTINCT l_partkey AS part, l_suppkey AS supp FROM lineitem), gone AS (SELECT * FROM links WHERE supp % 10 <> 0), kept AS (SELECT * FROM links WHERE supp % 10 = 0)
