@@ -15,7 +15,7 @@ by the empty string; rows with equal ids are reported one by one; an empty table
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, table
@@ -34,25 +34,20 @@ CANDIDATE = r"[A-Za-z0-9_-]{20,}"
 KINDS = [*BASE, "owned"]
 
 
-def _spans(text: Column, kind: str, pattern: str, long_enough: str, group: int, least: int) -> Column:
-    """array<struct<start, end, ord, kind, value>> of the leftmost non-overlapping matches; short values are dropped."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value"))
-    kind_type = "array<struct<start:long,end:long,ord:int,kind:string,value:string>>"
+RAW = "array<struct<ord:int,i:int,gap:int,size:int,value:string>>"
 
-    def step(acc, x):
-        start = acc["pos"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["whole"])
-        return F.struct(end.cast("long").alias("pos"), F.concat(acc["out"], F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), F.lit(KINDS.index(kind)).alias("ord"), F.lit(kind).alias("kind"), x["value"].alias("value")))).alias("out"))
 
-    found = F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast(kind_type).alias("out")), step, lambda acc: acc["out"])
-    found = F.filter(found, lambda x: F.char_length(x["value"]) >= least)
-    # A text without a hit, as most are, is scanned once.
+def _matches(text: Column, kind: str, pattern: str, long_enough: str, group: int, least: int) -> Column:
+    """The leftmost non-overlapping matches in order: characters before and in each, its value if that is long enough."""
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    parts = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value"))
+    found = F.transform(parts, lambda x, i: F.struct(F.lit(KINDS.index(kind)).alias("ord"), i.alias("i"), F.char_length(x["gap"]).alias("gap"), F.char_length(x["whole"]).alias("size"), F.when(F.char_length(x["value"]) >= least, x["value"]).alias("value")))
+    # A text without a hit, as most are, is only tested.
     worth = text.rlike(long_enough)
     if kind == "assign":
         worth = text.rlike(_KEY_STEMS) & worth
-    return F.when(worth, found).otherwise(F.array().cast(kind_type))
+    return F.when(worth, found.cast(RAW)).otherwise(F.array().cast(RAW))
 
 
 def entropy(value: Column) -> Column:
@@ -63,25 +58,38 @@ def entropy(value: Column) -> Column:
 
 
 def found_spans(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
-    """uid, doc_id, owner, repository, spans: base spans and candidates that overlap none of them."""
+    """uid, doc_id, owner, repository, span: struct<start, ord, end, kind, value> of base spans and of candidates that
+    overlap none of them; at least one row for each row of ``docs``, with a null span if it has none.
+
+    Running sums over a document's matches give their places; a running maximum of the ends of base spans, in order
+    of start, tells candidates that overlap one.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = F.concat(*[_spans(text, kind, *how) for kind, how in BASE.items()])
+    raw = F.concat(*[_matches(text, kind, *how) for kind, how in BASE.items()], _matches(text, "owned", CANDIDATE, CANDIDATE, 0, 20))
     rows = docs.select(
         F.monotonically_increasing_id().alias("uid"),
         "doc_id",
         F.coalesce(owner.cast("string"), F.lit("")).alias("owner"),
         F.coalesce(repository.cast("string"), F.lit("")).alias("repository"),
-        base.alias("base"),
-        _spans(text, "owned", CANDIDATE, CANDIDATE, 0, 20).alias("more"),
-    )
-    free = F.filter("more", lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]") & ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return rows.select("uid", "doc_id", "owner", "repository", F.concat("base", free).alias("spans"))
+        raw.alias("raw"),
+    ).select("uid", "doc_id", "owner", "repository", F.explode_outer("raw").alias("x"))
+    in_order = Window.partitionBy("uid", "x.ord").orderBy("x.i").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("end", F.sum(F.col("x.gap") + F.col("x.size")).over(in_order)).withColumn("start", F.col("end") - F.col("x.size"))
+    owned = F.col("x.ord") == KINDS.index("owned")
+    valid = F.col("x.value").isNotNull()
+    base_end = F.when(valid & ~owned, F.col("end"))
+    by_place = Window.partitionBy("uid").orderBy(F.when(owned, F.col("end") * 2 - 1).otherwise(F.col("start") * 2)).rangeBetween(Window.unboundedPreceding, 0)
+    reached = placed.withColumn("reached", F.max(base_end).over(by_place))
+    free = F.col("x.value").rlike("[0-9]") & F.col("x.value").rlike("[A-Za-z]") & (F.coalesce("reached", F.lit(-1)) <= F.col("start"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("x.ord") + 1)
+    span = F.struct("start", F.col("x.ord").alias("ord"), "end", kind.alias("kind"), F.col("x.value").alias("value"))
+    return reached.select("uid", "doc_id", "owner", "repository", F.when(valid & (~owned | free), span).alias("span"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """value_hash, n_documents, n_repositories, n_owners of every value in ``found_spans``."""
-    values = found.select("owner", "repository", F.explode(F.array_distinct(F.transform("spans", lambda x: F.sha2(x["value"], 256)))).alias("value_hash"))
-    return values.groupBy("value_hash", "owner", "repository").agg(F.count("*").alias("n")).groupBy("value_hash").agg(F.sum("n").alias("n_documents"), F.count("*").alias("n_repositories"), F.countDistinct("owner").alias("n_owners"))
+    """value_hash, n_spans, n_repositories, n_owners of every value in ``found_spans``."""
+    values = found.filter("span is not null").select("owner", "repository", F.sha2("span.value", 256).alias("value_hash"))
+    return values.groupBy("value_hash", "owner", "repository").agg(F.count("*").alias("n")).groupBy("value_hash").agg(F.sum("n").alias("n_spans"), F.count("*").alias("n_repositories"), F.countDistinct("owner").alias("n_owners"))
 
 
 def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, example_owners: int = 3, least_entropy: float = 3.0) -> DataFrame:
@@ -93,7 +101,7 @@ def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None
     """
     found = checkpoint(found_spans(docs, F.col("source") if owner is None else owner, F.col("source") if repository is None else repository))
     counts = ownership(found)
-    each = found.select("uid", "doc_id", F.explode_outer("spans").alias("x")).withColumn("key", F.coalesce(F.sha2(F.col("x.value"), 256), F.concat(F.lit("none "), F.col("uid").cast("string"))))
+    each = found.select("uid", "doc_id", F.col("span").alias("x")).withColumn("key", F.coalesce(F.sha2(F.col("x.value"), 256), F.concat(F.lit("none "), F.col("uid").cast("string"))))
     bits = F.when(F.col("n_owners") == 1, entropy(F.col("x.value")))
     status = F.when(F.col("n_owners") >= example_owners, "example").when(bits >= least_entropy, "live").otherwise("shared")
     known = each.join(counts, each["key"] == counts["value_hash"], "left").withColumn("status", status)
