@@ -62,17 +62,23 @@ class Phrases:
             own = [x for x in found if len(x) == size]
             self.groups.append((np.array(own, dtype=np.int64), [np.array(sorted(found[x])) for x in own]))
 
-    def search(self, docs: list[list[bytes]], slop: int) -> list[tuple[list[tuple[int, int]], set[int], set[int]]]:
-        """For each document its hit spans and the items with phrase and with proximity matches only."""
+    def ids(self, text: bytes | None):
+        """The terms of a text by number, -1 where no item has them."""
+        import numpy as np
+
+        found = tokens(text or b"")
+        return np.fromiter(map(self.vocabulary.get, found, repeat(-1)), dtype=np.int32, count=len(found))
+
+    def search(self, docs: list, slop: int) -> list[tuple[list[tuple[int, int]], set[int], set[int]]]:
+        """For each document (of ``ids``) its hit spans and the items with phrase and with proximity matches only."""
         import numpy as np
 
         pad = 2 * slop + 1  # no match reaches over it
         sizes = np.array([len(d) for d in docs], dtype=np.int64)
         begin = np.cumsum(sizes + pad) - sizes
         stream = np.full(int((sizes + pad).sum()) + pad, -1, dtype=np.int64)
-        get = self.vocabulary.get
         for d, at in zip(docs, begin, strict=True):
-            stream[at : at + len(d)] = np.fromiter(map(get, d, repeat(-1)), dtype=np.int64, count=len(d))
+            stream[at : at + len(d)] = d
         at = np.flatnonzero(stream >= 0)
         order = np.argsort(stream[at], kind="stable")
         postings = at[order]
@@ -141,7 +147,7 @@ def _block_matches(docs: DataFrame, items: list[tuple[str, bytes | None]], windo
             for i, k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary_values(batch.column(2)), strict=True):
                 ids.append(i)
                 keys.append(k)
-                held.append(tokens(text or b""))
+                held.append(phrases.ids(text))
                 size += len(text or b"")
                 if size >= SHARD_BYTES:
                     yield searched(ids, keys, held)
