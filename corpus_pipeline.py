@@ -17,6 +17,8 @@ from paperloom.llm.common import shared_folder, table, text_key
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: The least share of a document's main language.
 LEAST_SHARE = 0.5
+#: Near duplicates: words of a shingle, and the least likeness. op9's query keeps its own.
+NEAR_WORDS, NEAR_LIKE = 5, (80, 100)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without an id can't be told apart from their group by it: one of each text stays.
     """
     docs = docs.select(*COLUMNS).withColumn("__key", text_key(F.col("text")))
-    heads = jaccard_join.join(docs.select("doc_id", "text")).filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    heads = jaccard_join.join(docs.select("doc_id", "text"), NEAR_WORDS, NEAR_LIKE).filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     named = docs.join(heads, docs["doc_id"] == heads["__id"], "left_semi").dropDuplicates(["doc_id", "__key"])
     return named.unionByName(docs.filter("doc_id is null").dropDuplicates(["__key"])).select(*COLUMNS)
 

@@ -60,6 +60,20 @@ def test_stages_against_brute_force(spark, tmp_path):
             before = after
 
 
+def test_near_duplicates_by_five_words_and_four_fifths(spark):
+    base = words(970, 100).split()
+    changed = [f"{w}x" if k in (30, 60) else w for k, w in enumerate(base)]  # 86/106 by five words, 89/105 by four
+    apart = [f"{w}x" if k in (20, 40, 60) else w for k, w in enumerate(base)]
+    docs = [(1, " ".join(base), "aa", "s1", 1), (2, " ".join(changed), "aa", "s1", 1), (3, words(971, 100), "aa", "s1", 1)]
+    grams = lambda x, n: {tuple(x[k : k + n]) for k in range(len(x) - n + 1)}
+    likeness = lambda a, b, n: (len(grams(a, n) & grams(b, n)), len(grams(a, n) | grams(b, n)))
+    assert likeness(base, changed, 5) == (86, 106) and likeness(base, changed, 4) == (89, 105) and likeness(base, apart, 5) == (81, 111)
+    assert {r[0] for r in corpus_pipeline.near_duplicates(spark, frame(spark, docs), "").collect()} == {1, 3}
+    assert {i for i, _, c in joined(docs) if i == c} == {1, 2, 3}  # op9's own measure is stricter
+    docs[1] = (2, " ".join(apart), "aa", "s1", 1)
+    assert {r[0] for r in corpus_pipeline.near_duplicates(spark, frame(spark, docs), "").collect()} == {1, 2, 3}
+
+
 def test_run(spark, tmp_path):
     frame(spark, rows()).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items(), ITEMS).write.parquet(f"{tmp_path}/benchmark.parquet")
