@@ -5,16 +5,15 @@ fields. Below that, a line stands under one template with all its other tokens a
 one for each third of them that is left open, so lines that differ in one field of up to a third of their length meet.
 
 A template recurs if it stands in documents that have nothing else to do with each other. Copies of a document share
-all of its lines, and are for near-duplicate detection, not for this: so each line comes with three signatures of the
-rest of its document (least hashes of the byte shingles of all other lines, by three orders), which copies have in
-common as a rule. A template must show, in each order, more than one signature, in the first order
-``least_documents`` of them (for lines of ``long_words`` words two), and at least half as many as documents. Lines of
-a recurring template are dropped from all documents. Lines with under ``least_words`` words are left alone, as they
-recur by chance.
+all of its lines, and are for near-duplicate detection, not for this. So what counts is the number of unrelated
+carriers, however many rows each has: documents that are near copies by the n-gram Jaccard join (digits made 0) are
+one carrier, and so are documents with the same signature of the rest (least hash of the byte shingles of all other
+lines). ``least_documents`` carriers are needed, for lines of ``long_words`` words two. Lines of a recurring template
+are dropped from all documents. Lines with under ``least_words`` words are left alone, as they recur by chance.
 
-Templates are counted by (template, signature), then by template, so that a line in a third of all documents is summed
-up before it moves. A bitmap of fixed size keeps lines away from the join with the recurring templates that can't be
-among them.
+Templates with several signatures are found first, summed up before they move. A bitmap of fixed size then picks their
+documents, which alone go through the Jaccard join; another keeps lines away from the join with the recurring templates
+that can't be among them.
 
 Cases: null and empty texts have no lines to drop; lines end at line feeds; templates are known by 64-bit hashes; rows
 with equal ids and texts are one document in the counts, and all of them lose the same lines; a document of which all
@@ -23,6 +22,7 @@ lines recur is left with an empty text; an empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest as _hash
 
-from .common import binary_values, bitmap, checkpoint, mixed, table, text_key
+from . import jaccard_join
+from .common import binary_values, bitmap, checkpoint, mixed, shared_folder, table, text_key
 
 LEAD = 2
 GENERAL = 9
@@ -38,6 +39,8 @@ PARTS = 3
 MAP_BITS = 25
 BLOCK_BYTES = 1 << 20
 SHINGLE = 24
+#: Near copies, which are one carrier: words of a shingle, and the least likeness.
+NEAR_WORDS, NEAR_LIKE = 5, (80, 100)
 LAST = (1 << 64) - 1
 ORDERS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _DIGITS = bytes(0x30 if 0x30 <= b <= 0x39 else b for b in range(256))
@@ -112,57 +115,99 @@ def rest_signatures(signs, names, begin):
     return out
 
 
-def _signed_templates(docs: DataFrame, least_words: int) -> DataFrame:
-    """(template, words, s1, s2, s3) for each template of each document."""
+def carried(texts: list[bytes], least_words: int) -> list[dict[int, tuple[int, int]]]:
+    """For each text, its templates with the words of their line and the signature of the rest."""
+    import numpy as np
+
+    texts = [masked(t) for t in texts]
+    lines, begin = [], []
+    for text in texts:
+        begin.append(len(lines))
+        lines += parsed(text)
+    under = [templates(x) for x in lines]
+    names = np.array([x[0] for x in under], dtype=np.int64)
+    rest = rest_signatures(line_signatures(texts), names, np.array(begin)).view(np.int64)[0].tolist()
+    out = []
+    for lo, hi in pairwise([*begin, len(lines)]):
+        own: dict[int, tuple[int, int]] = {}
+        for k in range(lo, hi):
+            if len(lines[k]) >= least_words:
+                for t in under[k]:
+                    own.setdefault(t, (len(lines[k]), rest[k]))
+        out.append(own)
+    return out
+
+
+def _blocks(texts: Iterator[bytes | None]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Places and texts of those that aren't empty, in blocks of about ``BLOCK_BYTES``."""
+    at, held, size = [], [], 0
+    for k, text in enumerate(texts):
+        if text:
+            at.append(k)
+            held.append(text)
+            size += len(text)
+            if size >= BLOCK_BYTES:
+                yield at, held
+                at, held, size = [], [], 0
+    if held:
+        yield at, held
+
+
+def _rests(docs: DataFrame, least_words: int) -> DataFrame:
+    """(template, rest) for each template of each document."""
 
     def rows(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
-        def signed(texts):
-            texts = [masked(t) for t in texts]
-            lines, begin = [], []
-            for text in texts:
-                begin.append(len(lines))
-                lines += parsed(text)
-            under = [templates(x) for x in lines]
-            names = np.array([x[0] for x in under], dtype=np.int64)
-            found, at = [], []
-            for lo, hi in pairwise([*begin, len(lines)]):
-                own: dict[int, int] = {}
-                for k in range(lo, hi):
-                    if len(lines[k]) >= least_words:
-                        for t in under[k]:
-                            own.setdefault(t, k)
-                found += own
-                at += own.values()
-            at = np.array(at, dtype=np.int64)
-            sizes = np.array([len(x) for x in lines], dtype=np.int64)
-            rest = rest_signatures(line_signatures(texts), names, np.array(begin)).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(sizes[at]), *[pa.array(r[at]) for r in rest]], names=["template", "words", "s1", "s2", "s3"])
+        for batch in batches:
+            for _, texts in _blocks(binary_values(batch.column(0))):
+                found = carried(texts, least_words)
+                yield pa.RecordBatch.from_arrays([pa.array([t for own in found for t in own], pa.int64()), pa.array([r for own in found for _, r in own.values()], pa.int64())], names=["template", "rest"])
 
+    return docs.select("text").mapInArrow(rows, "template long, rest long")
+
+
+def _carriers(docs: DataFrame, some: DataFrame, least_words: int) -> DataFrame:
+    """(text_key, text, carried) of the documents with templates that may be among ``some``, and which."""
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(some.select(F.pmod("template", F.lit(1 << MAP_BITS))), MAP_BITS))  # 4 MB
+
+    def rows(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        bits = np.frombuffer(held.value, dtype=np.uint32)
         for batch in batches:
-            held, size = [], 0
-            for text in binary_values(batch.column(0)):
-                if text:
-                    held.append(text)
-                    size += len(text)
-                    if size >= BLOCK_BYTES:
-                        yield signed(held)
-                        held, size = [], 0
-            if held:
-                yield signed(held)
+            for at, texts in _blocks(binary_values(batch.column(1))):
+                found = carried(texts, least_words)
+                place = np.array([t for own in found for t in own], dtype=np.int64) & ((1 << MAP_BITS) - 1)
+                kept = iter(((bits[place >> 5] >> (place & 31).astype(np.uint32)) & 1).tolist())
+                lists = [[(t, *x) for t, x in own.items() if next(kept)] for own in found]
+                take = pa.array([k for k, x in zip(at, lists, strict=True) if x], pa.int64())
+                lists = [x for x in lists if x]
+                flat = [pa.array([y[j] for x in lists for y in x], pa.int64()) for j in range(3)]
+                ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(flat, names=["template", "words", "rest"]))], names=["text_key", "text", "carried"])
 
-    return docs.select("text").mapInArrow(rows, "template long, words long, s1 long, s2 long, s3 long")
+    return docs.select(text_key(F.col("text")).alias("text_key"), "text").mapInArrow(rows, "text_key long, text string, carried array<struct<template: long, words: long, rest: long>>")
 
 
 def recurring(docs: DataFrame, least_documents: int = 3, least_words: int = 5, long_words: int = 20) -> DataFrame:
     """(template): the templates whose lines are dropped."""
-    found = _signed_templates(docs, least_words)
-    by_sign = found.groupBy("template", "s1").agg(F.count("*").alias("n"), F.max("words").alias("words"), *[f(s).alias(f"{s}_{f.__name__}") for s in ("s2", "s3") for f in (F.min, F.max)])
-    whole = by_sign.groupBy("template").agg(F.sum("n").alias("n"), F.count("*").alias("signs"), F.max("words").alias("words"), *[f(f"{s}_{f.__name__}").alias(f"{s}_{f.__name__}") for s in ("s2", "s3") for f in (F.min, F.max)])
+    spark = docs.sparkSession
+    folder = f"{shared_folder(spark)}/template-lines-{uuid.uuid4().hex}"
+    several = _rests(docs, least_words).groupBy("template").agg(F.min("rest").alias("lo"), F.max("rest").alias("hi")).filter("lo < hi")
+    _carriers(docs, checkpoint(several.select("template")), least_words).write.parquet(f"{folder}/carriers")
+    held = spark.read.parquet(f"{folder}/carriers")
+    held.groupBy("text_key").agg(F.translate(F.first("text"), "0123456789", "0" * 10).alias("text")).write.parquet(f"{folder}/texts")
+    texts = spark.read.parquet(f"{folder}/texts").select(F.col("text_key").alias("doc_id"), "text")
+    near = jaccard_join.join(texts, NEAR_WORDS, NEAR_LIKE).select(F.col("doc_id").alias("text_key"), F.col("component_id").alias("class"))
+    # Templates that only the bitmap let through have one rest, and so one carrier.
+    rows = held.select("text_key", F.explode("carried").alias("x")).select("text_key", "x.*").distinct()
+    by_rest = rows.join(near, "text_key").groupBy("template", "rest").agg(F.min("class").alias("class"), F.max("words").alias("words"))
+    by_class = by_rest.groupBy("template", "class").agg(F.max("words").alias("words"))
+    whole = by_class.groupBy("template").agg(F.count("*").alias("n"), F.max("words").alias("words"))
     least = F.when(F.col("words") >= long_words, min(2, least_documents)).otherwise(least_documents)
-    return whole.filter((F.col("signs") >= least) & (F.col("signs") * 2 >= F.col("n")) & (F.col("s2_min") < F.col("s2_max")) & (F.col("s3_min") < F.col("s3_max"))).select("template")
+    return whole.filter(F.col("n") >= least).select("template")
 
 
 def dropped_lines(docs: DataFrame, known: DataFrame, least_words: int = 5) -> DataFrame:

@@ -103,3 +103,13 @@ def test_templates():
 def test_empty_tables(spark):
     assert dropped(frame(spark, [])) == []
     assert dropped(frame(spark, [(1, None, "en", "s", 0), (2, "", "en", "s", 0)])) == [(1, [], None), (2, [], "")]
+
+
+def test_copies_of_one_carrier_count_once(spark):
+    passage = words(500, 60)
+    rows = [(k, f"{words(7000 + k, 100)}\n{passage}", "en", "s", 1) for k in range(10)]
+    near = [(100 + k, rows[0][1].replace(" ", f" extra{chr(97 + k % 26)} ", 1), "en", "s", 1) for k in range(30)]
+    by = {k: gone for k, gone, _ in dropped(frame(spark, rows + near + [(200 + k, rows[1][1], "en", "s", 1) for k in range(60)]))}
+    assert all(gone == [1] for gone in by.values()) and len(by) == 100
+    alone = [r for r in rows[:1]] + near  # one text and its near copies only
+    assert all(gone == [] for _, gone, _ in dropped(frame(spark, alone)))
