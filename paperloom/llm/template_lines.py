@@ -6,14 +6,18 @@ one for each third of them that is left open, so lines that differ in one field
 
 A template recurs if it stands in documents that have nothing else to do with each other. Copies of a document share
 all of its lines, and are for near-duplicate detection, not for this. So what counts is the number of unrelated
-carriers, however many rows each has: documents that are near copies by the n-gram Jaccard join (digits made 0) are
-one carrier, and so are documents with the same signature of the rest (least hash of the byte shingles of all other
-lines). ``least_documents`` carriers are needed, for lines of ``long_words`` words two. Lines of a recurring template
+carriers, however many rows each has. One carrier are documents that
+- are near copies: of up to 32 least hashes of their shingles, digits made 0, seven tenths are the same;
+- or whose own text, without the lines that have a template in common with other documents, is alike: 3 of up to 32
+  least hashes. So the lines of a shared passage don't speak for each other, and copies with many edits, which differ
+  in most lines, still belong together;
+- or have all other lines alike; or have no own text at all.
+``least_documents`` carriers are needed, for lines of ``long_words`` words two. Lines of a recurring template
 are dropped from all documents. Lines with under ``least_words`` words are left alone, as they recur by chance.
 
-Templates with several signatures are found first, summed up before they move. A bitmap of fixed size then picks their
-documents, which alone go through the Jaccard join; another keeps lines away from the join with the recurring templates
-that can't be among them.
+Templates with several such rests are found first, summed up before they move. A bitmap of fixed size then picks their
+documents, which alone are compared; another keeps lines away from the join with the recurring templates that can't be
+among them.
 
 Cases: null and empty texts have no lines to drop; lines end at line feeds; templates are known by 64-bit hashes; rows
 with equal ids and texts are one document in the counts, and all of them lose the same lines; a document of which all
@@ -23,6 +27,7 @@ lines recur is left with an empty text; an empty table gives no rows.
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -30,18 +35,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest as _hash
 
-from . import jaccard_join
-from .common import binary_values, bitmap, checkpoint, mixed, shared_folder, table, text_key
+from .common import WordHashes, binary_values, bitmap, checkpoint, shared_folder, shingle_hashes, table, text_key
+from .components import components
 
 LEAD = 2
 GENERAL = 9
 PARTS = 3
 MAP_BITS = 25
-BLOCK_BYTES = 1 << 20
-SHINGLE = 24
-#: Near copies, which are one carrier: words of a shingle, and the least likeness.
-NEAR_WORDS, NEAR_LIKE = 5, (80, 100)
+#: Sketches: words of a shingle, and ranges of hashes. Texts belong together that have so many least hashes of their own
+#: text in common, or such a share of those of the whole.
+SKETCH_WORDS, BINS = 4, 32
+OWN_LEAST, WHOLE_LIKE = 3, (7, 10)
 LAST = (1 << 64) - 1
+#: Byte shingles and orders by which the tests' own count tells rests apart.
+SHINGLE = 24
 ORDERS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _DIGITS = bytes(0x30 if 0x30 <= b <= 0x39 else b for b in range(256))
 
@@ -68,89 +75,37 @@ def parsed(text: bytes) -> list[list[bytes]]:
     return [[b"*" if b"0" in t else t for t in line.split()] if b"0" in line else line.split() for line in text.split(b"\n")]
 
 
-def line_signatures(texts: list[bytes]):
-    """For each line of all texts the least hash of its shingles by each of three orders; the greatest number for an
-    empty line. A shingle is the ``SHINGLE`` bytes from the start of a word, within the line; for the first word of a
-    shorter line, what there is."""
-    import numpy as np
+def carried(text: bytes, least_words: int) -> tuple[dict[int, tuple[int, int]], list[tuple[list[bytes], list[int]]]]:
+    """The templates of a text, each with the words of its line and a hash of all other lines (0 if there are none), and
+    its lines: tokens and templates."""
+    lines = [(x, templates(x)) for x in parsed(masked(text)) if x]
+    names = Counter(under[0] for _, under in lines)
+    whole = sum(k * n for k, n in names.items())
+    out: dict[int, tuple[int, int]] = {}
+    for tokens, under in lines:
+        if len(tokens) >= least_words:
+            rest = ((whole - names[under[0]] * under[0] + (1 << 63)) & LAST) - (1 << 63)
+            for t in under:
+                out.setdefault(t, (len(tokens), rest))
+    return out, lines
 
-    raw = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n" + bytes(SHINGLE), dtype=np.uint8)
-    breaks = np.flatnonzero(raw == 10)
-    space = np.isin(raw[: breaks[-1] + 1], np.frombuffer(b" \t\n\r\x0b\x0c", dtype=np.uint8))
-    start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    out = np.full((len(ORDERS), len(breaks) - 1), LAST, dtype=np.uint64)
-    if not len(start):
-        return out
-    line = np.searchsorted(breaks, start) - 1
-    room = breaks[line + 1] - start
-    first = np.concatenate([[True], line[1:] != line[:-1]])
-    whole = first | (room >= SHINGLE)
-    start, line, room = start[whole], line[whole], room[whole]
-    words = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
-    grams = np.zeros(len(start), dtype=np.uint64)
-    for j in range(0, SHINGLE, 8):
-        bits = (8 * np.clip(room - j, 0, 8)).astype(np.uint64)
-        keep = np.where(bits == 64, np.uint64(LAST), (np.uint64(1) << (bits % np.uint64(64))) - np.uint64(1))
-        grams = mixed(grams * np.uint64(0x9E3779B97F4A7C15) + (words[np.minimum(start + j, len(words) - 1)] & keep))
-    begin = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-    for k, order in enumerate(ORDERS):
-        out[k, line[begin]] = np.minimum.reduceat(mixed(grams ^ np.uint64(order)), begin)
-    return out
 
-
-def rest_signatures(signs, names, begin):
-    """For each line the least signature of the lines of its document that have another name; documents are runs of
-    lines from ``begin`` on."""
+def sketch(words: list[bytes], hashes: WordHashes, kind: int) -> list[int]:
+    """The least hash of the words' shingles in each of ``BINS`` ranges that has any; the last bit is ``kind``."""
     import numpy as np
 
-    out = np.empty_like(signs)
-    of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(names))))
-    for k, own in enumerate(signs):
-        least = np.minimum.reduceat(own, begin)[of]
-        at = np.flatnonzero(own == least)[::-1]
-        first = np.empty(len(begin), dtype=np.int64)
-        first[of[at]] = at  # the first line that has it
-        same = names == names[first][of]
-        out[k] = np.where(same, np.minimum.reduceat(np.where(same, LAST, own), begin)[of], least)
-    return out
+    grams = np.sort(shingle_hashes(words, hashes, SKETCH_WORDS))
+    if not len(grams):
+        return []
+    bins = grams >> np.uint64(64 - BINS.bit_length() + 1)
+    first = np.concatenate([[True], bins[1:] != bins[:-1]])
+    return (grams[first] & np.uint64(LAST - 1) | np.uint64(kind)).view(np.int64).tolist()
 
 
-def carried(texts: list[bytes], least_words: int) -> list[dict[int, tuple[int, int]]]:
-    """For each text, its templates with the words of their line and the signature of the rest."""
-    import numpy as np
-
-    texts = [masked(t) for t in texts]
-    lines, begin = [], []
-    for text in texts:
-        begin.append(len(lines))
-        lines += parsed(text)
-    under = [templates(x) for x in lines]
-    names = np.array([x[0] for x in under], dtype=np.int64)
-    rest = rest_signatures(line_signatures(texts), names, np.array(begin)).view(np.int64)[0].tolist()
-    out = []
-    for lo, hi in pairwise([*begin, len(lines)]):
-        own: dict[int, tuple[int, int]] = {}
-        for k in range(lo, hi):
-            if len(lines[k]) >= least_words:
-                for t in under[k]:
-                    own.setdefault(t, (len(lines[k]), rest[k]))
-        out.append(own)
-    return out
-
-
-def _blocks(texts: Iterator[bytes | None]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Places and texts of those that aren't empty, in blocks of about ``BLOCK_BYTES``."""
-    at, held, size = [], [], 0
-    for k, text in enumerate(texts):
-        if text:
-            at.append(k)
-            held.append(text)
-            size += len(text)
-            if size >= BLOCK_BYTES:
-                yield at, held
-                at, held, size = [], [], 0
-    if held:
-        yield at, held
+def own_words(lines: list[tuple[list[bytes], list[int]]], shared: set[int], least_words: int) -> list[bytes]:
+    """The words of the lines of which no template is ``shared``; of short lines only if there are no others."""
+    own = [x for x, under in lines if len(x) >= least_words and not shared.intersection(under)] or [x for x, _ in lines if len(x) < least_words]
+    return [w for x in own for w in x]
 
 
 def _rests(docs: DataFrame, least_words: int) -> DataFrame:
@@ -160,35 +115,55 @@ def _rests(docs: DataFrame, least_words: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for _, texts in _blocks(binary_values(batch.column(0))):
-                found = carried(texts, least_words)
-                yield pa.RecordBatch.from_arrays([pa.array([t for own in found for t in own], pa.int64()), pa.array([r for own in found for _, r in own.values()], pa.int64())], names=["template", "rest"])
+            found, rests = [], []
+            for text in binary_values(batch.column(0)):
+                own = carried(text or b"", least_words)[0]
+                found += own
+                rests += [rest for _, rest in own.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(rests, pa.int64())], names=["template", "rest"])
 
     return docs.select("text").mapInArrow(rows, "template long, rest long")
 
 
 def _carriers(docs: DataFrame, some: DataFrame, least_words: int) -> DataFrame:
-    """(text_key, text, carried) of the documents with templates that may be among ``some``, and which."""
+    """(text_key, carried, own, whole: sketches) of the documents with templates that may be among ``some``, and which."""
     held = docs.sparkSession.sparkContext.broadcast(bitmap(some.select(F.pmod("template", F.lit(1 << MAP_BITS))), MAP_BITS))  # 4 MB
 
     def rows(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        bits = np.frombuffer(held.value, dtype=np.uint32)
+        bits, hashes = np.frombuffer(held.value, dtype=np.uint32), WordHashes()
         for batch in batches:
-            for at, texts in _blocks(binary_values(batch.column(1))):
-                found = carried(texts, least_words)
-                place = np.array([t for own in found for t in own], dtype=np.int64) & ((1 << MAP_BITS) - 1)
-                kept = iter(((bits[place >> 5] >> (place & 31).astype(np.uint32)) & 1).tolist())
-                lists = [[(t, *x) for t, x in own.items() if next(kept)] for own in found]
-                take = pa.array([k for k, x in zip(at, lists, strict=True) if x], pa.int64())
-                lists = [x for x in lists if x]
-                flat = [pa.array([y[j] for x in lists for y in x], pa.int64()) for j in range(3)]
-                ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(flat, names=["template", "words", "rest"]))], names=["text_key", "text", "carried"])
-
-    return docs.select(text_key(F.col("text")).alias("text_key"), "text").mapInArrow(rows, "text_key long, text string, carried array<struct<template: long, words: long, rest: long>>")
+            at, flat, ends, owns, wholes = [], [], [0], [], []
+            for k, text in enumerate(binary_values(batch.column(1))):
+                own, lines = carried(text or b"", least_words)
+                found = np.array(list(own), dtype=np.int64)
+                place = found & ((1 << MAP_BITS) - 1)
+                shared = found[((bits[place >> 5] >> (place & 31).astype(np.uint32)) & 1).astype(bool)].tolist()
+                if shared:
+                    mins = sketch(own_words(lines, set(shared), least_words), hashes, 0)
+                    at.append(k)
+                    flat += [(t, own[t][0], own[t][1] if mins else 0) for t in shared]
+                    ends.append(len(flat))
+                    owns.append(mins)
+                    wholes.append(sketch([w for x, _ in lines for w in x], hashes, 1))
+            take = pa.array(at, pa.int64())
+            carriers = pa.StructArray.from_arrays([pa.array([x[j] for x in flat], pa.int64()) for j in range(3)], names=["template", "words", "rest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), carriers), pa.array(owns, pa.list_(pa.int64())), pa.array(wholes, pa.list_(pa.int64()))], names=["text_key", "carried", "own", "whole"])
+
+    return docs.select(text_key(F.col("text")).alias("text_key"), "text").mapInArrow(rows, "text_key long, carried array<struct<template: long, words: long, rest: long>>, own array<long>, whole array<long>")
+
+
+def _alike(held: DataFrame) -> DataFrame:
+    """(u, v): texts of which a sketch is enough like that of the least text with which it has a hash in common."""
+    rows = [held.select("text_key", F.size(kind).alias("size"), F.explode(kind).alias("h")) for kind in ("own", "whole")]
+    hashes = rows[0].unionAll(rows[1]).distinct()
+    heads = hashes.groupBy("h").agg(F.min(F.struct("text_key", "size")).alias("head"), F.max("text_key").alias("other")).filter("head.text_key < other").select("h", F.col("head.text_key").alias("v"), F.col("head.size").alias("v_size"))
+    met = hashes.join(heads, "h").filter("text_key <> v").groupBy(F.col("text_key").alias("u"), "v", "size", "v_size", F.col("h").bitwiseAND(1).alias("whole")).agg(F.count("*").alias("n"))
+    own = (F.col("whole") == 0) & (F.col("n") >= F.least(F.lit(OWN_LEAST), "size", "v_size"))
+    whole = (F.col("whole") == 1) & (F.col("n") * WHOLE_LIKE[1] >= F.greatest("size", "v_size") * WHOLE_LIKE[0])
+    return met.filter(own | whole).select("u", "v")
 
 
 def recurring(docs: DataFrame, least_documents: int = 3, least_words: int = 5, long_words: int = 20) -> DataFrame:
@@ -198,12 +173,10 @@ def recurring(docs: DataFrame, least_documents: int = 3, least_words: int = 5, l
     several = _rests(docs, least_words).groupBy("template").agg(F.min("rest").alias("lo"), F.max("rest").alias("hi")).filter("lo < hi")
     _carriers(docs, checkpoint(several.select("template")), least_words).write.parquet(f"{folder}/carriers")
     held = spark.read.parquet(f"{folder}/carriers")
-    held.groupBy("text_key").agg(F.translate(F.first("text"), "0123456789", "0" * 10).alias("text")).write.parquet(f"{folder}/texts")
-    texts = spark.read.parquet(f"{folder}/texts").select(F.col("text_key").alias("doc_id"), "text")
-    near = jaccard_join.join(texts, NEAR_WORDS, NEAR_LIKE).select(F.col("doc_id").alias("text_key"), F.col("component_id").alias("class"))
+    found = components(_alike(held))
     # Templates that only the bitmap let through have one rest, and so one carrier.
     rows = held.select("text_key", F.explode("carried").alias("x")).select("text_key", "x.*").distinct()
-    by_rest = rows.join(near, "text_key").groupBy("template", "rest").agg(F.min("class").alias("class"), F.max("words").alias("words"))
+    by_rest = rows.join(found.withColumnsRenamed({"node": "text_key", "root": "class"}), "text_key", "left").groupBy("template", "rest").agg(F.min(F.coalesce("class", "text_key")).alias("class"), F.max("words").alias("words"))
     by_class = by_rest.groupBy("template", "class").agg(F.max("words").alias("words"))
     whole = by_class.groupBy("template").agg(F.count("*").alias("n"), F.max("words").alias("words"))
     least = F.when(F.col("words") >= long_words, min(2, least_documents)).otherwise(least_documents)

@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -113,3 +114,21 @@ def test_copies_of_one_carrier_count_once(spark):
     assert all(gone == [1] for gone in by.values()) and len(by) == 100
     alone = [r for r in rows[:1]] + near  # one text and its near copies only
     assert all(gone == [] for _, gone, _ in dropped(frame(spark, alone)))
+
+
+def test_lines_of_a_passage_do_not_sign_each_other(spark):
+    halves = "\n".join(words(510 + k, 30) for k in range(2))
+    notice = "\n".join(words(520 + k, 20) for k in range(3))
+    rows = [(2 * p + k, f"{words(8000 + 2 * p + k, 100)}\n{halves.replace(' ', f' p{chr(97 + p)} ')}", "en", "s", 1) for p in range(12) for k in range(2)]
+    rows += [(100 + k, f"{words(9000 + k, 30)}\n{notice}", "en", "s", 1) for k in range(100)]
+    by = {k: gone for k, gone, _ in dropped(frame(spark, rows))}
+    assert all(by[k] == [1, 2] for k in range(24)) and all(by[100 + k] == [1, 2, 3] for k in range(100))
+
+
+def test_edited_copies_keep_their_lines(spark):
+    def edited(seed):
+        rng = random.Random(seed)
+        return "\n".join(" ".join(f"{w}{seed}x" if seed and rng.random() < 0.07 else w for w in words(9500 + k, 30).split()) for k in range(20))
+
+    by = dropped(frame(spark, [(k, edited(k), "en", "s", 1) for k in range(5)]))
+    assert all(gone == [] for _, gone, _ in by)
