@@ -1,55 +1,106 @@
 import random
 from collections import defaultdict
-
-import numpy as np
-import xxhash
+from itertools import pairwise
 
 from paperloom.llm import template_lines
-from paperloom.llm.common import mixed
 
 from .fixtures import clashing, frame, odd_documents, words
 
 
-def least_hash(lines, order):
-    """Of all lines, one shingle after another."""
+def unspaced(c):
+    p = ord(c)
+    return 0x3000 <= p < 0xD800 and p < 0xE000 or 0xE00 <= p < 0xF00 or 0x1000 <= p < 0x10C0 or 0x1780 <= p < 0x1800 or 0x20000 <= p < 0x30000
+
+
+def tokens(line):
+    """(token, twice its words): digits are a field of no words."""
     out = []
-    for line in lines:
-        starts = [k for k in range(len(line)) if not line[k : k + 1].isspace() and (k == 0 or line[k - 1 : k].isspace())]
-        for n, k in enumerate(starts):
-            gram = line[k : k + template_lines.SHINGLE]
-            if n and len(gram) < template_lines.SHINGLE:
-                continue
-            h = np.zeros(1, dtype=np.uint64)
-            for part in np.frombuffer(gram.ljust(template_lines.SHINGLE, b"\0"), dtype="<u8"):
-                h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + part)
-            out.append(int(mixed(h ^ np.uint64(order))[0]))
-    return min(out, default=2**64 - 1)
+    for word in line.replace("\t", " ").replace("\r", " ").replace("\v", " ").replace("\f", " ").split(" "):
+        part = ""
+        for c in word:
+            if unspaced(c):
+                out += [(part, 2)] * bool(part) + [(c, 1)]
+                part = ""
+            else:
+                part += c
+        out += [(part, 2)] * bool(part)
+    return [("\0", 0) if any(c in "0123456789" for c in t) else (t, w) for t, w in out]
+
+
+def templates(line, least=3):
+    """The exact template and those with an open run, each a tuple."""
+    own = tokens(line)
+    n, fixed = len(own), sum(w for _, w in own)
+    out = [(n, tuple(t for t, _ in own))] if fixed >= 2 * least else []
+    step = max((n + 3) // 6, 1)
+    width = 2 * step if n > 5 else 1
+    a = 0
+    while n >= 5:
+        if fixed - sum(w for _, w in own[a : a + width]) >= 2 * least + 2:
+            out.append((n, a, tuple(t for k, (t, _) in enumerate(own) if not a <= k < a + width)))
+        if a == n - width:
+            break
+        a = min(a + step, n - width)
+    return out
+
+
+def grams(lines):
+    own = [t for line in lines for t, _ in tokens(line)]
+    return {tuple(own[k : k + 4]) for k in range(max(len(own) - 3, 1))} if own else set()
 
 
 def brute(rows):
-    """Dropped line numbers of each row, from counts made in one place."""
-    seen = defaultdict(list)
-    each = []
-    for _, text, *_ in rows:
-        body = template_lines.masked((text or "").encode())
-        lines, raw = template_lines.parsed(body), body.split(b"\n")
-        own = {}
-        for tokens in lines:
-            if len(tokens) >= 5:
-                rest = [r for r, x in zip(raw, lines, strict=True) if x != tokens]
-                for t in template_lines.templates(tokens):
-                    if t not in own:
-                        own[t] = (*[least_hash(rest, o) for o in template_lines.ORDERS], len(tokens))
-        for t, x in own.items():
-            seen[t].append(x)
-        each.append(lines)
-    known = set()
-    for t, found in seen.items():
-        signs = [{f[k] for f in found} for k in range(3)]
-        least = 2 if max(f[3] for f in found) >= 20 else 3
-        if len(signs[0]) >= least and 2 * len(signs[0]) >= len(found) and len(signs[1]) > 1 and len(signs[2]) > 1:
-            known.add(t)
-    return [[k for k, tokens in enumerate(lines) if len(tokens) >= 5 and known & set(template_lines.templates(tokens))] for lines in each]
+    """Dropped line numbers of each row; documents are compared in pairs, by whole sets of shingles."""
+    docs = sorted({(r[1] or "") for r in rows})
+    split = {d: [x for x in d.split("\n") if tokens(x)] for d in docs}
+    rests = defaultdict(set)
+    for d in docs:
+        for x in split[d]:
+            for t in templates(x):
+                rests[t].add(tuple(sorted(tuple(tokens(y)) for y in split[d] if tokens(y) != tokens(x))))
+    shared = {t for t, found in rests.items() if len(found) > 1}
+    own = {}
+    for d in docs:
+        full = [x for x in split[d] if sum(w for _, w in tokens(x)) >= 6]
+        own[d] = grams([x for x in full if not shared & set(templates(x))] or [x for x in split[d] if x not in full])
+    root = {d: d for d in docs}
+    whole = {d: grams(split[d]) for d in docs}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for k, a in enumerate(docs):
+        for b in docs[:k]:
+            near = whole[a] and whole[b] and 10 * len(whole[a] & whole[b]) >= 7 * len(whole[a] | whole[b])
+            if near or len(own[a] & own[b]) * 4 > min(len(own[a]), len(own[b])) > 0:
+                root[find(a)] = find(b)
+    carriers, long = defaultdict(set), defaultdict(int)
+    for d in docs:
+        for x in split[d]:
+            for t in shared & set(templates(x)):
+                carriers[t].add(find(d) if own[d] else "none")
+                long[t] = max(long[t], sum(w or 2 for _, w in tokens(x)) // 2)
+    known = {t for t, found in carriers.items() if len(found) >= (2 if long[t] >= 20 else 3)}
+    return [[k for k, x in enumerate((r[1] or "").split("\n")) if known & set(templates(x))] for r in rows]
+
+
+NOTICES = (
+    "All rights reserved worldwide",
+    "版权所有未经许可不得转载",
+    "สงวนลิขสิทธิ์ตามกฎหมาย",
+    "one two three four five six seven",
+)
+FIELDS = (
+    "user {} logged in from host",
+    "please note that user {} logged in today",
+    "{} wrote this line from the old house yesterday",
+    "the {} wrote this line from the old house",
+    "we had a word with our friend about some {}",
+    "this is a line of twenty words and two more in which the name of {} stands near its very end today",
+)
+NAMES = ("alice", "bob", "carol", "dave", "erin", "frank")
 
 
 def corpus():
@@ -90,15 +141,43 @@ def test_what_goes_and_what_stays(spark):
     assert all(by[200 + k] == [0] for k in range(5))  # digits are variable
     assert all(by[300 + k] == [0] for k in range(4))  # and so is a field of words
     assert all(by[400 + k] == [] for k in range(6))  # copies are left to near-duplicate detection
-    assert all(by[500 + k] == [] for k in range(6))  # short lines recur by chance
-
-
-def test_templates():
-    one = template_lines.templates(b"a b c d e f g h i".split())
-    assert len(one) == 4
-    assert len(set(one) & set(template_lines.templates(b"a b c d e f g h X".split()))) == 1
-    assert template_lines.parsed(template_lines.masked(b"a b 1 d\n")) == template_lines.parsed(template_lines.masked(b"a b x27 d\n")) == [[b"a", b"b", b"*", b"d"], []]
-    assert template_lines.templates([]) == [xxhash.xxh64_intdigest(b"") - (1 << 63)]
+    assert all(by[500 + k] == [] for k in range(6))  # two words come together by chance
+
+
+def test_short_unspaced_and_open_lines(spark):
+    """Each in six otherwise different documents: all six lose it, wherever its field stands."""
+    rows = [(100 * n + k, f"{words(100 * n + k, 30)}\n{line.format(name)}", "en", "s", 1) for n, line in enumerate(NOTICES + FIELDS) for k, name in enumerate(NAMES)]
+    rows += [(5000 + k, f"{words(7000 + k, 30)}\nof the", "en", "s", 1) for k in range(6)]
+    got = dropped(frame(spark, rows))
+    assert got == want(rows)
+    by = {k: gone for k, gone, _ in got}
+    assert all(by[100 * n + k] == [1] for n in range(len(NOTICES + FIELDS)) for k in range(6))
+    assert all(by[5000 + k] == [] for k in range(6))
+
+
+def test_parse():
+    lines = ["a b 1 d", "", "a b x27 d", "漢字 kana かな", "one  two\tthree\r"]
+    found = template_lines.parsed(["\n".join(lines).encode(), None, b"a b 99 d"])
+    assert found.size.tolist() == [4, 4, 5, 3, 4] and found.number.tolist() == [0, 2, 3, 4, 0] and found.doc.tolist() == [0, 0, 0, 0, 2]
+    assert found.exact[0] == found.exact[1] == found.exact[4] and len(set(found.exact.tolist())) == 3
+    assert found.fixed.tolist() == [6, 6, 6, 6, 6] and found.half.tolist() == [8, 8, 6, 6, 8]
+    assert found.rests()[4] == 0 and found.rests()[0] == found.rests()[1] != 0
+    for size in range(1, 40):
+        for texts in ([words(size, size)], [words(size, size), words(99, 7), words(size, size)]):
+            found = template_lines.parsed([t.encode() for t in texts])
+            line, template = found.templates(3)
+            assert len(template) == sum(len(templates(t)) for t in texts)
+            assert len(set(template.tolist())) == len({t for x in texts for t in templates(x)})
+    assert template_lines.parsed([]).size.tolist() == []
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    text = "\n".join(words(k, 9) for k in range(50)).encode()
+    whole = template_lines.parsed([b"x", text, text])
+    monkeypatch.setattr(template_lines, "PIECE_BYTES", 100)
+    parts = template_lines.parsed([b"x", text, text])
+    assert whole.exact.tolist() == parts.exact.tolist() and whole.number.tolist() == parts.number.tolist() and whole.doc.tolist() == parts.doc.tolist()
+    assert all(a <= b for a, b in pairwise(parts.doc.tolist()))
 
 
 def test_empty_tables(spark):
@@ -106,6 +185,12 @@ def test_empty_tables(spark):
     assert dropped(frame(spark, [(1, None, "en", "s", 0), (2, "", "en", "s", 0)])) == [(1, [], None), (2, [], "")]
 
 
+def test_a_column_of_the_same_name_stays(spark):
+    docs = frame(spark, corpus()).withColumnRenamed("lang", "line_dedup")
+    got = template_lines.dedup(docs)
+    assert got.columns == [*docs.columns, "line_dedup_"] and {r["line_dedup"] for r in got.collect()} == {"en"}
+
+
 def test_copies_of_one_carrier_count_once(spark):
     passage = words(500, 60)
     rows = [(k, f"{words(7000 + k, 100)}\n{passage}", "en", "s", 1) for k in range(10)]
@@ -132,3 +217,11 @@ def test_edited_copies_keep_their_lines(spark):
 
     by = dropped(frame(spark, [(k, edited(k), "en", "s", 1) for k in range(5)]))
     assert all(gone == [] for _, gone, _ in by)
+
+
+def test_copies_with_a_word_changed_in_each_line_keep_them(spark):
+    def edited(name):
+        return "\n".join(" ".join(name if k == j % 7 else w for k, w in enumerate(words(9600 + j, 25).split())) for j in range(15))
+
+    by = dropped(frame(spark, [(k, edited(name), "en", "s", 1) for k, name in enumerate(NAMES)]))
+    assert all(gone == [] for _, gone, _ in by)
