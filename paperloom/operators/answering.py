@@ -82,11 +82,17 @@ def guide_status(status: Column, payload: Column) -> Column:
     return F.when(status.isNull() & payload.isNull(), "missing").when(F.trim(status) != "", status).when(filled, "ready").otherwise("pending")
 
 
-def step_questions(questions: Column, title: Column, most: int = 2) -> Column:
-    """ARR-15: a step's questions, cleaned, up to ``most``; else two made from its title."""
-    kept = F.slice(F.array_distinct(F.filter(F.transform(questions, lambda q: collapsed(q)), lambda q: q != "")), 1, most)
-    made = F.array(F.concat(F.lit("What is the main point of "), title, F.lit("?")), F.concat(F.lit("How does "), title, F.lit(" support the paper?")))
-    return F.when(F.size(kept) > 0, kept).otherwise(made)
+def step_questions(questions: Column, sections: Column, objective: Column, expected: Column, most: int = 2) -> Column:
+    """ARR-15: a step's questions that aren't blank, up to ``most``; else made from its first section, and from its
+    objective or, without one, its expected output."""
+    strip = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    kept = F.filter(F.transform(F.coalesce(questions, F.array().cast("array<string>")), strip), lambda q: q != "")
+    place = F.coalesce(F.get(sections, 0), F.lit("this section"))
+    takeaway = F.concat(F.lit("What is the main takeaway from "), place, F.lit("?"))
+    helps = F.concat(F.lit("How does "), place, F.lit(" help with: "), strip(objective), F.lit("?"))
+    explain = F.concat(F.lit("What should you be able to explain after reading "), place, F.lit("?"))
+    made = F.when(strip(objective) != "", F.array(takeaway, helps)).when(strip(expected) != "", F.array(takeaway, explain)).otherwise(F.array(takeaway))
+    return F.slice(F.when(F.size(kept) > 0, kept).otherwise(made), 1, most)
 
 
 def passes_in_order(guides: DataFrame, name: str) -> DataFrame:

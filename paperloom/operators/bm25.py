@@ -1,17 +1,21 @@
 """Sparse retrieval: BM25 statistics, weights and ranking.
 
-Statistics are aggregates over exploded terms. ``search`` joins the query's terms to the index by term; a frequent
-term's postings meet few query rows, and scores are summed before they move.
+Ranking counts only the terms that are asked for. Their postings are dealt by document once: counts, weights and the
+sums of scores all keep to that dealing, and the asked terms, whose number is checked first, are broadcast. Beyond
+``BROADCAST_TERMS`` they are joined by term instead.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import tokens
 
 K1, B = 1.5, 0.75
+BROADCAST_TERMS = 1 << 19  # some 50 MB
 
 
 def term_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -29,28 +33,59 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.ln((n_docs - df + 0.5) / (df + 0.5) + 1)
 
 
+def _saturated() -> Column:
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
+
+
+def model(counts: DataFrame, stats: DataFrame) -> DataFrame:
+    """AGG-04: (term, df, idf, avgdl) of ``counts`` (a row for each document and term) and the one row of ``stats``."""
+    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    return df.crossJoin(F.broadcast(stats)).select("term", "df", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl")
+
+
+def weigh(counts: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """RET-01: (key, term, idf, weight) under a ``model``; terms that it doesn't know have no weight:
+    idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avgdl))."""
+    return counts.join(known, "term").select(key, "term", "idf", (F.col("idf") * _saturated()).alias("weight"))
+
+
 def index(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """RET-01: (key, term, idf, weight): idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avgdl)).
+    """RET-01: (key, term, idf, weight) of every term of every document."""
+    counts = term_counts(docs, key, text)
+    return weigh(counts, model(counts, statistics(docs, text)), key)
 
-    The one row of statistics is joined to the terms, which are as many as the vocabulary.
-    """
-    tf = term_counts(docs, key, text)
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    terms = df.crossJoin(F.broadcast(statistics(docs, text))).select("term", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl")
-    saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    return tf.join(terms, "term").select(key, "term", "idf", (F.col("idf") * saturated).alias("weight"))
+
+def _bounded(terms: DataFrame) -> DataFrame:
+    """``terms``, to be broadcast if their number is known to allow it."""
+    return F.broadcast(terms) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else terms
+
+
+def ranked(scored: DataFrame, query_key: str, key: str, k: int) -> DataFrame:
+    order = Window.partitionBy(query_key).orderBy(F.col("score").desc(), F.col(key))
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def search(indexed: DataFrame, key: str, queries: DataFrame, query_key: str, k: int, text: str = "text", squared_idf: bool = False) -> DataFrame:
-    """RET-02, TOP-02: (query_key, key, score, rank) of the best k documents for each query.
+    """RET-02, TOP-02: (query_key, key, score, rank) of the best k documents for each query, from weights that are there.
 
     ``squared_idf``: the query's terms weigh their idf once more, which the document weights contain already.
     """
     asked = queries.select(query_key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
     gain = F.col("weight") * F.col("idf") if squared_idf else F.col("weight")
-    scored = asked.join(indexed, "term").groupBy(query_key, key).agg(F.round(F.sum(gain), 6).alias("score"))
-    order = Window.partitionBy(query_key).orderBy(F.col("score").desc(), F.col(key))
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    scored = indexed.join(_bounded(asked), "term").groupBy(query_key, key).agg(F.round(F.sum(gain), 6).alias("score"))
+    return ranked(scored, query_key, key, k)
+
+
+def search_texts(docs: DataFrame, key: str, queries: DataFrame, query_key: str, k: int, squared_idf: Sequence[bool] = (False,), text: str = "text") -> list[DataFrame]:
+    """RET-02, TOP-02: a list as ``search`` gives for each of ``squared_idf``, straight from texts and in one pass."""
+    asked = queries.select(query_key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
+    terms = _bounded(asked.select("term").distinct())
+    words = docs.select(F.col(key), tokens(F.col(text)).alias("terms")).select(key, F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    counts = words.join(terms, "term", "left_semi").repartition(key).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+    known = _bounded(model(counts, statistics(docs, text)))
+    sums = [F.round(F.sum(F.col("weight") * F.col("idf") if s else F.col("weight")), 6).alias(f"score{int(s)}") for s in dict.fromkeys(squared_idf)]
+    scored = weigh(counts, known, key).join(_bounded(asked), "term").groupBy(key, query_key).agg(*sums)
+    return [ranked(scored.select(query_key, key, F.col(f"score{int(s)}").alias("score")), query_key, key, k) for s in squared_idf]
 
 
 def group_terms(docs: DataFrame, group: str, k: int = 12) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,15 +11,19 @@ from paperloom.functions.text import collapsed, title_key
 
 
 def resolve_blocks(blocks: DataFrame, sections: DataFrame, document: str = "document_id") -> DataFrame:
-    """JON-09: blocks (document, id, section_id, section_title, page) with resolved_id: the section of that id, or else
-    one whose title is the same but for case and numbering, one whose pages hold the block before others, then the
-    first in reading order."""
-    known = sections.select(document, F.col("section_id").alias("__id"), title_key(F.col("title")).alias("__key"), "page_start", "page_end", "reading_order")
-    asked = blocks.withColumn("__want", title_key(F.col("section_title")))
-    by_id = asked.join(known.select(document, F.col("__id").alias("section_id"), F.col("__id").alias("__by_id")).distinct(), [document, "section_id"], "left")
-    inside = F.col("page").between(F.col("page_start"), F.coalesce("page_end", "page_start"))
-    near = asked.filter("__want <> ''").join(known, document).filter("__key = __want").groupBy(document, "id").agg(F.min(F.struct((~F.coalesce(inside, F.lit(False))).alias("out"), "reading_order", "__id")).alias("x")).select(document, "id", F.col("x.__id").alias("__by_title"))
-    return by_id.join(near, [document, "id"], "left").withColumn("resolved_id", F.coalesce("__by_id", "__by_title")).drop("__want", "__by_id", "__by_title")
+    """JON-09: blocks (document, id, section_id, text, section_title, page) with resolved_id: the section of that id, or
+    else of the sections whose title is the block's text or its section's title, but for case and numbering.
+
+    Of several, those whose pages hold the block are chosen, if any (a section without an end is open); then the first
+    in reading order (none counts as 0), then the least id. A null page is held by none.
+    """
+    known = sections.select(document, F.col("section_id").alias("__id"), title_key(F.col("title")).alias("__key"), "page_start", "page_end", F.coalesce("reading_order", F.lit(0)).alias("__order"))
+    by_id = blocks.join(known.select(document, F.col("__id").alias("section_id"), F.col("__id").alias("__by_id")).distinct(), [document, "section_id"], "left")
+    keys = F.array_distinct(F.array(title_key(F.coalesce("text", F.lit(""))), title_key(F.coalesce("section_title", F.lit("")))))
+    asked = blocks.select(document, "id", "page", F.explode(keys).alias("__key")).filter("__key <> ''")
+    out = ~F.coalesce((F.col("page") >= F.col("page_start")) & (F.col("page") <= F.coalesce("page_end", "page")), F.lit(False))
+    near = asked.join(known, [document, "__key"]).groupBy(document, "id").agg(F.min(F.struct(out.alias("out"), "__order", "__id")).alias("x")).select(document, "id", F.col("x.__id").alias("__by_title"))
+    return by_id.join(near, [document, "id"], "left").withColumn("resolved_id", F.coalesce("__by_id", "__by_title")).drop("__by_id", "__by_title")
 
 
 def section_maps(sections: DataFrame, key: Column, document: str = "document_id", idx: str = "idx") -> DataFrame:
@@ -32,12 +38,19 @@ def visual_ids(elements: DataFrame, document: str = "document_id") -> DataFrame:
     return ids.groupBy(document).agg(pick("figure").alias("figures"), pick("table").alias("tables"))
 
 
-def title_mismatches(chunks: DataFrame, blocks: DataFrame, document: str = "document_id", probe: int = 96) -> DataFrame:
-    """ARR-19: chunks whose title isn't the heading of the first block that holds the chunk's first ``probe`` characters."""
-    asked = chunks.select(document, "chunk_id", "section_title", F.substring(collapsed(F.col("content")), 1, probe).alias("p"))
-    met = asked.join(blocks.select(document, "idx", "heading", collapsed(F.col("text")).alias("t")), document).filter(F.contains("t", "p"))
-    first = met.groupBy(document, "chunk_id", "section_title").agg(F.min_by("heading", "idx").alias("heading"))
-    return first.filter(~F.col("section_title").eqNullSafe(F.col("heading")))
+def title_mismatches(chunks: DataFrame, blocks: DataFrame, document: str = "document_id", probe: int = 96, least: int = 24) -> DataFrame:
+    """ARR-19: text chunks (document, chunk_id, content, section_title, content_type) whose title isn't that of their
+    blocks: (document, chunk_id, section_title, heading).
+
+    Expected is the heading of the first block (document, idx, text, heading) whose first ``probe`` characters are in
+    the chunk. Blocks and chunks under ``least`` characters have no say, nor has an empty heading; titles are compared
+    without case and numbering.
+    """
+    held = chunks.filter("content_type = 'text'").select(document, "chunk_id", "section_title", collapsed(F.col("content")).alias("c")).filter(F.length("c") >= least)
+    probes = blocks.select(document, "idx", "heading", collapsed(F.col("text")).alias("t")).filter(F.length("t") >= least).select(document, "idx", "heading", F.substring("t", 1, probe).alias("p"))
+    met = held.join(probes, document).filter(F.contains("c", "p"))
+    first = met.groupBy(document, "chunk_id", "section_title").agg(F.min(F.struct("idx", F.coalesce("heading", F.lit("")).alias("heading"))).alias("x")).select(document, "chunk_id", "section_title", F.col("x.heading").alias("heading"))
+    return first.filter((F.col("heading") != "") & (title_key(F.coalesce("section_title", F.lit(""))) != title_key(F.col("heading"))))
 
 
 def element_ids_by_title(labels: DataFrame, sections: DataFrame, document: str = "document_id", ids: tuple[str, ...] = ("text_ids", "table_ids", "figure_ids", "reference_ids")) -> DataFrame:
@@ -47,12 +60,23 @@ def element_ids_by_title(labels: DataFrame, sections: DataFrame, document: str =
     return labels.join(first, [document, "label"], "left")
 
 
-def nested(sections: DataFrame, children: str = "children") -> DataFrame:
-    """ARR-10, SET-07: (document_id, path, title) of sections nested two levels deep, pre-order: a parent, then its children."""
-    top = sections.select("document_id", F.posexplode("sections").alias("i", "s"))
-    parents = top.select("document_id", F.array("i").alias("path"), F.col("s.title").alias("title"))
-    below = top.select("document_id", "i", F.posexplode(f"s.{children}").alias("j", "c")).select("document_id", F.array("i", "j").alias("path"), F.col("c.title").alias("title"))
-    return parents.unionAll(below)
+def nested(sections: DataFrame, children: str = "sections", title: str = "title") -> DataFrame:
+    """ARR-10: (document_id, path, title) of sections nested to any depth of the schema, in the order of ``path``: a
+    section, then those below it."""
+    level = sections.select("document_id", F.posexplode("sections").alias("i", "s")).select("document_id", F.array("i").alias("path"), "s")
+    levels = []
+    while True:
+        levels.append(level.select("document_id", "path", F.col(f"s.{title}").alias("title")))
+        below = level.schema["s"].dataType
+        if children not in below.names or not hasattr(below[children].dataType, "elementType") or not hasattr(below[children].dataType.elementType, "names"):
+            return reduce(DataFrame.unionAll, levels)
+        level = level.select("document_id", "path", F.posexplode(f"s.{children}").alias("i", "c")).select("document_id", F.concat("path", F.array("i")).alias("path"), F.col("c").alias("s"))
+
+
+def distinct_headings(flat: DataFrame, document: str = "document_id") -> DataFrame:
+    """SET-07: (document, headings): the titles of ``nested``, trimmed, not empty, each once where it comes first."""
+    named = flat.withColumn("title", F.trim("title")).filter("title <> ''").groupBy(document, "title").agg(F.min("path").alias("path"))
+    return named.groupBy(document).agg(F.transform(F.array_sort(F.collect_list(F.struct("path", "title"))), lambda x: x["title"]).alias("headings"))
 
 
 def focus_blocks(blocks: DataFrame, document: str = "document_id") -> DataFrame:

@@ -115,8 +115,8 @@ def cross_references(blocks: DataFrame, sections: DataFrame, document: str = "do
 def hierarchy_confidence(sections: DataFrame, document: str = "document_id") -> DataFrame:
     """AGG-22, AGG-25: n_sections, max_level, n_roots, and the confidence in the hierarchy."""
     n = F.count("*")
-    numbered = F.avg((F.col("numbering").isNotNull()).cast("double"))
-    levels = F.when(F.max("level").between(1, 6), 1.0).otherwise(0.5)
+    numbered = F.avg((F.coalesce("numbering", F.lit("")) != "").cast("double"))
+    levels = F.when(F.min("level").between(1, 6) & F.max("level").between(1, 6), 1.0).otherwise(0.5)
     size = F.when(n.between(3, 30), 1.0).otherwise(0.7)
     return sections.groupBy(document).agg(n.alias("n_sections"), F.max("level").alias("max_level"), F.count_if(F.col("level") == 1).alias("n_roots"), F.round(F.least(numbered * 0.5 + levels * 0.3 + size * 0.2, F.lit(1.0)), 6).alias("confidence"))
 

@@ -51,16 +51,54 @@ def abstract(text: Column) -> Column:
     return T.clean_abstract(F.coalesce(headed, plain, first))
 
 
+# What begins an entry, on a line of its own and inside a line, and the words of a reference heading.
+ENTRY_LINE = r"^(\[\d+\]|\(\d+\)|\d+\.|\d+\)|[-•])\s+"
+ENTRY_INLINE = r"\[\d+\]|\(\d+\)|\d+\.\s"
+REFERENCE_WORDS = "references|bibliography|works cited"
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _parts(text: Column, pattern: str) -> Column:
+    """What stands between matches, stripped, if anything is left."""
+    return F.filter(F.transform(F.split(text, pattern, -1), _stripped), lambda x: x != "")
+
+
+def split_references(text: Column) -> Column:
+    """STR-29: the entries of a reference block: its paragraphs if there are several; else its lines, where those
+    without a marker go on with the entry before, or where all are over 30 characters; else what markers inside split;
+    else none."""
+    paragraphs = _parts(text, r"\r?\n\s*\r?\n+")
+    first = _stripped(F.regexp_replace(F.get(paragraphs, 0), rf"(?i)^\s*(?:{REFERENCE_WORDS})\s*:?\s*", ""))
+    paragraphs = F.filter(F.concat(F.array(first), F.slice(paragraphs, 2, F.greatest(F.size(paragraphs), F.lit(1)))), lambda x: x != "")
+    lines = _parts(text, r"\r?\n+")
+    marked = lambda x: x.rlike(ENTRY_LINE)
+    goes_on = lambda a, x: F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.concat(F.element_at(a, -1), F.lit(" "), x)))
+    merged = F.aggregate(lines, F.array().cast("array<string>"), lambda a, x: F.when(marked(x) | (F.size(a) == 0), F.concat(a, F.array(x))).otherwise(goes_on(a, x)))
+    inline = _parts(text, rf"(?={ENTRY_INLINE})")
+    several = F.size(lines) > 1
+    return (
+        F.when(F.size(paragraphs) > 1, paragraphs)
+        .when(several & F.exists(lines, marked), merged)
+        .when(several & F.forall(lines, lambda x: F.length(x) > 30), lines)
+        .when(F.size(inline) > 1, inline)
+        .otherwise(F.array().cast("array<string>"))
+    )
+
+
+def references(text: Column) -> Column:
+    """STR-30: the entries after the first word of a reference heading; if nothing splits them, lines over 20 characters."""
+    tail = _stripped(F.regexp_extract(text, rf"(?is)\b(?:{REFERENCE_WORDS})\b(.*)$", 1))
+    found = split_references(tail)
+    lines = F.filter(_parts(tail, r"\r?\n+"), lambda x: F.length(x) > 20)
+    return F.when(F.size(found) > 0, found).otherwise(lines)
+
+
 def reference_entries(docs: DataFrame, document: str, text: str = "text") -> DataFrame:
-    """STR-29, STR-30: (document, n, entry): the lines after the first reference heading; a line with a marker, such
-    as [3] or 3., starts an entry, others go on with it. Entries of up to 20 characters are dropped."""
-    lines = docs.select(document, F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
-    ahead = Window.partitionBy(document).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(document).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    inside = lines.withColumn("__in", F.max(T.is_reference_heading(F.col("line")).cast("int")).over(ahead)).filter("__in = 1 and trim(line) <> ''")
-    marked = inside.withColumn("n", F.sum(F.when(F.col("line").rlike(r"^\s*(?:\[\d+\]|\d+[.)])\s*\S"), 1).otherwise(0)).over(upto))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.trim("line").alias("l")))), lambda x: x["l"]), " ")
-    return marked.groupBy(document, "n").agg(joined.alias("entry")).filter(F.length("entry") > 20)
+    """STR-29, STR-30: (document, n, entry): the references at the end of each text, in order."""
+    return docs.select(document, F.posexplode(references(F.col(text))).alias("n", "entry")).withColumn("n", F.col("n").cast("long"))
 
 
 def missing_fields(fields: list[str]) -> Column:
@@ -73,10 +111,16 @@ def filled(current: dict[str, Column], found: dict[str, Column]) -> dict[str, Co
     return {k: F.coalesce(F.nullif(F.trim(c), F.lit("")), found[k]) for k, c in current.items()}
 
 
-def paper_properties(formulas: Column, pages: Column) -> Column:
-    """AGG-30: how mathematical a paper is by formulas a page and in all."""
-    rate = formulas / F.greatest(pages, F.lit(1))
-    return F.when((rate >= 2.0) | (formulas >= 10), "high").when((rate >= 1.0) | (formulas >= 5), "medium").when(rate >= 0.3, "low").otherwise("none")
+def paper_properties(formulas: Column, pages: Column, sections: Column) -> Column:
+    """AGG-30: struct<paper_type, difficulty, math_heavy> by formulas a page and in all, then by length."""
+    rate = F.when(pages > 0, formulas / pages).otherwise(0.0)
+    kind = lambda paper, difficulty, heavy: F.struct(F.lit(paper).alias("paper_type"), F.lit(difficulty).alias("difficulty"), F.lit(heavy).alias("math_heavy"))
+    return (
+        F.when(rate >= 2.0, kind("theoretical_research", "advanced", True))
+        .when((rate >= 1.0) | (formulas >= 10), kind("research_article", "intermediate", True))
+        .when((rate >= 0.3) | (formulas >= 5) | (pages > 20) | (sections > 10), kind("research_article", "intermediate", False))
+        .otherwise(kind("research_article", "beginner", False))
+    )
 
 
 def opening(text: Column, paragraphs: int = 3, most: int = 1200) -> Column:
@@ -85,7 +129,14 @@ def opening(text: Column, paragraphs: int = 3, most: int = 1200) -> Column:
     return F.substring(F.array_join(F.slice(parts, 1, paragraphs), "\n\n"), 1, most)
 
 
-def keyword_sections(sections: DataFrame, keywords: DataFrame, document: str, order: str, title: str = "title") -> DataFrame:
-    """ARR-17, TOP-10: for each document and keyword the first section whose title has it."""
-    met = sections.join(F.broadcast(keywords), F.contains(F.lower(title), "keyword"))
+def keyword_sections(sections: DataFrame, keywords: DataFrame, document: str, order: str, title: str = "title", most: int = 1000) -> DataFrame:
+    """ARR-17, TOP-10: for each document and keyword the first section whose title has it.
+
+    The keywords are a list of presets; more than ``most`` are an error, as each title is compared with each.
+    """
+    words = [r["keyword"] for r in keywords.select("keyword").distinct().limit(most + 1).collect()]
+    if len(words) > most:
+        raise ValueError(f"more than {most} keywords")
+    held = F.filter(F.array(*[F.lit(w) for w in words]).cast("array<string>"), lambda w: F.contains(F.lower(title), w))
+    met = sections.select("*", F.explode(held).alias("keyword"))
     return met.groupBy(document, "keyword").agg(F.min_by(F.struct(F.col(order).alias("idx"), F.col(title).alias("title")), F.col(order)).alias("x"), F.count("*").alias("n")).select(document, "keyword", "x.idx", "x.title", "n")

@@ -130,10 +130,36 @@ def readability(spark, sf_dir):
     return metadata.readability(lines(spark, sf_dir), "document_id")
 
 
-@query("reference_entries")
+# Documents as reference sections of four kinds: numbered lines, paragraphs, plain lines, and one line with numbers inside.
+REFERENCES_SQL = r"""WITH l AS (SELECT doc_id, trim(unnest(string_split(replace(text, chr(13), ''), chr(10)))) AS t, generate_subscripts(string_split(replace(text, chr(13), ''), chr(10)), 1) AS i FROM documents),
+k AS (SELECT doc_id, doc_id % 4 AS kind, i, regexp_replace(t, '[0-9()\[\]•-]', 'x', 'g') AS t FROM l WHERE t <> ''),
+m AS (SELECT doc_id, kind, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, t, count(*) OVER (PARTITION BY doc_id) AS lines, min(length(t)) OVER (PARTITION BY doc_id) AS shortest FROM k)"""
+
+
+@query(
+    "reference_entries",
+    REFERENCES_SQL
+    + r""", g AS (SELECT doc_id, n // 2 AS part, string_agg(CASE WHEN n % 2 = 0 THEN '[' || n || '] ' || t ELSE t END, ' ' ORDER BY n) AS entry FROM m WHERE kind = 0 AND lines > 1 GROUP BY ALL),
+e AS (
+  SELECT doc_id, part AS o, entry FROM g
+  UNION ALL SELECT doc_id, n, t FROM m WHERE kind = 1 AND lines > 1
+  UNION ALL SELECT doc_id, n, t FROM m WHERE kind = 2 AND lines > 1 AND (shortest > 30 OR length(t) > 20)
+  UNION ALL SELECT doc_id, n, '(' || n || ') ' || t FROM m WHERE kind = 3 AND lines > 1
+  UNION ALL SELECT doc_id, n, CASE WHEN kind = 3 THEN '(1) ' ELSE '' END || t FROM m WHERE lines = 1 AND length(CASE WHEN kind = 3 THEN '(1) ' ELSE '' END || t) > 20
+)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS n, entry FROM e""",
+)
 def reference_entries(spark, sf_dir):
-    """STR-29, STR-30, FIL-02, FIL-06."""
-    return metadata.reference_entries(table(spark, sf_dir, "documents"), "doc_id")
+    """STR-29, STR-30: documents as reference sections of four kinds."""
+    raw = F.filter(F.transform(F.split(F.replace(F.col("text"), F.lit("\r"), F.lit("")), "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.transform(raw, lambda x: F.regexp_replace(x, r"[0-9()\[\]•-]", "x"))
+    number = lambda i: (i + 1).cast("string")
+    numbered = F.transform(lines, lambda x, i: F.when((i + 1) % 2 == 0, F.concat(F.lit("["), number(i), F.lit("] "), x)).otherwise(x))
+    inside = F.transform(lines, lambda x, i: F.concat(F.lit("("), number(i), F.lit(") "), x))
+    kind = F.col("doc_id") % 4
+    body = F.when(kind == 0, F.array_join(numbered, "\n")).when(kind == 1, F.array_join(lines, "\n\n")).when(kind == 2, F.array_join(lines, "\n")).otherwise(F.array_join(inside, " "))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Before it.\nReferences\n"), body).alias("text"))
+    return metadata.reference_entries(docs, "doc_id")
 
 
 @query(
@@ -150,12 +176,14 @@ def coverage(spark, sf_dir):
 
 @query(
     "paper_properties",
-    r"""SELECT doc_id, CASE WHEN f / greatest(p, 1) >= 2.0 OR f >= 10 THEN 'high' WHEN f / greatest(p, 1) >= 1.0 OR f >= 5 THEN 'medium' WHEN f / greatest(p, 1) >= 0.3 THEN 'low' ELSE 'none' END AS mathematics
-FROM (SELECT doc_id, len(regexp_extract_all(text, '[0-9]+')) AS f, len(string_split(text, chr(10))) AS p FROM documents)""",
+    r"""SELECT doc_id, CASE WHEN r >= 2 THEN 'theoretical_research' ELSE 'research_article' END AS paper_type,
+CASE WHEN r >= 2 THEN 'advanced' WHEN r >= 0.3 OR f >= 5 OR p > 20 OR s > 10 THEN 'intermediate' ELSE 'beginner' END AS difficulty, r >= 1 OR f >= 10 AS math_heavy
+FROM (SELECT *, f / p AS r FROM (SELECT doc_id, len(regexp_extract_all(text, '[0-9]+')) AS f, len(string_split(text, chr(10))) AS p, len(regexp_extract_all(text, '[.]')) // 10 AS s FROM documents))""",
 )
 def paper_properties(spark, sf_dir):
-    """AGG-30: numbers stand for formulas, lines for pages."""
-    return table(spark, sf_dir, "documents").select("doc_id", metadata.paper_properties(F.regexp_count("text", F.lit("[0-9]+")), F.size(F.split("text", "\n"))).alias("mathematics"))
+    """AGG-30: numbers stand for formulas, lines for pages, ten full stops for a section."""
+    found = metadata.paper_properties(F.regexp_count("text", F.lit("[0-9]+")), F.size(F.split("text", "\n")), F.floor(F.regexp_count("text", F.lit("[.]")) / 10))
+    return table(spark, sf_dir, "documents").select("doc_id", found.alias("x")).select("doc_id", "x.*")
 
 
 @query(

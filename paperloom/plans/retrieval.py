@@ -25,9 +25,13 @@ def _ranked(gain: str, k: int) -> str:
   (SELECT item_id, doc_id, round(sum({gain}), 6) AS score FROM asked JOIN ix USING (term) GROUP BY item_id, doc_id)) WHERE rank <= {k})"""
 
 
+def _searches(spark: SparkSession, sf_dir: str, k: int) -> list[DataFrame]:
+    """Two ranked lists from one pass: by weight, and by weight times idf."""
+    return bm25.search_texts(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "benchmark"), "item_id", k, (False, True))
+
+
 def _search(spark: SparkSession, sf_dir: str, k: int, squared: bool = False) -> DataFrame:
-    indexed = bm25.index(table(spark, sf_dir, "documents"), "doc_id")
-    return bm25.search(indexed, "doc_id", table(spark, sf_dir, "benchmark"), "item_id", k, squared_idf=squared)
+    return bm25.search_texts(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "benchmark"), "item_id", k, (squared,))[0]
 
 
 @query("bm25_topk", f"WITH {INDEX_SQL} SELECT item_id, doc_id, score, rank::INT AS rank FROM {_ranked('weight', 5)}")
@@ -86,7 +90,7 @@ SELECT item_id, doc_id, score, rank::INT AS rank FROM (SELECT *, row_number() OV
 )
 def rrf_fusion(spark, sf_dir):
     """WIN-01, RET-05: two ranked lists fused by reciprocal ranks."""
-    return fusion.reciprocal_rank_fusion([_search(spark, sf_dir, 20), _search(spark, sf_dir, 20, True)], "item_id", "doc_id", 10)
+    return fusion.reciprocal_rank_fusion(_searches(spark, sf_dir, 20), "item_id", "doc_id", 10)
 
 
 @query(
@@ -119,8 +123,7 @@ SELECT item_id, doc_id, score, rank::INT AS rank, stage FROM (SELECT *, row_numb
 )
 def merged_best_per_key(spark, sf_dir):
     """WIN-14, SET-01: two lists in one; a document's higher score stays."""
-    a = _search(spark, sf_dir, 10).withColumn("stage", F.lit(0))
-    b = _search(spark, sf_dir, 10, True).withColumn("stage", F.lit(1))
+    a, b = (found.withColumn("stage", F.lit(stage)) for stage, found in enumerate(_searches(spark, sf_dir, 10)))
     return fusion.best_per_key(a.unionByName(b), ["item_id", "doc_id"], "score", "stage")
 
 
@@ -211,7 +214,8 @@ SELECT config, n, hit_rate, mrr, round(mrr - (SELECT mrr FROM m WHERE config = '
 )
 def ablation_means(spark, sf_dir):
     """AGG-08, AGG-09, RET-13: two configurations side by side; a document that holds the item's first line is relevant."""
-    runs = _search(spark, sf_dir, 10).withColumn("config", F.lit("bm25")).unionByName(_search(spark, sf_dir, 10, True).withColumn("config", F.lit("squared_idf")))
+    plain, squared = _searches(spark, sf_dir, 10)
+    runs = plain.withColumn("config", F.lit("bm25")).unionByName(squared.withColumn("config", F.lit("squared_idf")))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
     items = table(spark, sf_dir, "benchmark").select("item_id", F.split("text", "\n")[0].alias("line"))
     first = runs.join(docs, "doc_id").join(items, "item_id").groupBy("config", "item_id").agg(F.min(F.when(F.contains("body", "line"), F.col("rank"))).alias("first"))

@@ -5,6 +5,7 @@ Headings are the short lines of documents; see ``tables.sections``.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
@@ -81,7 +82,7 @@ def page_ends(spark, sf_dir):
 
 
 @query("hierarchy_confidence", f"""WITH {SECTIONS_SQL} SELECT document_id, count(*)::BIGINT AS n_sections, max(level) AS max_level, (count(*) FILTER (level = 1))::BIGINT AS n_roots,
-round(least(avg((numbering IS NOT NULL)::INT) * 0.5::DOUBLE + (CASE WHEN max(level) BETWEEN 1 AND 6 THEN 1.0 ELSE 0.5 END)::DOUBLE * 0.3::DOUBLE + (CASE WHEN count(*) BETWEEN 3 AND 30 THEN 1.0 ELSE 0.7 END)::DOUBLE * 0.2::DOUBLE, 1.0), 6) AS confidence FROM sections GROUP BY document_id""")
+round(least(avg((numbering IS NOT NULL)::INT) * 0.5::DOUBLE + (CASE WHEN bool_and(level BETWEEN 1 AND 6) THEN 1.0 ELSE 0.5 END)::DOUBLE * 0.3::DOUBLE + (CASE WHEN count(*) BETWEEN 3 AND 30 THEN 1.0 ELSE 0.7 END)::DOUBLE * 0.2::DOUBLE, 1.0), 6) AS confidence FROM sections GROUP BY document_id""")
 def hierarchy_confidence(spark, sf_dir):
     """AGG-22, AGG-25."""
     return hierarchy.hierarchy_confidence(sections(spark, sf_dir))
@@ -164,7 +165,6 @@ def cross_references(spark, sf_dir):
 SELECT e.document_id, e.idx, e.page, section_idx, page_start, page_end FROM e JOIN r ON r.document_id = e.document_id AND e.page BETWEEN page_start AND coalesce(page_end, page_start)""")
 def page_elements(spark, sf_dir):
     """JON-05, JON-06, CHK-09."""
-    from pyspark.sql import Window
 
     ranges = sections(spark, sf_dir).select("document_id", F.col("idx").alias("section_idx"), F.col("page").alias("page_start"), F.lead("page").over(Window.partitionBy("document_id").orderBy("idx")).alias("page_end"))
     return hierarchy.page_range_join(lines(spark, sf_dir).select("document_id", "idx", F.floor(F.col("idx") / 4).cast("long").alias("page")), ranges)
@@ -267,18 +267,25 @@ def section_numbers(spark, sf_dir):
     return elements.section_maps(sections(spark, sf_dir), F.col("title"))
 
 
-@query("resolved_blocks", f"""WITH {SECTIONS_SQL}, s AS (SELECT document_id, document_id || '_' || idx AS section_id, lower(title) AS key, page AS page_start, page + 1 AS page_end, idx AS reading_order FROM sections),
-b AS (SELECT document_id, idx AS id, CASE WHEN idx % 2 = 0 THEN document_id || '_' || idx END AS section_id, lower(title) AS want, page + idx % 3 AS page FROM sections),
-k AS (SELECT document_id, section_id, trim(regexp_replace(regexp_replace(key, '^\\s*\\d+(?:\\.\\d+)*\\s*[:.)-]?\\s*', ''), '\\s+', ' ', 'g'), ' ') AS key, page_start, page_end, reading_order FROM s),
-w AS (SELECT document_id, id, section_id, trim(regexp_replace(regexp_replace(want, '^\\s*\\d+(?:\\.\\d+)*\\s*[:.)-]?\\s*', ''), '\\s+', ' ', 'g'), ' ') AS want, page FROM b),
-n AS (SELECT w.document_id, w.id, k.section_id AS by_title FROM w JOIN k ON k.document_id = w.document_id AND k.key = w.want AND w.want <> '' QUALIFY row_number() OVER (PARTITION BY w.document_id, w.id ORDER BY NOT (w.page BETWEEN page_start AND page_end), reading_order, k.section_id) = 1)
+KEY_SQL = "trim(regexp_replace(regexp_replace(lower({0}), '^\\s*\\d+(?:\\.\\d+)*\\s*[:.)-]?\\s*', ''), '\\s+', ' ', 'g'), ' ')"
+
+
+@query("resolved_blocks", f"""WITH {SECTIONS_SQL}, s AS (SELECT document_id, document_id || '_' || idx AS section_id, {KEY_SQL.format('title')} AS key, page AS page_start, CASE WHEN idx % 4 > 0 THEN page + 1 END AS page_end, idx AS reading_order FROM sections),
+n1 AS (SELECT document_id, idx AS id, lead(title) OVER (PARTITION BY document_id ORDER BY idx) AS text, title, page + idx % 3 AS page, idx FROM sections),
+b AS (SELECT document_id, id, CASE WHEN id % 2 = 0 THEN document_id || '_' || idx END AS section_id, {KEY_SQL.format("coalesce(text, '')")} AS k1, {KEY_SQL.format('title')} AS k2, page FROM n1),
+c AS (SELECT DISTINCT b.document_id, b.id, b.page, s.section_id, s.reading_order, coalesce(b.page >= page_start AND (page_end IS NULL OR b.page <= page_end), false) AS held
+  FROM b JOIN s ON s.document_id = b.document_id AND s.key <> '' AND s.key IN (b.k1, b.k2)),
+r AS (SELECT * FROM (SELECT *, bool_or(held) OVER (PARTITION BY document_id, id) AS any_held FROM c) WHERE held OR NOT any_held),
+n AS (SELECT document_id, id, section_id AS by_title FROM r QUALIFY row_number() OVER (PARTITION BY document_id, id ORDER BY reading_order, section_id) = 1)
 SELECT b.document_id, b.id, coalesce(s.section_id, n.by_title) AS resolved_id FROM b LEFT JOIN s ON s.document_id = b.document_id AND s.section_id = b.section_id LEFT JOIN n ON n.document_id = b.document_id AND n.id = b.id""")
 def resolved_blocks(spark, sf_dir):
-    """JON-09: every second heading has an id, the others a title alone."""
+    """JON-09: every second heading has an id; the others have the next heading as their text and their own as their
+    section's title. Every fourth section has no end."""
     rows = sections(spark, sf_dir)
     name = F.concat_ws("_", F.col("document_id").cast("string"), F.col("idx").cast("string"))
-    known = rows.select("document_id", name.alias("section_id"), "title", F.col("page").alias("page_start"), (F.col("page") + 1).alias("page_end"), F.col("idx").alias("reading_order"))
-    blocks = rows.select("document_id", F.col("idx").alias("id"), F.when(F.col("idx") % 2 == 0, name).alias("section_id"), F.col("title").alias("section_title"), (F.col("page") + F.col("idx") % 3).alias("page"))
+    known = rows.select("document_id", name.alias("section_id"), "title", F.col("page").alias("page_start"), F.when(F.col("idx") % 4 > 0, F.col("page") + 1).alias("page_end"), F.col("idx").alias("reading_order"))
+    following = F.lead("title").over(Window.partitionBy("document_id").orderBy("idx"))
+    blocks = rows.select("document_id", F.col("idx").alias("id"), F.when(F.col("idx") % 2 == 0, name).alias("section_id"), following.alias("text"), F.col("title").alias("section_title"), (F.col("page") + F.col("idx") % 3).alias("page"))
     return elements.resolve_blocks(blocks, known).select("document_id", "id", "resolved_id")
 
 
@@ -292,16 +299,17 @@ def visual_ids(spark, sf_dir):
     return elements.visual_ids(rows).select("document_id", shown(F.col("figures")).alias("figures"), shown(F.col("tables")).alias("tables"))
 
 
-@query("title_mismatches", f"""WITH {CARRIED_SQL}, k AS (SELECT document_id, idx AS chunk_id, heading, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS t FROM c),
-a AS (SELECT document_id, chunk_id, chunk_id::VARCHAR AS section_title, substring(t, 1, 96) AS p FROM k),
-m AS (SELECT a.document_id, a.chunk_id, section_title, arg_min(coalesce(heading::VARCHAR, ''), k.chunk_id) AS heading FROM a JOIN k ON k.document_id = a.document_id AND contains(k.t, a.p) GROUP BY ALL)
-SELECT document_id, chunk_id, section_title, nullif(heading, '') AS heading FROM m WHERE section_title IS DISTINCT FROM nullif(heading, '')""")
+@query("title_mismatches", f"""WITH {CARRIED_SQL}, k AS (SELECT document_id, idx, coalesce(heading::VARCHAR, '') AS heading, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS t FROM c),
+q AS (SELECT document_id, idx // 2 AS chunk_id, string_agg(t, ' ' ORDER BY idx) AS content, 'Part ' || (max(idx) // 3) AS section_title FROM k GROUP BY ALL),
+m AS (SELECT q.document_id, q.chunk_id, section_title, arg_min('Part ' || heading, k.idx) AS heading, arg_min(heading, k.idx) AS plain FROM q JOIN k ON k.document_id = q.document_id AND length(k.t) >= 24 AND length(content) >= 24 AND contains(q.content, substring(k.t, 1, 96)) GROUP BY ALL)
+SELECT document_id, chunk_id, section_title, heading FROM m WHERE plain <> '' AND lower(section_title) <> lower(heading)""")
 def title_mismatches(spark, sf_dir):
-    """ARR-19: lines as chunks that name their own place as their section."""
-    rows = _carried(spark, sf_dir).select("document_id", "idx", "text", F.coalesce(F.col("heading").cast("string"), F.lit("")).alias("heading"))
-    chunks = rows.select("document_id", F.col("idx").alias("chunk_id"), F.col("idx").cast("string").alias("section_title"), F.col("text").alias("content"))
-    found = elements.title_mismatches(chunks, rows).withColumn("heading", F.nullif("heading", F.lit("")))
-    return found.filter(~F.col("section_title").eqNullSafe(F.col("heading"))).select("document_id", "chunk_id", "section_title", "heading")
+    """ARR-19: two lines are a chunk, and each line a block with the heading that is carried to it."""
+    rows = _carried(spark, sf_dir).select("document_id", "idx", "text", F.coalesce(F.col("heading").cast("string"), F.lit("")).alias("place"))
+    blocks = rows.select("document_id", "idx", "text", F.when(F.col("place") != "", F.concat(F.lit("Part "), "place")).otherwise("").alias("heading"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", T.collapsed(F.col("text")).alias("t")))), lambda x: x["t"]), " ")
+    chunks = rows.groupBy("document_id", F.floor(F.col("idx") / 2).cast("long").alias("chunk_id")).agg(joined.alias("content"), F.concat(F.lit("Part "), F.floor(F.max("idx") / 3).cast("long").cast("string")).alias("section_title")).withColumn("content_type", F.lit("text"))
+    return elements.title_mismatches(chunks, blocks).select("document_id", "chunk_id", "section_title", "heading")
 
 
 @query("range_texts", f"""WITH {SECTIONS_SQL}, p AS (SELECT document_id, idx // 4 AS page, string_agg(text, chr(10) ORDER BY idx) AS text FROM lines GROUP BY ALL)

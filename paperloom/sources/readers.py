@@ -145,3 +145,19 @@ def cached(found: DataFrame, cache: DataFrame) -> DataFrame:
     """SRC-17: files with what the cache has for their hash, null where it has nothing or nothing that parses."""
     held = cache.select("sha256", F.try_parse_json("payload").alias("payload")).filter("payload is not null").dropDuplicates(["sha256"])
     return found.join(held, "sha256", "left")
+
+
+def bm25_model(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-15: a stored model as ``bm25.weigh`` takes it: (term, df, idf, avgdl)."""
+    return spark.read.parquet(f"{path}/terms").crossJoin(F.broadcast(spark.read.parquet(f"{path}/stats").select("avgdl")))
+
+
+def chunk_index(spark: SparkSession, path: str, document: str = "document_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """SNK-12, RET-06: (chunks, postings, statistics) of an index: of each document the newest batch that is whole."""
+    from paperloom.operators import bm25
+
+    stored = spark.read.option("basePath", f"{path}/chunks").parquet(f"{path}/chunks")
+    newest = stored.groupBy(document).agg(F.max("batch").alias("batch"))
+    chunks = stored.join(newest, [document, "batch"], "left_semi")
+    postings = spark.read.option("basePath", f"{path}/postings").parquet(f"{path}/postings").join(newest, [document, "batch"], "left_semi")
+    return chunks.drop("batch"), postings.drop("batch"), bm25.statistics(chunks, "content")

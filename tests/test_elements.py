@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.operators import answering, chunking, elements, hierarchy
+from paperloom.operators import answering, bm25, chunking, elements, hierarchy, metadata
 from paperloom.sources import readers, writers
 
 
@@ -19,8 +19,13 @@ def test_focus_merged_nested(spark):
     near = blocks.select("document_id", F.lit(0).alias("section_idx"), "idx", "text").filter("idx < 2")
     tagged = blocks.select("document_id", F.lit(0).alias("section_idx"), "idx", "text").filter("idx in (1, 3)")
     assert elements.merged_texts(near, tagged).first()["section_text"] == "a\n\nb\n\nc"
-    tree = spark.createDataFrame([("d", [("A", [("A1",), ("A2",)]), ("B", [])])], "document_id string, sections array<struct<title:string,children:array<struct<title:string>>>>")
-    assert rows(elements.nested(tree).select("path", "title"), "path") == [([0], "A"), ([0, 0], "A1"), ([0, 1], "A2"), ([1], "B")]
+    leaf = "struct<title:string>"
+    for _ in range(3):
+        leaf = f"struct<title:string,sections:array<{leaf}>>"
+    tree = spark.createDataFrame([("d", [("A", [("A1", [("A1a", [("deep",)])]), (" B ", [])]), ("B", []), ("", [])])], f"document_id string, sections array<{leaf}>")
+    flat = elements.nested(tree)
+    assert rows(flat.select("path", "title"), "path") == [([0], "A"), ([0, 0], "A1"), ([0, 0, 0], "A1a"), ([0, 0, 0, 0], "deep"), ([0, 1], " B "), ([1], "B"), ([2], "")]
+    assert elements.distinct_headings(flat).first()["headings"] == ["A", "A1", "A1a", "deep", "B"]
     assert rows(elements.of_document(blocks, "idx", 3).select("text")) == [("c",)]
     assert rows(elements.first_in_order(blocks, ["document_id"], "idx").select("idx")) == [(0,)]
 
@@ -54,8 +59,11 @@ def test_small_answers(spark):
     value = lambda c: one.select(c.alias("x")).first()["x"]
     assert value(T.relevance_map(F.lit('so: {"1": true, "2": false}'))) == {"1": True, "2": False} and value(T.relevance_map(F.lit("no"))) is None
     assert [value(answering.guide_status(F.lit(s).cast("string"), F.lit(p).cast("string"))) for s, p in ((None, None), ("failed", "{}"), (None, '{"a": 1}'), (None, "{}"))] == ["missing", "failed", "ready", "pending"]
-    assert value(answering.step_questions(F.array(F.lit(" a  b "), F.lit(""), F.lit("c"), F.lit("d")), F.lit("T"))) == ["a b", "c"]
-    assert len(value(answering.step_questions(F.array().cast("array<string>"), F.lit("T")))) == 2
+    step = lambda questions, places, objective, expected: value(answering.step_questions(F.lit(questions).cast("array<string>"), F.lit(places).cast("array<string>"), F.lit(objective).cast("string"), F.lit(expected).cast("string")))
+    assert step([" a ", "", "a", "b"], ["S"], "o", None) == ["a", "a"]
+    assert step([], ["S", "T"], " o ", "e") == ["What is the main takeaway from S?", "How does S help with: o?"]
+    assert step(None, None, " ", "e") == ["What is the main takeaway from this section?", "What should you be able to explain after reading this section?"]
+    assert step([" "], [], None, None) == ["What is the main takeaway from this section?"]
     assert value(answering.joined_references(F.array(F.lit(" r1 "), F.lit("r2"), F.lit("r1"), F.lit("")))) == "r1\nr2"
     assert value(answering.is_reference_result(F.lit("A Bibliography"))) and not value(answering.is_reference_result(F.lit(None).cast("string")))
     assert value(answering.is_rate_limit(F.lit("Error 429: Too Many Requests")))
@@ -89,20 +97,81 @@ def test_pages_elements_bundles(spark, tmp_path):
 
 
 def test_writers(spark, tmp_path):
-    text = " ".join(f"Sentence number {k} has some words in it." for k in range(60))
-    docs = spark.createDataFrame([("a", text), ("b", text[:900])], "document_id string, text string")
-    writers.index_documents(docs, f"{tmp_path}/index")
-    chunks = spark.read.parquet(f"{tmp_path}/index/chunks")
-    n = chunks.count()
-    assert chunks.select("point_id").distinct().count() == n > 4
-    writers.index_documents(docs.filter("document_id = 'a'"), f"{tmp_path}/index")
-    assert spark.read.parquet(f"{tmp_path}/index/chunks").count() == n
+    docs = spark.createDataFrame([("a", "one"), ("b", "two")], "document_id string, text string")
     hits = spark.createDataFrame([("q", 2, "c2", "two"), ("q", 1, "c1", "one")], "q string, rank int, chunk_id string, content string")
     writers.dataset(spark.createDataFrame([("q", "step 1"), ("r", "step 2")], "q string, step string"), hits, "q", f"{tmp_path}/set")
     lines = [json.loads(x) for p in (tmp_path / "set").glob("*.json") for x in p.read_text().splitlines()]
     assert {x["q"]: x.get("chunk_ids") for x in lines} == {"q": ["c1", "c2"], "r": None}
     writers.artifacts(docs, f"{tmp_path}/art")
-    assert spark.read.json(f"{tmp_path}/art").count() == 2
+    writers.artifacts(docs.filter("document_id = 'a'").withColumn("text", F.lit("new")), f"{tmp_path}/art")
+    assert rows(spark.read.json(f"{tmp_path}/art").select("document_id", "text"), "document_id") == [("a", "new"), ("b", "two")]
+
+
+def test_indexing_in_several_calls_equals_one(spark, tmp_path):
+    text = lambda w, n: " ".join(f"Sentence number {k} about {w} has some words in it." for k in range(n))
+    docs = spark.createDataFrame([("a", text("apples", 60)), ("b", text("pears", 9)), ("c", text("plums", 30)), (None, text("nobody", 9)), ("d", "")], "document_id string, text string")
+    writers.index_documents(docs, f"{tmp_path}/once")
+    for ids in ("document_id = 'a'", "document_id in ('a', 'b')", "true", "true"):
+        writers.index_documents(docs.filter(ids), f"{tmp_path}/many")
+    (spark.createDataFrame([("a", 0, "torn", 1, 1)], "document_id string, chunk_index long, term string, tf long, length int").write.parquet(f"{tmp_path}/many/postings/batch=99999999999999999999-torn"))
+
+    def held(path):
+        chunks, postings, stats = readers.chunk_index(spark, path)
+        counts = postings.withColumn("chunk", F.concat_ws(":", "document_id", "chunk_index"))
+        weights = bm25.weigh(counts, bm25.model(counts, stats), "chunk")
+        return sorted(map(str, chunks.collect())), sorted((r["chunk"], r["term"], round(r["weight"], 9)) for r in weights.collect()), stats.first()
+
+    once = held(f"{tmp_path}/once")
+    assert once == held(f"{tmp_path}/many") and once[2]["n_docs"] == len(once[0]) > 4
+    assert not list(tmp_path.glob("*.new-*"))
+    whole = bm25.index(readers.chunk_index(spark, f"{tmp_path}/once")[0].select(F.concat_ws(":", "document_id", "chunk_index").alias("chunk"), F.col("content").alias("text")), "chunk")
+    assert sorted((r["chunk"], r["term"], round(r["weight"], 9)) for r in whole.collect()) == once[1]
+    writers.index_documents(spark.createDataFrame([("a", text("cherries", 9))], docs.schema), f"{tmp_path}/many", force=True)
+    assert {r["content"].count("apples") for r in readers.chunk_index(spark, f"{tmp_path}/many")[0].filter("document_id = 'a'").collect()} == {0}
+
+
+def test_model_is_loaded_again(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red fox red"), (2, "blue fox"), (3, "green grass")], "d long, text string")
+    counts, stats = bm25.term_counts(docs, "d"), bm25.statistics(docs)
+    writers.bm25_model(bm25.model(counts, stats), stats, f"{tmp_path}/model")
+    known = readers.bm25_model(spark, f"{tmp_path}/model")
+    weights = lambda df: sorted((r["d"], r["term"], round(r["weight"], 12)) for r in df.collect())
+    assert weights(bm25.weigh(counts, known, "d")) == weights(bm25.index(docs, "d"))
+    new = bm25.term_counts(spark.createDataFrame([(9, "red unknown")], "d long, text string"), "d")
+    assert [x[:2] for x in weights(bm25.weigh(new, known, "d"))] == [(9, "red")]
+    assert spark.read.parquet(f"{tmp_path}/model/stats").first().asDict() == {"n_docs": 3, "avgdl": 7 / 3, "k1": 1.5, "b": 0.75}
+
+
+def test_blocks_find_their_sections(spark):
+    sections = spark.createDataFrame([("d", "s1", "1. Methods", 1, 2, 5), ("d", "s2", "Methods", 4, None, 6), ("d", "s3", "Results", 3, 3, 7), ("e", "s4", "Methods", 1, 1, 0)], "document_id string, section_id string, title string, page_start int, page_end int, reading_order int")
+    blocks = [("d", 1, "s3", "x", "Methods", 1), ("d", 2, "gone", "methods", None, 9), ("d", 3, None, "2) Results", "Methods", 2), ("d", 4, None, "x", "Methods", 3), ("d", 5, None, "x", "Methods", None), ("d", 6, None, "x", "Other", 1), ("d", 7, None, "Results", "none", 1)]
+    got = elements.resolve_blocks(spark.createDataFrame(blocks, "document_id string, id int, section_id string, text string, section_title string, page int"), sections)
+    assert {r["id"]: r["resolved_id"] for r in got.collect()} == {1: "s3", 2: "s2", 3: "s1", 4: "s1", 5: "s1", 6: None, 7: "s3"}
+
+
+def test_titles_that_do_not_match_their_blocks(spark):
+    long = "this block has more than twenty four characters"
+    chunks = spark.createDataFrame([("d", 1, f"before {long}  after", "2.1 Data", "text"), ("d", 2, f"{long} again", "Other", "text"), ("d", 3, f"{long}", "Other", "table"), ("d", 4, "short", "Other", "text"), ("d", 5, "nothing of any block is in this chunk", "Other", "text")], "document_id string, chunk_id int, content string, section_title string, content_type string")
+    blocks = spark.createDataFrame([("d", 0, "short", "Wrong"), ("d", 1, f" {long} ", "DATA"), ("d", 2, long, "Late")], "document_id string, idx int, text string, heading string")
+    assert rows(elements.title_mismatches(chunks, blocks)) == [("d", 2, "Other", "DATA")]
+
+
+def test_paper_properties(spark):
+    cases = [(20, 10, 0), (10, 100, 0), (5, 5, 0), (5, 100, 0), (3, 10, 0), (0, 21, 0), (0, 5, 11), (0, 5, 10), (9, 0, 0), (10, 0, 0)]
+    got = spark.createDataFrame(cases, "f int, p int, s int").select(metadata.paper_properties(F.col("f"), F.col("p"), F.col("s")).alias("x")).collect()
+    assert [tuple(r["x"])[1:] for r in got] == [("advanced", True), ("intermediate", True), ("intermediate", True), ("intermediate", False), ("intermediate", False), ("intermediate", False), ("intermediate", False), ("beginner", False), ("intermediate", False), ("intermediate", True)]
+    assert got[0]["x"]["paper_type"] == "theoretical_research" and got[1]["x"]["paper_type"] == "research_article"
+
+
+def test_reference_blocks(spark):
+    split = lambda t: spark.range(1).select(metadata.split_references(F.lit(t)).alias("x")).first()["x"]
+    assert split("References:\n\n[1] One.\n\n[2] Two.") == ["[1] One.", "[2] Two."]
+    assert split("[1] One\ngoes on\n(2) Two\n3. Three\n4) Four\n- Five\n• Six") == ["[1] One goes on", "(2) Two", "3. Three", "4) Four", "- Five", "• Six"]
+    assert split("head\n[1] One") == ["head", "[1] One"]
+    assert split(f"{'a' * 31}\n{'b' * 31}") == ["a" * 31, "b" * 31] and split(f"{'a' * 31}\nb") == []
+    assert split("[1] One. [2] Two. (3) Three.") == ["[1] One.", "[2] Two.", "(3) Three."] and split("one") == []
+    docs = spark.createDataFrame([(1, "See it. BIBLIOGRAPHY\n" + "x" * 25 + "\nshort"), (2, "no such heading"), (3, None), (4, "References")], "d long, text string")
+    assert [tuple(r) for r in metadata.reference_entries(docs, "d").collect()] == [(1, 0, "x" * 25)]
 
 
 def test_visual_and_paper_chunks(spark):

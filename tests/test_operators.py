@@ -103,6 +103,16 @@ def test_bm25_by_hand(spark):
     assert rows(found.select("i", "d", "rank"), "rank") == [(7, 1, 1), (7, 2, 2)]
 
 
+def test_bm25_on_asked_terms(spark, monkeypatch):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(k, " ".join(rng.choices("abcdefgh", k=rng.randrange(12)))) for k in range(80)] + [(99, None)], "d long, text string")
+    asked = spark.createDataFrame([(1, "a b"), (2, "c z"), (3, "z"), (4, "h h g")], "i long, text string")
+    want = [rows(bm25.search(bm25.index(docs, "d"), "d", asked, "i", 9, squared_idf=s), "i", "rank") for s in (False, True)]
+    for most in (bm25.BROADCAST_TERMS, 1):
+        monkeypatch.setattr(bm25, "BROADCAST_TERMS", most)
+        assert [rows(x, "i", "rank") for x in bm25.search_texts(docs, "d", asked, "i", 9, (False, True))] == want
+
+
 def test_cosine_blocks(spark, monkeypatch):
     rng = random.Random(2)
     data = [(k, [rng.gauss(0, 1) for _ in range(8)]) for k in range(60)] + [(60, None), (61, [0.0] * 8)]
