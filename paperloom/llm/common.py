@@ -12,20 +12,38 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables that an operator writes, which driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where neither that setting nor a checkpoint folder exists (tests) is a temporary folder used.
+    Only on a local master, where there is one machine, may a temporary folder stand in for it.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tables-")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder for tables that an operator writes."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tables-")
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int, how: str = "inner", salts: int = 32, most: int = 1000) -> DataFrame:
+    """``left`` joined to ``right`` (one row a key, none null) on ``keys``; hot keys are spread over ``salts`` tasks.
+
+    Column ``n`` of ``right`` tells how many rows of ``left`` have the key, ``total`` how many rows there are. A key is
+    hot if it has more than one in ``most`` of them, so fewer than ``most`` keys are, and only these are broadcast.
+    """
+    hot = F.col(n) * most > total
+    heavy = F.broadcast(right.filter(hot).select(*keys, F.lit(True).alias("__hot")))
+    own = left.join(heavy, keys, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts))).otherwise(0).cast("int")).drop("__hot")
+    other = right.withColumn("__salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return own.join(other, [*keys, "__salt"], how).drop("__salt")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,3 +1,8 @@
+import math
+import random
+import re
+from itertools import pairwise
+
 from pyspark.sql import functions as F
 
 from paperloom.llm import url_tree
@@ -47,31 +52,118 @@ def test_hosts_paths_and_rules(spark):
         assert verdict in ("allow", "block") and (not found or verdict == found[1])
 
 
-def test_brute_force_templates(spark):
-    """Purity of every page from counts of its template, by hand."""
-    rows = [(k, f"https://shop.com/{('fr', 'de', 'en')[k % 3]}/item{k}") for k in range(90)] + [(100 + k, f"https://blog.shop.com/p{k}/x") for k in range(40)]
+def shape(segment):
+    segment = re.sub("[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "{u}", segment, flags=re.I)
+    segment = re.sub(r"(?<![0-9a-z])(?=[a-f]*[0-9])[0-9a-f]{12,}(?![0-9a-z])", "{x}", segment, flags=re.I)
+    return re.sub("[0-9]+", "{n}", segment)
+
+
+def tree(pages):
+    """page -> (template, purity) of (page, host, path, label or None), one node after another in plain Python."""
+    known = [x for *_, x in pages if x is not None]
+    prior = (sum(known) + 1) / (len(known) + 2) if known else 1.0
+    out = {}
+
+    def share(rows, above):
+        own = [x for *_, x in rows if x is not None]
+        return (sum(own) + above * 2) / (len(own) + 2)
+
+    def node(rows, done, above):
+        purity = share(rows, above)
+        ends = [r for r in rows if len(r[1]) == len(done)]
+        for page, *_ in ends:
+            out[page] = ("/".join(done), purity)
+        branches = {}
+        for r in rows:
+            if len(r[1]) > len(done):
+                branches.setdefault(r[1][len(done)], []).append(r)
+        n = sum(map(len, branches.values()))
+        groups = {}
+        for name, own in branches.items():
+            groups.setdefault("*" if len(branches) > 16 and len(own) * 10 < n else name, []).extend(own)
+        clusters, silent = [], []
+        for name, own in groups.items():
+            labels = [x for *_, x in own if x is not None]
+            if labels:
+                clusters.append(([name], sum(labels), len(labels)))
+            else:
+                silent.append(name)
+        clusters.sort(key=lambda c: (c[1] / c[2], c[0]))
+        while len(clusters) > 1:
+            apart = []
+            for (_, g, a), (_, h, b) in pairwise(clusters):
+                both = (g + h) / (a + b)
+                error = math.sqrt(both * (1 - both) * (1 / a + 1 / b))
+                apart.append(abs(g / a - h / b) / error if error else 0.0)
+            k = apart.index(min(apart))
+            if apart[k] > 2:
+                break
+            (x, g, a), (y, h, b) = clusters[k : k + 2]
+            clusters[k : k + 2] = [(x + y, g + h, a + b)]
+        for names in [c[0] for c in clusters] + [silent] * bool(silent):
+            label = names[0] if len(names) == 1 else "*" if "*" in names else f"({'|'.join(sorted(names))})"
+            node([r for name in names for r in groups[name]], [*done, label], purity)
+
+    for host in {h for _, h, _, _ in pages}:
+        rows = []
+        for page, h, path, label in pages:
+            if h == host:
+                parts = shape(path).removeprefix("/").split("/")
+                rows.append((page, parts if len(parts) <= 6 else [*parts[:5], "/".join(parts[5:])], label))
+        node(rows, [], prior)
+    return out
+
+
+def held_against_brute_force(spark, rows):
     got = url_tree.judge(frame(spark, rows)).collect()
-    labels = {r["page_id"]: {"com/fr/": 1, "com/de/": 0}.get(r["rule"]) for r in got}
-    known = [x for x in labels.values() if x is not None]
-    prior = (sum(known) + 1) / (len(known) + 2)
-    groups, hosts = {}, {}
-    for r in got:
-        for where, key in ((groups, (r["host"], r["template"])), (hosts, r["host"])):
-            x = where.setdefault(key, [0, 0])
-            if labels[r["page_id"]] is not None:
-                x[0] += labels[r["page_id"]]
-                x[1] += 1
+    pages = []
+    for k, u in rows:
+        host, path = plain(u)
+        found = rule(host, path)
+        pages.append((k, host, path, None if found is None else int(found[1] == "allow")))
+    want = tree(pages)
+    assert len(got) == len(rows)
     for r in got:
-        g, n = hosts[r["host"]]
-        h = (g + prior * 2) / (n + 2)
-        g, n = groups[r["host"], r["template"]]
-        assert abs(r["purity"] - (g + h * 2) / (n + 2)) < 1e-9
+        template, purity = want[r["page_id"]]
+        assert r["template"] == template and abs(r["purity"] - purity) < 1e-9
         if r["rule"] is None:
-            assert r["verdict"] == ("allow" if r["purity"] >= 0.5 else "block")
-    by = {r["page_id"]: r["template"] for r in got}
-    assert by[0] != by[1]  # good and bad branches stay apart
-    assert by[0].endswith("/item{n}")
-    assert len({by[100 + k] for k in range(40)}) == 1
+            assert r["verdict"] == ("allow" if purity >= 0.5 else "block")
+    return {r["page_id"]: r for r in got}
+
+
+def test_against_brute_force(spark):
+    rows = [(k, f"https://shop.com/{('fr', 'de', 'en')[k % 3]}/item{k}") for k in range(90)] + [(100 + k, f"https://blog.shop.com/p{k}/x") for k in range(40)]
+    by = held_against_brute_force(spark, rows)
+    assert by[0]["template"] != by[1]["template"] and by[0]["template"].endswith("/item{n}")  # good and bad branches stay apart
+    rng = random.Random(9)
+    words = ["a", "b", "news", "tag", "x1", "y2", "deadbeef00112233"]
+    random_pages = [(k, f"https://{rng.choice(['m', 'n.m', 'o'])}.com/{rng.choice(['fr', 'de', 'en', 'it'])}/" + "/".join(rng.choice(words) + str(rng.randrange(3)) * rng.randrange(2) for _ in range(rng.randrange(8)))) for k in range(300)]
+    random_pages += [(1000 + k, f"https://wide.com/{('fr', 'de')[k % 2]}/{chr(97 + k % 23)}{'z' * (k % 5)}/end") for k in range(200)]
+    held_against_brute_force(spark, random_pages)
+
+
+def test_sections_from_all_bad_to_all_good(spark):
+    """Eleven sections of 30 pages, of which 0, 3, 6 ... 30 are good: chains don't join the ends."""
+    rows = [(30 * s + k, f"https://x.net/{chr(97 + s)}/{k}") for s in range(11) for k in range(30)]
+    df = frame(spark, rows).withColumn("ok", F.col("page_id") % 30 < F.floor(F.col("page_id") / 30) * 3)
+    by = {r["page_id"]: r for r in url_tree.judge(df, rules=(), label="ok").collect()}
+    assert by[0]["template"] != by[300]["template"]
+    assert by[0]["verdict"] == "block" and by[300]["verdict"] == "allow" and by[0]["purity"] < 0.15 and by[300]["purity"] > 0.85
+    # Branches without a label stand apart and have their parent's share.
+    some = df.withColumn("ok", F.when(F.col("page_id") >= 60, F.col("page_id") >= 180))
+    by = {r["page_id"]: r for r in url_tree.judge(some, rules=(), label="ok").collect()}
+    assert by[0]["template"] == "(a|b)/{n}" and by[60]["verdict"] == "block" and by[180]["verdict"] == "allow"
+    assert abs(by[0]["purity"] - by[30]["purity"]) < 1e-9 and 0.5 < by[0]["purity"] < 0.6
+
+
+def test_one_host_with_half_of_all_pages(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(k, f"https://big.com/{('fr', 'de', 'en')[k % 3]}/same" if k % 2 else f"https://h{k}.org/fr/{k}") for k in range(400)]
+        held_against_brute_force(spark, rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_wildcards_and_merging(spark):
