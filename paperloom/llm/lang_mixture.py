@@ -141,7 +141,9 @@ def fit(rows: DataFrame) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, penalty: float = 3.0) -> DataFrame:
-    """``docs`` (text, any others) with columns mixture (map of language to share), lang_pred and score (its share)."""
+    """``docs`` (text, any others) with columns mixture (map of language to share), lang_pred and score (its share);
+    columns of these names that ``docs`` has are replaced."""
+    docs = docs.drop("mixture", "lang_pred", "score")
     held = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**CELLS numbers
     place = docs.columns.index("text")
 

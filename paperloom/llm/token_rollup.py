@@ -16,6 +16,7 @@ change of an unknown kind is an error; groups whose documents and tokens are all
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -26,6 +27,7 @@ from .common import checkpoint, shared_folder, table, text_key, words
 
 KEYS = ("source", "lang", "tokenizer")
 DELTAS = "source string, lang string, tokenizer string, n_documents long, n_tokens long"
+COMMITS = "batch string, data string, replaces array<string>"
 VOCABULARY = "/opt/tokenizers"
 #: How texts are split before byte pairs are merged: the pattern that belongs to the vocabulary file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -76,22 +78,36 @@ def signed(changes: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """A store of deltas in ``path``, a folder that driver and executors share."""
+    """A store of deltas in ``path``, a folder that driver and executors share.
+
+    ``commits`` has a marker for each batch that counts on its own, ``folded`` the names of those that ``compact`` put
+    into one. ``compact`` keeps the markers few; one writer at a time may call it, others may commit meanwhile.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _exists(self, path: str) -> bool:
+    def _files(self, path: str):
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def _exists(self, path: str) -> bool:
+        files, at = self._files(path)
+        return files.exists(at)
 
     def _marker(self, batch: str) -> str:
-        return f"{self.path}/commits/{batch.encode().hex()}"
+        return f"{self.path}/commits/{hashlib.sha256(batch.encode()).hexdigest()}"
+
+    def _known(self, batch: str) -> bool:
+        if self._exists(f"{self._marker(batch)}/_SUCCESS"):
+            return True
+        folded = f"{self.path}/folded"
+        return self._exists(folded) and not self.spark.read.schema("batch string").parquet(folded).filter(F.col("batch") == batch).isEmpty()
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add the changes of ``batch``, once; False if it is committed already."""
-        if self._exists(f"{self._marker(batch)}/_SUCCESS"):
+        if self._known(batch):
             return False
         data = f"{self.path}/deltas/{uuid.uuid4().hex}"
         signed(changes).write.parquet(data)
@@ -99,30 +115,41 @@ class Rollup:
         return True
 
     def _mark(self, batch: str, data: str, replaces: list[str]) -> None:
-        self.spark.createDataFrame([(batch, data, replaces)], "batch string, data string, replaces array<string>").coalesce(1).write.mode("overwrite").parquet(self._marker(batch))
+        self.spark.createDataFrame([(batch, data, replaces)], COMMITS).coalesce(1).write.mode("overwrite").parquet(self._marker(batch))
 
     def batches(self) -> DataFrame:
-        """The commits (batch, data, replaces); replaces is filled for what ``compact`` wrote."""
+        """The commits (batch, data, replaces); replaces names the batches that ``compact`` has summed up in one."""
         if not self._exists(f"{self.path}/commits"):
-            return self.spark.createDataFrame([], "batch string, data string, replaces array<string>")
-        return self.spark.read.schema("batch string, data string, replaces array<string>").parquet(f"{self.path}/commits/*")
+            return self.spark.createDataFrame([], COMMITS)
+        return self.spark.read.schema(COMMITS).parquet(f"{self.path}/commits/*")
+
+    def _live(self) -> list:
+        """The commits that count, from one listing; batches since the last ``compact``, and its own."""
+        commits = self.batches().collect()
+        gone = {b for c in commits for b in c["replaces"]}
+        return [c for c in commits if c["batch"] not in gone]
+
+    def _summed(self, live: list) -> DataFrame:
+        paths = [c["data"] for c in live]
+        rows = self.spark.read.schema(DELTAS).parquet(*paths) if paths else self.spark.createDataFrame([], DELTAS)
+        return rows.groupBy(*KEYS).agg(F.sum("n_documents").alias("n_documents"), F.sum("n_tokens").alias("n_tokens"))
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_documents, n_tokens over the committed batches."""
-        commits = self.batches().collect()  # a row a batch; compact keeps them few
-        gone = {r for c in commits for r in c["replaces"]}
-        live = [c["data"] for c in commits if c["data"] not in gone]
-        rows = self.spark.read.schema(DELTAS).parquet(*live) if live else self.spark.createDataFrame([], DELTAS)
-        return rows.groupBy(*KEYS).agg(F.sum("n_documents").alias("n_documents"), F.sum("n_tokens").alias("n_tokens"))
+        return self._summed(self._live())
 
     def compact(self) -> None:
-        """One table of totals in place of the batches so far, whose names stay known."""
-        commits = self.batches().collect()
-        gone = {r for c in commits for r in c["replaces"]}
-        live = [c["data"] for c in commits if c["data"] not in gone]
+        """One table of totals in place of the batches listed now, whose names stay known; a batch that is committed
+        meanwhile stays as it is. The new marker is written before the old ones go, so whatever fails, each counts once."""
+        live = self._live()
         data = f"{self.path}/deltas/{uuid.uuid4().hex}"
-        self.totals().filter("n_documents <> 0 or n_tokens <> 0").write.parquet(data)
-        self._mark(f"compact {data}", data, live)
+        self._summed(live).filter("n_documents <> 0 or n_tokens <> 0").write.parquet(data)
+        names = [c["batch"] for c in live]
+        self.spark.createDataFrame([(n,) for n in names], "batch string").coalesce(1).write.mode("append").parquet(f"{self.path}/folded")
+        self._mark(f"compact {data}", data, names)
+        for name in names:
+            files, at = self._files(self._marker(name))
+            files.delete(at, True)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ def clashing(df):
     """With extra columns that operators might use themselves."""
     from pyspark.sql import functions as F
 
-    for name in ("key", "node", "size", "target", "slot", "spans", "items", "template", "score", "fold", "uid", "base", "n", "host", "path", "text_key", "dropped", "first", "own", "minima", "label"):
+    for name in ("key", "node", "size", "target", "slot", "spans", "items", "template", "score", "fold", "uid", "base", "n", "host", "path", "text_key", "dropped", "first", "own", "minima", "label", "mixture", "lang_pred", "line_dedup"):
         if name not in df.columns:
             df = df.withColumn(name, F.lit("extra"))
     return df
