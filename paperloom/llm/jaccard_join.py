@@ -36,7 +36,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, binary_values, bit_of, bitmap, checkpoint, shingle_hashes, table
+from .common import WordHashes, binary_values, bit_of, bitmap, checkpoint, shingle_hashes, table, text_key
 from .components import components
 
 SHINGLE = 4
@@ -67,7 +67,7 @@ def _key(values) -> int:
 
 
 def _listed(docs: DataFrame, k: int, like: tuple[int, int]) -> DataFrame:
-    """doc_id, node, n, need, first of each row; first is null where the partition has listed the node before."""
+    """doc_id, text_key, node, n, need, first of each row; first is null where the partition has listed the node before."""
 
     def rows(batches: Iterator) -> Iterator:
         import numpy as np
@@ -76,7 +76,7 @@ def _listed(docs: DataFrame, k: int, like: tuple[int, int]) -> DataFrame:
         hashes, seen = WordHashes(), set()
         for batch in batches:
             nodes, sizes, needs, firsts = [], [], [], []
-            for text in binary_values(batch.column(1)):
+            for text in binary_values(batch.column(2)):
                 own = shingles(text, hashes, k)
                 n = len(own)
                 node = _key(own)
@@ -90,9 +90,9 @@ def _listed(docs: DataFrame, k: int, like: tuple[int, int]) -> DataFrame:
                     firsts.append(own[: n - _least(n, like) + max(1, n // SPARE)].view(np.int64))
                 else:
                     firsts.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(needs, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["doc_id", "node", "n", "need", "first"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(needs, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["doc_id", "text_key", "node", "n", "need", "first"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, node long, n long, need int, first array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text").mapInArrow(rows, "doc_id long, text_key long, node long, n long, need int, first array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -244,6 +244,11 @@ def second_jobs(members: DataFrame, found: DataFrame, chunk: int = CHUNK) -> Dat
 
 def join(docs: DataFrame, k: int = SHINGLE, like: tuple[int, int] = LIKE, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach) of each row of ``docs`` (doc_id, text)."""
+    return linked(docs, k, like, chunk).drop("text_key")
+
+
+def linked(docs: DataFrame, k: int = SHINGLE, like: tuple[int, int] = LIKE, chunk: int = CHUNK) -> DataFrame:
+    """``join`` with text_key (``common.text_key``), which tells rows apart that share an id."""
     listed = checkpoint(_listed(docs, k, like))
     members = checkpoint(groups(listed))
     heads = listed.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("head"))
@@ -260,10 +265,32 @@ def join(docs: DataFrame, k: int = SHINGLE, like: tuple[int, int] = LIKE, chunk:
     rooted = heads.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "head")
     least = rooted.groupBy("root").agg(F.min("head").alias("component_id"))
     named = rooted.join(least, "root").select("node", "component_id")
-    out = listed.filter("n > 0").select("doc_id", "node", "n").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionAll(listed.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    out = listed.filter("n > 0").select("doc_id", "text_key", "node", "n").join(named, "node").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id")
+    return out.unionAll(listed.filter("n = 0").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op9: every document of ``documents``."""
     return join(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS u, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT u, array_to_string(w[p : p + least(4, len(w)) - 1], ' ') AS gram
+  FROM (SELECT u, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS p FROM d WHERE len(w) > 0)
+), n AS (SELECT u, count(*) AS n FROM s GROUP BY u
+), met AS (
+  SELECT a.u AS x, b.u AS y, count(*) AS shared FROM s a JOIN s b ON a.gram = b.gram AND a.u <> b.u GROUP BY a.u, b.u
+), links AS (
+  SELECT x, y FROM met JOIN n p ON p.u = x JOIN n q ON q.u = y WHERE 100 * shared >= 85 * (p.n + q.n - shared)
+), reach AS (
+  SELECT u AS x, u AS y FROM d
+  UNION
+  SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
+)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(e.doc_id) AS component_id
+FROM d JOIN reach r ON r.x = d.u JOIN d e ON e.u = r.y LEFT JOIN n ON n.u = d.u GROUP BY d.u, d.doc_id
+"""

@@ -21,4 +21,5 @@ ORACLES = {
     "op1_secret_ownership": secret_scan.ORACLE,
     "op3_fair_queue": fair_queue.ORACLE,
     "op8_positional_index": decontam.ORACLE,
+    "op9_divide_skip": jaccard_join.ORACLE,
 }

@@ -74,6 +74,13 @@ def test_near_duplicates_by_five_words_and_four_fifths(spark):
     assert {r[0] for r in corpus_pipeline.near_duplicates(spark, frame(spark, docs), "").collect()} == {1, 2, 3}
 
 
+def test_rows_that_share_an_id(spark):
+    a, b = words(980, 60), words(981, 60)
+    docs = [(3, b, "aa", "s1", 1), (5, a, "aa", "s1", 1), (5, f"{b} more", "aa", "s1", 1), (7, words(982, 60), "aa", "s1", 1), (7, f"{words(982, 60)} more", "aa", "s1", 1), (7, words(982, 60), "aa", "s1", 1)]
+    left = sorted((r[0], r[1]) for r in corpus_pipeline.near_duplicates(spark, frame(spark, docs), "").collect())
+    assert [i for i, _ in left] == [3, 5, 7] and left[0][1] == b and left[1][1] == a
+
+
 def test_run(spark, tmp_path):
     frame(spark, rows()).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items(), ITEMS).write.parquet(f"{tmp_path}/benchmark.parquet")
