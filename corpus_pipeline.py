@@ -39,11 +39,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of each group of near duplicates that has the group's least id; of repeated rows, one.
 
-    Documents without an id can't be told apart from their group by it: one of each text stays.
+    Rows that share an id are told apart by their text: of those in one group one stays, and of one that lies in the
+    group of a lesser id none. Documents without an id can't be told apart from their group by it: one of each text
+    stays.
     """
     docs = docs.select(*COLUMNS).withColumn("__key", text_key(F.col("text")))
-    heads = jaccard_join.join(docs.select("doc_id", "text"), NEAR_WORDS, NEAR_LIKE).filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.join(heads, docs["doc_id"] == heads["__id"], "left_semi").dropDuplicates(["doc_id", "__key"])
+    found = jaccard_join.linked(docs.select("doc_id", "text"), NEAR_WORDS, NEAR_LIKE).filter("doc_id = component_id")
+    heads = found.groupBy(F.col("doc_id").alias("__id")).agg(F.min("text_key").alias("__head"))
+    named = docs.join(heads, (docs["doc_id"] == heads["__id"]) & (docs["__key"] == heads["__head"]), "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id is null").dropDuplicates(["__key"])).select(*COLUMNS)
 
 
