@@ -38,7 +38,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, bitmap, checkpoint, mixed, shared_folder, table, text_key
+from .common import binary_values, bitmap, checkpoint, mixed, shared_folder, spread_join, table, text_key
 from .components import components
 
 LEAST_OPEN = 5  # tokens of a line from which places are left open
@@ -47,9 +47,8 @@ MAP_BITS = 25
 #: text in common, or such a share of those of the whole.
 SKETCH_WORDS, BINS = 4, 32
 OWN_LEAST, WHOLE_LIKE = 3, (7, 10)
-SALTS = 16
-CHUNK_BYTES = 4 << 20  # texts that are parsed at once
-PIECE_BYTES = 1 << 20
+CHUNK_BYTES = 2 << 20  # texts that are parsed at once
+PIECE_BYTES = 1 << 19
 CHUNK_DOCS = 1 << 11  # with BINS, a sort key of 16 bits
 LAST = (1 << 64) - 1
 _BYTE_BASE, _TOKEN_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -311,11 +310,11 @@ def _carriers(docs: DataFrame, some: DataFrame, least_words: int) -> DataFrame:
 def _alike(held: DataFrame) -> DataFrame:
     """(u, v): texts of which a sketch is enough like that of the least text with which it has a hash in common.
 
-    A hash that many texts have is spread by salt where it meets its least text."""
+    A hash that more than a thousandth of the texts have is spread by salt where it meets its least text."""
     rows = [held.select("text_key", F.size(kind).alias("size"), F.explode(kind).alias("h")) for kind in ("own", "whole")]
     hashes = rows[0].unionAll(rows[1]).distinct()
-    heads = hashes.groupBy("h").agg(F.min(F.struct("text_key", "size")).alias("head"), F.max("text_key").alias("other")).filter("head.text_key < other").select("h", F.col("head.text_key").alias("v"), F.col("head.size").alias("v_size"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    met = hashes.withColumn("salt", F.pmod("text_key", F.lit(SALTS)).cast("int")).join(heads, ["h", "salt"]).filter("text_key <> v").groupBy(F.col("text_key").alias("u"), "v", "size", "v_size", F.col("h").bitwiseAND(1).alias("whole")).agg(F.count("*").alias("n"))
+    heads = hashes.groupBy("h").agg(F.min(F.struct("text_key", "size")).alias("head"), F.count("*").alias("n_texts")).filter("n_texts > 1").select("h", F.col("head.text_key").alias("v"), F.col("head.size").alias("v_size"), "n_texts")
+    met = spread_join(hashes, heads, ["h"], "n_texts", held.count()).filter("text_key <> v").groupBy(F.col("text_key").alias("u"), "v", "size", "v_size", F.col("h").bitwiseAND(1).alias("whole")).agg(F.count("*").alias("n"))
     own = (F.col("whole") == 0) & (F.col("n") >= F.least(F.lit(OWN_LEAST), "size", "v_size"))
     whole = (F.col("whole") == 1) & (F.col("n") * WHOLE_LIKE[1] >= F.greatest("size", "v_size") * WHOLE_LIKE[0])
     return met.filter(own | whole).select("u", "v")
