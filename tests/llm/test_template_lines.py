@@ -117,7 +117,7 @@ def corpus():
 
 
 def dropped(df):
-    return sorted(((r["doc_id"], list(r["line_dedup"]["dropped"]), r["text"]) for r in template_lines.dedup(df).collect()), key=str)
+    return sorted(((r["doc_id"], list(r[-1]["dropped"]), r["text"]) for r in template_lines.dedup(df).collect()), key=str)
 
 
 def want(rows):
