@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -26,11 +27,33 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    """Cut the lineage with a reliable checkpoint in the shared folder.
+
+    What was shuffled on the way isn't needed any more: the driver's garbage is collected, so that executors delete
+    those files now and not at some later time.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    sc._jvm.System.gc()
+    return done
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that an operator wrote, once nothing reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(*done: DataFrame) -> None:
+    """Delete the files of tables from ``checkpoint``, once all that was made of them is written itself."""
+    for df in done:
+        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            remove(df.sparkSession, file.get())
 
 
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int, how: str = "inner", salts: int = 32, most: int = 1000) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, forget
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -27,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.withColumnRenamed("m", "v")).distinct()
-        edges = checkpoint(small)
+        old, edges = edges, checkpoint(small)
+        forget(old)
         before, state = state, _state(edges)
         if state == before:
             break

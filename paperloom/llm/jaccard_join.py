@@ -36,7 +36,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, binary_values, bit_of, bitmap, checkpoint, shingle_hashes, table, text_key
+from .common import WordHashes, binary_values, bit_of, bitmap, checkpoint, forget, shingle_hashes, table, text_key
 from .components import components
 
 SHINGLE = 4
@@ -249,8 +249,10 @@ def join(docs: DataFrame, k: int = SHINGLE, like: tuple[int, int] = LIKE, chunk:
 
 def linked(docs: DataFrame, k: int = SHINGLE, like: tuple[int, int] = LIKE, chunk: int = CHUNK) -> DataFrame:
     """``join`` with text_key (``common.text_key``), which tells rows apart that share an id."""
-    listed = checkpoint(_listed(docs, k, like))
-    members = checkpoint(groups(listed))
+    with_lists = checkpoint(_listed(docs, k, like))
+    members = checkpoint(groups(with_lists))
+    listed = checkpoint(with_lists.drop("need", "first"))
+    forget(with_lists)
     heads = listed.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("head"))
 
     def links(jobs: DataFrame) -> DataFrame:
@@ -262,6 +264,7 @@ def linked(docs: DataFrame, k: int = SHINGLE, like: tuple[int, int] = LIKE, chun
     second = checkpoint(second_jobs(members, found, chunk))
     if second.limit(1).collect():
         found = components(first.unionAll(links(second)))
+    forget(members, first, second)
     rooted = heads.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "head")
     least = rooted.groupBy("root").agg(F.min("head").alias("component_id"))
     named = rooted.join(least, "root").select("node", "component_id")

@@ -38,7 +38,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, bitmap, checkpoint, mixed, shared_folder, spread_join, table, text_key
+from .common import binary_values, bitmap, checkpoint, forget, mixed, remove, shared_folder, spread_join, table, text_key
 from .components import components
 
 LEAST_OPEN = 5  # tokens of a line from which places are left open
@@ -321,11 +321,12 @@ def _alike(held: DataFrame) -> DataFrame:
 
 
 def recurring(docs: DataFrame, least_documents: int = 3, least_words: int = 3, long_words: int = 20) -> DataFrame:
-    """(template): the templates whose lines are dropped."""
+    """(template), written: the templates whose lines are dropped."""
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/template-lines-{uuid.uuid4().hex}"
-    several = _rests(docs, least_words).groupBy("template").agg(F.min("rest").alias("lo"), F.max("rest").alias("hi")).filter("lo < hi")
-    _carriers(docs, checkpoint(several.select("template")), least_words).write.parquet(f"{folder}/carriers")
+    several = checkpoint(_rests(docs, least_words).groupBy("template").agg(F.min("rest").alias("lo"), F.max("rest").alias("hi")).filter("lo < hi").select("template"))
+    _carriers(docs, several, least_words).write.parquet(f"{folder}/carriers")
+    forget(several)
     held = spark.read.parquet(f"{folder}/carriers")
     found = components(_alike(held))
     # Templates that only the bitmap let through have one rest, and so one carrier.
@@ -334,7 +335,9 @@ def recurring(docs: DataFrame, least_documents: int = 3, least_words: int = 3, l
     by_class = by_rest.groupBy("template", "class").agg(F.max("words").alias("words"))
     whole = by_class.groupBy("template").agg(F.count("*").alias("n"), F.max("words").alias("words"))
     least = F.when(F.col("words") >= long_words, min(2, least_documents)).otherwise(least_documents)
-    return whole.filter(F.col("n") >= least).select("template")
+    known = checkpoint(whole.filter(F.col("n") >= least).select("template"))
+    remove(spark, folder)
+    return known
 
 
 def dropped_lines(docs: DataFrame, known: DataFrame, least_words: int = 3) -> DataFrame:
@@ -367,7 +370,7 @@ def dedup(docs: DataFrame, least_documents: int = 3, least_words: int = 3, long_
     added = "line_dedup"
     while added in docs.columns:
         added += "_"
-    known = checkpoint(recurring(docs, least_documents, least_words, long_words))
+    known = recurring(docs, least_documents, least_words, long_words)
     drops = dropped_lines(docs, known, least_words).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text_key"), F.col("dropped").alias("__dropped"))
     met = docs.withColumn("__key", text_key(F.col("text"))).join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text_key")), "left")
     lines = F.split("text", "\n", -1)
