@@ -46,7 +46,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     docs = docs.select(*COLUMNS).withColumn("__key", text_key(F.col("text")))
     found = jaccard_join.linked(docs.select("doc_id", "text"), NEAR_WORDS, NEAR_LIKE).filter("doc_id = component_id")
     heads = found.groupBy(F.col("doc_id").alias("__id")).agg(F.min("text_key").alias("__head"))
-    named = docs.join(heads, (docs["doc_id"] == heads["__id"]) & (docs["__key"] == heads["__head"]), "left_semi").dropDuplicates(["doc_id"])
+    # Not an equality of keys: dealt by id alone, the texts needn't move again to drop repeated rows.
+    same = F.col("__key").bitwiseXOR(F.col("__head")) == 0
+    named = docs.join(heads, docs["doc_id"] == heads["__id"]).filter(same).drop("__id", "__head").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id is null").dropDuplicates(["__key"])).select(*COLUMNS)
 
 
