@@ -46,6 +46,11 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at both ends, line ends and tabs included."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def title_key(title: Column) -> Column:
     """STR-02: a section title without case, leading numbering and extra space."""
     return collapsed(F.regexp_replace(F.trim(F.lower(title)), r"^\s*\d+(?:\.\d+)*\s*[:.)-]?\s*", ""))
@@ -77,21 +82,21 @@ def word_tokens(n_words: Column) -> Column:
 
 
 def numbering(title: Column) -> Column:
-    """STR-10: the numbering a title starts with, or null."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(title, p, 1), F.lit("")) for p in NUMBERING])
+    """STR-10: the numbering a title starts with, as it is written, or null."""
+    return F.coalesce(*[F.nullif(stripped(F.regexp_extract(title, p, 0)), F.lit("")) for p in NUMBERING])
 
 
 def unnumbered(title: Column) -> Column:
     """STR-11: the title with every form of numbering removed, in turn."""
     for p in NUMBERING:
         title = F.regexp_replace(title, p, "")
-    return F.trim(title)
+    return stripped(title)
 
 
 def level(title: Column, font_size: Column | None = None) -> Column:
-    """STR-12: dots in the numbering and one more; else by font size 16, 14, 12; else 1. A trailing dot counts."""
-    number = F.regexp_extract(title, r"^\s*(\d+(?:\.\d+)*\.?)", 1)
-    by_number = F.when(number != "", F.length(number) - F.length(F.replace(number, F.lit("."), F.lit(""))) + 1)
+    """STR-12: dots in the numbering and one more; without numbering by font size 16, 14, 12; else 1. A trailing dot
+    counts."""
+    by_number = F.regexp_count(numbering(title), F.lit(r"\.")) + 1
     if font_size is None:
         return F.coalesce(by_number, F.lit(1)).cast("int")
     by_size = F.when(font_size >= 16, 1).when(font_size >= 14, 2).when(font_size >= 12, 3).when(font_size.isNotNull(), 4)
@@ -104,8 +109,8 @@ def has_section_keyword(title: Column) -> Column:
 
 
 def section_type(title: Column) -> Column:
-    """STR-14: appendix or section."""
-    return F.when(F.lower(F.trim(title)).rlike("^(appendix|appendices|supplement|supplementary)"), "appendix").otherwise("section")
+    """STR-14: appendix by the title's first word, behind any punctuation; else null."""
+    return F.when(plain_title(title).rlike("^(appendix|appendices|supplement|supplementary)"), "appendix")
 
 
 def appendix_label(title: Column) -> Column:
@@ -189,20 +194,30 @@ def shortened(text: Column, most: int) -> Column:
 
 
 def without_data_uris(text: Column, most: int = 600) -> Column:
-    """STR-23: without inline images, shortened."""
-    return shortened(collapsed(F.regexp_replace(text, r"!?\[?[^\[\]]*\]?\(?data:image/[A-Za-z+]+;base64,[A-Za-z0-9+/=]+\)?", " ")), most)
+    """STR-23: on one line without inline images; what is over ``most`` characters is cut at a space and ends in dots.
+    Empty for null."""
+    flat = collapsed(F.regexp_replace(F.coalesce(text, F.lit("")), r"!\[Image\]\(data:image/[^)]*\)", ""))
+    return F.when(F.length(flat) <= most, flat).otherwise(F.concat(shortened(flat, most), F.lit("...")))
 
 
 def without_texts(text: Column, parts: Column, least: int = 20) -> Column:
-    """STR-24: without each of ``parts`` of ``least`` characters or more; blank lines collapse."""
-    kept = F.aggregate(F.filter(parts, lambda r: F.length(r) >= least), text, lambda a, r: F.replace(a, r, F.lit("")))
-    return F.trim(F.regexp_replace(kept, r"\n{3,}", "\n\n"))
+    """STR-24: without each of ``parts``, stripped, that has ``least`` characters or more; blank lines collapse. The
+    text itself where there are no parts, empty for null."""
+    cut = F.filter(F.transform(parts, lambda r: stripped(F.coalesce(r, F.lit("")))), lambda r: F.length(r) >= least)
+    kept = F.aggregate(cut, text, lambda a, r: F.replace(a, r, F.lit("")))
+    return F.coalesce(F.when(F.size(parts) > 0, stripped(F.regexp_replace(kept, r"\n{3,}", "\n\n"))).otherwise(text), F.lit(""))
+
+
+def sentence_with(text: Column, term: Column) -> Column:
+    """The first sentence with the term, without regard to case; null without one."""
+    low = F.lower(stripped(term))
+    return F.get(F.filter(sentences(text), lambda s: (low != "") & F.contains(F.lower(s), low)), 0)
 
 
 def context_sentence(text: Column, term: Column) -> Column:
-    """STR-28: the first sentence with the term, else the first 400 characters."""
-    found = F.filter(sentences(text), lambda s: F.contains(F.lower(s), F.lower(term)))
-    return F.coalesce(F.get(found, 0), F.substring(text, 1, 400))
+    """STR-28: the first sentence with the term, else the first 400 characters; empty without a term or text."""
+    opening = F.when(stripped(term) != "", stripped(F.substring(text, 1, 400)))
+    return F.coalesce(sentence_with(text, term), opening, F.lit(""))
 
 
 def path_text(number: Column, title: Column) -> Column:

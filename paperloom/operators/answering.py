@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import collapsed, is_reference_heading, shortened
+from paperloom.functions.text import collapsed, is_reference_heading, shortened, stripped
 
 from . import fusion
 
@@ -102,7 +102,7 @@ def passes_in_order(guides: DataFrame, name: str) -> DataFrame:
 
 def joined_references(texts: Column) -> Column:
     """SET-06: distinct reference texts in order, one a line."""
-    return F.array_join(F.array_distinct(F.filter(F.transform(texts, lambda t: F.trim(t)), lambda t: t != "")), "\n")
+    return F.array_join(F.array_distinct(F.filter(F.transform(texts, stripped), lambda t: t != "")), "\n")
 
 
 def is_reference_result(title: Column) -> Column:
@@ -112,15 +112,36 @@ def is_reference_result(title: Column) -> Column:
 
 def is_rate_limit(error: Column) -> Column:
     """FIL-22: an error that says to come back later."""
-    return F.coalesce(F.lower(error).rlike("rate limit|rate_limit|too many requests|429|quota"), F.lit(False))
+    return F.coalesce(F.lower(error).rlike("rate limit|rate_limit_exceeded|429|too many requests"), F.lit(False))
 
 
-def listed(papers: DataFrame, base: str, key: str = "paper_id") -> DataFrame:
+def listed(papers: DataFrame, key: str = "id") -> DataFrame:
     """PRJ-05: papers with the addresses of their file, bundle and deletion."""
-    at = lambda tail: F.concat(F.lit(base.rstrip("/") + "/papers/"), F.col(key).cast("string"), F.lit(tail))
-    return papers.withColumn("pdf_url", at("/pdf")).withColumn("bundle_url", at("/bundle")).withColumn("delete_url", at(""))
+    at = lambda head, tail: F.concat(F.lit(head), F.col(key).cast("string"), F.lit(tail))
+    return papers.withColumn("pdf_url", at("/api/papers/", "/pdf")).withColumn("bundle_url", at("/api/papers/", "/bundle")).withColumn("delete_url", at("/api/cms/papers/", ""))
 
 
-def without_ids(sections: DataFrame, stats: str = "stats") -> DataFrame:
-    """PRJ-07: section statistics without the lists of element ids."""
-    return sections.withColumn(stats, F.col(stats).dropFields("text_block_ids", "table_ids", "figure_ids", "reference_ids"))
+# The lists of element ids in a section's statistics.
+ID_LISTS = ("formula_ids", "table_ids", "figure_ids", "text_block_ids")
+
+
+def without_ids(sections: DataFrame, stats: str = "stats", children: str = "sections") -> DataFrame:
+    """PRJ-07: sections without the lists of element ids in their statistics, and so those nested in them, to any
+    depth of the schema."""
+
+    def thin(value: Column, kind) -> Column:
+        if stats in kind.names:
+            value = value.withField(stats, value[stats].dropFields(*ID_LISTS))
+        if nests(kind):
+            inner = kind[children].dataType.elementType
+            value = value.withField(children, F.transform(value[children], lambda s: thin(s, inner)))
+        return value
+
+    def nests(kind) -> bool:
+        return children in kind.names and hasattr(kind[children].dataType, "elementType") and hasattr(kind[children].dataType.elementType, "names")
+
+    out = sections.withColumn(stats, F.col(stats).dropFields(*ID_LISTS))
+    if nests(sections.schema):
+        inner = sections.schema[children].dataType.elementType
+        out = out.withColumn(children, F.transform(children, lambda s: thin(s, inner)))
+    return out

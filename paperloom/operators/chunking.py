@@ -96,8 +96,11 @@ def split_windows(docs: DataFrame, key: str, text: str = "text", levels: tuple[t
 
 
 def payload(chunks: DataFrame) -> DataFrame:
-    """PRJ-01: chunks with section_path as their own titles on the way to the title, each once."""
-    return chunks.withColumn("section_path", F.array_distinct(F.concat("section_path", F.array("section_title"))))
+    """PRJ-01: chunks with section_path as the titles on the way to their own, each once; a missing or empty title adds
+    none."""
+    own = F.when(F.col("section_title") != "", F.array("section_title"))
+    none = F.array().cast("array<string>")
+    return chunks.withColumn("section_path", F.array_distinct(F.concat(F.coalesce("section_path", none), F.coalesce(own, none))))
 
 
 def section_texts(blocks: DataFrame, document: str = "document_id", section: str = "section_idx") -> DataFrame:

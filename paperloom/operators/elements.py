@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import collapsed, title_key
+from paperloom.functions.text import collapsed, plain_title, sentence_with, stripped, title_key
 
 
 def resolve_blocks(blocks: DataFrame, sections: DataFrame, document: str = "document_id") -> DataFrame:
@@ -79,10 +79,23 @@ def distinct_headings(flat: DataFrame, document: str = "document_id") -> DataFra
     return named.groupBy(document).agg(F.transform(F.array_sort(F.collect_list(F.struct("path", "title"))), lambda x: x["title"]).alias("headings"))
 
 
-def focus_blocks(blocks: DataFrame, document: str = "document_id") -> DataFrame:
-    """SET-12: the distinct blocks of abstract and introduction, with the scope that each is in."""
-    scope = F.when(F.lower("heading").contains("abstract"), "abstract").when(F.lower("heading").contains("introduction"), "introduction")
-    return blocks.withColumn("scope", scope).filter("scope is not null and trim(text) <> ''").groupBy(document, "scope", "text").agg(F.min("idx").alias("idx"))
+def focus_blocks(blocks: DataFrame, abstracts: DataFrame | None = None, document: str = "document_id") -> DataFrame:
+    """SET-12: (document, scope, text, idx): the distinct texts, stripped, of ``abstracts`` (document, abstract; before
+    all others, with idx -1) and of blocks whose heading has the word abstract or else intro or introduction."""
+    head = F.concat(F.lit(" "), plain_title(F.col("heading")), F.lit(" "))
+    scope = F.when(F.contains(head, F.lit(" abstract ")), "abstract").when(F.contains(head, F.lit(" intro ")) | F.contains(head, F.lit(" introduction ")), "introduction")
+    rows = blocks.select(document, scope.alias("scope"), stripped(F.col("text")).alias("text"), F.col("idx").cast("long").alias("idx"))
+    if abstracts is not None:
+        rows = abstracts.select(document, F.lit("abstract").alias("scope"), stripped(F.col("abstract")).alias("text"), F.lit(-1).cast("long").alias("idx")).unionAll(rows)
+    return rows.filter("scope is not null and text <> ''").groupBy(document, "scope", "text").agg(F.min("idx").alias("idx"))
+
+
+def term_contexts(terms: DataFrame, focus: DataFrame, document: str = "document_id") -> DataFrame:
+    """STR-28: (document, term, context): the first sentence of ``focus_blocks`` with the term, else the beginning of
+    the first block; empty without a block or a term."""
+    found = F.struct(F.col("sentence").isNull().alias("missed"), "idx", F.coalesce("sentence", F.when(stripped(F.col("term")) != "", stripped(F.substring("text", 1, 400)))).alias("context"))
+    met = terms.select(document, "term").distinct().join(focus, document, "left").withColumn("sentence", sentence_with(F.col("text"), F.col("term")))
+    return met.groupBy(document, "term").agg(F.min(found).alias("x")).select(document, "term", F.coalesce("x.context", F.lit("")).alias("context"))
 
 
 def merged_texts(near: DataFrame, tagged: DataFrame, document: str = "document_id") -> DataFrame:

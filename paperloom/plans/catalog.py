@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Fill the registry."""
-    from paperloom.plans import documents, relational, retrieval, structure  # noqa: F401
+    from paperloom.plans import documents, relational, retrieval, rules, structure  # noqa: F401

@@ -213,12 +213,6 @@ def element_ids(spark, sf_dir):
     return lines(spark, sf_dir).select("document_id", "idx", readers.element_id(F.lit("text"), F.col("text"), F.floor(F.col("idx") / 4), F.lit(None)).alias("element_id"))
 
 
-@query("point_ids")
-def point_ids(spark, sf_dir):
-    """SNK-11, STR-32: ids of chunks and documents; SQL has no SHA-1 of raw bytes."""
-    return lines(spark, sf_dir).select("document_id", "idx", T.uuid5(T.NAMESPACE_DNS, F.concat_ws(":", F.col("document_id").cast("string"), F.col("idx").cast("string"))).alias("point_id"), T.uuid5(T.NAMESPACE_URL, F.concat(F.lit("pdf:"), F.sha2("text", 256))).alias("document_uuid"))
-
-
 @query(
     "acronyms",
     rf"""WITH m AS (SELECT doc_id, unnest(x) AS term, unnest(range(len(x))) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '{STANDALONE_SQL}') AS x FROM {ASCII_SQL})),

@@ -16,6 +16,11 @@ def rows(df, *order):
 def test_focus_merged_nested(spark):
     blocks = spark.createDataFrame([(1, 0, "Abstract", "a"), (1, 1, "1 Introduction", "b"), (1, 2, "1 Introduction", "b"), (1, 3, "Methods", "c"), (1, 4, "abstract", " ")], "document_id long, idx long, heading string, text string")
     assert rows(elements.focus_blocks(blocks).select("scope", "text", "idx"), "scope") == [("abstract", "a", 0), ("introduction", "b", 1)]
+    named = spark.createDataFrame([(1, 0, "Abstraction", "x"), (1, 1, "2. Intro:", " y. The Term here. "), (1, 2, "An abstract introduction", "z")], blocks.schema)
+    focus = elements.focus_blocks(named, spark.createDataFrame([(1, " whole one "), (2, "\t")], "document_id long, abstract string"))
+    assert rows(focus.select("scope", "text", "idx"), "idx") == [("abstract", "whole one", -1), ("introduction", "y. The Term here.", 1), ("abstract", "z", 2)]
+    terms = spark.createDataFrame([(1, " term"), (1, "none"), (1, " "), (2, "term")], "document_id long, term string")
+    assert rows(elements.term_contexts(terms, focus), "document_id", "term") == [(1, " ", ""), (1, " term", "The Term here."), (1, "none", "whole one"), (2, "term", "")]
     near = blocks.select("document_id", F.lit(0).alias("section_idx"), "idx", "text").filter("idx < 2")
     tagged = blocks.select("document_id", F.lit(0).alias("section_idx"), "idx", "text").filter("idx in (1, 3)")
     assert elements.merged_texts(near, tagged).first()["section_text"] == "a\n\nb\n\nc"
@@ -69,9 +74,14 @@ def test_small_answers(spark):
     assert value(answering.is_rate_limit(F.lit("Error 429: Too Many Requests")))
     names = spark.createDataFrame([("pass10",), ("pass2",), ("intro",)], "n string")
     assert rows(answering.passes_in_order(names, "n")) == [("pass2",), ("pass10",), ("intro",)]
-    assert answering.listed(spark.createDataFrame([(7,)], "paper_id int"), "http://h/").first()["pdf_url"] == "http://h/papers/7/pdf"
-    stats = spark.createDataFrame([((["a"], ["b"], [], [], 2),)], "stats struct<text_block_ids:array<string>,table_ids:array<string>,figure_ids:array<string>,reference_ids:array<string>,n:int>")
+    assert tuple(answering.listed(spark.createDataFrame([(7,)], "id int")).first()) == (7, "/api/papers/7/pdf", "/api/papers/7/bundle", "/api/cms/papers/7")
+    stats = spark.createDataFrame([((["a"], ["b"], [], [], 2),)], "stats struct<text_block_ids:array<string>,table_ids:array<string>,figure_ids:array<string>,formula_ids:array<string>,n:int>")
     assert answering.without_ids(stats).first()["stats"].asDict() == {"n": 2}
+    kind = "struct<formula_ids:array<string>,reference_ids:array<string>>"
+    deep = spark.createDataFrame([(((["f"], ["r"])), [((["f"], ["r"]), [((["f"], ["r"]),)])])], f"stats {kind}, sections array<struct<stats:{kind},sections:array<struct<stats:{kind}>>>>")
+    left = {"stats": {"reference_ids": ["r"]}}
+    assert answering.without_ids(deep).first().asDict(True) == left | {"sections": [left | {"sections": [left]}]}
+    assert [value(answering.is_rate_limit(F.lit(t))) for t in ("rate_limit_exceeded", "rate_limit", "quota")] == [True, False, False]
 
 
 def test_pages_elements_bundles(spark, tmp_path):
@@ -184,6 +194,8 @@ def test_visual_and_paper_chunks(spark):
     assert got.select("chunk_id").distinct().count() == got.count() > 20
     payload = spark.createDataFrame([(["A", "B"], "B"), ([], "C")], "section_path array<string>, section_title string")
     assert rows(chunking.payload(payload).select("section_path")) == [(["A", "B"],), (["C"],)]
+    bare = spark.createDataFrame([(None, ""), (None, "C"), (["A"], None)], payload.schema)
+    assert rows(chunking.payload(bare).select("section_path")) == [([],), (["C"],), (["A"],)]
 
 
 def test_anchors(spark):
