@@ -181,11 +181,20 @@ def keywords(text: Column, most: int = 15) -> Column:
     return F.slice(F.array_distinct(F.filter(parts, lambda x: F.length(x).between(3, 64))), 1, most)
 
 
+# What goes from the front of an abstract, in order, what its keywords begin with, and a tail of keywords
+# without a label.
+ABSTRACT_LABELS = (r"(?md)^\s*#{1,6}\s*", r"(?i)^\s*abstract\s*[:\-]?\s*", r"(?i)^\s*invited\s+review\s*[.:;\-|]*\s*")
+ABSTRACT_KEYWORDS = r"(?i)\b(?:keywords?|index\s+terms?)\b\s*[:\-]?"
+ABSTRACT_TAIL = r"(?i)([.!?])\s*[A-Z][A-Za-z\- ]++(?:,\s*+[A-Z][A-Za-z\- ]++){4,}+\s*$"
+
+
 def clean_abstract(text: Column) -> Column:
-    """STR-20: without a label in front and the keywords behind."""
-    text = F.regexp_replace(text, r"(?i)^\s*abstract\s*[:\-]?\s*", "")
-    text = F.split(text, r"(?i)\b(?:keywords?|index terms)\s*[:\-]", 2)[0]
-    return F.btrim(collapsed(text), F.lit(" .;:-"))
+    """STR-20: without noise, labels in front, and the keywords behind, labelled or not."""
+    text = without_noise(text)
+    for label in ABSTRACT_LABELS:
+        text = F.regexp_replace(text, label, "")
+    text = F.regexp_replace(F.split(text, ABSTRACT_KEYWORDS, 2)[0], ABSTRACT_TAIL, "$1")
+    return F.btrim(collapsed(text), F.lit(" .;:-\n\t"))
 
 
 def shortened(text: Column, most: int) -> Column:
@@ -280,10 +289,15 @@ def valid_year(value: Column) -> Column:
 
 
 def dsn(url: Column) -> Column:
-    """STR-39: one driver name for all spellings of the database scheme."""
-    return F.regexp_replace(url, r"^postgres(?:ql)?(?:\+[a-z0-9]+)?://", "postgresql://")
+    """STR-39: the driver named in a database address that names none; others stay."""
+    return F.regexp_replace(url, "^postgres(?:ql)?://", "postgresql+psycopg://")
+
 
+def relevance_map(answer: Column, n: Column) -> Column:
+    """STR-35: of the chunks 1 to n, those in a judge's answer and whether they are relevant; none without an answer.
 
-def relevance_map(answer: Column) -> Column:
-    """STR-35: a judge's map of chunk number to whether it is relevant; null if the answer holds none."""
-    return F.from_json(json_object(answer), "map<string,boolean>")
+    False, 0, null and what is empty count as not relevant, and so does the word false.
+    """
+    read = F.from_json(json_object(answer), "map<string,string>")
+    named = F.filter(F.map_entries(F.coalesce(read, F.create_map().cast("map<string,string>"))), lambda e: e["key"].rlike("^[1-9][0-9]{0,8}$") & (e["key"].try_cast("int") <= n))
+    return F.map_from_entries(F.transform(named, lambda e: F.struct(e["key"].cast("int").alias("key"), F.coalesce(~F.lower(e["value"]).isin("false", "0", "0.0", "", "[]", "{}"), F.lit(False)).alias("value"))))

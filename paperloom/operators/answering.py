@@ -76,10 +76,13 @@ def definitions(terms: DataFrame, term: str, tables: list[tuple[str, DataFrame]]
     return out.withColumn("definition", definition).withColumn("source", source).drop("__t", *[f"__{n}" for n, _ in tables])
 
 
-def guide_status(status: Column, payload: Column) -> Column:
-    """PRJ-15: missing without a row's payload and status, the status if there is one, ready if the payload isn't empty, else pending."""
-    filled = F.coalesce(~F.trim(payload).isin("", "{}", "[]", "null"), F.lit(False))
-    return F.when(status.isNull() & payload.isNull(), "missing").when(F.trim(status) != "", status).when(filled, "ready").otherwise("pending")
+def guide_status(status: Column, payload: Column, found: Column | None = None) -> Column:
+    """PRJ-15: missing without a row (``found``; unless given, without status and payload), the status if it is a known
+    one, ready if the payload is a JSON object with anything in it, else pending."""
+    there = found if found is not None else status.isNotNull() | payload.isNotNull()
+    known = F.lower(F.trim(status))
+    filled = F.coalesce(payload.rlike(r"^\s*\{\s*[^\s}]"), F.lit(False))
+    return F.when(~there, "missing").when(known.isin("pending", "ready", "failed"), known).when(filled, "ready").otherwise("pending")
 
 
 def step_questions(questions: Column, sections: Column, objective: Column, expected: Column, most: int = 2) -> Column:
@@ -96,8 +99,9 @@ def step_questions(questions: Column, sections: Column, objective: Column, expec
 
 
 def passes_in_order(guides: DataFrame, name: str) -> DataFrame:
-    """TOP-14: passes by the number in their name, then by name; those without a number last."""
-    return guides.orderBy(F.nullif(F.regexp_extract(name, r"(\d+)", 1), F.lit("")).cast("int").asc_nulls_last(), name)
+    """TOP-14: the rows named as passes (pass, a number and an underscore), by that number, then by name."""
+    number = F.regexp_extract(name, "(?i)^pass([0-9]+)_", 1)
+    return guides.filter(number != "").orderBy(number.cast("decimal(38)"), name)
 
 
 def joined_references(texts: Column) -> Column:

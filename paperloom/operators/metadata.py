@@ -43,12 +43,25 @@ def frequent_words(docs: DataFrame, document: str, text: str = "text", most: int
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).drop("first")
 
 
+# A spaced-out heading, the text under a heading, after a plain word, and how much of a paper's paragraphs.
+SPACED_ABSTRACT = r"(?imd)(^|\n)\s*A\s*B\s*S\s*T\s*R\s*A\s*C\s*T\s*[:\-]?\s*(\n|$)"
+HEADED_ABSTRACT = r"(?is)(?:^|\n)#{1,6}\s*abstract\s*\n(.{40,6000}?)(?=\n#{1,6}\s|\z)"
+PLAIN_ABSTRACT = r"(?is)\babstract\b\s*[:\-]?\s*(.{40,8000}?)(?=\bkeywords?\b|\bindex\s+terms\b|\bintroduction\b|\n\s*1\.?\s+[A-Za-z]|\n\s*#{1,6}\s|\z)"
+ABSTRACT_PARAGRAPHS, ABSTRACT_CHARACTERS = 12, 1800
+
+
 def abstract(text: Column) -> Column:
-    """STR-21: the text under a heading Abstract, after a plain label, or the first paragraph of 50 characters."""
-    headed = F.nullif(F.trim(F.regexp_extract(text, r"(?is)(?:^|\n)\s*#{1,6}\s*abstract\s*\n+(.*?)(?:\n\s*#{1,6}\s|$)", 1)), F.lit(""))
-    plain = F.nullif(F.trim(F.regexp_extract(text, r"(?is)(?:^|\n)\s*abstract\s*[:\-]\s*(.*?)(?:\n\s*\n|$)", 1)), F.lit(""))
-    first = F.get(F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.trim(p)), lambda p: F.length(p) >= 50), 0)
-    return T.clean_abstract(F.coalesce(headed, plain, first))
+    """STR-21: the first valid one, cleaned, of the text under a heading Abstract, the text after the word, and the
+    paragraphs before the introduction, until they have enough characters; empty without one."""
+    flat = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"\n{3,}", "\n\n")
+    flat = F.regexp_replace(flat, SPACED_ABSTRACT, "$1## Abstract\n")
+    first = F.slice(F.filter(F.transform(F.split(flat, "\n\n"), T.stripped), lambda p: p != ""), 1, ABSTRACT_PARAGRAPHS)
+    stop = F.array_position(F.transform(first, lambda p: F.contains(F.lower(p), F.lit("introduction"))), True)
+    before = F.slice(first, 1, F.when(stop > 0, stop - 1).otherwise(ABSTRACT_PARAGRAPHS).cast("int"))
+    own = F.filter(before, lambda p: ~p.rlike(r"(?i)^#{1,6}\s*abstract\s*$"))
+    opening = F.aggregate(own, F.lit(""), lambda a, p: F.when(a == "", p).when(F.length(a) > ABSTRACT_CHARACTERS, a).otherwise(F.concat(a, F.lit(" "), p)))
+    tries = F.array(F.regexp_extract(flat, HEADED_ABSTRACT, 1), F.regexp_extract(flat, PLAIN_ABSTRACT, 1), opening)
+    return F.coalesce(F.get(F.filter(F.transform(tries, T.clean_abstract), T.valid_abstract), 0), F.lit(""))
 
 
 # What begins an entry, on a line of its own and inside a line, and the words of a reference heading.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions.text import collapsed
+
 # Java's versions disagree about letters outside ASCII at \\b, so the edges of words are spelled out.
 BEGIN, END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 EXPANDED = BEGIN + r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s*\(([A-Z]{2,6})\)"
@@ -106,9 +108,20 @@ def without_overlaps(found: DataFrame, key: str) -> DataFrame:
     return listed.select(key, F.explode(kept).alias("x")).select(key, "x.start", "x.end", "x.term")
 
 
-def inline_definition(sentence: Column, term: Column, least: int = 11, most: int = 299) -> Column:
-    """STR-27: what a sentence says a term is, if it has a fair length, else null."""
-    low = F.lower(sentence)
-    after = lambda cue: F.trim(F.regexp_replace(F.split_part(low, F.concat(F.lower(term), F.lit(cue)), F.lit(2)), r"[.;].*$", ""))
-    tries = [after(cue) for cue in (" is defined as ", " refers to ", " is a ", " is an ", " is the ", " means ", " denotes ")]
-    return F.coalesce(*[F.when(F.length(t).between(least, most), t) for t in tries])
+# What may stand between a term and what it means, with that, in the order in which they are tried.
+DEFINED_BY = (
+    r",?\s+which\s+is\s+([^.]+)\.",
+    r",?\s+defined\s+as\s+([^.]+)\.",
+    r"\s+\(([^)]+)\)",
+    r",?\s+i\.e\.?,?\s+([^.]+)\.",
+    r",?\s+also\s+known\s+as\s+([^.]+)\.",
+    r",?\s+refers\s+to\s+([^.]+)\.",
+    r":\s+([^.]+)\.",
+)
+
+
+def inline_definition(text: Column, term: Column, least: int = 11, most: int = 299) -> Column:
+    """STR-27: what a text says a term is, on one line, by the first way that gives a fair length; else null."""
+    quoted = F.concat(F.lit(r"(?i)\Q"), F.replace(term, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    said = F.array(*[collapsed(F.call_function("regexp_extract", text, F.concat(quoted, F.lit(way)), F.lit(1))) for way in DEFINED_BY])
+    return F.get(F.filter(said, lambda t: F.length(t).between(least, most)), 0)

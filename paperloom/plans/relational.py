@@ -224,10 +224,10 @@ def pinned_hits(spark, sf_dir):
     return answering.pinned(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), pins, "user_id", "event_type").select("user_id", "event_id", "found")
 
 
-@query("guide_states", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'missing' WHEN event_id % 4 = 1 THEN event_type WHEN event_id % 4 = 2 THEN 'ready' ELSE 'pending' END AS state FROM events")
+@query("guide_states", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'missing' WHEN event_id % 8 = 1 THEN 'failed' WHEN event_id % 4 = 1 THEN 'pending' WHEN event_id % 4 = 2 THEN 'ready' ELSE 'pending' END AS state FROM events")
 def guide_states(spark, sf_dir):
     """PRJ-15."""
     n = F.col("event_id") % 4
-    status = F.when(n == 1, F.col("event_type"))
+    status = F.when(F.col("event_id") % 8 == 1, " Failed").when(n == 1, F.col("event_type"))
     payload = F.when(n == 2, F.col("props")).when(n == 3, "{}").when(n == 1, "{}")
     return table(spark, sf_dir, "events").select("event_id", answering.guide_status(status, payload).alias("state"))

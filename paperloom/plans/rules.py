@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.operators import answering, chunking, elements, hierarchy
+from paperloom.operators import answering, chunking, elements, hierarchy, terms
 
 from .catalog import query
 from .documents import SENTENCES_SQL
@@ -196,3 +196,20 @@ def nested_headings(spark, sf_dir):
     part = part.select("document_id", F.struct("part", F.concat(F.lit("Part "), (F.col("part") % 3).cast("string")).alias("title"), "sections").alias("s"))
     flat = elements.nested(part.groupBy("document_id").agg(F.array_sort(F.collect_list("s")).alias("sections")))
     return elements.distinct_headings(flat).select("document_id", F.size("headings").cast("long").alias("n"), F.md5(F.array_join("headings", "|")).alias("digest"))
+
+
+WAYS = (", which is ", " defined as ", " (", " i.e., ", ", also known as ", " refers to ", ": ")
+DEFINED_SQL = ", ".join(f"regexp_extract(text, '(?i)' || regexp_escape(term) || '{way}', 1)" for way in (r",?\s+which\s+is\s+([^.]+)\.", r",?\s+defined\s+as\s+([^.]+)\.", r"\s+\(([^)]+)\)", r",?\s+i\.e\.?,?\s+([^.]+)\.", r",?\s+also\s+known\s+as\s+([^.]+)\.", r",?\s+refers\s+to\s+([^.]+)\.", r":\s+([^.]+)\."))
+
+
+@query(
+    "inline_definitions",
+    f"""WITH t AS (SELECT doc_id, regexp_extract(text, '[A-Za-z]{{5,}}') AS term, text FROM documents),
+m AS (SELECT doc_id, term, upper(term) || list_extract([{', '.join(f"'{w}'" for w in WAYS)}], (doc_id % 7 + 1)::INT) || text || '.)' AS text FROM t WHERE term <> '')
+SELECT doc_id, term, list_filter(list_transform([{DEFINED_SQL}], lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'), ' ')), lambda x: length(x) BETWEEN 11 AND 299)[1] AS definition FROM m""",
+)
+def inline_definitions(spark, sf_dir):
+    """STR-27: the first word of five letters as a term, which the text is said to be."""
+    way = F.element_at(F.array(*[F.lit(w) for w in WAYS]), (F.col("doc_id") % 7 + 1).cast("int"))
+    made = table(spark, sf_dir, "documents").withColumn("term", F.regexp_extract("text", "[A-Za-z]{5,}", 0)).filter("term <> ''").withColumn("text", F.concat(F.upper("term"), way, F.col("text"), F.lit(".)")))
+    return made.select("doc_id", "term", terms.inline_definition(F.col("text"), F.col("term")).alias("definition"))

@@ -42,7 +42,7 @@ def questions(spark: SparkSession, path: str, with_answers: bool = False) -> Dat
     rows = spark.read.schema(QUESTION).option("multiLine", True).json(path).filter("question is not null")
     blank = F.contains("question", F.lit("FILL IN")) | F.exists(F.coalesce("relevant_chunk_ids", F.array().cast("array<string>")), lambda x: F.contains(x, F.lit("FILL IN")))
     if with_answers:
-        blank = blank | F.contains(F.coalesce("reference_answer", F.lit("FILL IN")), F.lit("FILL IN"))
+        blank = blank | F.contains(F.coalesce("reference_answer", F.lit("")), F.lit("FILL IN"))
     return rows.filter(~blank)
 
 

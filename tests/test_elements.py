@@ -62,8 +62,8 @@ def test_scopes_types_payloads(spark):
 def test_small_answers(spark):
     one = spark.range(1)
     value = lambda c: one.select(c.alias("x")).first()["x"]
-    assert value(T.relevance_map(F.lit('so: {"1": true, "2": false}'))) == {"1": True, "2": False} and value(T.relevance_map(F.lit("no"))) is None
-    assert [value(answering.guide_status(F.lit(s).cast("string"), F.lit(p).cast("string"))) for s, p in ((None, None), ("failed", "{}"), (None, '{"a": 1}'), (None, "{}"))] == ["missing", "failed", "ready", "pending"]
+    assert value(T.relevance_map(F.lit('so: {"1": true, "2": false, "3": 2, "4": null, "9": true, "x": 1}'), F.lit(4))) == {1: True, 2: False, 3: True, 4: False} and value(T.relevance_map(F.lit("no"), F.lit(2))) == {}
+    assert [value(answering.guide_status(F.lit(s).cast("string"), F.lit(p).cast("string"))) for s, p in ((None, None), (" Failed", "{}"), (None, '{"a": 1}'), (None, "{ }"), ("done", '{"a": 1}'), ("done", "[1]"))] == ["missing", "failed", "ready", "pending", "ready", "pending"]
     step = lambda questions, places, objective, expected: value(answering.step_questions(F.lit(questions).cast("array<string>"), F.lit(places).cast("array<string>"), F.lit(objective).cast("string"), F.lit(expected).cast("string")))
     assert step([" a ", "", "a", "b"], ["S"], "o", None) == ["a", "a"]
     assert step([], ["S", "T"], " o ", "e") == ["What is the main takeaway from S?", "How does S help with: o?"]
@@ -72,8 +72,8 @@ def test_small_answers(spark):
     assert value(answering.joined_references(F.array(F.lit(" r1 "), F.lit("r2"), F.lit("r1"), F.lit("")))) == "r1\nr2"
     assert value(answering.is_reference_result(F.lit("A Bibliography"))) and not value(answering.is_reference_result(F.lit(None).cast("string")))
     assert value(answering.is_rate_limit(F.lit("Error 429: Too Many Requests")))
-    names = spark.createDataFrame([("pass10",), ("pass2",), ("intro",)], "n string")
-    assert rows(answering.passes_in_order(names, "n")) == [("pass2",), ("pass10",), ("intro",)]
+    names = spark.createDataFrame([("pass10_a",), ("Pass2_b",), ("pass2_a",), ("intro",), ("pass3",)], "n string")
+    assert rows(answering.passes_in_order(names, "n")) == [("Pass2_b",), ("pass2_a",), ("pass10_a",)]
     assert tuple(answering.listed(spark.createDataFrame([(7,)], "id int")).first()) == (7, "/api/papers/7/pdf", "/api/papers/7/bundle", "/api/cms/papers/7")
     stats = spark.createDataFrame([((["a"], ["b"], [], [], 2),)], "stats struct<text_block_ids:array<string>,table_ids:array<string>,figure_ids:array<string>,formula_ids:array<string>,n:int>")
     assert answering.without_ids(stats).first()["stats"].asDict() == {"n": 2}

@@ -228,8 +228,9 @@ def test_terms(spark):
     assert all(body[r["start"] : r["end"]] == r["term"] for r in spans) and len(spans) == 3
     overlapping = spark.createDataFrame([(1, 0, 5, "a"), (1, 0, 9, "b"), (1, 8, 12, "c"), (1, 9, 10, "d")], "d long, start int, end int, term string")
     assert rows(terms.without_overlaps(overlapping, "d").select("term"), "term") == [("b",), ("d",)]
-    one = spark.createDataFrame([("A graph is a set of nodes and edges; no more.",)], "s string").select(terms.inline_definition(F.col("s"), F.lit("Graph")).alias("x")).first()["x"]
-    assert one == "set of nodes and edges"
+    said = [("A graph, which is a set of nodes\n and edges. More.", "Graph"), ("A graph which is big. The graph (a set of nodes)", "graph"), ("C++ (a+b) refers to a language of systems.", "C++"), ("graph: too short.", "graph"), ("a.b refers to something else.", "axb"), ("a\\Eb refers to something else.", "a\\Eb"), ("x", None)]
+    got = spark.createDataFrame(said, "s string, t string").select(terms.inline_definition(F.col("s"), F.col("t")).alias("x")).collect()
+    assert [r["x"] for r in got] == ["a set of nodes and edges", "a set of nodes", None, None, None, "something else", None]
 
 
 def test_store(spark):
@@ -251,7 +252,12 @@ def test_readability_and_fields(spark):
     assert rows(metadata.readability(pages, "d").select("d", "readability", "needs_ocr"), "d") == [(1, "digital", False), (2, "scanned", True), (3, "hybrid", True)]
     row = spark.createDataFrame([("t", None, " ")], "a string, b string, c string").select(metadata.missing_fields(["a", "b", "c"]).alias("x")).first()["x"]
     assert row == ["b", "c"]
-    assert spark.createDataFrame([("# Abstract\nWe show it all.\n# Intro\nMore",)], "t string").select(metadata.abstract(F.col("t")).alias("x")).first()["x"] == "We show it all"
+    long = "We show that all of it holds for every graph there is"
+    texts = [f"# T\n# Abstract\n{long}.\n# Intro\nMore", f"T\nABSTRACT: {long}. Keywords: a, b\n\nx", f"A B S T R A C T\n{long}\n1. Start", f"T\n\n## Abstract\n\n{long}\n\nIntroduction\n\nno", f"{long}\n\nSecond one.\n\n1 Introduction\n\nno", "Short one.", "", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(metadata.abstract(F.col("t")).alias("x")).collect()
+    assert [r["x"] for r in got] == [long, long, f"{long} 1. Start", f"{long} Introduction no", f"{long} Second one", "", "", ""]
+    many = "\n\n".join(f"{k} " + "w" * 700 for k in range(9))
+    assert spark.createDataFrame([(many,)], "t string").select(metadata.abstract(F.col("t")).alias("x")).first()["x"] == " ".join(f"{k} " + "w" * 700 for k in range(3))
 
 
 def test_classifier(spark):

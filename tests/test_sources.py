@@ -27,7 +27,7 @@ def test_blocks_and_questions(spark, tmp_path):
     (tmp_path / "qa").mkdir()
     (tmp_path / "qa" / "qa.json").write_text(json.dumps(rows))
     assert sorted(r["question"] for r in readers.questions(spark, f"{tmp_path}/qa").collect()) == ["q1", "q3"]
-    assert [r["question"] for r in readers.questions(spark, f"{tmp_path}/qa", with_answers=True).collect()] == ["q1"]
+    assert [r["question"] for r in readers.questions(spark, f"{tmp_path}/qa", with_answers=True).collect()] == ["q1", "q3"]
 
 
 def test_files(spark, tmp_path):
