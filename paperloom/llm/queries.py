@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fair_queue, jaccard_join, lang_mixture, lm_diff, secret_scan, template_lines, token_rollup, url_tree, winnow
+from . import decontam, fair_queue, infill, jaccard_join, lang_mixture, lm_diff, secret_scan, template_lines, token_rollup, url_tree, winnow
 
 QUERIES = {
     "op1_secret_ownership": secret_scan.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_positional_index": decontam.query,
     "op9_divide_skip": jaccard_join.query,
     "op10_log_templates": template_lines.query,
+    "op13_fill_in_middle": infill.query,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op3_fair_queue": fair_queue.ORACLE,
     "op8_positional_index": decontam.ORACLE,
     "op9_divide_skip": jaccard_join.ORACLE,
+    "op13_fill_in_middle": infill.ORACLE,
 }
