@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fair_queue, infill, jaccard_join, lang_mixture, lm_diff, rule_ensemble, secret_scan, template_lines, token_rollup, url_tree, winnow
+from . import decontam, fair_queue, infill, jaccard_join, lang_mixture, lm_diff, phrases, rule_ensemble, secret_scan, template_lines, token_rollup, url_tree, winnow
 
 QUERIES = {
     "op1_secret_ownership": secret_scan.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_positional_index": decontam.query,
     "op9_divide_skip": jaccard_join.query,
     "op10_log_templates": template_lines.query,
+    "op11_pcy_collocations": phrases.query,
     "op12_rule_ensemble": rule_ensemble.query,
     "op13_fill_in_middle": infill.query,
 }
@@ -24,5 +25,6 @@ ORACLES = {
     "op3_fair_queue": fair_queue.ORACLE,
     "op8_positional_index": decontam.ORACLE,
     "op9_divide_skip": jaccard_join.ORACLE,
+    "op11_pcy_collocations": phrases.ORACLE,
     "op13_fill_in_middle": infill.ORACLE,
 }
