@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,20 +26,28 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="tables-")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder.
+#: Spark's own setting: shuffle files go when the query that made them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    What was shuffled on the way isn't needed any more: the driver's garbage is collected, so that executors delete
-    those files now and not at some later time.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    done = df.checkpoint(eager=True)
-    del df
-    gc.collect()
-    sc._jvm.System.gc()
-    return done
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries that are made in it drop their shuffle files when they end; for tables that are written and reread."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder; what was shuffled on the way goes at once."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    with shuffles_dropped(spark):
+        return df.select("*").checkpoint(eager=True)
 
 
 def remove(spark: SparkSession, folder: str) -> None:

@@ -244,11 +244,12 @@ def second_jobs(members: DataFrame, found: DataFrame, chunk: int = CHUNK) -> Dat
 
 def join(docs: DataFrame, k: int = SHINGLE, like: tuple[int, int] = LIKE, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach) of each row of ``docs`` (doc_id, text)."""
-    return linked(docs, k, like, chunk).drop("text_key")
+    return linked(docs, k, like, chunk).drop("text_key", "root")
 
 
 def linked(docs: DataFrame, k: int = SHINGLE, like: tuple[int, int] = LIKE, chunk: int = CHUNK) -> DataFrame:
-    """``join`` with text_key (``common.text_key``), which tells rows apart that share an id."""
+    """``join`` with text_key (``common.text_key``), which tells rows apart that share an id, and root, which names a
+    row's component whatever the ids in it; it is null for rows without words."""
     with_lists = checkpoint(_listed(docs, k, like))
     members = checkpoint(groups(with_lists))
     listed = checkpoint(with_lists.drop("need", "first"))
@@ -267,9 +268,9 @@ def linked(docs: DataFrame, k: int = SHINGLE, like: tuple[int, int] = LIKE, chun
     forget(members, first, second)
     rooted = heads.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "head")
     least = rooted.groupBy("root").agg(F.min("head").alias("component_id"))
-    named = rooted.join(least, "root").select("node", "component_id")
-    out = listed.filter("n > 0").select("doc_id", "text_key", "node", "n").join(named, "node").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionAll(listed.filter("n = 0").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    named = rooted.join(least, "root").select("node", "component_id", "root")
+    out = listed.filter("n > 0").select("doc_id", "text_key", "node", "n").join(named, "node").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", "root")
+    return out.unionAll(listed.filter("n = 0").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
