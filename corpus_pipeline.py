@@ -37,19 +37,21 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of each group of near duplicates that has the group's least id; of repeated rows, one.
+    """One document of each group of near duplicates: the one of the least id, and of the least text hash among rows of
+    that id; of repeated rows one.
 
-    Rows that share an id are told apart by their text: of those in one group one stays, and of one that lies in the
-    group of a lesser id none. Documents without an id can't be told apart from their group by it: one of each text
-    stays.
+    Rows that share an id are told apart by their text, whether they lie in one group or in several. A null id comes
+    last. Documents without words are in no group: one of each id and text stays.
     """
-    docs = docs.select(*COLUMNS).withColumn("__key", text_key(F.col("text")))
-    found = jaccard_join.linked(docs.select("doc_id", "text"), NEAR_WORDS, NEAR_LIKE).filter("doc_id = component_id")
-    heads = found.groupBy(F.col("doc_id").alias("__id")).agg(F.min("text_key").alias("__head"))
-    # Not an equality of keys: dealt by id alone, the texts needn't move again to drop repeated rows.
-    same = F.col("__key").bitwiseXOR(F.col("__head")) == 0
-    named = docs.join(heads, docs["doc_id"] == heads["__id"]).filter(same).drop("__id", "__head").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null").dropDuplicates(["__key"])).select(*COLUMNS)
+    deal = F.xxhash64("__id", "__key").alias("__deal")
+    docs = docs.select(*COLUMNS, F.col("doc_id").alias("__id"), text_key(F.col("text")).alias("__key"))
+    found = jaccard_join.linked(docs.select("doc_id", "text"), NEAR_WORDS, NEAR_LIKE).withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
+    order = F.struct(F.col("__id").isNull(), "__id", "__key")
+    heads = found.filter("root is not null").groupBy("root").agg(F.min(order).alias("x")).select("x.__id", "x.__key")
+    heads = heads.unionAll(found.filter("root is null").select("__id", "__key").distinct()).select(deal, F.col("__id").alias("__head"))
+    # Texts are dealt by a hash of id and text, so no id is hot, and needn't move again to drop repeated rows.
+    kept = docs.select("*", deal).join(heads, "__deal").filter(F.col("__id").eqNullSafe(F.col("__head")))
+    return kept.dropDuplicates(["__deal", "__id"]).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
