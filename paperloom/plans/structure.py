@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.operators import chunking, elements, hierarchy, metadata, store
+from paperloom.operators import chunking, elements, hierarchy, lineage, metadata, store
 
 from .catalog import query
 from .tables import LINES_SQL, SECTIONS_SQL, lines, sections, table
@@ -53,6 +53,46 @@ def numbering_paths(spark, sf_dir):
     return hierarchy.paths(sections(spark, sf_dir), number="numbering").select("document_id", "idx", F.array_join("path", "/").alias("path"))
 
 
+PARENT_IDS_SQL = f"""{SECTIONS_SQL}, nodes AS (
+  SELECT document_id, 's' || idx AS id, title, 's' || CASE WHEN prev IS NULL AND document_id % 5 = 0 THEN nth_value(idx, 3) OVER (PARTITION BY document_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) WHEN idx % 4 <> 0 THEN prev END AS up
+  FROM (SELECT *, lag(idx) OVER (PARTITION BY document_id ORDER BY idx) AS prev FROM sections)
+),
+walk AS (
+  SELECT document_id, id AS start, up, [id] AS path, [title] AS titles FROM nodes
+  UNION ALL
+  SELECT w.document_id, w.start, n.up, list_prepend(n.id, w.path), list_prepend(n.title, w.titles)
+  FROM walk w JOIN nodes n ON n.document_id = w.document_id AND n.id = w.up WHERE NOT list_contains(w.path, n.id)
+),
+whole AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY document_id, start ORDER BY len(path) DESC) = 1)"""
+
+
+def _parent_ids(spark, sf_dir):
+    """Sections with the id of the section before as parent; in every fifth document the first one hangs on the third,
+    so that parents may run in a circle."""
+    rows = sections(spark, sf_dir)
+    order = Window.partitionBy("document_id").orderBy("idx")
+    third = F.nth_value("idx", 3).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    before = F.lag("idx").over(order)
+    up = F.when(before.isNull() & (F.col("document_id") % 5 == 0), third).when(F.col("idx") % 4 != 0, before)
+    name = lambda c: F.concat(F.lit("s"), c.cast("string"))
+    return rows.select("document_id", name(F.col("idx")).alias("section_id"), name(up).alias("parent_id"), "title", "idx")
+
+
+@query("parent_paths", f"{R}{PARENT_IDS_SQL} SELECT document_id, start AS section_id, array_to_string(path, '/') AS path, array_to_string(titles, ' > ') AS titles, len(path)::INT AS depth, coalesce(list_contains(path, up), false) AS circular FROM whole")
+def parent_paths(spark, sf_dir):
+    """ARR-01, ARR-02, ARR-03, ARR-06, WIN-09 by parent ids, of any depth, circles cut."""
+    nodes = _parent_ids(spark, sf_dir)
+    found = lineage.paths(nodes, order="idx")
+    titles = lineage.along(found, nodes, F.col("title")).withColumn("titles", F.array_join("labels", " > ")).drop("labels")
+    return found.join(titles, ["document_id", "section_id"]).select("document_id", "section_id", F.array_join("path", "/").alias("path"), "titles", "depth", "circular")
+
+
+@query("parent_descendants", f"{R}{PARENT_IDS_SQL} SELECT document_id, path[i] AS ancestor, start AS section_id, (len(path) - i)::INT AS distance FROM whole, unnest(range(1, len(path))) AS steps(i)")
+def parent_descendants(spark, sf_dir):
+    """ARR-04, ARR-09 by parent ids."""
+    return lineage.descendants(lineage.paths(_parent_ids(spark, sf_dir), order="idx"))
+
+
 @query("section_descendants", f"{R}{PARENTS_SQL} SELECT document_id, ancestor, idx, distance::INT AS distance FROM up")
 def section_descendants(spark, sf_dir):
     """ARR-04, ARR-09."""
