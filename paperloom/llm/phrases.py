@@ -31,7 +31,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_values, bitmap, checkpoint, mixed, remove, shared_folder, spread_join, table
+from .common import WordHashes, binary_values, bitmap, checkpoint, mixed, remove, shared_folder, spread_join, table
 
 LONGEST, LEAST, MOST = 5, 100, 2000
 #: A candidate goes if a longer one has this share of its count.
@@ -47,50 +47,52 @@ SALTS = 256
 
 
 class Words:
-    """Words of some pieces in a row, with numbers, languages and hashes as arrays."""
+    """Words of some pieces in a row, with their hashes and languages as arrays."""
 
-    def __init__(self, words: list[bytes], sizes: list[int], langs: list[str]):
+    def __init__(self, words: list[bytes], sizes: list[int], langs: list[str], hashes: WordHashes):
         import numpy as np
         import xxhash
 
-        self.names = list(dict.fromkeys(words))
-        index = {w: k for k, w in enumerate(self.names)}
-        self.ids = np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words))
+        self.words = words
+        self.hash = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
         self.langs = list(dict.fromkeys(langs))
         number = {x: k for k, x in enumerate(self.langs)}
         self.lang = np.repeat(np.fromiter(map(number.__getitem__, langs), dtype=np.int64, count=len(langs)), sizes)
         self.piece = np.repeat(np.arange(len(sizes)), sizes)
-        digest = xxhash.xxh64_intdigest
-        self.hash = np.fromiter(map(digest, self.names), dtype=np.uint64, count=len(self.names))[self.ids]
-        self.seed = np.fromiter((digest(x.encode()) for x in self.langs), dtype=np.uint64, count=len(self.langs))[self.lang]
+        self._codes = [np.fromiter((xxhash.xxh64_intdigest(x.encode()) for x in self.langs), dtype=np.uint64, count=len(self.langs))[self.lang]]
 
     def codes(self, k: int):
         """A hash of the language and the k words from each place on, as uint64; only some of them lie in one piece."""
         import numpy as np
 
-        out = self.seed
-        for j in range(k):
-            out = mixed(out[: len(self.ids) - j] * np.uint64(0x9E3779B97F4A7C15) + self.hash[j:])
-        return out
+        for j in range(len(self._codes) - 1, k):
+            self._codes.append(mixed(self._codes[j][: max(len(self.words) - j, 0)] * np.uint64(0x9E3779B97F4A7C15) + self.hash[j:]))
+        return self._codes[k]
 
     def whole(self, k: int):
         """Whether the k words from each place on lie in one piece."""
-        n = max(len(self.ids) - k + 1, 0)
-        return self.piece[:n] == self.piece[len(self.ids) - n :]
+        n = max(len(self.words) - k + 1, 0)
+        return self.piece[:n] == self.piece[len(self.words) - n :]
 
     def counted(self, at, k: int):
         """(languages, phrases, counts) of the phrases of k words that begin ``at`` some places; exact."""
         import numpy as np
         import pyarrow as pa
 
+        inside = np.zeros(len(self.words), dtype=bool)
+        for j in range(k):
+            inside[at + j] = True
+        used = self.words if inside.all() else [self.words[w] for w in np.flatnonzero(inside).tolist()]
+        names = list(dict.fromkeys(used))
+        index = {w: n for n, w in enumerate(names)}
+        ids = np.fromiter(map(index.__getitem__, used), dtype=np.int64, count=len(used))
+        place = (np.cumsum(inside) - 1)[at]
         number = self.lang[at]
         for j in range(k):
-            number = np.unique(number * len(self.names) + self.ids[at + j], return_inverse=True)[1]
+            number = np.unique(number * len(names) + ids[place + j], return_inverse=True)[1]
         _, first, n = np.unique(number, return_index=True, return_counts=True)
-        begin = at[first].tolist()
-        numbers = self.ids.tolist() if len(begin) * 4 > len(self.ids) else self.ids
-        phrases = [b" ".join([self.names[w] for w in numbers[b : b + k]]) for b in begin]
-        langs = pa.array(self.langs, pa.string()).take(pa.array(self.lang[begin]))
+        phrases = [b" ".join(self.words[b : b + k]) for b in at[first].tolist()]
+        langs = pa.array(self.langs, pa.string()).take(pa.array(self.lang[at[first]]))
         return langs, pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n)
 
 
@@ -99,6 +101,7 @@ def chunks(batches: Iterator, most: int = CHUNK) -> Iterator[Words]:
     words: list[bytes] = []
     sizes: list[int] = []
     langs: list[str] = []
+    hashes = WordHashes()
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), binary_values(batch.column(1)), strict=True):
             for piece in (text or b"").translate(PLAIN).split(b"\n"):
@@ -109,10 +112,10 @@ def chunks(batches: Iterator, most: int = CHUNK) -> Iterator[Words]:
                 sizes.append(len(found))
                 langs.append(lang)
                 if len(words) >= most:
-                    yield Words(words, sizes, langs)
+                    yield Words(words, sizes, langs, hashes)
                     words, sizes, langs = [], [], []
     if words:
-        yield Words(words, sizes, langs)
+        yield Words(words, sizes, langs, hashes)
 
 
 def passes(bits_of: bytes, codes):

@@ -88,7 +88,7 @@ def test_chunks_cut_between_pieces(spark):
     texts = ["a b c. d e", "f", None, "g h. " * 9]
     batch = pa.RecordBatch.from_arrays([pa.array(["x", "y", "x", "y"]), pa.array(texts)], names=["lang", "text"])
     some = list(phrases.chunks(iter([batch, batch]), most=4))
-    assert sum(len(x.ids) for x in some) == 2 * (6 + 18) and len(some) > 6 and all(len(x.ids) <= 6 for x in some)
+    assert sum(len(x.words) for x in some) == 2 * (6 + 18) and len(some) > 6 and all(len(x.words) <= 6 for x in some)
 
 
 def test_products_beyond_64_bits(spark):
