@@ -1,8 +1,9 @@
 """Sparse retrieval: BM25 statistics, weights and ranking.
 
-Ranking counts only the terms that are asked for. Their postings are dealt by document once: counts, weights and the
-sums of scores all keep to that dealing, and the asked terms, whose number is checked first, are broadcast. Beyond
-``BROADCAST_TERMS`` they are joined by term instead.
+Ranking straight from texts counts only the terms that are asked for, in one pass over the texts: what is asked, and one
+row for each document, is dealt by document once, and the vocabulary, the number of documents, their mean length and
+the sums of scores are all drawn from that dealing. The asked terms and their vocabulary, which is no larger, are
+broadcast if their number, checked first, allows it; beyond ``BROADCAST_TERMS`` they are joined by term instead.
 """
 
 from __future__ import annotations
@@ -79,12 +80,21 @@ def search(indexed: DataFrame, key: str, queries: DataFrame, query_key: str, k:
 def search_texts(docs: DataFrame, key: str, queries: DataFrame, query_key: str, k: int, squared_idf: Sequence[bool] = (False,), text: str = "text") -> list[DataFrame]:
     """RET-02, TOP-02: a list as ``search`` gives for each of ``squared_idf``, straight from texts and in one pass."""
     asked = queries.select(query_key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
-    terms = _bounded(asked.select("term").distinct())
-    words = docs.select(F.col(key), tokens(F.col(text)).alias("terms")).select(key, F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    counts = words.join(terms, "term", "left_semi").repartition(key).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
-    known = _bounded(model(counts, statistics(docs, text)))
+    small = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    bounded = F.broadcast if small else (lambda df: df)
+    terms = bounded(asked.select("term").distinct().withColumn("asked", F.lit(True)))
+    body = F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))
+    # A row of the empty term stands for each document, so one pass counts documents and words as well. It is told by
+    # its value within sums, not by a filter, which would move below the dealing and make it anew; so would a test for
+    # null that a join needs, and hence no term is null.
+    words = docs.select(F.col(key), body.alias("terms")).select(key, F.size("terms").alias("length"), F.explode(F.concat(F.array(F.lit("")), F.col("terms"))).alias("term")).withColumn("term", F.coalesce("term", F.lit("")))
+    met = words.join(terms, "term", "left").filter("asked or term = ''").select(key, "length", "term").repartition(key)
+    counts = met.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+    held = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.col("length") * F.col("tf")).alias("total"), F.sum("tf").alias("n"))
+    whole = held.agg(F.max(F.when(F.col("term") == "", F.struct("n", "total"))).alias("x")).select(F.col("x.n").alias("n_docs"), (F.col("x.total") / F.col("x.n")).alias("avgdl"))
+    known = bounded(held.crossJoin(F.broadcast(whole)).select("term", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl"))
     sums = [F.round(F.sum(F.col("weight") * F.col("idf") if s else F.col("weight")), 6).alias(f"score{int(s)}") for s in dict.fromkeys(squared_idf)]
-    scored = weigh(counts, known, key).join(_bounded(asked), "term").groupBy(key, query_key).agg(*sums)
+    scored = weigh(counts, known, key).join(bounded(asked), "term").groupBy(key, query_key).agg(*sums)
     return [ranked(scored.select(query_key, key, F.col(f"score{int(s)}").alias("score")), query_key, key, k) for s in squared_idf]
 
 
