@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
 from paperloom.operators import answering, bm25, fusion, metrics, vectors
 
+from paperloom.sources import postings
+from paperloom.sources.shared import checkpoint, shared_folder
+from paperloom.sources.writers import delete
+
 from .catalog import query
 from .tables import table, tokens_sql
 
@@ -40,6 +46,18 @@ def bm25_topk(spark, sf_dir):
     return _search(spark, sf_dir, 5)
 
 
+@query("indexed_topk", f"WITH {INDEX_SQL} SELECT item_id, doc_id, score, rank::INT AS rank FROM {_ranked('weight', 5)}")
+def indexed_topk(spark, sf_dir):
+    """SNK-12, RET-01, RET-02, RET-06, TOP-02: the same best five, from a stored index of two merged batches."""
+    docs, path = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    for part in (0, 1):
+        postings.add(docs.filter(F.pmod("doc_id", F.lit(2)) == part), path, "doc_id")
+    postings.merge(spark, path)
+    found = checkpoint(postings.search(spark, path, table(spark, sf_dir, "benchmark"), "item_id", "doc_id", 5))
+    delete(spark, path)
+    return found
+
+
 @query("bm25_squared_idf", f"WITH {INDEX_SQL} SELECT item_id, doc_id, score, rank::INT AS rank FROM {_ranked('weight * idf', 5)}")
 def bm25_squared_idf(spark, sf_dir):
     """RET-02 as a dot product of two vectors that both hold the idf."""

@@ -31,6 +31,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(at)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    files, at = _files(spark, path)
+    files.delete(at, True)
+
+
 def replace_parts(df: DataFrame, path: str, by: list[str], form: str = "parquet", buckets: int = BUCKETS) -> None:
     """SNK-03, SNK-08, STM-05: the rows of ``df`` take the place of those in ``path`` with the same ``by``; others stay.
 
