@@ -1,12 +1,14 @@
-"""Text functions as column expressions; all run inside Spark's own code.
+"""Text functions as column expressions; all but ``unescaped`` run inside Spark's own code.
 
 Regular expressions stay in the subset that Java and RE2 read alike, with explicit ASCII classes.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Characters that separate words beside white space.
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
@@ -148,25 +150,52 @@ def looks_like_references(text: Column) -> Column:
     return is_reference_heading(text) | (text.rlike(r"(?i)arxiv|doi|proceedings|et al\.") & (years >= 2) & (F.length(text) > 200))
 
 
+#: White space of any script, and the separators of files to units.
+ANY_SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
+@F.pandas_udf(StringType())
+def unescaped(text: pd.Series) -> pd.Series:
+    """Character references as characters, by HTML's own rules and table (the standard library's)."""
+    import html
+
+    return text.map(lambda t: html.unescape(t) if t and "&" in t else t)
+
+
 def without_noise(text: Column) -> Column:
-    """STR-16: without character entities, image markup and glyph codes, on one line."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    text = F.regexp_replace(text, r"!\[[^\]]*\]\([^)]*\)", " ")
-    return collapsed(F.regexp_replace(text, r"GLYPH<\d+>", " "))
+    """STR-16: without character references, image markup and glyph codes, on one line."""
+    text = F.regexp_replace(unescaped(text), r"!\[[^\]]*\]\([^)]*\)", " ")
+    text = F.regexp_replace(text, r"GLYPH<\d+>", " ")
+    return F.trim(F.regexp_replace(text, ANY_SPACE, " "))
 
 
 def clean_title(title: Column) -> Column:
-    """STR-17: without heading marks, a label in front, and punctuation around."""
-    title = F.regexp_replace(title, r"^\s*#{1,6}\s*", "")
+    """STR-17: without noise, heading marks, a label in front, and punctuation around."""
+    title = F.regexp_replace(without_noise(title), r"^\s*#{1,6}\s*", "")
     title = F.regexp_replace(title, r"(?i)^\s*(?:invited\s+review|review\s+article|tutorial\s+paper|editorial)\s*[.:;\-|]+\s*", "")
     return F.btrim(collapsed(title), F.lit(" '\"`.,;:-"))
 
 
+# Words that name an affiliation or an address, and headings that are no titles.
+AFFILIATION = r"(?i)(?:^|[^\p{L}\p{N}_])(?:university|department|school|laboratory|email)(?:[^\p{L}\p{N}_]|$)|[\p{L}\p{N}_]@[\p{L}\p{N}_]"
+NUMBERED_HEADING = r"^\d+(\.\d+)*\s+"
+BOILERPLATE = r"(?:^|[^\p{L}\p{N}_])(?:abstract|introduction|reference|references|bibliography|appendix|acknowledg)(?:[^\p{L}\p{N}_]|$)"
+
+
+def valid_clean_title(title: Column) -> Column:
+    """``valid_title`` of what ``clean_title`` gave."""
+    n = F.size(F.split(title, " "))
+    return n.between(3, 35) & ~title.rlike(AFFILIATION) & ~F.lower(title).isin("unknown title", "unknown", "n/a")
+
+
 def valid_title(title: Column) -> Column:
-    """FIL-17: 3 to 35 words, no affiliation, no placeholder."""
-    n = F.size(F.split(F.trim(title), r"\s+"))
-    return n.between(3, 35) & ~title.rlike(r"(?i)\b(university|department|school|laboratory|email)\b|@") & ~F.lower(F.trim(title)).isin("unknown title", "unknown", "n/a")
+    """FIL-17: cleaned, 3 to 35 words, no affiliation, no placeholder."""
+    return valid_clean_title(clean_title(title))
+
+
+def heads_a_part(title: Column) -> Column:
+    """STR-18: whether a clean heading is numbered or that of a usual part of a paper, and so no title."""
+    return title.rlike(NUMBERED_HEADING) | F.lower(title).rlike(BOILERPLATE)
 
 
 def valid_abstract(abstract: Column) -> Column:
@@ -282,6 +311,30 @@ def numbered_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^[0-9]+\."))
 
 
+# The least and the greatest length of fields that are texts.
+FIELD_LENGTHS = {"title": (10, 500), "abstract": (50, 5000), "doi": (7, 100), "publication_venue": (3, 200)}
+
+
+def cleaned_field(name: str, value: Column) -> Column:
+    """STR-42: a found field as it may be used, else null: texts stripped and of a fair length; of authors (structs
+    with a name) the first 20, those with a name of over 2 characters, of keywords the first 15, those of 2 to 50
+    characters, both null if none is left; a year of 1900 to 2030."""
+    if name in FIELD_LENGTHS:
+        text = F.regexp_replace(value, rf"^{ANY_SPACE}|{ANY_SPACE}$", "")
+        return F.when(F.length(text).between(*FIELD_LENGTHS[name]), text)
+    if name == "publication_year":
+        return valid_year(value)
+    first = F.slice(value, 1, 20 if name == "authors" else 15)
+    if name == "authors":
+        named = F.transform(first, lambda a: a.withField("name", F.regexp_replace(a["name"], rf"^{ANY_SPACE}|{ANY_SPACE}$", "")))
+        kept = F.filter(named, lambda a: F.length(a["name"]) > 2)
+    elif name == "keywords":
+        kept = F.filter(F.transform(first, lambda k: F.regexp_replace(k, rf"^{ANY_SPACE}|{ANY_SPACE}$", "")), lambda k: F.length(k).between(2, 50))
+    else:
+        raise ValueError(f"no rule for the field {name}")
+    return F.when(F.size(kept) > 0, kept)
+
+
 def valid_year(value: Column) -> Column:
     """STR-42: a year of 1900 to 2030, else null."""
     year = value.try_cast("int")

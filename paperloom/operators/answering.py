@@ -30,10 +30,17 @@ def enriched(hits: DataFrame, payload: DataFrame, key: str) -> DataFrame:
     return met.select(*mine, *[F.col(f"p.{c}") for c in payload.columns if c not in hits.columns])
 
 
-def select_context(hits: DataFrame, question: str, chunk: str, text: str, title: str, k: int, visuals: DataFrame | None = None, adaptive: bool = True, drop_unlabeled: bool = True) -> DataFrame:
-    """RET-10, RET-12: of each question's reranked hits, with figures and tables added, the best k: one for each
-    chunk, over the threshold, not near-identical, without a minority of unlabeled sections, without references."""
+def select_context(hits: DataFrame, question: str, chunk: str, text: str, title: str, k: int, visuals: DataFrame | None = None, adaptive: bool = True, drop_unlabeled: bool = True, path: str | None = None) -> DataFrame:
+    """RET-10, RET-12, FIL-07: of each question's reranked hits, with figures and tables added, the best k: without
+    references, one for each chunk, over the threshold, not near-identical, without a minority of unlabeled sections.
+
+    References, told by their title or by any title on their ``path`` (an array), go first, so that none raises the
+    threshold or is one of the two that stay whatever their score."""
     every = hits.unionByName(visuals, allowMissingColumns=True) if visuals is not None else hits
+    refers = F.coalesce(is_reference_heading(F.col(title)), F.lit(False))
+    if path:
+        refers |= F.coalesce(F.exists(F.col(path), lambda t: F.coalesce(is_reference_heading(t), F.lit(False))), F.lit(False))
+    every = every.filter(~refers)
     order = Window.partitionBy(question).orderBy(F.col("score").desc(), "rank", chunk)
     best = fusion.best_per_key(every, [question, chunk], "score", "rank").withColumn("rank", F.row_number().over(order))
     kept = fusion.above_threshold(best, question, "score", "rank", adaptive=adaptive)
@@ -41,7 +48,6 @@ def select_context(hits: DataFrame, question: str, chunk: str, text: str, title:
     kept = kept.join(thin, [question, chunk], "left_semi")
     if drop_unlabeled:
         kept = fusion.without_unlabeled(kept, question, title)
-    kept = kept.filter(~is_reference_heading(F.col(title)))
     return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
@@ -61,8 +67,9 @@ def extractive_answer(hits: DataFrame, question: str, rank: str, text: str, chun
 
 
 def context_precision(judged: DataFrame, question: str, relevant: str) -> DataFrame:
-    """RET-19, AGG-16: the share of a question's chunks that are relevant; null if nothing is known of them."""
-    return judged.groupBy(question).agg(F.try_divide(F.count_if(relevant), F.count(relevant)).alias("context_precision"))
+    """RET-19, AGG-16: the share of a question's retrieved chunks, one row each, that are judged relevant; null if none
+    is judged (``relevant`` null)."""
+    return judged.groupBy(question).agg(F.when(F.count(relevant) > 0, F.count_if(relevant) / F.count("*")).alias("context_precision"))
 
 
 def definitions(terms: DataFrame, term: str, tables: list[tuple[str, DataFrame]]) -> DataFrame:

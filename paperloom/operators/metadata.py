@@ -29,10 +29,15 @@ def readability(pages: DataFrame, document: str, text: str = "text") -> DataFram
 
 def best_title(headings: DataFrame, document: str, order: str, title: str = "title", page: str = "page") -> DataFrame:
     """STR-18: the heading of the highest score, the first of equals: 3 for a page up to 2, 3 for a valid title, 1 for
-    20 to 220 characters, 1 for a colon."""
-    t = T.clean_title(F.col(title))
-    score = F.when(F.col(page) <= 2, 3).otherwise(0) + F.when(T.valid_title(t), 3).otherwise(0) + F.when(F.length(t).between(20, 220), 1).otherwise(0) + F.when(F.contains(t, F.lit(":")), 1).otherwise(0)
-    return headings.withColumn("__t", t).withColumn("score", score).groupBy(document).agg(F.max_by(F.struct("__t", "score"), F.struct("score", -F.col(order))).alias("x")).select(document, F.col("x.__t").alias("title"), "x.score")
+    20 to 220 characters, 1 for a colon. Numbered headings and those of usual parts are no titles; where nothing else
+    is left, the title is empty and the score null. A page that is null or 0 is unknown, and late."""
+    t = F.col("__t")
+    late = F.coalesce(F.nullif(F.col(page), F.lit(0)), F.lit(99))
+    # The weights.
+    score = F.when(late <= 2, 3).otherwise(0) + F.when(T.valid_clean_title(t), 3).otherwise(0) + F.when(F.length(t).between(20, 220), 1).otherwise(0) + F.when(F.contains(t, F.lit(":")), 1).otherwise(0)
+    usable = (t != "") & ~T.heads_a_part(t)
+    marked = headings.withColumn("__t", T.clean_title(F.col(title))).withColumn("__x", F.when(usable, F.struct(score.alias("score"), (-F.col(order)).alias("back"), t.alias("t"))))
+    return marked.groupBy(document).agg(F.max("__x").alias("x")).select(document, F.coalesce("x.t", F.lit("")).alias("title"), "x.score")
 
 
 def frequent_words(docs: DataFrame, document: str, text: str = "text", most: int = 10) -> DataFrame:
@@ -60,8 +65,8 @@ def abstract(text: Column) -> Column:
     before = F.slice(first, 1, F.when(stop > 0, stop - 1).otherwise(ABSTRACT_PARAGRAPHS).cast("int"))
     own = F.filter(before, lambda p: ~p.rlike(r"(?i)^#{1,6}\s*abstract\s*$"))
     opening = F.aggregate(own, F.lit(""), lambda a, p: F.when(a == "", p).when(F.length(a) > ABSTRACT_CHARACTERS, a).otherwise(F.concat(a, F.lit(" "), p)))
-    tries = F.array(F.regexp_extract(flat, HEADED_ABSTRACT, 1), F.regexp_extract(flat, PLAIN_ABSTRACT, 1), opening)
-    return F.coalesce(F.get(F.filter(F.transform(tries, T.clean_abstract), T.valid_abstract), 0), F.lit(""))
+    tries = (F.regexp_extract(flat, HEADED_ABSTRACT, 1), F.regexp_extract(flat, PLAIN_ABSTRACT, 1), opening)
+    return F.coalesce(F.get(F.filter(F.array(*[T.clean_abstract(t) for t in tries]), T.valid_abstract), 0), F.lit(""))
 
 
 # What begins an entry, on a line of its own and inside a line, and the words of a reference heading.
@@ -115,10 +120,17 @@ def reference_entries(docs: DataFrame, document: str, text: str = "text") -> Dat
 
 
 def missing_fields(fields: list[str]) -> Column:
-    """ARR-18, AGG-21: the names of the fields that are null or blank."""
+    """AGG-21: the names of the fields that are null or blank."""
     return F.array_compact(F.array(*[F.when(F.coalesce(F.trim(F.col(f).cast("string")), F.lit("")) == "", F.lit(f)) for f in fields]))
 
 
+def missing_core_fields(title: Column, abstract: Column, keywords: Column, sections: Column) -> Column:
+    """ARR-18: of title, abstract, keywords and sections, in this order, those that are missing: an empty title, an
+    abstract that isn't valid, and no keywords or sections (arrays)."""
+    gone = {"title": F.coalesce(title, F.lit("")) == "", "abstract": ~T.valid_abstract(abstract), "keywords": F.coalesce(F.size(keywords), F.lit(0)) <= 0, "sections": F.coalesce(F.size(sections), F.lit(0)) <= 0}
+    return F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in gone.items()]))
+
+
 def filled(current: dict[str, Column], found: dict[str, Column]) -> dict[str, Column]:
     """ARR-16: each field, or what was found where it is null or blank."""
     return {k: F.coalesce(F.nullif(F.trim(c), F.lit("")), found[k]) for k, c in current.items()}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from paperloom.functions.text import collapsed
 
@@ -71,21 +73,68 @@ def rarity(term: Column) -> Column:
     return F.when(term.rlike(r"\s"), 0.8).when(F.length(term) >= 6, 0.7).otherwise(0.5)
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def occurrences(texts: pd.Series, terms: pd.Series) -> pd.Series:
+    """How often each of a text's terms occurs in it, left to right without overlaps; one pass for all terms."""
+    import ahocorasick
+
+    def counted(text, some):
+        free = {t: 0 for t in some if t}
+        n = dict.fromkeys(free, 0)
+        found = ahocorasick.Automaton()
+        for t in free:
+            found.add_word(t, t)
+        if text and free:
+            found.make_automaton()
+            for end, t in found.iter(text):
+                if end + 1 - len(t) >= free[t]:
+                    n[t] += 1
+                    free[t] = end + 1
+        return [n.get(t, 0) for t in some]
+
+    return pd.Series([counted(t, list(some)) for t, some in zip(texts, terms, strict=True)])
+
+
 def scores(docs: DataFrame, candidates: DataFrame, key: str, text: str = "text", least: float = 0.3) -> DataFrame:
-    """RET-17: .3 of the count over the document's largest, .5 of the rarity, .2 of the words, up to three, over three.
+    """RET-17: .3 of the count over the document's largest, .5 of the rarity, .2 of the words, up to three, over three;
+    ``least`` is asked of the score itself, which then keeps two places, halves going up.
 
-    Counts are of the lower-case term anywhere in the text, without overlaps.
+    Counts are of the lower-case term anywhere in the text, without overlaps. A document's candidates are one list
+    beside its text, and counted in one pass over it.
     """
     low = F.lower(F.trim("term"))
-    counted = candidates.join(docs.select(key, F.lower(F.col(text)).alias("__t")), key).withColumn("n", (F.length("__t") - F.length(F.replace("__t", low, F.lit("")))) / F.length(low)).drop("__t")
-    most = F.greatest(F.max("n").over(Window.partitionBy(key)), F.lit(1))
+    listed = candidates.groupBy(key).agg(F.collect_list(F.struct("term", low.alias("low"))).alias("__c"))
+    counted = docs.select(key, F.lower(F.col(text)).alias("__t")).join(listed, key).select(key, "__c", occurrences(F.col("__t"), F.col("__c.low")).alias("__n"))
+    most = F.greatest(F.array_max("__n"), F.lit(1).cast("long"))
+    counted = counted.select(key, most.alias("__most"), F.explode(F.arrays_zip("__c", "__n")).alias("x")).select(key, "__most", "x.__c.term", F.col("x.__n").alias("n"))
     words = F.size(F.split(low, r"\s+"))
-    marked = counted.withColumn("score", F.round(F.col("n") / most * 0.3 + rarity(low) * 0.5 + F.least(words, F.lit(3)) / 3 * 0.2, 6))
-    return marked.filter(~filtered_out(F.trim("term")) & (F.col("score") >= least)).select(key, "term", F.col("n").cast("long").alias("n"), "score")
+    # The weights.
+    score = F.col("n") / F.col("__most") * 0.3 + rarity(low) * 0.5 + F.least(words, F.lit(3)) / 3 * 0.2
+    marked = counted.withColumn("score", score).filter(~filtered_out(F.trim("term")) & (F.col("score") >= least))
+    return marked.select(key, "term", "n", F.round("score", 2).alias("score"))
+
+
+def bundle_terms(found: DataFrame, document: str, least: float = 0.65, most: int = 12) -> DataFrame:
+    """RET-18: (document, term, score, scopes, definition, source, status, rank) of ``found`` (document, idx, scope,
+    term, score, definition, source): terms of ``least`` and more, of each lower-case term the best, the earliest of
+    equals; its scopes are that block's and those of blocks behind it. Ranked by where the definition comes from, score
+    and term; a term without a definition waits for one."""
+    low = F.lower(F.trim("term"))
+    rows = found.filter((F.col("score") >= least) & (F.trim("term") != "")).withColumn("__low", low)
+    first = Window.partitionBy(document, "__low").orderBy(F.col("score").desc(), "idx", "scope", "term")
+    rows = rows.withColumn("__best", F.first("idx").over(first)).withColumn("__n", F.row_number().over(first))
+    scopes = F.array_sort(F.collect_set(F.when((F.col("__n") == 1) | (F.col("idx") > F.col("__best")), F.col("scope"))))
+    best = F.max(F.when(F.col("__n") == 1, F.struct(F.trim("term").alias("term"), "score", "definition", "source"))).alias("x")
+    merged_terms = rows.groupBy(document, "__low").agg(best, scopes.alias("scopes")).select(document, "x.term", "x.score", "scopes", "x.definition", "x.source")
+    # The order of the sources.
+    place = F.when(F.col("source").isNull(), 4).when(F.col("source") == "dbpedia", 0).when(F.col("source") == "dictionary", 1).when(F.col("source") == "llm", 3).otherwise(2)
+    order = Window.partitionBy(document).orderBy(place, F.col("score").desc(), "term")
+    ready = F.when(F.coalesce("definition", F.lit("")) != "", "ready").otherwise("pending_llm")
+    return merged_terms.withColumn("status", ready).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
 
 def top_terms(scored: DataFrame, key: str, most: int = 12) -> DataFrame:
-    """TOP-09, RET-18: the best score of each lower-case term, and the first ``most`` by score and term."""
+    """TOP-09: the best score of each lower-case term, and the first ``most`` by score and term."""
     best = scored.groupBy(key, F.lower("term").alias("term")).agg(F.max("score").alias("score"))
     order = Window.partitionBy(key).orderBy(F.col("score").desc(), "term")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)

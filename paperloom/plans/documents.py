@@ -62,7 +62,7 @@ def title_keys(spark, sf_dir):
 
 @query(
     "noise_removed",
-    r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'),
+    r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(html, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'),
 '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), 'GLYPH<\d+>', ' ', 'g'), '\s+', ' ', 'g'), ' ')) AS digest FROM pages""",
 )
 def noise_removed(spark, sf_dir):
@@ -72,27 +72,29 @@ def noise_removed(spark, sf_dir):
 
 @query(
     "page_titles",
-    r"""WITH t AS (SELECT page_id, trim(trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\s+', ' ', 'g'), ' '), ' ''"`.,:;-') AS title FROM pages),
+    r"""WITH t AS (SELECT page_id, trim(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;?', '&', 'g'), '\s+', ' ', 'g'), ' '), ' ''"`.,:;-') AS title FROM pages),
 w AS (SELECT *, len(regexp_split_to_array(trim(title, ' '), '\s+')) AS n FROM t)
-SELECT page_id, title, n BETWEEN 3 AND 35 AND NOT regexp_matches(title, '(?i)\b(university|department|school|laboratory|email)\b|@') AND lower(title) NOT IN ('unknown title', 'unknown', 'n/a') AS valid FROM w""",
+SELECT page_id, title, n BETWEEN 3 AND 35 AND NOT regexp_matches(title, '(?i)\b(university|department|school|laboratory|email)\b|\w@\w') AND lower(title) NOT IN ('unknown title', 'unknown', 'n/a') AS valid FROM w""",
 )
 def page_titles(spark, sf_dir):
     """STR-17, FIL-17: the title element of each page, cleaned and tested."""
     title = T.clean_title(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1))
-    return table(spark, sf_dir, "pages").select("page_id", title.alias("title")).withColumn("valid", T.valid_title(F.col("title")))
+    return table(spark, sf_dir, "pages").select("page_id", title.alias("title")).withColumn("valid", T.valid_clean_title(F.col("title")))
 
 
 @query(
     "best_titles",
     rf"""WITH {LINES_SQL}, t AS (SELECT document_id, idx, trim(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), ' ''"`.,:;-') AS title FROM lines),
 w AS (SELECT *, len(regexp_split_to_array(trim(title, ' '), '\s+')) AS n FROM t),
-s AS (SELECT *, (CASE WHEN idx // 4 <= 2 THEN 3 ELSE 0 END) + (CASE WHEN n BETWEEN 3 AND 35 AND NOT regexp_matches(title, '(?i)\b(university|department|school|laboratory|email)\b|@') AND lower(title) NOT IN ('unknown title', 'unknown', 'n/a') THEN 3 ELSE 0 END)
- + (CASE WHEN length(title) BETWEEN 20 AND 220 THEN 1 ELSE 0 END) + (CASE WHEN contains(title, ':') THEN 1 ELSE 0 END) AS score FROM w)
-SELECT document_id, title, score::INT AS score FROM s QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY score DESC, idx) = 1""",
+s AS (SELECT *, (CASE WHEN idx // 4 + 1 <= 2 THEN 3 ELSE 0 END) + (CASE WHEN n BETWEEN 3 AND 35 AND NOT regexp_matches(title, '(?i)\b(university|department|school|laboratory|email)\b|\w@\w') AND lower(title) NOT IN ('unknown title', 'unknown', 'n/a') THEN 3 ELSE 0 END)
+ + (CASE WHEN length(title) BETWEEN 20 AND 220 THEN 1 ELSE 0 END) + (CASE WHEN contains(title, ':') THEN 1 ELSE 0 END) AS score FROM w),
+u AS (SELECT * FROM s WHERE title <> '' AND NOT regexp_matches(title, '^\d+(\.\d+)*\s+') AND NOT regexp_matches(lower(title), '\b(abstract|introduction|reference|references|bibliography|appendix|acknowledg)\b')),
+b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY score DESC, idx) = 1)
+SELECT document_id, coalesce(b.title, '') AS title, b.score::INT AS score FROM (SELECT DISTINCT document_id FROM lines) LEFT JOIN b USING (document_id)""",
 )
 def best_titles(spark, sf_dir):
     """STR-18: the line of each document that makes the best title."""
-    rows = lines(spark, sf_dir).select("document_id", "idx", F.col("text").alias("title"), F.floor(F.col("idx") / 4).alias("page"))
+    rows = lines(spark, sf_dir).select("document_id", "idx", F.col("text").alias("title"), (F.floor(F.col("idx") / 4) + 1).alias("page"))
     return metadata.best_title(rows, "document_id", "idx")
 
 
@@ -236,8 +238,8 @@ def phrases(spark, sf_dir):
 
 SCORES_SQL = rf"""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{WORD_SQL}')) AS term FROM {ASCII_SQL}),
 n AS (SELECT w.doc_id, term, (length(lower(text)) - length(replace(lower(text), lower(term), ''))) / length(lower(term)) AS n FROM w JOIN documents USING (doc_id)),
-s AS (SELECT doc_id, term, n::BIGINT AS n, round(n / greatest(max(n) OVER (PARTITION BY doc_id), 1) * 0.3::DOUBLE + (CASE WHEN length(term) >= 6 THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END) * 0.5::DOUBLE + 1 / 3 * 0.2::DOUBLE, 6) AS score FROM n)
-SELECT * FROM s WHERE length(term) > 3 AND lower(term) NOT IN ({', '.join(repr(x) for x in (*terms.STOPWORDS, *terms.GENERIC))}) AND score >= 0.3"""
+s AS (SELECT doc_id, term, n::BIGINT AS n, (n / greatest(max(n) OVER (PARTITION BY doc_id), 1) * 0.3::DOUBLE + (CASE WHEN length(term) >= 6 THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END) * 0.5::DOUBLE + 1 / 3 * 0.2::DOUBLE) AS score FROM n)
+SELECT doc_id, term, n, round(score::VARCHAR::DECIMAL(38, 18), 2)::DOUBLE AS score FROM s WHERE length(term) > 3 AND lower(term) NOT IN ({', '.join(repr(x) for x in (*terms.STOPWORDS, *terms.GENERIC))}) AND score >= 0.3"""
 
 
 def _scored(spark, sf_dir):
@@ -254,7 +256,7 @@ def term_scores(spark, sf_dir):
 
 @query("top_terms", f"SELECT doc_id, term, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rank FROM (SELECT doc_id, lower(term) AS term, max(score) AS score FROM ({SCORES_SQL}) GROUP BY ALL)) WHERE rank <= 12")
 def top_terms(spark, sf_dir):
-    """TOP-09, RET-15, RET-18."""
+    """TOP-09, RET-15."""
     return terms.top_terms(_scored(spark, sf_dir), "doc_id")
 
 

@@ -195,7 +195,7 @@ def extractive_answers(spark, sf_dir):
     return answering.extractive_answer(table(spark, sf_dir, "conversations").filter("role = 'assistant'"), "conv_id", "turn", "text")
 
 
-@query("context_precision", "SELECT user_id, (count(*) FILTER (value > 50))::DOUBLE / nullif(count(CASE WHEN event_type <> 'error' THEN 1 END), 0) AS context_precision FROM (SELECT user_id, event_type, CASE WHEN event_type <> 'error' THEN value END AS value FROM events) GROUP BY user_id")
+@query("context_precision", "SELECT user_id, CASE WHEN bool_or(event_type <> 'error' AND value IS NOT NULL) THEN (count(*) FILTER (event_type <> 'error' AND value > 50))::DOUBLE / count(*) END AS context_precision FROM events GROUP BY user_id")
 def context_precision(spark, sf_dir):
     """RET-19, AGG-16: events over 50 as relevant chunks, errors as unknown ones."""
     judged = table(spark, sf_dir, "events").select("user_id", F.when(F.col("event_type") != "error", F.col("value") > 50).alias("relevant"))

@@ -11,7 +11,7 @@ from paperloom.functions import text as T
 from paperloom.operators import answering, chunking, elements, hierarchy, terms
 
 from .catalog import query
-from .documents import SENTENCES_SQL
+from .documents import SENTENCES_SQL, WORD_SQL
 from .structure import PARENTS_SQL, R
 from .tables import LINES_SQL, SECTIONS_SQL, lines, sections, table
 
@@ -112,6 +112,29 @@ def _focus(spark, sf_dir):
     return elements.focus_blocks(lines(spark, sf_dir).withColumn("heading", F.when(k == 0, "1. Abstract").when(k == 1, "2 Intro: scope").when(k == 2, "Abstraction").otherwise("Introductory")))
 
 
+BUNDLE_SQL = rf"""WITH {FOCUS_SQL}, b AS (SELECT document_id, idx, scope, text, regexp_replace(text, '[\p{{L}}\p{{N}}_]*[^\x00-\x7F][\p{{L}}\p{{N}}_]*', chr(1), 'g') AS plain FROM f),
+w AS (SELECT DISTINCT document_id, idx, scope, text, unnest(regexp_extract_all(plain, '{WORD_SQL}')) AS term FROM b),
+n AS (SELECT *, (length(lower(text)) - length(replace(lower(text), lower(term), ''))) / length(lower(term)) AS n FROM w),
+s AS (SELECT *, (n / greatest(max(n) OVER (PARTITION BY document_id, idx, scope), 1) * 0.3::DOUBLE + (CASE WHEN length(term) >= 6 THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END) * 0.5::DOUBLE + 1 / 3 * 0.2::DOUBLE) AS whole FROM n),
+k AS (SELECT document_id, idx, scope, term, round(whole::VARCHAR::DECIMAL(38, 18), 2)::DOUBLE AS score FROM s WHERE length(term) > 3 AND lower(term) NOT IN ({', '.join(repr(x) for x in (*terms.STOPWORDS, *terms.GENERIC))}) AND whole >= 0.3 AND round(whole::VARCHAR::DECIMAL(38, 18), 2)::DOUBLE >= 0.65),
+best AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY document_id, lower(term) ORDER BY score DESC, idx, scope, term) = 1),
+t AS (SELECT b.document_id, b.term, b.score, array_to_string(list_sort(list_distinct(list(k.scope) FILTER (k.idx > b.idx OR (k.idx = b.idx AND k.scope = b.scope AND k.term = b.term)))), ',') AS scopes,
+  CASE length(b.term) % 3 WHEN 0 THEN 'dictionary' WHEN 1 THEN 'wikipedia' END AS source FROM best b JOIN k ON k.document_id = b.document_id AND lower(k.term) = lower(b.term) GROUP BY ALL)
+SELECT document_id, term, score, scopes, source, CASE WHEN source IS NULL THEN 'pending_llm' ELSE 'ready' END AS status,
+  (row_number() OVER (PARTITION BY document_id ORDER BY CASE source WHEN 'dictionary' THEN 1 WHEN 'wikipedia' THEN 2 ELSE 4 END, score DESC, term))::INT AS rank FROM t QUALIFY rank <= 12"""
+
+
+@query("bundle_terms", BUNDLE_SQL)
+def bundle_terms(spark, sf_dir):
+    """RET-18, RET-15, RET-17: terms of each document's focus blocks; every third length of a word has no definition."""
+    blocks = _focus(spark, sf_dir).select(F.struct("document_id", "idx", "scope").alias("block"), "text")
+    words = blocks.select("block", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(terms.CAPITALISED), F.lit(0)))).alias("term"))
+    size = F.length("term") % 3
+    source = F.when(size == 0, "dictionary").when(size == 1, "wikipedia")
+    found = terms.scores(blocks, words, "block").select("block.*", "term", "score", source.alias("source"), F.when(source.isNotNull(), F.lit("known")).alias("definition"))
+    return terms.bundle_terms(found, "document_id").select("document_id", "term", "score", F.array_join("scopes", ",").alias("scopes"), "source", "status", "rank")
+
+
 @query("focus_texts", f"WITH {FOCUS_SQL} SELECT document_id, scope, idx, md5(text) AS digest FROM f")
 def focus_texts(spark, sf_dir):
     """SET-12: pages as abstract, introduction and others."""

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from paperloom.operators import bm25, chunking, classify, fusion, hierarchy, metadata, metrics, store, terms, vectors
+from paperloom.operators import answering, bm25, chunking, classify, fusion, hierarchy, metadata, metrics, store, terms, vectors
 
 HITS = "q string, c string, score double, rank int"
 
@@ -222,7 +222,7 @@ def test_terms(spark):
     both = terms.merged([terms.acronyms(docs, "d"), spark.createDataFrame([(1, "gnn"), (1, "Ada Lovelace")], "d long, term string")], "d")
     assert rows(both.filter("d = 1").select("term", "expansion"), "term") == [("Ada Lovelace", None), ("GNN", "Graph Neural Network"), ("NLP", None)]
     scored = {r["term"]: (r["n"], r["score"]) for r in terms.scores(docs, both, "d").collect()}
-    assert scored["Ada Lovelace"] == (2, round(2 / 2 * 0.3 + 0.8 * 0.5 + 2 / 3 * 0.2, 6)) and "GNN" not in scored
+    assert scored["Ada Lovelace"] == (2, 0.83) and "GNN" not in scored
     spans = terms.spans(docs, "d", terms.PHRASE).collect()
     body = docs.first()["text"]
     assert all(body[r["start"] : r["end"]] == r["term"] for r in spans) and len(spans) == 3
@@ -266,3 +266,52 @@ def test_classifier(spark):
     df = spark.createDataFrame(good + bad, "d long, text string, y int")
     got = classify.predict(classify.fit(df.filter("d % 3 <> 0"), "y"), df.filter("d % 3 = 0"), "d").collect()
     assert all(r["label"] == (r["d"] < 100) for r in got) and all(len(r["top"]) == 2 and r["probability"] >= 0.5 for r in got)
+
+
+def test_terms_are_counted_in_one_pass(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abA ", k=400)) for _ in range(20)] + ["", None, "aaaa"]
+    words = ["a", "aa", "ab", "aba", "b", "a b", "zz", "AA"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "d long, text string")
+    candidates = spark.createDataFrame([(d, w) for d in range(len(texts)) for w in words], "d long, term string")
+    got = {(r.d, r.t): r.n for r in docs.join(candidates, "d").groupBy("d", "text").agg(F.collect_list(F.lower("term")).alias("c")).select("d", F.explode(F.arrays_zip("c", terms.occurrences(F.lower("text"), F.col("c")))).alias("x")).select("d", F.col("x.c").alias("t"), F.col("x.1").alias("n")).collect()}
+    assert got == {(d, w.lower()): (t or "").lower().count(w.lower()) for d, t in enumerate(texts) for w in words}
+
+
+def test_bundle_terms(spark):
+    rows_in = [
+        (1, 0, "abstract", "Graph", 0.7, None, None), (1, 1, "introduction", "graph", 0.7, None, None), (1, 2, "introduction", "GRAPH", 0.64, None, None),
+        (1, 0, "abstract", "Node", 0.65, None, None), (1, 1, "introduction", "Node", 0.9, "a thing", "dbpedia"),
+        (1, 1, "introduction", "Tree", 0.8, "x", "llm"), (1, 0, "abstract", "Weak", 0.6, "x", "dbpedia"), (1, 1, "introduction", "Else", 0.8, "x", "other"),
+    ]
+    found = spark.createDataFrame(rows_in, "document_id long, idx long, scope string, term string, score double, definition string, source string")
+    got = [(r.term, r.score, r.scopes, r.status, r["rank"]) for r in terms.bundle_terms(found, "document_id").orderBy("rank").collect()]
+    assert got == [("Node", 0.9, ["introduction"], "ready", 1), ("Else", 0.8, ["introduction"], "ready", 2), ("Tree", 0.8, ["introduction"], "ready", 3), ("Graph", 0.7, ["abstract", "introduction"], "pending_llm", 4)]
+
+
+def test_best_title_is_no_numbered_or_usual_heading(spark):
+    rows_in = [(1, 0, "1 Introduction to the Learning of Things: A Long Name", 1), (1, 1, "A Plain Study of Graphs", 1), (1, 2, "References and more things here", 1), (2, 0, "Abstract", 1), (3, 0, "Some Title of Three", None), (3, 1, "Other Title of Four", 2)]
+    got = {r.d: (r.title, r.score) for r in metadata.best_title(spark.createDataFrame(rows_in, "d long, k long, title string, page long"), "d", "k").collect()}
+    assert got == {1: ("A Plain Study of Graphs", 7), 2: ("", None), 3: ("Other Title of Four", 6)}
+
+
+def test_context_precision_counts_all_that_was_retrieved(spark):
+    judged = [("a", True), ("a", False), ("a", None), ("a", None), ("a", None), ("b", None), ("c", False), ("c", None)]
+    got = {r.q: r.context_precision for r in answering.context_precision(spark.createDataFrame(judged, "q string, r boolean"), "q", "r").collect()}
+    assert got == {"a": 0.2, "b": None, "c": 0.0}
+
+
+def test_references_neither_raise_the_threshold_nor_stay(spark):
+    hits = [("q", "r1", "refs", "References", [], 0.9, 1), ("q", "r2", "more refs", "Part", ["Bibliography", "Part"], 0.8, 2), ("q", "a", "text one", "Intro", ["Intro"], 0.2, 3), ("q", "b", "other words", "Method", None, 0.1, 4), ("q", "c", "third thing", "Method", None, 0.05, 5)]
+    frame = spark.createDataFrame(hits, "q string, chunk string, text string, title string, path array<string>, score double, rank int")
+    got = answering.select_context(frame, "q", "chunk", "text", "title", 6, path="path").orderBy("rank").collect()
+    assert [(r.chunk, r["rank"]) for r in got] == [("a", 1), ("b", 2)]
+
+
+def test_missing_core_fields(spark):
+    rows_in = [("T", "short", ["k"], []), (None, "x" * 50, None, ["s"])]
+    df = spark.createDataFrame(rows_in, "t string, a string, k array<string>, s array<string>")
+    got = [r[0] for r in df.select(metadata.missing_core_fields(F.col("t"), F.col("a"), F.col("k"), F.col("s"))).collect()]
+    assert got == [["abstract", "sections"], ["title", "keywords"]]
