@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.operators import answering, bm25, fusion, metrics, vectors
+from paperloom.operators import answering, bm25, cells, fusion, metrics, vectors
 
 from paperloom.sources import postings
 from paperloom.sources.shared import checkpoint, shared_folder
@@ -100,6 +100,16 @@ def cosine_topk(spark, sf_dir):
     return _cosine(spark, sf_dir, 10)
 
 
+@query("cosine_cells")
+def cosine_cells(spark, sf_dir):
+    """RET-04, approximate: the ten nearest to every hundredth vector, from a stored index of cells; held to recall."""
+    every, path = table(spark, sf_dir, "embeddings"), f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    cells.build(every, path)
+    found = checkpoint(cells.search(spark, path, every.filter("vec_id % 100 = 0"), 10))
+    delete(spark, path)
+    return found
+
+
 @query(
     "rrf_fusion",
     f"""WITH {INDEX_SQL}, a AS {_ranked('weight', 20)}, b AS {_ranked('weight * idf', 20)}
