@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from paperloom.functions.text import collapsed, plain_title, sentence_with, stripped, title_key
 
@@ -38,17 +40,44 @@ def visual_ids(elements: DataFrame, document: str = "document_id") -> DataFrame:
     return ids.groupBy(document).agg(pick("figure").alias("figures"), pick("table").alias("tables"))
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def window_hashes(texts: pd.Series, sizes: pd.Series) -> pd.Series:
+    """The different hashes of all windows of so many characters of each text, rolled: those of neighbours differ by
+    the character that leaves and the one that comes. A shorter text has none."""
+    import numpy as np
+
+    base, inverse = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+    def powers(of, n):
+        return np.multiply.accumulate(np.concatenate([np.ones(1, dtype=np.uint64), np.full(n, of, dtype=np.uint64)]))
+
+    def rolled(text, size):
+        points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        n = len(points)
+        if n < size:
+            return []
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((points + np.uint64(1)) * powers(base, n)[:n], dtype=np.uint64)])
+        return np.unique(((sums[size:] - sums[: n - size + 1]) * powers(inverse, n)[: n - size + 1]).view(np.int64))
+
+    return pd.Series([rolled(t, int(s)) for t, s in zip(texts, sizes, strict=True)])
+
+
 def title_mismatches(chunks: DataFrame, blocks: DataFrame, document: str = "document_id", probe: int = 96, least: int = 24) -> DataFrame:
     """ARR-19: text chunks (document, chunk_id, content, section_title, content_type) whose title isn't that of their
     blocks: (document, chunk_id, section_title, heading).
 
+    A probe is looked up by the hash of its first ``least`` characters among those of all such windows of the chunks,
+    and then compared as a whole; of equal probes the first block's stands for all.
+
     Expected is the heading of the first block (document, idx, text, heading) whose first ``probe`` characters are in
     the chunk. Blocks and chunks under ``least`` characters have no say, nor has an empty heading; titles are compared
     without case and numbering.
     """
     held = chunks.filter("content_type = 'text'").select(document, "chunk_id", "section_title", collapsed(F.col("content")).alias("c")).filter(F.length("c") >= least)
     probes = blocks.select(document, "idx", "heading", collapsed(F.col("text")).alias("t")).filter(F.length("t") >= least).select(document, "idx", "heading", F.substring("t", 1, probe).alias("p"))
-    met = held.join(probes, document).filter(F.contains("c", "p"))
+    firsts = probes.groupBy(document, "p").agg(F.min(F.struct("idx", "heading")).alias("x")).select(document, "p", "x.*", window_hashes(F.substring("p", F.lit(1), F.lit(least)), F.lit(least))[0].alias("h"))
+    places = held.select(document, "chunk_id", "section_title", "c", F.explode(window_hashes(F.col("c"), F.lit(least))).alias("h"))
+    met = places.join(firsts, [document, "h"]).filter(F.contains("c", "p"))
     first = met.groupBy(document, "chunk_id", "section_title").agg(F.min(F.struct("idx", F.coalesce("heading", F.lit("")).alias("heading"))).alias("x")).select(document, "chunk_id", "section_title", F.col("x.heading").alias("heading"))
     return first.filter((F.col("heading") != "") & (title_key(F.coalesce("section_title", F.lit(""))) != title_key(F.col("heading"))))
 

@@ -73,6 +73,24 @@ def latest_state(events: DataFrame, key: str, at: str, state: str, tie: str) ->
     return events.groupBy(key).agg(F.max_by(state, F.struct(at, tie)).alias(state), F.max(at).alias("last_at"), F.count("*").alias("n_events"))
 
 
+def question_states(events: DataFrame, key: str, at: str, event: str, tie: str) -> DataFrame:
+    """SNK-09, STM-03: (key, state, n_rejected) after all events of each key, in order of time and ``tie``; the rules
+    are those of ``streaming.state.question_states``.
+
+    complete and fail hold whatever the state, so they cut a key's events into parts that know nothing of each other:
+    within a part the first claim takes the question and the others are rejected, unless it begins as completed.
+    """
+    own = events.filter(F.col(event).isin("claim", "complete", "fail"))
+    ends = F.col(event) != "claim"
+    before = Window.partitionBy(key).orderBy(at, tie).rowsBetween(Window.unboundedPreceding, -1)
+    marked = own.withColumn("part", F.coalesce(F.count_if(ends).over(before), F.lit(0))).withColumn("begun", F.last(F.when(ends, F.col(event)), ignorenulls=True).over(before))
+    parts = marked.groupBy(key, "part").agg(F.first("begun").alias("begun"), F.count_if(~ends).alias("claims"), F.max(F.when(ends, F.col(event))).alias("end"))
+    open_ = F.coalesce(F.col("begun") != "complete", F.lit(True))
+    state = F.when(F.col("end") == "complete", "completed").when(F.col("end") == "fail", "failed").when(~open_, "completed").when(F.col("claims") > 0, "running").otherwise("pending")
+    rejected = F.when(open_, F.greatest(F.col("claims") - 1, F.lit(0))).otherwise(0)
+    return parts.groupBy(key).agg(F.max_by(state, "part").alias("state"), F.sum(rejected).alias("n_rejected"))
+
+
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """AGG-02: (table, n) of several tables."""
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in tables.items()]

@@ -56,6 +56,27 @@ def status_latest(spark, sf_dir):
     return store.latest_state(table(spark, sf_dir, "events"), "user_id", "ts", "event_type", "event_id").withColumn("last_at", F.unix_micros(F.col("last_at").cast("timestamp")))
 
 
+@query(
+    "question_states",
+    """WITH RECURSIVE e AS (
+  SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n,
+    CASE event_type WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'fail' ELSE 'claim' END AS event
+  FROM events
+), run AS (
+  SELECT user_id, 0 AS n, 'pending' AS state, 0 AS n_rejected FROM e GROUP BY user_id
+  UNION ALL
+  SELECT run.user_id, e.n, CASE WHEN event = 'complete' THEN 'completed' WHEN event = 'fail' THEN 'failed' WHEN state = 'completed' THEN state ELSE 'running' END,
+    n_rejected + CASE WHEN event = 'claim' AND state = 'running' THEN 1 ELSE 0 END
+  FROM run JOIN e ON e.user_id = run.user_id AND e.n = run.n + 1
+)
+SELECT user_id, state, n_rejected::BIGINT AS n_rejected FROM run QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1""",
+)
+def question_states(spark, sf_dir):
+    """STM-03, SNK-09: each user's events as a question's: purchases complete it, errors fail it, all others claim it."""
+    kind = F.when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "error", "fail").otherwise("claim")
+    return store.question_states(table(spark, sf_dir, "events").withColumn("event", kind), "user_id", "ts", "event", "event_id")
+
+
 @query("event_tally", "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*)::BIGINT AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
 def event_tally(spark, sf_dir):
     """AGG-26, AGG-27, AGG-11."""

@@ -203,3 +203,22 @@ def test_anchors(spark):
     sections = spark.createDataFrame([("d", 0, "Intro"), ("d", 1, "Data (x)"), ("d", 2, "End"), ("d", 3, "None")], "document_id string, idx long, title string")
     assert rows(hierarchy.anchored_texts(docs, sections).select("idx", "start", "section_text"), "idx") == [(0, 1, "Intro one two "), (1, 15, "Data (x) three "), (2, 30, "End")]
     assert rows(hierarchy.anchored_texts(docs, sections, most=5).select("section_text"), "idx") == [("one t",), ("three",), ("",)]
+
+
+def test_title_mismatches_of_ten_thousand_blocks(spark):
+    import random
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdeé", k=rng.randint(2, 6)))
+    texts = [" ".join(word() for _ in range(rng.randint(3, 30))) for _ in range(10000)]
+    texts[5000] = texts[17]
+    blocks = [(1, k, t, f"Part {k // 50}" if k % 7 else "") for k, t in enumerate(texts)]
+    chunks = [(1, f"c{j}", " ".join(texts[j : j + 10]), f"part {(j + rng.randint(0, 40)) // 50}", "text") for j in range(0, 10000, 40)]
+    want = []
+    for _, chunk, content, title, _ in chunks:
+        first = next((h for _, k, t, h in blocks if len(t) >= 24 and t[:96] in content), "")
+        if len(content) >= 24 and first and first.lower() != title.lower():
+            want.append((1, chunk, title, first))
+    frame = elements.title_mismatches(spark.createDataFrame(chunks, "document_id long, chunk_id string, content string, section_title string, content_type string"), spark.createDataFrame(blocks, "document_id long, idx long, text string, heading string"))
+    assert "NestedLoop" not in frame._jdf.queryExecution().toString() and "Cartesian" not in frame._jdf.queryExecution().toString()
+    assert sorted(map(tuple, frame.collect())) == sorted(want) and want

@@ -1,9 +1,11 @@
 """Readers, writers and streams."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
+from paperloom.operators import store
 from paperloom.sources import readers, writers
 from paperloom.streaming import state
 
@@ -63,10 +65,6 @@ def test_streams(spark, tmp_path):
     df = spark.createDataFrame([(k, n, e) for k, e, n in rows], "k string, n int, e string").select("k", F.timestamp_seconds(F.col("n") + 1_700_000_000).alias("at"), "e")
     df.write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(events).parquet(f"{tmp_path}/in")
-    run = state.question_states(stream, "k", "at", "e").writeStream.outputMode("update").format("memory").queryName("states").option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start()
-    run.awaitTermination()
-    got = {r["k"]: (r["state"], r["n_rejected"]) for r in spark.table("states").collect()}
-    assert got == {"a": ("completed", 1), "b": ("running", 0), "c": ("pending", 1)}
     index = state.index_documents(stream.withColumnRenamed("k", "document_id"), f"{tmp_path}/index", f"{tmp_path}/c2")
     index.awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/index").count() == len(rows)
@@ -76,3 +74,52 @@ def test_streams(spark, tmp_path):
     counts = state.latest_by_window(stream, "at", "e").writeStream.outputMode("complete").format("memory").queryName("counts").option("checkpointLocation", f"{tmp_path}/c4").trigger(availableNow=True).start()
     counts.awaitTermination()
     assert {r["e"]: r["n"] for r in spark.table("counts").collect()} == {"claim": 5, "complete": 1, "fail": 2}
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def machine(events):
+    held, rejected = "pending", 0
+    for e in events:
+        if e == "claim":
+            rejected += held == "running"
+            held = held if held in ("running", "completed") else "running"
+        elif e in ("complete", "fail"):
+            held = {"complete": "completed", "fail": "failed"}[e]
+    return held, rejected
+
+
+def run_states(spark, tmp_path, name, batches, **options):
+    """The last state of each key, after a batch of each of ``batches`` (lists of (key, second, event))."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    schema, out = "k string, at timestamp, e string", {}
+
+    def keep(df, _):
+        out.update({r.k: (r.state, r.n_rejected) for r in df.collect()})
+
+    try:
+        for rows in batches:
+            df = spark.createDataFrame(rows, "k string, n long, e string").select("k", F.timestamp_seconds(F.col("n") + 1_700_000_000).alias("at"), "e")
+            df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+            stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/{name}")
+            found = state.question_states(stream, "k", "at", "e", **options)
+            found.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/{name}-state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    return out
+
+
+def test_question_states_in_batches_equal_the_fold(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(rng.choice("abcdef"), n, rng.choice(["claim", "claim", "claim", "complete", "fail", "view"])) for n in range(90)]
+    want = {k: machine([e for x, _, e in rows if x == k]) for k in "abcdef"}
+    batch = store.question_states(spark.createDataFrame([(k, n, n, e) for k, n, e in rows], "k string, at long, tie long, e string"), "k", "at", "e", "tie")
+    assert {r.k: (r.state, r.n_rejected) for r in batch.collect()} == want
+    assert run_states(spark, tmp_path, "fold", [rows[:30], rows[30:55], rows[55:]]) == want
+
+
+def test_a_claim_that_runs_too_long_goes_back(spark, tmp_path):
+    batches = [[("a", 0, "claim"), ("b", 0, "claim"), ("c", 0, "claim")], [("b", 30, "complete"), ("z", 400, "claim")], [("c", 410, "claim"), ("z", 420, "fail")]]
+    got = run_states(spark, tmp_path, "late", batches, late="10 seconds", most="1 minute")
+    assert got == {"a": ("pending", 0), "b": ("completed", 0), "c": ("running", 0), "z": ("failed", 0)}
