@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from paperloom.functions.text import NAMESPACE_URL, token_estimate, uuid5
 
@@ -95,6 +97,37 @@ def split_windows(docs: DataFrame, key: str, text: str = "text", levels: tuple[t
     return found.withColumn("token_count", token_estimate(F.col("content"))).withColumn("n_chars", F.length("content").cast("long"))
 
 
+class ChunkTable:
+    """CHK-01, CHK-04, CHK-08 as a table function of SQL:
+
+        SELECT * FROM chunks(TABLE(papers) PARTITION BY id, key => 'id', body => 'text')
+
+    gives for each row of the table what ``split_windows`` gives, under the table's own type of the key. ``levels`` and
+    ``least_chars`` are optional: 'fine:128:32,coarse:512:64' and 80.
+    """
+
+    @staticmethod
+    def analyze(row: AnalyzeArgument, key: AnalyzeArgument, body: AnalyzeArgument, levels: AnalyzeArgument | None = None, least_chars: AnalyzeArgument | None = None) -> AnalyzeResult:
+        for name in (key, body):
+            if not name.isConstantExpression or name.value not in row.dataType.names:
+                raise ValueError("key and body must name columns of the table")
+        out = StructType().add(key.value, row.dataType[key.value].dataType).add("chunk_level", "string").add("chunk_index", "long").add("content", "string").add("token_count", "long").add("n_chars", "long")
+        return AnalyzeResult(schema=out)
+
+    def eval(self, row, key, body, levels="fine:128:32,coarse:512:64", least_chars=LEAST_CHARS):
+        n = 0
+        for level, size, overlap in (x.split(":") for x in levels.split(",")):
+            for w in windows(row[body], int(size), int(overlap)):
+                if len(w) >= least_chars:
+                    yield row[key], level, n, w, estimate(w), len(w)
+                    n += 1
+
+
+def register(spark: SparkSession, name: str = "chunks") -> None:
+    """Make ``ChunkTable`` known to SQL; rows go to and from it in Arrow batches."""
+    spark.udtf.register(name, F.udtf(ChunkTable, useArrow=True))
+
+
 def payload(chunks: DataFrame) -> DataFrame:
     """PRJ-01: chunks with section_path as the titles on the way to their own, each once; a missing or empty title adds
     none."""

@@ -274,6 +274,14 @@ def chunk_windows(spark, sf_dir):
     return chunking.split_windows(table(spark, sf_dir, "documents"), "doc_id")
 
 
+@query("chunk_table")
+def chunk_table(spark, sf_dir):
+    """CHK-01, CHK-04, CHK-08: the same rows by a table function in SQL."""
+    chunking.register(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spark.sql("SELECT * FROM chunks(TABLE(SELECT * FROM {docs}) PARTITION BY doc_id, key => 'doc_id', body => 'text')", docs=docs)
+
+
 @query(
     "chunk_jaccard",
     rf"""WITH {LINES_SQL}, p AS (SELECT document_id, idx, list_distinct(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS a, lead(list_distinct(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))) OVER (PARTITION BY document_id ORDER BY idx) AS b FROM lines)

@@ -315,3 +315,18 @@ def test_missing_core_fields(spark):
     df = spark.createDataFrame(rows_in, "t string, a string, k array<string>, s array<string>")
     got = [r[0] for r in df.select(metadata.missing_core_fields(F.col("t"), F.col("a"), F.col("k"), F.col("s"))).collect()]
     assert got == [["abstract", "sections"], ["title", "keywords"]]
+
+
+def test_chunks_by_a_table_function(spark, sf):
+    from paperloom.plans import catalog
+
+    catalog.load()
+    by_sql, by_frames = (catalog.QUERIES[q](spark, sf) for q in ("chunk_table", "chunk_windows"))
+    assert sorted(by_sql.columns) == sorted(by_frames.columns)
+    assert sorted(map(tuple, by_sql.select(by_frames.columns).collect())) == sorted(map(tuple, by_frames.collect()))
+    text = " ".join(f"Sentence number {k} has some words in it." for k in range(20))
+    spark.createDataFrame([("a", text), ("a", text), ("b", None), (None, "x")], "k string, t string").createOrReplaceTempView("papers_to_cut")
+    got = spark.sql("SELECT * FROM chunks(TABLE(papers_to_cut), key => 'k', body => 't', levels => 'all:60:0', least_chars => 1)").collect()
+    assert [r.k for r in got if r.k == "a"] == ["a"] * 2 * len(chunking.windows(text, 60, 0)) and [r.content for r in got if r.k is None] == ["x"]
+    with pytest.raises(Exception, match="must name columns"):
+        spark.sql("SELECT * FROM chunks(TABLE(papers_to_cut), key => 'none', body => 't')")
