@@ -346,11 +346,21 @@ def dsn(url: Column) -> Column:
     return F.regexp_replace(url, "^postgres(?:ql)?://", "postgresql+psycopg://")
 
 
+def truthy(value: Column) -> Column:
+    """Whether a JSON value (a variant) holds: true, a number but 0, a text, list or object that isn't empty."""
+    kind = F.schema_of_variant(value)
+    text = F.call_function("try_variant_get", value, F.lit("$"), F.lit("string"))
+    number = F.call_function("try_variant_get", value, F.lit("$"), F.lit("double"))
+    held = F.when(kind == "VOID", False).when(kind.isin("STRING", "BOOLEAN"), F.when(kind == "STRING", text != "").otherwise(text == "true"))
+    return F.coalesce(held.when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), ~text.isin("[]", "{}")).otherwise(number != 0), F.lit(False))
+
+
 def relevance_map(answer: Column, n: Column) -> Column:
     """STR-35: of the chunks 1 to n, those in a judge's answer and whether they are relevant; none without an answer.
 
-    False, 0, null and what is empty count as not relevant, and so does the word false.
+    False, 0, null and what is empty count as not relevant; any other text, the word false too, counts as relevant.
     """
-    read = F.from_json(json_object(answer), "map<string,string>")
-    named = F.filter(F.map_entries(F.coalesce(read, F.create_map().cast("map<string,string>"))), lambda e: e["key"].rlike("^[1-9][0-9]{0,8}$") & (e["key"].try_cast("int") <= n))
-    return F.map_from_entries(F.transform(named, lambda e: F.struct(e["key"].cast("int").alias("key"), F.coalesce(~F.lower(e["value"]).isin("false", "0", "0.0", "", "[]", "{}"), F.lit(False)).alias("value"))))
+    read = F.from_json(json_object(answer), "map<string,variant>")
+    entries = F.coalesce(F.map_entries(read), F.array().cast("array<struct<key:string,value:variant>>"))
+    named = F.filter(entries, lambda e: e["key"].rlike("^[1-9][0-9]{0,8}$") & (e["key"].try_cast("int") <= n))
+    return F.map_from_entries(F.transform(named, lambda e: F.struct(e["key"].cast("int").alias("key"), truthy(e["value"]).alias("value"))))

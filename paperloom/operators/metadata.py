@@ -131,9 +131,12 @@ def missing_core_fields(title: Column, abstract: Column, keywords: Column, secti
     return F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in gone.items()]))
 
 
-def filled(current: dict[str, Column], found: dict[str, Column]) -> dict[str, Column]:
-    """ARR-16: each field, or what was found where it is null or blank."""
-    return {k: F.coalesce(F.nullif(F.trim(c), F.lit("")), found[k]) for k, c in current.items()}
+def filled(current: dict[str, Column], found: dict[str, Column], lists: tuple[str, ...] = ()) -> dict[str, Column]:
+    """ARR-16: each field that was found, or as it was unless it is null or empty; ``lists`` are arrays. What wasn't
+    looked for stays."""
+    empty = lambda k, c: F.coalesce(F.size(c) <= 0 if k in lists else c == "", F.lit(True))
+    return {k: F.when(empty(k, c), found[k]).otherwise(c) if k in found else c for k, c in current.items()}
+
 
 
 def paper_properties(formulas: Column, pages: Column, sections: Column) -> Column:

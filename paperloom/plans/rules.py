@@ -236,3 +236,15 @@ def inline_definitions(spark, sf_dir):
     way = F.element_at(F.array(*[F.lit(w) for w in WAYS]), (F.col("doc_id") % 7 + 1).cast("int"))
     made = table(spark, sf_dir, "documents").withColumn("term", F.regexp_extract("text", "[A-Za-z]{5,}", 0)).filter("term <> ''").withColumn("text", F.concat(F.upper("term"), way, F.col("text"), F.lit(".)")))
     return made.select("doc_id", "term", terms.inline_definition(F.col("text"), F.col("term")).alias("definition"))
+
+
+@query(
+    "relevance_maps",
+    """SELECT doc_id, chunk, relevant FROM (
+  SELECT doc_id, unnest([1, 2, 3, 4]) AS chunk, unnest([quality = 1, toxic <> 0, true, false]) AS relevant FROM labels)""",
+)
+def relevance_maps(spark, sf_dir):
+    """STR-35: labels as a judge's answers: a boolean, a number, the word false, and null; the fifth isn't asked for."""
+    told = F.format_string('Judged: {"1": %s, "2": %s, "3": "false", "4": null, "5": true} so far.', F.when(F.col("quality") == 1, "true").otherwise("false"), F.col("toxic").cast("string"))
+    found = table(spark, sf_dir, "labels").select("doc_id", F.explode(T.relevance_map(told, F.lit(4))).alias("chunk", "relevant"))
+    return found.select("doc_id", "chunk", "relevant")

@@ -38,9 +38,11 @@ def blocks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, path: str, with_answers: bool = False) -> DataFrame:
-    """SRC-13, SRC-14: questions whose text and ids, and with answers those too, are filled in."""
-    rows = spark.read.schema(QUESTION).option("multiLine", True).json(path).filter("question is not null")
-    blank = F.contains("question", F.lit("FILL IN")) | F.exists(F.coalesce("relevant_chunk_ids", F.array().cast("array<string>")), lambda x: F.contains(x, F.lit("FILL IN")))
+    """SRC-13, SRC-14: questions whose text and ids, and with answers those too, are filled in; one without a text stays.
+    What can't be read has no field, and is left out."""
+    rows = spark.read.schema(QUESTION).option("multiLine", True).json(path)
+    rows = rows.filter(F.coalesce(*[F.col(c).cast("string") for c in rows.columns]).isNotNull())
+    blank = F.contains(F.coalesce("question", F.lit("")), F.lit("FILL IN")) | F.exists(F.coalesce("relevant_chunk_ids", F.array().cast("array<string>")), lambda x: F.contains(x, F.lit("FILL IN")))
     if with_answers:
         blank = blank | F.contains(F.coalesce("reference_answer", F.lit("")), F.lit("FILL IN"))
     return rows.filter(~blank)

@@ -63,6 +63,8 @@ def test_small_answers(spark):
     one = spark.range(1)
     value = lambda c: one.select(c.alias("x")).first()["x"]
     assert value(T.relevance_map(F.lit('so: {"1": true, "2": false, "3": 2, "4": null, "9": true, "x": 1}'), F.lit(4))) == {1: True, 2: False, 3: True, 4: False} and value(T.relevance_map(F.lit("no"), F.lit(2))) == {}
+    said = '{"1": "false", "2": "", "3": 0.0, "4": [], "5": [0], "6": {}, "7": {"a": null}, "8": "0", "9": -1}'
+    assert value(T.relevance_map(F.lit(said), F.lit(9))) == {1: True, 2: False, 3: False, 4: False, 5: True, 6: False, 7: True, 8: True, 9: True}
     assert [value(answering.guide_status(F.lit(s).cast("string"), F.lit(p).cast("string"))) for s, p in ((None, None), (" Failed", "{}"), (None, '{"a": 1}'), (None, "{ }"), ("done", '{"a": 1}'), ("done", "[1]"))] == ["missing", "failed", "ready", "pending", "ready", "pending"]
     step = lambda questions, places, objective, expected: value(answering.step_questions(F.lit(questions).cast("array<string>"), F.lit(places).cast("array<string>"), F.lit(objective).cast("string"), F.lit(expected).cast("string")))
     assert step([" a ", "", "a", "b"], ["S"], "o", None) == ["a", "a"]

@@ -330,3 +330,11 @@ def test_chunks_by_a_table_function(spark, sf):
     assert [r.k for r in got if r.k == "a"] == ["a"] * 2 * len(chunking.windows(text, 60, 0)) and [r.content for r in got if r.k is None] == ["x"]
     with pytest.raises(Exception, match="must name columns"):
         spark.sql("SELECT * FROM chunks(TABLE(papers_to_cut), key => 'none', body => 't')")
+
+
+def test_only_empty_fields_are_filled(spark):
+    df = spark.createDataFrame([("", " ", None, [], ["a"])], "t string, b string, n string, k array<string>, l array<string>")
+    new = {"t": F.lit("T"), "b": F.lit("B"), "n": F.lit("N"), "k": F.array(F.lit("K")), "l": F.array(F.lit("L"))}
+    got = metadata.filled({c: F.col(c) for c in df.columns}, new, ("k", "l"))
+    assert tuple(df.select(*[c.alias(k) for k, c in got.items()]).collect()[0]) == ("T", " ", "N", ["K"], ["a"])
+    assert metadata.filled({"t": F.col("t")}, {}).keys() == {"t"}

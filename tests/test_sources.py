@@ -25,11 +25,12 @@ def test_blocks_and_questions(spark, tmp_path):
     (tmp_path / "x.json").write_text(json.dumps({"document_id": "a", "text_blocks": [{"id": "1", "page": 2, "label": "text", "text": "hello"}]}))
     (tmp_path / "y.json").write_text(json.dumps({"document_id": "b"}))
     assert [(r["document_id"], r["text"]) for r in readers.blocks(spark, f"{tmp_path}/*.json").collect()] == [("a", "hello")]
-    rows = [{"question": "q1", "relevant_chunk_ids": ["a"], "reference_answer": "x"}, {"question": "FILL IN", "relevant_chunk_ids": ["a"]}, {"question": "q2", "relevant_chunk_ids": ["FILL IN 1"]}, {"question": "q3", "relevant_chunk_ids": ["b"]}]
+    rows = [{"question": "q1", "relevant_chunk_ids": ["a"], "reference_answer": "x"}, {"question": "FILL IN", "relevant_chunk_ids": ["a"]}, {"question": "q2", "relevant_chunk_ids": ["FILL IN 1"]}, {"question": "q3", "relevant_chunk_ids": ["b"]}, {"paper_id": "p", "relevant_chunk_ids": ["c"]}]
     (tmp_path / "qa").mkdir()
     (tmp_path / "qa" / "qa.json").write_text(json.dumps(rows))
-    assert sorted(r["question"] for r in readers.questions(spark, f"{tmp_path}/qa").collect()) == ["q1", "q3"]
-    assert [r["question"] for r in readers.questions(spark, f"{tmp_path}/qa", with_answers=True).collect()] == ["q1", "q3"]
+    (tmp_path / "qa" / "broken.json").write_text("{not json")
+    assert sorted(r["question"] or "" for r in readers.questions(spark, f"{tmp_path}/qa").collect()) == ["", "q1", "q3"]
+    assert [r["question"] for r in readers.questions(spark, f"{tmp_path}/qa", with_answers=True).collect()] == ["q1", "q3", None]
 
 
 def test_files(spark, tmp_path):
