@@ -10,7 +10,7 @@ map lets more through when it is crowded, never less: what counts is the exact c
 The maps have ``2**LEAST_BITS`` to ``2**MOST_BITS`` bits by the size of the texts and by the number of frequent phrases,
 so no more than 16 MB each; a task holds a byte for each bucket. Where a corpus fills them, the passes prune less and
 count more, with the same result. A task writes its pass's rows into a table in the shared folder, phrases of a chunk
-of words added up; Spark sums both kinds from there, and the table is deleted.
+of texts added up; Spark sums both kinds from there, and the table is deleted.
 
 The score of a phrase is floor(1000 a n / (l r)), with a its count, n all words of the language, and l and r the counts
 of the parts of its worst cut. Products are decimals of 38 digits: a n below 10^35 and l r below 10^38 are exact.
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, binary_values, bitmap, checkpoint, mixed, remove, shared_folder, spread_join, table
+from .common import binary_values, bitmap, checkpoint, mixed, remove, shared_folder, spread_join, table
 
 LONGEST, LEAST, MOST = 5, 100, 2000
 #: A candidate goes if a longer one has this share of its count.
@@ -42,80 +42,126 @@ PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0a\x0b\x0c\x0d\x09",
 LEAST_BITS, MOST_BITS = 16, 27
 BYTES_A_BUCKET = 128
 SLOT = 12  # bits of the buckets of one row
-CHUNK = 1 << 20  # words that are counted at once
+CHUNK = 4 << 20  # bytes of texts that are counted at once
 SALTS = 256
 
 
+BASE = 0x9E3779B97F4A7C15
+_POWERS: dict[int, object] = {}
+
+
+def powers(base: int, n: int):
+    """base, base^2, ... modulo 2^64, n of them; kept, as each chunk needs about as many."""
+    import numpy as np
+
+    if len(_POWERS.get(base, ())) < n:
+        _POWERS[base] = np.multiply.accumulate(np.full(n, base, dtype=np.uint64))
+    return _POWERS[base][:n]
+
+
 class Words:
-    """Words of some pieces in a row, with their hashes and languages as arrays."""
+    """The words of some texts (in ``PLAIN`` form) as arrays: where each begins and ends, its piece, language and hash.
+
+    A word's hash is a polynomial over its bytes, taken from sums over all bytes, so no word becomes an object of its
+    own. It decides only what is counted; ``counted`` compares the words themselves.
+    """
 
-    def __init__(self, words: list[bytes], sizes: list[int], langs: list[str], hashes: WordHashes):
+    def __init__(self, texts: list[bytes], langs: list[str]):
         import numpy as np
         import xxhash
 
-        self.words = words
-        self.hash = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-        self.langs = list(dict.fromkeys(langs))
-        number = {x: k for k, x in enumerate(self.langs)}
-        self.lang = np.repeat(np.fromiter(map(number.__getitem__, langs), dtype=np.int64, count=len(langs)), sizes)
-        self.piece = np.repeat(np.arange(len(sizes)), sizes)
-        self._codes = [np.fromiter((xxhash.xxh64_intdigest(x.encode()) for x in self.langs), dtype=np.uint64, count=len(self.langs))[self.lang]]
+        self.data = b"\n".join(texts)
+        self.bytes = np.frombuffer(self.data, dtype=np.uint8)
+        n = len(self.bytes)
+        ends = self.bytes == 10
+        inside = np.concatenate([[False], ~(ends | (self.bytes == 32)), [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        self.start, self.end = edges[::2], edges[1::2]
+        self.piece = np.cumsum(ends, dtype=np.int32)[self.start]
+        names = list(dict.fromkeys(langs))
+        self.langs, number = names, {x: k for k, x in enumerate(names)}
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+        self.lang = np.array([number[x] for x in langs], dtype=np.int64)[np.searchsorted(begin, self.start, side="right") - 1]
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((self.bytes + np.uint64(1)) * powers(BASE, n), dtype=np.uint64)])
+        self.hash = mixed((sums[self.end] - sums[self.start]) * powers(pow(BASE, -1, 1 << 64), n)[self.start])
+        self._codes = [np.array([xxhash.xxh64_intdigest(x.encode()) for x in names], dtype=np.uint64)[self.lang]]
+
+    def __len__(self) -> int:
+        return len(self.start)
 
     def codes(self, k: int):
         """A hash of the language and the k words from each place on, as uint64; only some of them lie in one piece."""
         import numpy as np
 
         for j in range(len(self._codes) - 1, k):
-            self._codes.append(mixed(self._codes[j][: max(len(self.words) - j, 0)] * np.uint64(0x9E3779B97F4A7C15) + self.hash[j:]))
+            self._codes.append(mixed(self._codes[j][: max(len(self) - j, 0)] * np.uint64(BASE) + self.hash[j:]))
         return self._codes[k]
 
     def whole(self, k: int):
         """Whether the k words from each place on lie in one piece."""
-        n = max(len(self.words) - k + 1, 0)
-        return self.piece[:n] == self.piece[len(self.words) - n :]
+        n = max(len(self) - k + 1, 0)
+        return self.piece[:n] == self.piece[len(self) - n :]
+
+    def numbers(self, at):
+        """A number for each of the words ``at`` some places, the same for equal words alone."""
+        import numpy as np
+
+        _, first, number = np.unique(self.hash[at], return_index=True, return_inverse=True)
+        own, like = at, at[first][number]
+        size = self.end[own] - self.start[own]
+        same = bool((size == self.end[like] - self.start[like]).all())
+        for lo in range(0, len(own) if same else 0, 1 << 16):  # byte by byte against the first word of its hash
+            n = size[lo : lo + (1 << 16)]
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            a, b = (self.bytes[np.repeat(self.start[x[lo : lo + (1 << 16)]], n) + step] for x in (own, like))
+            same = same and bool((a == b).all())
+        if same:
+            return number
+        index: dict[bytes, int] = {}  # two words of one hash
+        return np.array([index.setdefault(self.data[self.start[w] : self.end[w]], len(index)) for w in own], dtype=np.int64)
 
     def counted(self, at, k: int):
         """(languages, phrases, counts) of the phrases of k words that begin ``at`` some places; exact."""
         import numpy as np
         import pyarrow as pa
 
-        inside = np.zeros(len(self.words), dtype=bool)
+        inside = np.zeros(len(self), dtype=bool)
         for j in range(k):
             inside[at + j] = True
-        used = self.words if inside.all() else [self.words[w] for w in np.flatnonzero(inside).tolist()]
-        names = list(dict.fromkeys(used))
-        index = {w: n for n, w in enumerate(names)}
-        ids = np.fromiter(map(index.__getitem__, used), dtype=np.int64, count=len(used))
-        place = (np.cumsum(inside) - 1)[at]
+        ids = self.numbers(np.flatnonzero(inside))
+        place, most = (np.cumsum(inside) - 1)[at], int(ids.max()) + 1
         number = self.lang[at]
         for j in range(k):
-            number = np.unique(number * len(names) + ids[place + j], return_inverse=True)[1]
-        _, first, n = np.unique(number, return_index=True, return_counts=True)
-        phrases = [b" ".join(self.words[b : b + k]) for b in at[first].tolist()]
-        langs = pa.array(self.langs, pa.string()).take(pa.array(self.lang[at[first]]))
+            number = number * most + ids[place + j]
+            _, first, number, n = np.unique(number, return_index=True, return_inverse=True, return_counts=True)
+        at = at[first]
+        phrases = [self.data[b:e] for b, e in zip(self.start[at].tolist(), self.end[at + k - 1].tolist(), strict=True)]
+        phrases = [b" ".join(p.split()) if b"  " in p else p for p in phrases]
+        langs = pa.array(self.langs, pa.string()).take(pa.array(self.lang[at]))
         return langs, pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n)
 
 
 def chunks(batches: Iterator, most: int = CHUNK) -> Iterator[Words]:
-    """The words of (lang, text) batches, about ``most`` at once; only pieces stay whole."""
-    words: list[bytes] = []
-    sizes: list[int] = []
+    """The words of (lang, text) batches, about ``most`` bytes of texts at once; only pieces stay whole."""
+    texts: list[bytes] = []
     langs: list[str] = []
-    hashes = WordHashes()
+    size = 0
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), binary_values(batch.column(1)), strict=True):
-            for piece in (text or b"").translate(PLAIN).split(b"\n"):
-                found = piece.split()
-                if not found:
-                    continue
-                words += found
-                sizes.append(len(found))
+            data, at = (text or b"").translate(PLAIN), 0
+            while at < len(data):
+                to = len(data)
+                if to - at > most:
+                    to = data.rfind(b"\n", at, at + most) + 1 or data.find(b"\n", at + most) + 1 or to
+                texts.append(data[at:to])
                 langs.append(lang)
-                if len(words) >= most:
-                    yield Words(words, sizes, langs, hashes)
-                    words, sizes, langs = [], [], []
-    if words:
-        yield Words(words, sizes, langs, hashes)
+                size += to - at
+                at = to
+                if size >= most:
+                    yield Words(texts, langs)
+                    texts, langs, size = [], [], 0
+    if texts:
+        yield Words(texts, langs)
 
 
 def passes(bits_of: bytes, codes):

@@ -87,8 +87,21 @@ def test_chunks_cut_between_pieces(spark):
 
     texts = ["a b c. d e", "f", None, "g h. " * 9]
     batch = pa.RecordBatch.from_arrays([pa.array(["x", "y", "x", "y"]), pa.array(texts)], names=["lang", "text"])
-    some = list(phrases.chunks(iter([batch, batch]), most=4))
-    assert sum(len(x.words) for x in some) == 2 * (6 + 18) and len(some) > 6 and all(len(x.words) <= 6 for x in some)
+    some = list(phrases.chunks(iter([batch, batch]), most=12))
+    assert sum(map(len, some)) == 2 * (6 + 18) and len(some) >= 6 and all(len(x) <= 12 for x in some)
+
+
+def test_words_of_one_hash_are_told_apart(spark):
+    import numpy as np
+
+    some = phrases.Words([b"ab cd  ab\nef ab"], ["x"])
+    assert [some.data[b:e] for b, e in zip(some.start, some.end, strict=True)] == [b"ab", b"cd", b"ab", b"ef", b"ab"]
+    want = some.numbers(np.arange(5)).tolist()
+    assert [w == want[0] for w in want] == [True, False, True, False, True] and len(set(want)) == 3
+    some.hash = np.zeros(5, dtype=np.uint64)
+    assert some.numbers(np.arange(5)).tolist() == [0, 1, 0, 2, 0]
+    langs, found, n = some.counted(np.array([0, 1]), 2)
+    assert sorted(zip(found.to_pylist(), n.to_pylist(), strict=True)) == [("ab cd", 1), ("cd ab", 1)]
 
 
 def test_products_beyond_64_bits(spark):
