@@ -51,6 +51,40 @@ def select_context(hits: DataFrame, question: str, chunk: str, text: str, title:
     return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+# Candidates of the passes, what makes a pass too poor, and hits that are left.
+SCOPED_K, FALLBACK_K, FEW, RERANKED = 20, 8, 3, 12
+
+
+def question_hits(candidates: DataFrame, question: str, chunk: str, new_score: Column, title: str, path: str | None = None) -> DataFrame:
+    """RET-09, RET-05, TOP-03, TOP-11: the reranked hits of each question, from all of its document's chunks with their
+    ``score``, and whether they are ``scoped`` (under the question's sections, or there are none), ``leveled`` (of the
+    chunk level that suits it), and the question's sections ``pinned``.
+
+    First the best ``SCOPED_K`` in scope and level; if these are under ``FEW`` and nothing is pinned, also the best
+    ``FALLBACK_K`` of the level. If that leaves none, as in an index without levels, the same without a level. The best
+    of them by ``score`` are ranked by ``new_score``, and of the best ``RERANKED`` those that are references go.
+    """
+    order = Window.partitionBy(question).orderBy(F.col("score").desc(), chunk)
+    upto, whole = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(question)
+    rows = fusion.best_per_key(candidates, [question, chunk], "score", chunk)
+    passes = {"one": (F.col("scoped") & F.col("leveled"), SCOPED_K), "two": (F.col("leveled"), FALLBACK_K), "three": (F.col("scoped"), SCOPED_K), "four": (F.lit(True), FALLBACK_K)}
+    for name, (test, k) in passes.items():
+        rows = rows.withColumn(f"__{name}", test & (F.count_if(test).over(upto) <= k))
+    n = {name: F.count_if(F.col(f"__{name}")).over(whole) for name in passes}
+    rows = rows.withColumn("__n1", n["one"]).withColumn("__n2", n["two"]).withColumn("__n3", n["three"])
+    free = ~F.col("pinned")
+    leveled = F.col("__one") | ((F.col("__n1") < FEW) & free & F.col("__two"))
+    none = (F.col("__n1") == 0) & (~free | (F.col("__n2") == 0))
+    anyhow = F.col("__three") | ((F.col("__n3") < FEW) & free & F.col("__four"))
+    merged = rows.filter(F.when(none, anyhow).otherwise(leveled)).drop("__n1", "__n2", "__n3", *[f"__{name}" for name in passes])
+    first = merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(RERANKED, SCOPED_K + FALLBACK_K))
+    found = fusion.rerank(first, question, new_score, RERANKED)
+    refers = is_reference_heading(F.col(title))
+    if path:
+        refers |= F.coalesce(F.exists(F.col(path), lambda t: F.coalesce(is_reference_heading(t), F.lit(False))), F.lit(False))
+    return found.filter(~F.coalesce(refers, F.lit(False)))
+
+
 def pinned(hits: DataFrame, pins: DataFrame, question: str, title: str = "section_title") -> DataFrame:
     """FIL-14: the hits whose title is pinned for the question, exactly; a question without any keeps one row without
     a hit, for which there is a fixed answer."""

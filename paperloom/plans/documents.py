@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.operators import chunking, classify, fusion, metadata, store, terms
+from paperloom.operators import answering, chunking, classify, fusion, metadata, store, terms
 from paperloom.sources import readers
 
 from .catalog import query
@@ -327,3 +327,24 @@ def fallback_hits(spark, sf_dir):
     scoped = docs.filter("lang = 'es'").withColumn("rank", F.row_number().over(order)).filter("rank <= 4 and score > 500").select("source", "doc_id", "score", "rank")
     wider = docs.withColumn("rank", F.row_number().over(order)).filter("rank <= 5").select("source", "doc_id", "score", "rank")
     return fusion.with_fallback(scoped, wider, "source", "doc_id").select("source", "doc_id", "score", "stage")
+
+
+@query("question_hits", f"""WITH d AS (SELECT source AS question, doc_id, len({tokens_sql('text')}) AS score, lang = 'es' AS scoped, doc_id % 40 = 1 AND source <> 'src3' AS leveled, source LIKE '%7' AS pinned,
+  CASE WHEN doc_id % 11 = 0 THEN '4. References' ELSE 'Part ' || lang END AS title, doc_id % 97 AS again FROM documents),
+r AS (SELECT *, CASE WHEN scoped AND leveled THEN row_number() OVER (PARTITION BY question, scoped AND leveled ORDER BY score DESC, doc_id) END AS r1, CASE WHEN leveled THEN row_number() OVER (PARTITION BY question, leveled ORDER BY score DESC, doc_id) END AS r2,
+  CASE WHEN scoped THEN row_number() OVER (PARTITION BY question, scoped ORDER BY score DESC, doc_id) END AS r3, row_number() OVER (PARTITION BY question ORDER BY score DESC, doc_id) AS r4 FROM d),
+c AS (SELECT *, count(r1) FILTER (r1 <= 20) OVER (PARTITION BY question) AS n1, count(r2) FILTER (r2 <= 8) OVER (PARTITION BY question) AS n2, count(r3) FILTER (r3 <= 20) OVER (PARTITION BY question) AS n3 FROM r),
+l AS (SELECT * FROM c WHERE r1 <= 20 OR (n1 < 3 AND NOT pinned AND r2 <= 8)),
+o AS (SELECT * FROM c WHERE question NOT IN (SELECT question FROM l) AND (r3 <= 20 OR (n3 < 3 AND NOT pinned AND r4 <= 8))),
+m AS (SELECT * FROM (SELECT * FROM l UNION ALL SELECT * FROM o) QUALIFY row_number() OVER (PARTITION BY question ORDER BY score DESC, doc_id) <= 28),
+k AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY again DESC, score DESC, doc_id) AS rank FROM m)
+SELECT question, doc_id, rank::INT AS rank FROM k WHERE rank <= 12 AND title <> '4. References'""")
+def question_hits(spark, sf_dir):
+    """RET-09, RET-05, TOP-03, TOP-11: sources as questions, Spanish as their scope, every fortieth document of the level
+    but for one source without levels, some sources pinned."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("source").alias("question"), "doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("score"), (F.col("lang") == "es").alias("scoped"),
+        ((F.col("doc_id") % 40 == 1) & (F.col("source") != "src3")).alias("leveled"), F.col("source").endswith("7").alias("pinned"),
+        F.when(F.col("doc_id") % 11 == 0, "4. References").otherwise(F.concat(F.lit("Part "), "lang")).alias("title"),
+    )
+    return answering.question_hits(docs, "question", "doc_id", F.col("doc_id") % 97, "title").select("question", "doc_id", "rank")

@@ -338,3 +338,21 @@ def test_only_empty_fields_are_filled(spark):
     got = metadata.filled({c: F.col(c) for c in df.columns}, new, ("k", "l"))
     assert tuple(df.select(*[c.alias(k) for k, c in got.items()]).collect()[0]) == ("T", " ", "N", ["K"], ["a"])
     assert metadata.filled({"t": F.col("t")}, {}).keys() == {"t"}
+
+
+def test_question_hits(spark):
+    def asked(q, rows, pinned=False):
+        return [(q, f"{q}{k}", score, scoped, leveled, pinned, title, new) for k, (score, scoped, leveled, title, new) in enumerate(rows)]
+
+    plenty = [(float(-k), True, True, "A", float(k)) for k in range(30)]  # the best 20 in scope, then the best 12 anew
+    few = [(9.0, True, True, "A", 1.0), (8.0, False, True, "References", 5.0), (7.0, False, False, "A", 9.0), *[(float(-k), False, True, "A", 0.0) for k in range(9)]]
+    kept = asked("p", few, True)
+    old = [(5.0, True, False, "A", 1.0), (4.0, False, False, "A", 2.0)]
+    rows_in = asked("a", plenty) + asked("b", few) + kept + asked("c", old) + asked("d", old, True)
+    df = spark.createDataFrame(rows_in, "q string, c string, score double, scoped boolean, leveled boolean, pinned boolean, title string, new double")
+    got = {}
+    for r in answering.question_hits(df, "q", "c", F.col("new"), "title").orderBy("q", "rank").collect():
+        got.setdefault(r.q, []).append((r.c, r["rank"]))
+    assert got["a"] == [(f"a{k}", 20 - k) for k in range(19, 7, -1)]
+    assert got["b"] == [("b0", 2), *[(f"b{k}", k) for k in range(3, 9)]]  # b1 was first, and a reference
+    assert got["p"] == [("p0", 1)] and got["c"] == [("c1", 1), ("c0", 2)] and got["d"] == [("d0", 1)]
