@@ -11,7 +11,7 @@ SECTION = "section_id string, title string, level int, numbering string, parent_
 BLOCK = "id string, page int, label string, text string, section_id string, section_title string, reading_order int"
 QUESTION = "paper_id string, paper_type string, document_id string, section_id string, section_title string, question string, reference_answer string, relevant_chunk_ids array<string>, question_type string"
 #: Errors of a file, in the order in which they are tested.
-PDF_ERRORS = ("wrong_extension", "empty", "too_large", "not_pdf", "encrypted")
+PDF_ERRORS = ("wrong_extension", "empty", "too_large", "not_pdf", "encrypted", "no_pages", "too_many_pages", "damaged")
 
 
 def _struct(fields: str) -> str:
@@ -48,22 +48,37 @@ def questions(spark: SparkSession, path: str, with_answers: bool = False) -> Dat
     return rows.filter(~blank)
 
 
-def pdf_errors(path: Column, size: Column, content: Column, most_bytes: int = 50 << 20) -> Column:
-    """SRC-01, SRC-03: the errors of a file, empty if it is valid."""
+def page_count(content: Column) -> Column:
+    """SRC-01: the number of page objects that a file names in plain bytes; null if it packs objects away, so that only a
+    parser could tell."""
+    text = F.decode(content, "ISO-8859-1")
+    return F.when(~F.contains(text, F.lit("/ObjStm")), F.regexp_count(text, F.lit(r"/Type\s*/Page(?![A-Za-z])"))).cast("long")
+
+
+def pdf_errors(path: Column, size: Column, content: Column, most_bytes: int = 50 << 20, least_pages: int = 1, most_pages: int | None = None) -> Column:
+    """SRC-01, SRC-03: the errors of a file, empty if it is valid. Of a file that is encrypted nothing more is asked; one
+    without the pointer to its table of objects that ends every file is damaged; pages are those of ``page_count``."""
+    text, pages = F.decode(content, "ISO-8859-1"), page_count(content)
+    is_pdf = (size > 0) & (F.substring(content, 1, 5) == F.encode(F.lit("%PDF-"), "US-ASCII"))
+    opened = is_pdf & ~F.contains(text, F.lit("/Encrypt"))
+    whole = F.contains(text, F.lit("startxref"))
     tests = {
         "wrong_extension": ~F.lower(path).endswith(".pdf"),
         "empty": size == 0,
         "too_large": size > most_bytes,
-        "not_pdf": (size > 0) & (F.substring(content, 1, 5) != F.encode(F.lit("%PDF-"), "US-ASCII")),
-        "encrypted": F.contains(F.decode(content, "ISO-8859-1"), F.lit("/Encrypt")),
+        "not_pdf": (size > 0) & ~is_pdf,
+        "encrypted": is_pdf & ~opened,
+        "no_pages": opened & whole & (pages < least_pages),
+        "too_many_pages": opened & whole & (pages > most_pages) if most_pages else F.lit(False),
+        "damaged": opened & ~whole,
     }
     return F.array_compact(F.array(*[F.when(tests[e], F.lit(e)) for e in PDF_ERRORS]))
 
 
-def files(spark: SparkSession, path: str, most_bytes: int = 50 << 20) -> DataFrame:
-    """SRC-01..03, FIL-18: path, size, sha256, errors, is_valid of the files in a folder."""
+def files(spark: SparkSession, path: str, most_bytes: int = 50 << 20, least_pages: int = 1, most_pages: int | None = None) -> DataFrame:
+    """SRC-01..03, FIL-18: path, size, sha256, page_count, errors, is_valid of the files in a folder."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    found = raw.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), pdf_errors(F.col("path"), F.col("length"), F.col("content"), most_bytes).alias("errors"))
+    found = raw.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), page_count(F.col("content")).alias("page_count"), pdf_errors(F.col("path"), F.col("length"), F.col("content"), most_bytes, least_pages, most_pages).alias("errors"))
     return found.withColumn("is_valid", F.size("errors") == 0)
 
 

@@ -34,12 +34,19 @@ def test_blocks_and_questions(spark, tmp_path):
 
 
 def test_files(spark, tmp_path):
-    (tmp_path / "good.pdf").write_bytes(b"%PDF-1.7 body")
+    page, end = b" 1 0 obj <</Type /Page>> endobj", b" startxref 9 %%EOF"
+    (tmp_path / "good.pdf").write_bytes(b"%PDF-1.7 <</Type/Pages>>" + page + page + end)
+    (tmp_path / "packed.pdf").write_bytes(b"%PDF-1.7 <</Type /ObjStm>>" + end)
+    (tmp_path / "bare.pdf").write_bytes(b"%PDF-1.7 <</Type/Pages>>" + end)
+    (tmp_path / "long.pdf").write_bytes(b"%PDF-1.7" + page * 4 + end)
+    (tmp_path / "cut.pdf").write_bytes(b"%PDF-1.7" + page)
     (tmp_path / "fake.pdf").write_bytes(b"hello")
     (tmp_path / "locked.pdf").write_bytes(b"%PDF-1.7 /Encrypt 5 0 R")
     (tmp_path / "note.txt").write_bytes(b"%PDF-1.7")
-    got = {r["path"].rsplit("/", 1)[1]: r["errors"] for r in readers.files(spark, str(tmp_path)).collect()}
-    assert got == {"good.pdf": [], "fake.pdf": ["not_pdf"], "locked.pdf": ["encrypted"], "note.txt": ["wrong_extension"]}
+    found = {r["path"].rsplit("/", 1)[1]: r for r in readers.files(spark, str(tmp_path), most_pages=3).collect()}
+    want = {"good.pdf": [], "packed.pdf": [], "bare.pdf": ["no_pages"], "long.pdf": ["too_many_pages"], "cut.pdf": ["damaged"], "fake.pdf": ["not_pdf"], "locked.pdf": ["encrypted"], "note.txt": ["wrong_extension", "damaged"]}
+    assert {name: r["errors"] for name, r in found.items()} == want
+    assert found["good.pdf"]["page_count"] == 2 and found["packed.pdf"]["page_count"] is None
     none = spark.range(1).select(readers.pdf_errors(F.lit("a.PDF"), F.lit(0), F.lit(b"")).alias("x"))  # Spark lists no empty files
     assert none.first()["x"] == ["empty"]
     assert readers.files(spark, str(tmp_path), most_bytes=10).filter("path like '%good.pdf'").first()["errors"] == ["too_large"]
