@@ -7,7 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, IntegerType
 
 from paperloom.functions.text import collapsed, plain_title, sentence_with, stripped, title_key
 
@@ -40,45 +40,71 @@ def visual_ids(elements: DataFrame, document: str = "document_id") -> DataFrame:
     return ids.groupBy(document).agg(pick("figure").alias("figures"), pick("table").alias("tables"))
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def window_hashes(texts: pd.Series, sizes: pd.Series) -> pd.Series:
-    """The different hashes of all windows of so many characters of each text, rolled: those of neighbours differ by
-    the character that leaves and the one that comes. A shorter text has none."""
+#: Characters of chunks, and probes, that are held against each other at once; a document with more has several rows.
+SHEET, PIECE = 1 << 20, 4096
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def first_held(texts: pd.Series, probes: pd.Series, sizes: pd.Series) -> pd.Series:
+    """For each of a row's texts the place of the first of its probes that is in it, else null. Probes have so many
+    characters at least.
+
+    Where one may begin is told by the rolled hash of so many characters: those of neighbours differ by the character
+    that leaves and the one that comes. From there every length that probes of that beginning have is looked up.
+    """
     import numpy as np
 
-    base, inverse = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+    base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
     def powers(of, n):
         return np.multiply.accumulate(np.concatenate([np.ones(1, dtype=np.uint64), np.full(n, of, dtype=np.uint64)]))
 
-    def rolled(text, size):
-        points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-        n = len(points)
-        if n < size:
-            return []
-        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((points + np.uint64(1)) * powers(base, n)[:n], dtype=np.uint64)])
-        return np.unique(((sums[size:] - sums[: n - size + 1]) * powers(inverse, n)[: n - size + 1]).view(np.int64))
-
-    return pd.Series([rolled(t, int(s)) for t, s in zip(texts, sizes, strict=True)])
+    def points(text):
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+
+    def found(texts, probes, size):
+        first, whole, ends = [None] * len(texts), "".join(texts), np.cumsum([len(t) for t in texts])
+        n, places, lengths = len(whole), {}, {}
+        for k, p in enumerate(probes):
+            places.setdefault(p, k)
+            lengths.setdefault(p[:size], set()).add(len(p))
+        if n < size or not lengths:
+            return first
+        known = np.unique((points("".join(lengths)).reshape(-1, size) * powers(base, size)[:size]).sum(axis=1, dtype=np.uint64))
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(points(whole) * powers(base, n)[:n], dtype=np.uint64)])
+        hashes = (sums[size:] - sums[: n - size + 1]) * powers(inverse, n)[: n - size + 1]
+        at = np.flatnonzero(known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes)
+        for i, t in zip(at.tolist(), np.searchsorted(ends, at, side="right").tolist(), strict=True):
+            for m in lengths.get(whole[i : i + size], ()):
+                k = places.get(whole[i : i + m]) if i + m <= ends[t] else None
+                if k is not None and (first[t] is None or k < first[t]):
+                    first[t] = k
+        return first
+
+    return pd.Series([found(list(t), p, int(s)) for t, p, s in zip(texts, probes, sizes, strict=True)])
 
 
 def title_mismatches(chunks: DataFrame, blocks: DataFrame, document: str = "document_id", probe: int = 96, least: int = 24) -> DataFrame:
     """ARR-19: text chunks (document, chunk_id, content, section_title, content_type) whose title isn't that of their
     blocks: (document, chunk_id, section_title, heading).
 
-    A probe is looked up by the hash of its first ``least`` characters among those of all such windows of the chunks,
-    and then compared as a whole; of equal probes the first block's stands for all.
+    Chunks and probes of a document meet in rows of a bounded size, a row of its chunks with a row of its probes; all
+    is dealt by document, so inputs that are dealt so already aren't shuffled again.
 
     Expected is the heading of the first block (document, idx, text, heading) whose first ``probe`` characters are in
     the chunk. Blocks and chunks under ``least`` characters have no say, nor has an empty heading; titles are compared
     without case and numbering.
     """
     held = chunks.filter("content_type = 'text'").select(document, "chunk_id", "section_title", collapsed(F.col("content")).alias("c")).filter(F.length("c") >= least)
-    probes = blocks.select(document, "idx", "heading", collapsed(F.col("text")).alias("t")).filter(F.length("t") >= least).select(document, "idx", "heading", F.substring("t", 1, probe).alias("p"))
-    firsts = probes.groupBy(document, "p").agg(F.min(F.struct("idx", "heading")).alias("x")).select(document, "p", "x.*", window_hashes(F.substring("p", F.lit(1), F.lit(least)), F.lit(least))[0].alias("h"))
-    places = held.select(document, "chunk_id", "section_title", "c", F.explode(window_hashes(F.col("c"), F.lit(least))).alias("h"))
-    met = places.join(firsts, [document, "h"]).filter(F.contains("c", "p"))
-    first = met.groupBy(document, "chunk_id", "section_title").agg(F.min(F.struct("idx", F.coalesce("heading", F.lit("")).alias("heading"))).alias("x")).select(document, "chunk_id", "section_title", F.col("x.heading").alias("heading"))
+    probes = blocks.select(document, "idx", F.coalesce("heading", F.lit("")).alias("heading"), collapsed(F.col("text")).alias("t")).filter(F.length("t") >= least).select(document, "idx", "heading", F.substring("t", 1, probe).alias("p"))
+    before = F.sum(F.length("c")).over(Window.partitionBy(document).orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, 0)) - F.length("c")
+    sheets = held.withColumn("sheet", F.floor(before / SHEET)).groupBy(document, "sheet").agg(F.collect_list(F.struct("chunk_id", "section_title", "c")).alias("chunks"))
+    nth = F.row_number().over(Window.partitionBy(document).orderBy("idx")) - 1
+    pieces = probes.withColumn("piece", F.floor(nth / PIECE)).groupBy(document, "piece").agg(F.array_sort(F.collect_list(F.struct("idx", "heading", "p"))).alias("blocks"))
+    met = sheets.join(pieces, document).withColumn("places", first_held(F.col("chunks.c"), F.col("blocks.p"), F.lit(least)))
+    pairs = F.zip_with("chunks", "places", lambda c, k: F.when(k.isNotNull(), F.struct(c["chunk_id"].alias("chunk_id"), c["section_title"].alias("section_title"), F.get("blocks", k)["idx"].alias("idx"), F.get("blocks", k)["heading"].alias("heading"))))
+    hits = met.select(document, F.explode(pairs).alias("x")).filter("x is not null").select(document, "x.*")
+    first = hits.groupBy(document, "chunk_id", "section_title").agg(F.min(F.struct("idx", "heading")).alias("x")).select(document, "chunk_id", "section_title", F.col("x.heading").alias("heading"))
     return first.filter((F.col("heading") != "") & (title_key(F.coalesce("section_title", F.lit(""))) != title_key(F.col("heading"))))
 
 

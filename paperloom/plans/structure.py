@@ -132,28 +132,28 @@ CARRIED_SQL = f"""{LINES_SQL}, h AS (SELECT *, CASE WHEN len(regexp_split_to_arr
 c AS (SELECT document_id, idx, text, last_value(heading IGNORE NULLS) OVER w AS heading, count(heading) OVER w AS part FROM h WINDOW w AS (PARTITION BY document_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
 
-def _carried(spark, sf_dir):
+def _carried(rows):
     value = F.when(F.size(F.split(F.trim("text"), r"\s+")) <= 6, F.col("idx"))
-    return hierarchy.carried(lines(spark, sf_dir), "document_id", "idx", value, "heading")
+    return hierarchy.carried(rows, "document_id", "idx", value, "heading")
 
 
 @query("carried_headings", f"WITH {CARRIED_SQL} SELECT document_id, idx, heading, part::BIGINT AS heading_part FROM c")
 def carried_headings(spark, sf_dir):
     """WIN-12, WIN-13, SRC-06."""
-    return _carried(spark, sf_dir).select("document_id", "idx", "heading", "heading_part")
+    return _carried(lines(spark, sf_dir)).select("document_id", "idx", "heading", "heading_part")
 
 
 @query("section_texts", f"WITH {CARRIED_SQL} SELECT document_id, heading AS section_idx, md5(string_agg(trim(text, ' '), chr(10) || chr(10) ORDER BY idx)) AS digest, count(*)::BIGINT AS n_blocks FROM c WHERE heading IS NOT NULL GROUP BY ALL")
 def section_texts(spark, sf_dir):
     """AGG-20, SRC-10, SRC-11."""
-    rows = _carried(spark, sf_dir).filter("heading is not null").withColumnRenamed("heading", "section_idx")
+    rows = _carried(lines(spark, sf_dir)).filter("heading is not null").withColumnRenamed("heading", "section_idx")
     return chunking.section_texts(rows).select("document_id", "section_idx", F.md5("section_text").alias("digest"), "n_blocks")
 
 
 @query("unresolved_chunks", f"WITH {CARRIED_SQL} SELECT document_id, idx, (row_number() OVER (PARTITION BY document_id ORDER BY idx) - 1)::BIGINT AS chunk_index, 'Unlabeled Section' AS section_title FROM c WHERE heading IS NULL AND len(regexp_split_to_array(trim(text), '\\s+')) >= 50")
 def unresolved_chunks(spark, sf_dir):
     """CHK-07, CHK-11."""
-    return chunking.fallback_chunks(_carried(spark, sf_dir).filter("heading is null")).select("document_id", "idx", "chunk_index", "section_title")
+    return chunking.fallback_chunks(_carried(lines(spark, sf_dir)).filter("heading is null")).select("document_id", "idx", "chunk_index", "section_title")
 
 
 @query("first_occurrence", f"WITH {SECTIONS_SQL} SELECT document_id, regexp_replace(trim(lower(title), ' '), '\\s+', ' ', 'g') AS norm, min(idx) AS first_idx, count(*)::BIGINT AS n FROM sections GROUP BY ALL")
@@ -344,8 +344,9 @@ q AS (SELECT document_id, idx // 2 AS chunk_id, string_agg(t, ' ' ORDER BY idx)
 m AS (SELECT q.document_id, q.chunk_id, section_title, arg_min('Part ' || heading, k.idx) AS heading, arg_min(heading, k.idx) AS plain FROM q JOIN k ON k.document_id = q.document_id AND length(k.t) >= 24 AND length(content) >= 24 AND contains(q.content, substring(k.t, 1, 96)) GROUP BY ALL)
 SELECT document_id, chunk_id, section_title, heading FROM m WHERE plain <> '' AND lower(section_title) <> lower(heading)""")
 def title_mismatches(spark, sf_dir):
-    """ARR-19: two lines are a chunk, and each line a block with the heading that is carried to it."""
-    rows = _carried(spark, sf_dir).select("document_id", "idx", "text", F.coalesce(F.col("heading").cast("string"), F.lit("")).alias("place"))
+    """ARR-19: two lines are a chunk, and each line a block with the heading that is carried to it. Lines are dealt by
+    document once, for both."""
+    rows = _carried(lines(spark, sf_dir).repartition("document_id")).select("document_id", "idx", "text", F.coalesce(F.col("heading").cast("string"), F.lit("")).alias("place"))
     blocks = rows.select("document_id", "idx", "text", F.when(F.col("place") != "", F.concat(F.lit("Part "), "place")).otherwise("").alias("heading"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", T.collapsed(F.col("text")).alias("t")))), lambda x: x["t"]), " ")
     chunks = rows.groupBy("document_id", F.floor(F.col("idx") / 2).cast("long").alias("chunk_id")).agg(joined.alias("content"), F.concat(F.lit("Part "), F.floor(F.max("idx") / 3).cast("long").cast("string")).alias("section_title")).withColumn("content_type", F.lit("text"))

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
@@ -224,3 +225,51 @@ def test_title_mismatches_of_ten_thousand_blocks(spark):
     frame = elements.title_mismatches(spark.createDataFrame(chunks, "document_id long, chunk_id string, content string, section_title string, content_type string"), spark.createDataFrame(blocks, "document_id long, idx long, text string, heading string"))
     assert "NestedLoop" not in frame._jdf.queryExecution().toString() and "Cartesian" not in frame._jdf.queryExecution().toString()
     assert sorted(map(tuple, frame.collect())) == sorted(want) and want
+
+
+def shuffled(frame):
+    """Bytes of the rows that a frame's shuffles deal out; one that is used again counts once."""
+    frame.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = frame.select("*")  # planned anew
+        plan.collect()
+        nodes, total = [plan._jdf.queryExecution().executedPlan()], 0
+        while nodes:
+            node = nodes.pop()
+            if node.nodeName() == "Exchange":
+                total += node.metrics().apply("dataSize").value()
+            nodes += [node.children().apply(k) for k in range(node.children().size())]
+        return total
+    finally:
+        frame.sparkSession.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_title_mismatches_shuffle_no_more_than_their_texts(spark, sf):
+    from paperloom.plans import catalog
+
+    catalog.load()
+    chars = spark.read.parquet(f"{sf}/documents.parquet").agg(F.sum(F.length("text"))).first()[0]
+    assert 0 < shuffled(catalog.QUERIES["title_mismatches"](spark, sf)) < 2 * chars
+
+
+@pytest.mark.parametrize(("sheet", "piece"), [(1 << 20, 4096), (100, 3), (1, 1)])
+def test_title_mismatches_in_bounded_rows(spark, monkeypatch, sheet, piece):
+    import random
+
+    monkeypatch.setattr(elements, "SHEET", sheet)
+    monkeypatch.setattr(elements, "PIECE", piece)
+    rng = random.Random(9)
+    same = "the same twenty-four characters, "
+    texts = [(same + "é𝛼ab"[k % 4] * rng.randint(0, 90)) if k % 3 else "".join(rng.choices("ab ", k=rng.randint(1, 40))) for k in range(60)] + ["a" * n for n in (24, 25, 95, 96, 97, 300)]
+    texts += texts[5:9]
+    blocks = [(d, k, t, rng.choice(["", None, "1. One", "Two"])) for d in (1, 2) for k, t in enumerate(texts[d:])] + [(1, 999, None, "Two"), (3, 0, texts[1], "Two")]
+    chunks = [(d, f"c{j}", "  ".join(rng.sample(texts, rng.randint(1, 4))), rng.choice(["one", "TWO", None]), rng.choice(["text", "text", "table"])) for d in (1, 2, 4) for j in range(40)] + [(1, "none", None, "one", "text")]
+    flat = lambda t: " ".join((t or "").split())
+    want = []
+    for d, chunk, content, title, kind in chunks:
+        c = flat(content)
+        first = next((h or "" for e, _, t, h in blocks if e == d and len(flat(t)) >= 24 and flat(t)[:96] in c), "")
+        if kind == "text" and len(c) >= 24 and first and first.lower().removeprefix("1. ") != (title or "").lower():
+            want.append((d, chunk, title, first))
+    frame = elements.title_mismatches(spark.createDataFrame(chunks, "document_id long, chunk_id string, content string, section_title string, content_type string"), spark.createDataFrame(blocks, "document_id long, idx long, text string, heading string"))
+    assert sorted(map(repr, map(tuple, frame.collect()))) == sorted(map(repr, want)) and want
