@@ -56,7 +56,7 @@ def index(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return weigh(counts, model(counts, statistics(docs, text)), key)
 
 
-def _bounded(terms: DataFrame) -> DataFrame:
+def broadcast_if_few(terms: DataFrame) -> DataFrame:
     """``terms``, to be broadcast if their number is known to allow it."""
     return F.broadcast(terms) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else terms
 
@@ -73,7 +73,7 @@ def search(indexed: DataFrame, key: str, queries: DataFrame, query_key: str, k:
     """
     asked = queries.select(query_key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
     gain = F.col("weight") * F.col("idf") if squared_idf else F.col("weight")
-    scored = indexed.join(_bounded(asked), "term").groupBy(query_key, key).agg(F.round(F.sum(gain), 6).alias("score"))
+    scored = indexed.join(broadcast_if_few(asked), "term").groupBy(query_key, key).agg(F.round(F.sum(gain), 6).alias("score"))
     return ranked(scored, query_key, key, k)
 
 

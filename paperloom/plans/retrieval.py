@@ -53,6 +53,7 @@ def indexed_topk(spark, sf_dir):
     for part in (0, 1):
         postings.add(docs.filter(F.pmod("doc_id", F.lit(2)) == part), path, "doc_id")
     postings.merge(spark, path)
+    postings.vacuum(spark, path)
     found = checkpoint(postings.search(spark, path, table(spark, sf_dir, "benchmark"), "item_id", "doc_id", 5))
     delete(spark, path)
     return found

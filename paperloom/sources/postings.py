@@ -11,7 +11,8 @@ scored in full, the k-th score there is a threshold, and only blocks that can re
 
 Each call of ``add`` writes a batch, and a row of ``commits`` makes it count; ``merge`` writes one batch for all there
 are and commits it in their place. A call that failed leaves nothing that counts. Removed documents are noted and left
-out when lists are read, until the next merge. A document is known by its key: one that the index has is not added
+out when lists are read, until the next merge. Texts are dealt by block, and a block's lists made at once; a merge deals
+stored lists by folder, a part of the folders at a time, so little beside the index is on disk. A document is known by its key: one that the index has is not added
 again; null keys never are. Repeated keys in one call are separate documents of that key, whose scores add up.
 """
 
@@ -22,12 +23,16 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, StringType, StructType
 
 from paperloom.functions.text import tokens
 from paperloom.operators import bm25
-from paperloom.sources.writers import exists
+from paperloom.sources.shared import shuffles_dropped
+from paperloom.sources.writers import delete, exists
 
 BUCKETS, BLOCK = 64, 128
+#: A merge takes so many turns, each for some of the folders, and writes a file of a folder for so many blocks.
+TURNS, SPAN = 8, 512
 #: Blocks of a query that are scored in full for its threshold.
 SEEDS = 4
 #: Scores are rounded to six places.
@@ -67,20 +72,45 @@ def lists(spark: SparkSession, path: str, buckets: list[int] | None = None) -> D
     removed = spark.read.parquet(f"{path}/removed").groupBy("key").agg(F.max("batch").alias("until"))
     opened = read.select("batch", "bucket", "term", "block", F.explode("docs").alias("x")).withColumn("key", F.col("x.key"))
     left = opened.join(removed, "key", "left").filter("until is null or batch > until")
-    return left.groupBy("batch", "bucket", "term", "block").agg(*_fronts("x"))
-
-
-def _fronts(doc: str) -> list[Column]:
-    tf, length = F.col(f"{doc}.tf"), F.col(f"{doc}.length")
-    return [F.count("*").alias("n"), F.max(tf).alias("max_tf"), F.min(length).alias("min_length"), F.sum(length).alias("words"), F.collect_list(F.struct(F.col(f"{doc}.key").alias("key"), tf.alias("tf"), length.alias("length"))).alias("docs")]
-
-
-def _write(counts: DataFrame, path: str, batch: str, documents: int, size: int) -> None:
-    """``counts`` (key, term, tf, length) as a batch of blocks of about ``size`` documents."""
-    block = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-documents // size)))).cast("int")
-    rows = counts.select("term", block.alias("block"), F.struct("key", "tf", "length").alias("x")).groupBy("term", "block").agg(*_fronts("x"))
-    rows = rows.withColumn("bucket", _bucket(F.col("term")))
-    rows.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/lists/batch={batch}")
+    fronts = [F.count("*").alias("n"), F.max("x.tf").alias("max_tf"), F.min("x.length").alias("min_length"), F.sum("x.length").alias("words")]
+    return left.groupBy("batch", "bucket", "term", "block").agg(*fronts, F.collect_list("x").alias("docs"))
+
+
+def _row(key: DataType) -> StructType:
+    """What a block holds of a term."""
+    doc = StructType().add("key", key).add("tf", LongType()).add("length", IntegerType())
+    row = StructType().add("term", StringType()).add("block", IntegerType()).add("n", LongType()).add("max_tf", LongType())
+    return row.add("min_length", IntegerType()).add("words", LongType()).add("docs", ArrayType(doc))
+
+
+def _listed(docs):
+    """The lists of a block from its documents, an Arrow table (block, key, words); the words are joined by spaces,
+    with the empty term in front."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    docs = docs.combine_chunks()
+    words = pc.split_pattern(docs["words"].combine_chunks(), " ")
+    length = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int32) - 1
+    coded = words.flatten().dictionary_encode()
+    pairs = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(docs) + pc.list_parent_indices(words).to_numpy(zero_copy_only=False)
+    pairs, tf = np.unique(pairs, return_counts=True)
+    term, doc = pairs // len(docs), pairs % len(docs)
+    starts = np.flatnonzero(np.diff(term, prepend=-1))  # every term has documents, so there is a start for each
+    ends = np.append(starts[1:], len(pairs))
+    held = pa.StructArray.from_arrays([docs["key"].combine_chunks().take(pa.array(doc)), pa.array(tf.astype(np.int64)), pa.array(length[doc])], ["key", "tf", "length"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(pairs)).astype(np.int32)), held)
+    fronts = [ends - starts, np.maximum.reduceat(tf, starts).astype(np.int64), np.minimum.reduceat(length[doc], starts), np.add.reduceat(length[doc].astype(np.int64), starts)]
+    block = np.full(len(starts), docs["block"][0].as_py(), dtype=np.int32)
+    return pa.Table.from_arrays([coded.dictionary, pa.array(block), *map(pa.array, fronts), lists], ["term", "block", "n", "max_tf", "min_length", "words", "docs"])
+
+
+def _store(rows: DataFrame, path: str, batch: str) -> None:
+    """Lists (term, bucket and what ``_row`` has) as a batch, or more of one."""
+    with shuffles_dropped(rows.sparkSession):
+        rows = rows.select("term", "bucket", "block", "n", "max_tf", "min_length", "words", "docs")
+        rows.sortWithinPartitions("bucket", "term", "block").write.mode("append").partitionBy("bucket").parquet(f"{path}/lists/batch={batch}")
 
 
 def keys(spark: SparkSession, path: str) -> DataFrame | None:
@@ -103,9 +133,10 @@ def add(docs: DataFrame, path: str, key: str, text: str = "text", block: int = B
     if not n:
         return
     batch = _batch()
-    words = own.select("key", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("terms"))
-    rows = words.select("key", F.size("terms").alias("length"), F.explode(F.concat(F.array(F.lit("")), F.col("terms"))).alias("term"))
-    _write(rows.groupBy("key", "length", "term").agg(F.count("*").alias("tf")), path, batch, n, block)
+    at = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-n // block)))).cast("int")
+    words = F.array_join(F.concat(F.array(F.lit("")), F.coalesce(tokens(F.col("text")), F.array().cast("array<string>"))), " ")
+    rows = own.select(at.alias("block"), "key", words.alias("words")).groupBy("block").applyInArrow(_listed, _row(own.schema["key"].dataType))
+    _store(rows.withColumn("bucket", _bucket(F.col("term"))), path, batch)
     _commit(spark, path, batch, [])
 
 
@@ -116,16 +147,39 @@ def remove(docs: DataFrame, path: str, key: str) -> None:
 
 
 def merge(spark: SparkSession, path: str, block: int = BLOCK) -> None:
-    """One batch in place of all, without what was removed."""
+    """One batch in place of all, without what was removed. Blocks stay; small ones, and small batches, are joined."""
     held, batches = lists(spark, path), live(spark, path)
     if held is None:
         return
     batch = _batch()
-    n = held.filter("term = ''").agg(F.sum("n")).collect()[0][0] or 0
-    _write(held.select("term", F.explode("docs").alias("x")).select("term", "x.key", "x.tf", "x.length"), path, batch, n, block)
+    sizes = held.filter("term = ''").groupBy("batch").agg(F.sum("n").alias("n"), F.max("block").alias("last")).orderBy("batch").collect()  # a row for each call of add
+    moved, free, room, apart = [], 0, 0, True
+    for r in sizes:
+        joined = max(1, block * (r.last + 1) // r.n)
+        needed = r.last // joined + 1
+        if needed == 1 and r.n <= room:
+            first, room, apart = free - 1, room - r.n, False
+        else:
+            first, free, room = free, free + needed, block - r.n if needed == 1 else 0
+        moved.append((r.batch, first, joined))
+        apart &= joined == 1 or r.last == 0
+    moved = F.broadcast(spark.createDataFrame(moved, "batch string, first int, joined int"))
+    docs = F.flatten(F.collect_list("docs")).alias("docs")
+    for turn in range(TURNS):
+        rows = lists(spark, path, list(range(turn, BUCKETS, TURNS))).join(moved, "batch")
+        rows = rows.withColumn("block", (F.col("first") + F.floor(F.col("block") / F.col("joined"))).cast("int")).withColumn("span", F.floor(F.col("block") / SPAN)).repartition("bucket", "span")
+        if not apart:
+            rows = rows.groupBy("bucket", "span", "term", "block").agg(F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_length").alias("min_length"), F.sum("words").alias("words"), docs)
+        _store(rows, path, batch)
     _commit(spark, path, batch, batches)
 
 
+def vacuum(spark: SparkSession, path: str) -> None:
+    """The files of batches that a merge has replaced go; not while a search that began before the merge runs."""
+    for b in {b for r in spark.read.parquet(f"{path}/commits").collect() for b in r.replaces}:
+        delete(spark, f"{path}/lists/batch={b}")
+
+
 def _saturated(tf: str, length: str, avgdl: float) -> Column:
     return F.col(tf) * (bm25.K1 + 1) / (F.col(tf) + bm25.K1 * (1 - bm25.B + bm25.B * F.col(length) / F.lit(avgdl)))
 
@@ -143,7 +197,8 @@ class Search:
             raise ValueError(f"there is no index at {path}")
         n, words = self.lists.filter("term = ''").agg(F.sum("n"), F.sum("words")).collect()[0]
         self.avgdl = float(words or 0) / n if n else 0.0
-        self.fronts = self.lists.select("batch", "block", "term", "n", "max_tf", "min_length").join(asked.select("term").distinct(), "term")
+        self.lists = self.lists.join(bm25.broadcast_if_few(asked.select("term").distinct()), "term", "left_semi")  # else whole folders are dealt
+        self.fronts = self.lists.select("batch", "block", "term", "n", "max_tf", "min_length")
         idf = bm25.idf(F.lit(n or 0), F.col("df"))
         known = self.fronts.groupBy("term").agg(F.sum("n").alias("df")).select("term", (idf * idf if squared_idf else idf).alias("gain"))
         self.asked = asked.join(known, "term")
@@ -157,10 +212,11 @@ class Search:
 
     def scored(self, blocks: DataFrame) -> DataFrame:
         """(q, key, score, rank) of the best k documents of some blocks (q, batch, block)."""
-        pairs = blocks.select("q", "batch", "block").join(self.asked, "q")
-        opened = self.lists.select("batch", "block", "term", "docs").join(pairs, ["batch", "block", "term"]).select("q", "gain", F.explode("docs").alias("x"))
+        # A document lies in one block, so what is dealt by block is added up where it lies.
+        pairs = blocks.select("q", "batch", "block").join(self.asked, "q").repartition("batch", "block")
+        opened = self.lists.select("batch", "block", "term", "docs").repartition("batch", "block").join(pairs, ["batch", "block", "term"])
         weight = F.col("gain") * _saturated("x.tf", "x.length", self.avgdl)
-        sums = opened.groupBy("q", F.col("x.key").alias("key")).agg(F.round(F.sum(weight), 6).alias("score"))
+        sums = opened.select("batch", "block", "q", "gain", F.explode("docs").alias("x")).groupBy("batch", "block", "q", F.col("x.key").alias("key")).agg(F.round(F.sum(weight), 6).alias("score")).select("q", "key", "score")
         return bm25.ranked(sums, "q", "key", self.k)
 
 

@@ -94,3 +94,29 @@ def test_odd_documents(spark, tmp_path):
         postings.search(spark, path, asked, "item_id", "doc_id", 3)
     postings.add(frame, path, "doc_id")
     assert listed(postings.search(spark, path, asked, "item_id", "doc_id", 3)) == want(frame.filter("doc_id is not null"), asked, 3)
+
+
+def test_weights_are_added_up_where_their_block_lies(spark, docs, index):
+    import re
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = postings.Search(spark, index, docs[1].limit(3), "item_id", 3).hits._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "hashpartitioning(batch" in plan and not re.search(r"hashpartitioning\([^)]*key#", plan)
+
+
+def test_small_batches_are_merged_into_blocks(spark, tmp_path):
+    path = f"{tmp_path}/i"
+    texts = spark.createDataFrame([(k, f"a b{k % 3} " * (k + 1)) for k in range(9)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "a b1")], "item_id long, text string")
+    for part in range(3):
+        postings.add(texts.filter(F.col("doc_id") % 3 == part), path, "doc_id", block=4)
+    before = postings.live(spark, path)
+    postings.merge(spark, path, block=6)
+    postings.vacuum(spark, path)
+    held = postings.lists(spark, path).filter("term = ''").select("block", "n").collect()
+    assert sorted(map(tuple, held)) == [(0, 6), (1, 3)]
+    assert not [b for b in before if (tmp_path / "i" / "lists" / f"batch={b}").exists()]
+    assert listed(postings.search(spark, path, asked, "item_id", "doc_id", 5)) == want(texts, asked, 5)
