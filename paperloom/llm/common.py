@@ -30,6 +30,22 @@ def shared_folder(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Spark's own setting: bytes of an Arrow batch that goes to Python. Spark's 64 MB are held several times over, by Arrow on
+#: both sides and by Python, in each task, outside the JVM's heap.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Queries that are made in it hand rows to Python in batches of some 4 MB."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 @contextmanager
 def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """Queries that are made in it drop their shuffle files when they end; for tables that are written and reread."""
@@ -42,11 +58,12 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder; what was shuffled on the way goes at once."""
+    """Cut the lineage with a reliable checkpoint in the shared folder; what was shuffled on the way goes at once, and
+    Python gets small batches."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    with shuffles_dropped(spark):
+    with shuffles_dropped(spark), small_batches(spark):
         return df.select("*").checkpoint(eager=True)
 
 

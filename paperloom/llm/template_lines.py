@@ -38,7 +38,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, bitmap, checkpoint, forget, mixed, remove, shared_folder, spread_join, table, text_key
+from .common import binary_values, bitmap, checkpoint, forget, mixed, remove, shared_folder, small_batches, spread_join, table, text_key
 from .components import components
 
 LEAST_OPEN = 5  # tokens of a line from which places are left open
@@ -47,8 +47,8 @@ MAP_BITS = 25
 #: text in common, or such a share of those of the whole.
 SKETCH_WORDS, BINS = 4, 32
 OWN_LEAST, WHOLE_LIKE = 3, (7, 10)
-CHUNK_BYTES = 2 << 20  # texts that are parsed at once
-PIECE_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 19  # texts that are parsed at once
+PIECE_BYTES = 1 << 17  # arrays of 8 bytes for each of these stay in the cache
 CHUNK_DOCS = 1 << 11  # with BINS, a sort key of 16 bits
 LAST = (1 << 64) - 1
 _BYTE_BASE, _TOKEN_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -308,16 +308,20 @@ def _carriers(docs: DataFrame, some: DataFrame, least_words: int) -> DataFrame:
 
 
 def _alike(held: DataFrame) -> DataFrame:
-    """(u, v): texts of which a sketch is enough like that of the least text with which it has a hash in common.
-
-    A hash that more than a thousandth of the texts have is spread by salt where it meets its least text."""
-    rows = [held.select("text_key", F.size(kind).alias("size"), F.explode(kind).alias("h")) for kind in ("own", "whole")]
-    hashes = rows[0].unionAll(rows[1]).distinct()
-    heads = hashes.groupBy("h").agg(F.min(F.struct("text_key", "size")).alias("head"), F.count("*").alias("n_texts")).filter("n_texts > 1").select("h", F.col("head.text_key").alias("v"), F.col("head.size").alias("v_size"), "n_texts")
-    met = spread_join(hashes, heads, ["h"], "n_texts", held.count()).filter("text_key <> v").groupBy(F.col("text_key").alias("u"), "v", "size", "v_size", F.col("h").bitwiseAND(1).alias("whole")).agg(F.count("*").alias("n"))
+    """(u, v), written: texts of which a sketch is enough like that of the least text with which it has a hash in common.
+
+    A hash that more than a thousandth of the rows have is spread by salt where it meets its least text."""
+    sized = held.select("text_key", F.size("own").alias("n_own"), F.size("whole").alias("n_whole"), F.concat("own", "whole").alias("both"))
+    hashes = sized.select("text_key", "n_own", "n_whole", F.explode("both").alias("h")).select("text_key", F.when(F.col("h").bitwiseAND(1) == 0, F.col("n_own")).otherwise(F.col("n_whole")).alias("size"), "h")
+    # Of primitive values, so that Spark sums up by hashing; rows with equal texts repeat a hash, and two texts must have it.
+    heads = hashes.groupBy("h").agg(F.min("text_key").alias("v"), F.min_by("size", "text_key").alias("v_size"), F.max("text_key").alias("other"), F.count("*").alias("n_rows"))
+    heads = checkpoint(heads.filter("v <> other").drop("other"))
+    met = spread_join(hashes, heads, ["h"], "n_rows", held.count()).filter("text_key <> v").groupBy(F.col("text_key").alias("u"), "v", "size", "v_size", F.col("h").bitwiseAND(1).alias("whole")).agg(F.count_distinct("h").alias("n"))
     own = (F.col("whole") == 0) & (F.col("n") >= F.least(F.lit(OWN_LEAST), "size", "v_size"))
     whole = (F.col("whole") == 1) & (F.col("n") * WHOLE_LIKE[1] >= F.greatest("size", "v_size") * WHOLE_LIKE[0])
-    return met.filter(own | whole).select("u", "v")
+    links = checkpoint(met.filter(own | whole).select("u", "v"))
+    forget(heads)
+    return links
 
 
 def recurring(docs: DataFrame, least_documents: int = 3, least_words: int = 3, long_words: int = 20) -> DataFrame:
@@ -325,10 +329,13 @@ def recurring(docs: DataFrame, least_documents: int = 3, least_words: int = 3, l
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/template-lines-{uuid.uuid4().hex}"
     several = checkpoint(_rests(docs, least_words).groupBy("template").agg(F.min("rest").alias("lo"), F.max("rest").alias("hi")).filter("lo < hi").select("template"))
-    _carriers(docs, several, least_words).write.parquet(f"{folder}/carriers")
+    with small_batches(spark):
+        _carriers(docs, several, least_words).write.parquet(f"{folder}/carriers")
     forget(several)
     held = spark.read.parquet(f"{folder}/carriers")
-    found = components(_alike(held))
+    links = _alike(held)
+    found = components(links)
+    forget(links)
     # Templates that only the bitmap let through have one rest, and so one carrier.
     rows = held.select("text_key", F.explode("carried").alias("x")).select("text_key", "x.*").distinct()
     by_rest = rows.join(found.withColumnsRenamed({"node": "text_key", "root": "class"}), "text_key", "left").groupBy("template", "rest").agg(F.min(F.coalesce("class", "text_key")).alias("class"), F.max("words").alias("words"))
@@ -371,11 +378,13 @@ def dedup(docs: DataFrame, least_documents: int = 3, least_words: int = 3, long_
     while added in docs.columns:
         added += "_"
     known = recurring(docs, least_documents, least_words, long_words)
-    drops = dropped_lines(docs, known, least_words).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text_key"), F.col("dropped").alias("__dropped"))
+    drops = checkpoint(dropped_lines(docs, known, least_words)).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text_key"), F.col("dropped").alias("__dropped"))
+    forget(known)
     met = docs.withColumn("__key", text_key(F.col("text"))).join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text_key")), "left")
     lines = F.split("text", "\n", -1)
+    feeds = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
     left = F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__dropped", i)), "\n"))
-    info = F.struct(F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce("__dropped", F.array().cast("array<int>")).alias("dropped"))
+    info = F.struct(F.coalesce(feeds + 1, F.lit(0)).alias("n_lines"), F.coalesce("__dropped", F.array().cast("array<int>")).alias("dropped"))
     return met.withColumn(added, info).withColumn("text", left).select(*[f"`{c}`" for c in docs.columns], added)
 
 

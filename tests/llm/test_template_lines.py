@@ -225,3 +225,21 @@ def test_copies_with_a_word_changed_in_each_line_keep_them(spark):
 
     by = dropped(frame(spark, [(k, edited(name), "en", "s", 1) for k, name in enumerate(NAMES)]))
     assert all(gone == [] for _, gone, _ in by)
+
+
+def test_sketches_meet_by_hash_aggregates(spark, monkeypatch):
+    """Hashes are counted without sorting them, and once however many rows have the text."""
+    plans = []
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(template_lines, "checkpoint", planned)
+    monkeypatch.setattr(template_lines, "forget", lambda *done: None)
+    texts = {1: ([2, 4, 6], []), 2: ([2, 4, 6, 8], []), 3: ([2, 10, 12], [1, 3]), 4: ([14], [1, 3]), 5: ([16], [18]), 6: ([20, 22, 24], []), 7: ([20, 26, 28], [])}
+    rows = [(k, [], own, whole) for k, (own, whole) in texts.items()] + [(7, [], *texts[7])] * 5
+    held = spark.createDataFrame(rows, "text_key long, carried array<long>, own array<long>, whole array<long>")
+    got = planned(template_lines._alike(held))
+    assert {(r["u"], r["v"]) for r in got.collect()} == {(2, 1), (4, 3)} and got.count() == 2
+    assert plans and not any("SortAggregate" in x for x in plans)
