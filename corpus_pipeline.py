@@ -1,7 +1,8 @@
 """From raw documents to a mix: language ID, line dedup, near-duplicate join, decontamination, source weights.
 
 Each stage is (name, function of (spark, docs, sf_dir)); what one returns is written as Parquet and read again as the
-next one's ``docs``. All but the last return the columns of documents.
+next one's ``docs``. All but the last return the columns of documents. Stages that hand texts to Python set the bytes of
+an Arrow batch for the session (``common.BATCH``), since they are written after they return; ``run`` sets it back.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import decontam, fair_queue, jaccard_join, lang_mixture, template_lines
-from paperloom.llm.common import shared_folder, table, text_key
+from paperloom.llm.common import BATCH, BATCH_BYTES, shared_folder, small_batches, table, text_key
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: The least share of a document's main language.
@@ -23,6 +24,7 @@ NEAR_WORDS, NEAR_LIKE = 5, (80, 100)
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those without a letter, and mixtures without a main language, go."""
+    spark.conf.set(BATCH, BATCH_BYTES)
     model = lang_mixture.fit(docs)
     found = lang_mixture.predict(docs.select(*COLUMNS), model)
     return found.filter((F.col("lang_pred") != lang_mixture.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
@@ -56,6 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
+    spark.conf.set(BATCH, BATCH_BYTES)
     return decontam.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
@@ -80,7 +83,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    with small_batches(spark):
+        for name, stage in STAGES[:-1]:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

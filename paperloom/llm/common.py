@@ -146,12 +146,12 @@ def bitmap(places: DataFrame, bits: int) -> bytes:
 
 
 class WordHashes(dict):
-    """Words to 64-bit hashes; forgets all when it has grown large (some 50 MB)."""
+    """Words to 64-bit hashes; forgets all when it has grown large (some 12 MB)."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1 << 18:
+        if len(self) > 1 << 16:
             self.clear()
         out = self[word] = xxhash.xxh64_intdigest(word)
         return out

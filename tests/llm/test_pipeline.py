@@ -1,6 +1,7 @@
 
 import corpus_pipeline
 from paperloom.llm import lang_mixture
+from paperloom.llm.common import checkpoint
 
 from .fixtures import DOCS, frame, odd_documents, words
 from .test_decontam import ITEMS
@@ -132,3 +133,25 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], ITEMS).write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_python_gets_small_batches(spark):
+    """However long the texts are, whether an operator writes a table itself or a stage's caller does."""
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    def largest(write):
+        return max(r["n"] for r in write(spark.range(3000, numPartitions=1).selectExpr("repeat('word ', 1000) AS text").mapInArrow(sizes, "n long")).collect())
+
+    before = spark.conf.get(batch := "spark.sql.execution.arrow.maxBytesPerBatch")
+    assert largest(checkpoint) < 5 << 20 and spark.conf.get(batch) == before
+    docs = frame(spark, rows())
+    try:
+        corpus_pipeline.language(spark, docs, "")
+        assert largest(lambda df: df) < 5 << 20
+    finally:
+        spark.conf.set(batch, before)
