@@ -120,3 +120,22 @@ def test_small_batches_are_merged_into_blocks(spark, tmp_path):
     assert sorted(map(tuple, held)) == [(0, 6), (1, 3)]
     assert not [b for b in before if (tmp_path / "i" / "lists" / f"batch={b}").exists()]
     assert listed(postings.search(spark, path, asked, "item_id", "doc_id", 5)) == want(texts, asked, 5)
+
+
+def test_no_step_makes_a_row_for_each_document_and_term_of_a_query(spark, tmp_path):
+    path, texts = f"{tmp_path}/i", spark.createDataFrame([(k, f"a b{k % 3}") for k in range(9)], "doc_id long, text string")
+    postings.add(texts, path, "doc_id")
+    found = postings.Search(spark, path, spark.createDataFrame([(1, "a b1")], "item_id long, text string"), "item_id", 3)
+    assert "explode(docs" not in found.hits._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_removed_documents_of_joined_blocks(spark, tmp_path):
+    path, texts = f"{tmp_path}/i", spark.createDataFrame([(k // 2, f"a b{k % 3} c{k} " * (k + 1)) for k in range(24)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "a b1"), (2, "c3 c12 b2"), (3, "c4")], "item_id long, text string")
+    for part in range(3):
+        postings.add(texts.filter(F.col("doc_id") % 3 == part), path, "doc_id", block=4)
+    postings.remove(texts.filter("doc_id % 4 = 0"), path, "doc_id")
+    texts = texts.filter("doc_id % 4 <> 0")
+    postings.merge(spark, path, block=12)
+    assert sorted(r.key for r in postings.keys(spark, path).collect()) == sorted(r.doc_id for r in texts.collect())
+    assert listed(postings.search(spark, path, asked, "item_id", "doc_id", 4)) == want(texts, asked, 4)
